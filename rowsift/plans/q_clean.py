@@ -1,0 +1 @@
+"""Checked queries (to be filled)."""
