@@ -1 +1,219 @@
-"""Checked queries (to be filled)."""
+"""Checked queries for distribution metrics (Q0-Q11), SMOTE (O1) and the generator registry (O2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rowsift.operators import distance as dst
+from rowsift.operators import oversample as ov
+from rowsift.operators import quality as qm
+from rowsift.plans.catalog import r6, register
+from rowsift.sources import fixtures as fx
+
+F4 = fx.F4_SQL
+F5 = fx.F5_SQL
+COLS = fx.FEATURES
+
+_REAL5 = "substring(md5(concat(CAST(vec_id AS VARCHAR), '|', 'r')), 1, 1) < '8'"
+
+
+def _f4(spark, sf, src):
+    return fx.real_syn(spark, sf).where(F.col("source") == src)
+
+
+def _f5(spark, sf, real: bool):
+    v = fx.vectors(spark, sf)
+    cond = F.substring(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit("|r"))), 1, 1) < "8"
+    return v.where(cond if real else ~cond)
+
+
+_LONG = f"""
+SELECT source, col, v FROM (UNPIVOT (SELECT source, {', '.join(COLS)} FROM ({F4}) f4)
+                             ON {', '.join(COLS)} INTO NAME col VALUE v) u"""
+
+_HIST = f"""
+WITH l AS ({_LONG}),
+rng AS (SELECT col, min(v) AS lo, max(v) AS hi FROM l WHERE source = 'real' GROUP BY col),
+b AS (SELECT l.source, l.col, CASE WHEN hi = lo THEN 0 ELSE CAST(least(greatest(floor((v - lo) / (hi - lo) * 10), 0), 9) AS INTEGER) END AS bin
+      FROM l JOIN rng ON l.col = rng.col WHERE l.source IN ('real', 'syn_b')),
+c AS (SELECT col, bin, sum(CAST(source = 'real' AS BIGINT)) AS n_real, sum(CAST(source = 'syn_b' AS BIGINT)) AS n_syn FROM b GROUP BY col, bin)
+SELECT col, bin, n_real, n_syn, n_real / sum(n_real) OVER (PARTITION BY col) AS p, n_syn / sum(n_syn) OVER (PARTITION BY col) AS q FROM c"""
+
+
+def _hist(spark, sf):
+    return qm.histograms(_f4(spark, sf, "real"), _f4(spark, sf, "syn_b"), COLS)
+
+
+@register("q3_inverse_kl", f"""
+SELECT col, round(1 / (1 + coalesce(sum(CASE WHEN p > 0 THEN p * ln(p / (q + 1e-10)) END), 0)), 6) AS score
+FROM ({_HIST}) h GROUP BY col""")
+def q3_inverse_kl(spark, sf):
+    return qm.inverse_kl(_hist(spark, sf)).select("col", r6("score"))
+
+
+@register("q4_jensen_shannon", f"""
+SELECT col, round(js, 6) AS divergence, round(sqrt(greatest(js, 0)), 6) AS distance FROM (
+  SELECT col, sum((CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END
+                 + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2) AS js
+  FROM ({_HIST}) h GROUP BY col) j""")
+def q4_jensen_shannon(spark, sf):
+    return qm.jensen_shannon(_hist(spark, sf)).select("col", r6("divergence"), r6("distance"))
+
+
+@register("q6_chi_squared", f"""
+SELECT col, round(sum((n_syn - e) * (n_syn - e) / e), 6) AS statistic, count(*) - 1 AS dof FROM (
+  SELECT col, n_syn, p * sum(n_syn) OVER (PARTITION BY col) AS e FROM ({_HIST}) h) x
+WHERE e > 0 GROUP BY col""")
+def q6_chi_squared(spark, sf):
+    return qm.chi_squared(_hist(spark, sf)).select("col", r6("statistic"), "dof")
+
+
+_GAP = f"""
+WITH l AS (SELECT * FROM ({_LONG}) x WHERE source IN ('real', 'syn_b')),
+n AS (SELECT col, sum(CAST(source = 'real' AS DOUBLE)) AS nr, sum(CAST(source = 'syn_b' AS DOUBLE)) AS ns FROM l GROUP BY col),
+g AS (SELECT l.col, v, sum(CAST(source = 'real' AS DOUBLE)) / max(nr) - sum(CAST(source = 'syn_b' AS DOUBLE)) / max(ns) AS wt
+      FROM l JOIN n ON l.col = n.col GROUP BY l.col, v)
+SELECT col, v, sum(wt) OVER (PARTITION BY col ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+       lead(v) OVER (PARTITION BY col ORDER BY v) AS next_v FROM g"""
+
+
+@register("q5_kolmogorov_smirnov", f"""
+SELECT col, round(max(abs(cum)), 6) AS statistic, round(1 - max(abs(cum)), 6) AS score FROM ({_GAP}) g GROUP BY col""")
+def q5_kolmogorov_smirnov(spark, sf):
+    ks = qm.kolmogorov_smirnov(_f4(spark, sf, "real"), _f4(spark, sf, "syn_b"), COLS)
+    return ks.select("col", r6("statistic"), r6("score"))
+
+
+@register("q8_wasserstein_1d", f"""
+SELECT col, round(sum(abs(cum) * coalesce(next_v - v, 0)), 6) AS distance FROM ({_GAP}) g GROUP BY col""")
+def q8_wasserstein_1d(spark, sf):
+    return qm.wasserstein_1d(_f4(spark, sf, "real"), _f4(spark, sf, "syn_b"), COLS).select("col", r6("distance"))
+
+
+@register("q7_mmd_linear", f"""
+SELECT 'mmd_linear' AS metric, round({' + '.join(f'power(avg(CASE WHEN source = {chr(39)}real{chr(39)} THEN {c} END) - avg(CASE WHEN source = {chr(39)}syn_b{chr(39)} THEN {c} END), 2)' for c in COLS)}, 6) AS score
+FROM ({F4}) f4""")
+def q7_mmd_linear(spark, sf):
+    return qm.mmd_linear(_f4(spark, sf, "real"), _f4(spark, sf, "syn_b"), COLS).select("metric", r6("score"))
+
+
+@register("q7_mmd_rbf_rff")
+def q7_mmd_rbf_rff(spark, sf):
+    real, syn = _f4(spark, sf, "real"), _f4(spark, sf, "syn_b")
+    from rowsift.functions.encode import minmax_scale
+    both = minmax_scale(real.unionByName(syn), COLS)
+    return qm.mmd_rbf_rff(both.where(F.col("source") == "real"), both.where(F.col("source") == "syn_b"), COLS,
+                          n_features=64)
+
+
+# ---------------------------------------------------------------- Q10 Kaplan-Meier on events
+_KM_SQL = """
+WITH e AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS s, floor(value) AS t,
+                  CAST(event_type = 'error' AS DOUBLE) AS d0 FROM events),
+grid AS (SELECT DISTINCT t, s2.s FROM e, (SELECT 'a' AS s UNION ALL SELECT 'b') s2),
+cnt AS (SELECT s, t, CAST(count(*) AS DOUBLE) AS c, sum(d0) AS d FROM e GROUP BY s, t),
+f AS (SELECT g.s, g.t, coalesce(c, 0) AS c, coalesce(d, 0) AS d FROM grid g LEFT JOIN cnt USING (s, t)),
+r AS (SELECT s, t, c, d, sum(c) OVER (PARTITION BY s) - sum(c) OVER (PARTITION BY s ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + c AS at_risk FROM f),
+k AS (SELECT s, t, exp(sum(CASE WHEN at_risk <= 0 THEN 0 WHEN d >= at_risk THEN -1e300 ELSE ln(1 - d / at_risk) END)
+                      OVER (PARTITION BY s ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS surv FROM r)
+SELECT round(avg(abs(a.surv - b.surv)), 6) AS distance FROM k a JOIN k b ON a.t = b.t AND a.s = 'a' AND b.s = 'b'"""
+
+
+@register("q10_km_distance", _KM_SQL)
+def q10_km_distance(spark, sf):
+    ev = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("source"),
+        F.floor("value").alias("t"), (F.col("event_type") == "error").cast("double").alias("e"))
+    return qm.km_distance(ev, "t", "e", "a", "b").select(r6("distance"))
+
+
+# ---------------------------------------------------------------- vector metrics on embeddings
+_V = f"(SELECT *, {_REAL5} AS is_real FROM ({F5}) f5)"
+_PAIRS_RR = f"""SELECT a.vec_id AS q, b.vec_id AS r, list_distance(a.embedding, b.embedding) AS d
+FROM {_V} a JOIN {_V} b ON a.is_real = b.is_real AND a.vec_id <> b.vec_id"""
+
+
+@register("q11_knn", f"""
+SELECT q AS vec_id, r AS nb_id, rank, round(d, 6) AS d FROM (
+  SELECT q, r, d, row_number() OVER (PARTITION BY q ORDER BY d, r) AS rank FROM ({_PAIRS_RR}) p) x WHERE rank <= 5""")
+def q11_knn(spark, sf):
+    out = None
+    for real in (True, False):
+        v = _f5(spark, sf, real)
+        k = dst.knn(v, v.withColumnRenamed("vec_id", "nb_id"), 5, "vec_id", "nb_id", "embedding",
+                    exclude_self=True, n_pivots=16)
+        out = k if out is None else out.unionByName(k)
+    return out.select("vec_id", "nb_id", F.col("rank").cast("long").alias("rank"), r6("d"))
+
+
+_PRDC_SQL = f"""
+WITH v AS {_V},
+pr AS ({_PAIRS_RR}),
+rad AS (SELECT q AS id, d AS r FROM (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY d, r) AS rk FROM pr) x WHERE rk = 5),
+x AS (SELECT v.vec_id, v.embedding, rad.r FROM v JOIN rad ON v.vec_id = rad.id WHERE v.is_real),
+y AS (SELECT v.vec_id, v.embedding, rad.r FROM v JOIN rad ON v.vec_id = rad.id WHERE NOT v.is_real),
+xy AS (SELECT x.vec_id AS i, y.vec_id AS j, list_distance(x.embedding, y.embedding) AS d, x.r AS rx, y.r AS ry FROM x, y)
+SELECT 'precision' AS metric, round(count(DISTINCT CASE WHEN d < rx THEN j END) / (SELECT count(*) FROM y), 6) AS score FROM xy
+UNION ALL SELECT 'recall', round(count(DISTINCT CASE WHEN d < ry THEN i END) / (SELECT count(*) FROM x), 6) FROM xy
+UNION ALL SELECT 'density', round(sum(CASE WHEN d < rx THEN 1 ELSE 0 END) / (5.0 * (SELECT count(*) FROM y)), 6) FROM xy
+UNION ALL SELECT 'coverage', round(sum(CASE WHEN mind < rx THEN 1 ELSE 0 END) / (SELECT count(*) FROM x), 6)
+  FROM (SELECT i, min(d) AS mind, max(rx) AS rx FROM xy GROUP BY i) c"""
+
+
+@register("q1_prdc", _PRDC_SQL)
+def q1_prdc(spark, sf):
+    out = qm.prdc(_f5(spark, sf, True), _f5(spark, sf, False), "vec_id", "embedding", k=5, n_pivots=16)
+    return out.select("metric", r6("score"))
+
+
+@register("q9_nearest_synthetic_distance", f"""
+WITH v AS {_V},
+nn AS (SELECT x.vec_id, min(list_distance(x.embedding, y.embedding)) AS d FROM v x, v y
+       WHERE x.is_real AND NOT y.is_real GROUP BY x.vec_id)
+SELECT round(avg(CASE WHEN hi = lo THEN 0 ELSE (d - lo) / (hi - lo) END), 6) AS score
+FROM nn, (SELECT min(d) AS lo, max(d) AS hi FROM nn) s""")
+def q9_nearest_synthetic_distance(spark, sf):
+    return qm.nearest_synthetic_distance(_f5(spark, sf, True), _f5(spark, sf, False), "vec_id", "embedding",
+                                         n_pivots=16).select(r6("score"))
+
+
+@register("q2_alpha_precision")
+def q2_alpha_precision(spark, sf):
+    return qm.alpha_precision(_f5(spark, sf, True), _f5(spark, sf, False), "vec_id", "embedding", n_pivots=16)
+
+
+@register("q2_authenticity", f"""
+WITH v AS {_V},
+rr AS (SELECT a.vec_id AS i, min(list_distance(a.embedding, b.embedding)) AS r1 FROM v a, v b
+       WHERE a.is_real AND b.is_real AND a.vec_id <> b.vec_id GROUP BY a.vec_id),
+sr AS (SELECT j, i, d FROM (SELECT y.vec_id AS j, x.vec_id AS i, list_distance(y.embedding, x.embedding) AS d,
+              row_number() OVER (PARTITION BY y.vec_id ORDER BY list_distance(y.embedding, x.embedding), x.vec_id) AS rk
+       FROM v y, v x WHERE NOT y.is_real AND x.is_real) z WHERE rk = 1)
+SELECT round(avg(CAST(rr.r1 < sr.d AS DOUBLE)), 6) AS authenticity FROM sr JOIN rr ON sr.i = rr.i""")
+def q2_authenticity(spark, sf):
+    real, syn = _f5(spark, sf, True), _f5(spark, sf, False)
+    r1 = dst.kth_distance(real, "vec_id", 1, "embedding", 16).withColumnRenamed("radius", "r1")
+    nn = dst.knn(syn.withColumnRenamed("vec_id", "_sid"), real, 1, "_sid", "vec_id", "embedding", n_pivots=16)
+    return nn.join(r1, "vec_id").agg(r6(F.avg((F.col("r1") < F.col("d")).cast("double")), "authenticity"))
+
+
+@register("q0_quality_report")
+def q0_quality_report(spark, sf):
+    f4 = fx.real_syn(spark, sf)
+    return qm.quality_report(f4.where(F.col("source") != "real"), f4.where(F.col("source") == "real"), COLS)
+
+
+# ---------------------------------------------------------------- O1 / O2
+@register("o1_smote")
+def o1_smote(spark, sf):
+    v = fx.vectors(spark, sf)
+    out = ov.smote(v, "vec_id", "embedding", "label", n=80, k=4, seed=42)
+    return out.groupBy("label", "is_synthetic").agg(F.count("*").alias("n_rows"))
+
+
+@register("o2_generators")
+def o2_generators(spark, sf):
+    f1 = fx.labelled(spark, sf).select("rid", *COLS, "y")
+    train = f1.where(F.substring(F.md5(F.concat("rid", F.lit("|g"))), 1, 2) < "08")
+    out = ov.run_generators(train, ["bootstrap"], n=500, key="rid")
+    return out.groupBy("source").agg(F.count("*").alias("n_rows"))
