@@ -1 +1,92 @@
-"""Checked queries (to be filled)."""
+"""Checked queries for downstream evaluation."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import functions as F
+
+from rowsift.operators import evaluate as ev
+from rowsift.operators import sampling as smp
+from rowsift.plans.catalog import r6, register
+from rowsift.sources import fixtures as fx
+
+F7 = fx.F7_SQL
+
+
+@register("e2_classification_metrics", f"""
+SELECT source, clf, n, tp, fp, fn, tn,
+       round(CAST(tp + tn AS DOUBLE) / n, 6) AS accuracy,
+       round(CASE WHEN tp + fp = 0 THEN 0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END, 6) AS precision,
+       round(CASE WHEN tp + fn = 0 THEN 0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END, 6) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1
+FROM (SELECT source, clf, count(*) AS n,
+             CAST(sum(CASE WHEN y = 1 AND y_pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+             CAST(sum(CASE WHEN y <> 1 AND y_pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+             CAST(sum(CASE WHEN y = 1 AND y_pred <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+             CAST(sum(CASE WHEN y <> 1 AND y_pred <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS tn
+      FROM ({F7}) f7 GROUP BY source, clf) c""")
+def e2_classification_metrics(spark, sf):
+    m = ev.classification_metrics(fx.predictions(spark, sf))
+    return m.select("source", "clf", "n", "tp", "fp", "fn", "tn",
+                    *[r6(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+_AUC_SQL = f"""
+WITH s AS (SELECT source, clf, score, sum(CAST(y = 1 AS DOUBLE)) AS pos, sum(CAST(y <> 1 AS DOUBLE)) AS neg
+           FROM ({F7}) f7 GROUP BY source, clf, score),
+c AS (SELECT *, sum(neg) OVER (PARTITION BY source, clf ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM s)
+SELECT source, clf, CASE WHEN sum(pos) = 0 OR sum(neg) = 0 THEN 0
+                         ELSE sum(pos * (cum - neg / 2)) / (sum(pos) * sum(neg)) END AS auc
+FROM c GROUP BY source, clf"""
+
+
+@register("e3_roc_auc", f"SELECT source, clf, round(auc, 6) AS auc FROM ({_AUC_SQL}) a")
+def e3_roc_auc(spark, sf):
+    return ev.roc_auc(fx.predictions(spark, sf)).select("source", "clf", r6("auc"))
+
+
+@register("e6_mean_over_classifiers", f"""
+WITH m AS (SELECT source, clf, CAST(sum(CASE WHEN y = y_pred THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS accuracy
+           FROM ({F7}) f7 GROUP BY source, clf),
+a AS ({_AUC_SQL})
+SELECT m.source, round(avg(m.accuracy), 6) AS accuracy, round(avg(a.auc), 6) AS auc
+FROM m JOIN a ON m.source = a.source AND m.clf = a.clf WHERE m.clf <> 'dt' GROUP BY m.source""")
+def e6_mean_over_classifiers(spark, sf):
+    p = fx.predictions(spark, sf)
+    m = ev.classification_metrics(p).join(ev.roc_auc(p), ["source", "clf"])
+    return ev.mean_over_classifiers(m).select("source", r6("accuracy"), r6("auc"))
+
+
+def _split(spark, sf):
+    f1 = fx.labelled(spark, sf)
+    roles = smp.assign_roles(f1, "y", 100, "rid", seed=42)
+    return roles
+
+
+@register("e1_evaluate_model")
+def e1_evaluate_model(spark, sf):
+    roles = _split(spark, sf)
+    lr = LogisticRegression(featuresCol="_f", labelCol="_label", maxIter=50)
+    out = ev.evaluate_model(roles.where(F.col("role") == "original"), roles.where(F.col("role") == "test"),
+                            fx.FEATURES, "y", lr)
+    return out.select("n", *[r6(c) for c in ("accuracy", "precision", "recall", "f1", "auc")])
+
+
+@register("e5_downstream_sources")
+def e5_downstream_sources(spark, sf):
+    """Train every source x four classifiers, test on the held-out rows (E4 + E5 + E6)."""
+    f4 = fx.real_syn(spark, sf)
+    test = f4.where(F.substring(F.md5(F.concat("rid", F.lit("|t"))), 1, 1) < "4").drop("source")
+    train = f4.where(F.substring(F.md5(F.concat("rid", F.lit("|t"))), 1, 1) >= "4")
+    clfs = ev.classifiers()
+    clfs["gbt"].setMaxIter(10)
+    clfs["rf"].setNumTrees(10)
+    m = ev.downstream(train, test, fx.FEATURES, "y", clfs)
+    return ev.mean_over_classifiers(m).select("source", r6("accuracy"), r6("auc"))
+
+
+@register("e7_oracle_agreement")
+def e7_oracle_agreement(spark, sf):
+    roles = _split(spark, sf)
+    f4 = fx.real_syn(spark, sf)
+    return ev.oracle_agreement(roles.where(F.col("role") == "oracle"), f4, fx.FEATURES, "y", nest=10)

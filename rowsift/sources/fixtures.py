@@ -281,11 +281,11 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.floor(F.col("user_id") / 4) % 5).cast("int").alias("seed"),
                       src.alias("source"), metric.alias("metric"), "value")
               .groupBy("dataset", "ns", "seed", "source", "metric")
-              .agg((F.avg("value") / 100.0).alias("score")))
+              .agg((F.avg("value") / 97.0).alias("score")))
 
 
 F8_SQL = """
-SELECT dataset, ns, seed, source, metric, avg(value) / 100.0 AS score
+SELECT dataset, ns, seed, source, metric, avg(value) / 97.0 AS score
 FROM (SELECT event_type AS dataset, CAST(([10, 20, 50, 100])[CAST(user_id % 4 + 1 AS INTEGER)] AS INTEGER) AS ns,
              CAST(floor(user_id / 4) % 5 AS INTEGER) AS seed,
              (['Original', 'gpt4', 'gpt4_curated', 'tvae'])[CAST(event_id % 4 + 1 AS INTEGER)] AS source,
