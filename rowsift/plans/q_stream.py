@@ -1 +1,38 @@
-"""Checked queries (to be filled)."""
+"""Checked queries for the streaming re-aims (ST1, ST2): the stream must equal the batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rowsift.plans.catalog import r6, register
+from rowsift.plans.q_completions import ORDER_SCHEMA, _conform_sql, _final, _NO_PH, _NOTNULL_SQL, _PARSED_SQL
+from rowsift.session import scratch_path
+from rowsift.sources import fixtures as fx
+from rowsift.streaming import completions_stream as cs
+
+_GPT_SQL = _final(_conform_sql(f"SELECT * FROM ({_PARSED_SQL}) p WHERE {_NO_PH} AND {_NOTNULL_SQL}", "coerce"))
+
+
+def _landing(spark, sf) -> str:
+    """Completions land as several parquet files in a fresh folder (the 'arrivals')."""
+    folder = scratch_path(spark, "completions-landing")
+    fx.completions(spark, sf).repartition(8, "source", "iter").write.parquet(folder)
+    return folder
+
+
+@register("st1_stream_curation", _GPT_SQL)
+def st1_stream_curation(spark, sf):
+    src = _landing(spark, sf)
+    sink = scratch_path(spark, "curated-sink")
+    cs.run_curation_stream(spark, src, sink, scratch_path(spark, "st1-ckpt"), ORDER_SCHEMA, "gpt")
+    out = spark.read.schema(cs.curated_rows(cs.read_completions(spark, src), ORDER_SCHEMA).schema).parquet(sink)
+    return out.select("source", "iter", "choice", "frag_pos", "o_orderkey", "o_custkey", "o_orderstatus",
+                      r6("o_totalprice"), "o_orderpriority")
+
+
+@register("st2_stream_quota", f"""
+SELECT source, count(*) AS n_accepted, count(*) >= 2000 AS quota_reached FROM ({_GPT_SQL}) g GROUP BY source""")
+def st2_stream_quota(spark, sf):
+    src = _landing(spark, sf)
+    out = cs.run_quota_counter(spark, src, scratch_path(spark, "st2-ckpt"), ORDER_SCHEMA, 2000, "quota")
+    return out.select("source", "n_accepted", F.col("quota_reached"))
