@@ -42,6 +42,10 @@ def has_placeholder(v: Column, words: Sequence[str] = PLACEHOLDERS_CLEAN) -> Col
 
 
 def drop_placeholders(df: DataFrame, words: Sequence[str] = PLACEHOLDERS_CLEAN, v: str = "_v") -> DataFrame:
+    if "frag" in df.columns:  # the raw fragment text is at hand: one map parse, no re-serialisation
+        m = F.from_json(F.col("frag"), "map<string,string>")
+        lit_words = F.array(*[F.lit(w) for w in words])
+        return df.where(~F.coalesce(F.exists(F.map_values(m), lambda x: F.array_contains(lit_words, x)), F.lit(False)))
     return df.where(~has_placeholder(F.col(v), words))
 
 

@@ -115,7 +115,9 @@ def _is_object(v: Column) -> Column:
 
 
 def fragment_valid(frag: Column) -> Column:
-    return F.try_parse_json(frag).isNotNull() & _is_object(F.try_parse_json(frag))
+    """Strict JSON (no single quotes). Fragments come from the ``{...}`` pattern, so a
+    fragment that parses is an object."""
+    return F.try_parse_json(frag).isNotNull()
 
 
 def completion_valid(text: Column) -> Column:
@@ -126,16 +128,20 @@ def completion_valid(text: Column) -> Column:
 def parse_completions(df: DataFrame, text: str = "text", policy: str = "completion") -> DataFrame:
     """Completions -> one row per parsed fragment ``(keys..., frag_pos, frag, _v VARIANT)``.
 
-    ``policy='completion'`` (reference behaviour): a completion with any bad
-    fragment contributes nothing. ``'per_fragment'`` keeps its good fragments.
+    Each fragment is parsed once (array of (frag, variant)); ``policy='completion'``
+    (reference behaviour) keeps a completion only if all its fragments parsed,
+    ``'per_fragment'`` keeps the good fragments of every completion.
     """
-    if policy == "completion":
-        df = df.where(completion_valid(F.col(text)))
-    elif policy != "per_fragment":
+    if policy not in ("completion", "per_fragment"):
         raise ValueError("policy must be 'completion' or 'per_fragment'")
-    ex = explode_fragments(df, text)
-    ex = ex.withColumn("_v", F.try_parse_json("frag"))
-    return ex.where(F.col("_v").isNotNull() & _is_object(F.col("_v")))
+    keep = [c for c in df.columns if c != text]
+    parsed = F.transform(fragments(F.col(text)), lambda f: F.struct(f.alias("frag"), F.try_parse_json(f).alias("v")))
+    d = df.select(*keep, parsed.alias("_p"))
+    if policy == "completion":
+        d = d.where(F.forall("_p", lambda s: s["v"].isNotNull()))
+    ex = d.select(*keep, F.posexplode("_p").alias("frag_pos", "_s"))
+    ex = ex.select(*keep, "frag_pos", F.col("_s.frag").alias("frag"), F.col("_s.v").alias("_v"))
+    return ex.where(F.col("_v").isNotNull())
 
 
 # ------------------------------------------------------------------ cell access (shared with clean.py)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rowsift.functions.hashing import h
+from rowsift.functions.literals import const_array
 
 
 def sq_dist(a: Column, b: Column) -> Column:
@@ -35,19 +36,101 @@ def dist(a: Column, b: Column) -> Column:
     return F.sqrt(sq_dist(a, b))
 
 
+QUERY_BLOCK_ROWS = 1024
+SMALL_PAIRS = 2_000_000  # below this many candidate pairs the JVM join path is used
+
+
+def _block_kernel(mode: str, k: int, exclude_self: bool):
+    """numpy kernel for one (cell, sub, query-block) group: exact distances of the block's
+    queries to the cell's reference rows; emits per-query top-k ('knn') or in-ball pairs ('range')."""
+    import numpy as np
+    import pandas as pd
+
+    def fn(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(rpdf) == 0:
+            return pd.DataFrame({"_qid": qpdf["_qid"].iloc[:0], "_rid": rpdf["_rid"].iloc[:0], "d": np.zeros(0)})
+        Q = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
+        R = np.stack(rpdf["_rv"].to_numpy()).astype(np.float64)
+        qid, rid = qpdf["_qid"].to_numpy(), rpdf["_rid"].to_numpy()
+        rad = rpdf["_rad"].to_numpy() if mode == "range" else None
+        oq, orr, od = [], [], []
+        step = max(1, 4_000_000 // max(1, R.shape[0] * R.shape[1]))
+        for s in range(0, Q.shape[0], step):
+            diff = Q[s:s + step, None, :] - R[None, :, :]
+            d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+            if exclude_self:
+                d = np.where(qid[s:s + step, None] == rid[None, :], np.inf, d)
+            if mode == "range":
+                qi, ri = np.nonzero(d < rad[None, :])
+            else:
+                kk = min(k, d.shape[1])
+                part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else np.tile(np.arange(d.shape[1]), (d.shape[0], 1))
+                qi = np.repeat(np.arange(d.shape[0]), part.shape[1])
+                ri = part.ravel()
+                keep = np.isfinite(d[qi, ri])
+                qi, ri = qi[keep], ri[keep]
+            oq.append(qid[s + qi])
+            orr.append(rid[ri])
+            od.append(d[qi, ri])
+        return pd.DataFrame({"_qid": np.concatenate(oq), "_rid": np.concatenate(orr), "d": np.concatenate(od)})
+
+    return fn
+
+
+def _block_pairs(cand: DataFrame, refp: DataFrame, mode: str, k: int = 0, exclude_self: bool = False) -> DataFrame:
+    """Route candidate (query, cell, sub) rows and reference (cell, sub) rows into bounded groups
+    (query blocks of <= QUERY_BLOCK_ROWS per cell-sub; the cell's reference rows are repeated per
+    block) and run the numpy kernel per group. Emits at most k rows per query per group."""
+    counts = {(r["_qcell"], r["_qsub"]): r["n"] for r in
+              cand.groupBy("_qcell", "_qsub").agg(F.count("*").alias("n")).collect()}  # <= cells * subs rows
+    ref_n = {(r["_cell"], r["_sub"]): r["n"] for r in
+             refp.groupBy("_cell", "_sub").agg(F.count("*").alias("n")).collect()}
+    est_pairs = sum(n * ref_n.get(key, 0) for key, n in counts.items())
+    if est_pairs <= SMALL_PAIRS:
+        # small volume: plain equi-join + JVM distance is cheaper than Python workers
+        pairs = cand.join(refp, (cand._qcell == refp._cell) & (cand._qsub == refp._sub))
+        pairs = pairs.withColumn("d", dist(F.col("_qv"), F.col("_rv")))
+        if exclude_self:
+            pairs = pairs.where(F.col("_qid") != F.col("_rid"))
+        if mode == "range":
+            pairs = pairs.where(F.col("d") < F.col("_rad"))
+        return pairs.select("_qid", "_rid", "d")
+    nb = {key: max(1, math.ceil(n / QUERY_BLOCK_ROWS)) for key, n in counts.items()}
+    m = max([c for c, _ in nb] + [0]) + 1
+    width = max([s for _, s in nb] + [0]) + 1
+    flat = [1] * (m * width)
+    for (c, s_), b in nb.items():
+        flat[c * width + s_] = b
+    blocks = const_array(flat, "int")
+
+    def nblk(cell, sub):
+        return F.element_at(blocks, cell * width + sub + 1)
+
+    q = cand.withColumn("_qb", F.pmod(F.xxhash64("_qid"), nblk(F.col("_qcell"), F.col("_qsub"))).cast("int"))
+    q = q.select(F.col("_qcell").alias("_c"), F.col("_qsub").alias("_sb"), "_qb", "_qid", "_qv")
+    r = refp.where(F.col("_cell") < m).withColumn(
+        "_qb", F.explode(F.sequence(F.lit(0), F.coalesce(nblk(F.col("_cell"), F.col("_sub")), F.lit(1)) - 1)))
+    rcols = ["_rid", "_rv"] + (["_rad"] if mode == "range" else [])
+    r = r.select(F.col("_cell").alias("_c"), F.col("_sub").alias("_sb"), "_qb", *rcols)
+    schema = f"_qid {dict(cand.dtypes)['_qid']}, _rid {dict(refp.dtypes)['_rid']}, d double"
+    fn = _block_kernel(mode, k, exclude_self)
+    return (q.groupBy("_c", "_sb", "_qb").cogroup(r.groupBy("_c", "_sb", "_qb"))
+             .applyInPandas(lambda a, b: fn(a, b), schema))
+
+
 class PivotIndex:
     """Cells over a reference table; pivot vectors and per-cell stats are small literals."""
 
     def __init__(self, ref: DataFrame, id_col: str, vec: str, n_pivots: int | None = None,
                  seed: int = 7, bucket_rows: int = 2048, extra_max: str | None = None):
         self.id_col, self.vec = id_col, vec
-        n = ref.count()
+        n = self.n_rows = ref.count()
         m = n_pivots or max(1, min(256, int(math.sqrt(max(n, 1)) // 2) or 1))
         piv = (ref.select(F.col(vec).alias("_pv"), h(id_col, f"pivot{seed}").alias("_ph"), F.col(id_col))
                   .orderBy("_ph", id_col).limit(m).collect())  # m rows: bounded by n_pivots
         self.pivots = [list(map(float, r["_pv"])) for r in piv]
         self.m = len(self.pivots)
-        self._plit = F.array(*[F.array(*[F.lit(x) for x in p]) for p in self.pivots])
+        self._plit = const_array(self.pivots, "array<double>")
         cells = self.assign(ref)
         aggs = [F.count("*").alias("n"), F.max("_pdist").alias("R")]
         if extra_max:
@@ -58,7 +141,7 @@ class PivotIndex:
         self.X_c = [float(stats[c]["X"] or 0.0) if (extra_max and c in stats) else 0.0 for c in range(self.m)]
         self.subs = [max(1, math.ceil(nc / bucket_rows)) for nc in self.n_c]
         self.ref = (cells.withColumn("_sub", F.pmod(F.xxhash64(F.col(id_col)),
-                                                    F.element_at(F.array(*[F.lit(s) for s in self.subs]),
+                                                    F.element_at(const_array(self.subs, "int"),
                                                                  F.col("_cell") + 1)).cast("int"))
                     .drop("_pd"))
 
@@ -71,8 +154,8 @@ class PivotIndex:
                    .withColumn("_cell", (F.array_position(F.col("_pd"), best) - 1).cast("int")))
 
     def _lits(self):
-        return (F.array(*[F.lit(x) for x in self.n_c]), F.array(*[F.lit(x) for x in self.R_c]),
-                F.array(*[F.lit(x) for x in self.X_c]), F.array(*[F.lit(x) for x in self.subs]))
+        return (const_array(self.n_c, "bigint"), const_array(self.R_c), const_array(self.X_c),
+                const_array(self.subs, "int"))
 
     def explode_candidates(self, q: DataFrame, bound: Column) -> DataFrame:
         """Explode query rows (which carry ``_pd``) over cells whose lower bound <= ``bound``
@@ -99,53 +182,51 @@ class PivotIndex:
         return F.coalesce(acc["b"], F.lit(float("inf")))
 
 
-def knn(query: DataFrame, ref: DataFrame, k: int, q_id: str, r_id: str, vec: str = "embedding",
+def knn(query: DataFrame, ref: DataFrame | None, k: int, q_id: str, r_id: str, vec: str = "embedding",
         exclude_self: bool = False, index: PivotIndex | None = None, n_pivots: int | None = None) -> DataFrame:
     """Exact k nearest reference rows for every query row: ``(q_id, r_id, d, rank)``.
 
+    ``index`` (built once on the reference) can be reused across searches;
     ``exclude_self`` drops pairs with equal ids (query and reference are the same table).
     """
     idx = index or PivotIndex(ref, r_id, vec, n_pivots=n_pivots)
     need = k + 1 if exclude_self else k
-    qa = idx.assign(query.select(F.col(q_id).alias("_qid"), F.col(vec).alias("_qv"))
-                    .withColumnRenamed("_qv", vec))
+    qa = idx.assign(query.select(F.col(q_id).alias("_qid"), F.col(vec).alias(idx.vec)))
     qa = qa.withColumn("_ub", idx.knn_bound(need))
-    cand = idx.explode_candidates(qa, F.col("_ub")).select("_qid", F.col(vec).alias("_qv"), "_qcell", "_qsub", "_ub")
-    refp = idx.ref.select(F.col(r_id).alias("_rid"), F.col(vec).alias("_rv"), "_cell", "_sub")
-    pairs = cand.join(refp, (cand._qcell == refp._cell) & (cand._qsub == refp._sub))
-    pairs = pairs.select("_qid", "_rid", dist(F.col("_qv"), F.col("_rv")).alias("d"))
-    if exclude_self:
-        pairs = pairs.where(F.col("_qid") != F.col("_rid"))
+    cand = idx.explode_candidates(qa, F.col("_ub")).select("_qid", F.col(idx.vec).alias("_qv"), "_qcell", "_qsub")
+    refp = idx.ref.select(F.col(idx.id_col).alias("_rid"), F.col(idx.vec).alias("_rv"), "_cell", "_sub")
+    pairs = _block_pairs(cand, refp, "knn", k=k, exclude_self=exclude_self)
     w = Window.partitionBy("_qid").orderBy("d", "_rid")
     top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select(F.col("_qid").alias(q_id), F.col("_rid").alias(r_id), "d", "rank")
 
 
 def kth_distance(df: DataFrame, id_col: str, k: int, vec: str = "embedding",
-                 n_pivots: int | None = None) -> DataFrame:
+                 n_pivots: int | None = None, index: PivotIndex | None = None) -> DataFrame:
     """Distance from every row to its k-th nearest *other* row of the same table: ``(id, radius)``."""
-    ref = df.select(F.col(id_col).alias("_ref_id"), F.col(vec))
-    nn = knn(df, ref, k, id_col, "_ref_id", vec, exclude_self=True, n_pivots=n_pivots)
+    idx = index or PivotIndex(df, id_col, vec, n_pivots=n_pivots)
+    nn = knn(df, None, k, id_col, "_ref_id", vec, exclude_self=True, index=idx)
     return nn.where(F.col("rank") == k).select(id_col, F.col("d").alias("radius"))
 
 
 def range_pairs(query: DataFrame, ref: DataFrame, q_id: str, r_id: str, radius: str, vec: str = "embedding",
-                n_pivots: int | None = None) -> DataFrame:
+                n_pivots: int | None = None, index: PivotIndex | None = None) -> DataFrame:
     """All (q, r) with d(q, r) < radius(r): reference rows carry their own ball radius.
 
-    Candidate cells: lower bound d(q, p_c) - R_c < max radius in c.
+    Candidate cells: lower bound d(q, p_c) - R_c < max radius in c (one small aggregate).
     """
-    idx = PivotIndex(ref, r_id, vec, n_pivots=n_pivots, extra_max=radius)
-    _, _, x_lit, _ = idx._lits()
-    qa = idx.assign(query.select(F.col(q_id).alias("_qid"), F.col(vec)))
+    idx = index or PivotIndex(ref, r_id, vec, n_pivots=n_pivots)
+    rr = idx.ref.join(ref.select(F.col(r_id).alias(idx.id_col), F.col(radius).alias("_rad")), idx.id_col)
+    xmax = {r["_cell"]: float(r["x"]) for r in rr.groupBy("_cell").agg(F.max("_rad").alias("x")).collect()}  # <= m rows
+    x_lit = const_array([xmax.get(c, 0.0) for c in range(idx.m)])
     n_lit, r_lit, _, s_lit = idx._lits()
+    qa = idx.assign(query.select(F.col(q_id).alias("_qid"), F.col(vec).alias(idx.vec)))
     cells = F.filter(F.sequence(F.lit(0), F.lit(idx.m - 1)),
                      lambda c: (F.element_at(n_lit, c + 1) > 0)
                      & (F.element_at(F.col("_pd"), c + 1) - F.element_at(r_lit, c + 1) < F.element_at(x_lit, c + 1)))
     cand = qa.withColumn("_qcell", F.explode(cells))
     cand = cand.withColumn("_qsub", F.explode(F.sequence(F.lit(0), F.element_at(s_lit, F.col("_qcell") + 1) - 1)))
-    cand = cand.select("_qid", F.col(vec).alias("_qv"), "_qcell", "_qsub")
-    refp = idx.ref.select(F.col(r_id).alias("_rid"), F.col(vec).alias("_rv"), F.col(radius).alias("_rad"), "_cell", "_sub")
-    pairs = cand.join(refp, (cand._qcell == refp._cell) & (cand._qsub == refp._sub))
-    pairs = pairs.withColumn("d", dist(F.col("_qv"), F.col("_rv"))).where(F.col("d") < F.col("_rad"))
+    cand = cand.select("_qid", F.col(idx.vec).alias("_qv"), "_qcell", "_qsub")
+    refp = rr.select(F.col(idx.id_col).alias("_rid"), F.col(idx.vec).alias("_rv"), "_rad", "_cell", "_sub")
+    pairs = _block_pairs(cand, refp, "range")
     return pairs.select(F.col("_qid").alias(q_id), F.col("_rid").alias(r_id), "d")

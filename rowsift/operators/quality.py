@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rowsift.functions.literals import const_array
 from rowsift.operators import distance as dst
 
 EPS = 1e-10
@@ -155,23 +156,27 @@ def km_distance(df: DataFrame, time: str, event: str, a: str, b: str, src: str =
 # ------------------------------------------------------------------ Q1 PRDC
 def prdc(real: DataFrame, syn: DataFrame, id_col: str, vec: str, k: int = 5,
          n_pivots: int | None = None) -> DataFrame:
-    """precision, recall, density, coverage (strict < on k-NN ball radii)."""
+    """precision, recall, density, coverage (strict < on k-NN ball radii).
+
+    One pivot index per side, reused by the radius search, the ball joins and
+    the coverage search; every count comes from one aggregate.
+    """
     spark = real.sparkSession
-    n, m = real.count(), syn.count()
-    r_real = dst.kth_distance(real, id_col, k, vec, n_pivots).withColumnRenamed("radius", "r")
-    r_syn = dst.kth_distance(syn, id_col, k, vec, n_pivots).withColumnRenamed("radius", "r")
-    real_r = real.join(r_real, id_col)
-    syn_r = syn.join(r_syn, id_col)
-    # pairs (syn j, real i) with d < r_real(i)
-    p_pairs = dst.range_pairs(syn.withColumnRenamed(id_col, "_sid"), real_r, "_sid", id_col, "r", vec, n_pivots)
-    prec = p_pairs.select("_sid").distinct().count() / max(m, 1)
-    dens = p_pairs.count() / max(k * m, 1)
-    r_pairs = dst.range_pairs(real.withColumnRenamed(id_col, "_rid2"), syn_r, "_rid2", id_col, "r", vec, n_pivots)
-    rec = r_pairs.select("_rid2").distinct().count() / max(n, 1)
-    nn = dst.knn(real, syn.withColumnRenamed(id_col, "_sid"), 1, id_col, "_sid", vec, n_pivots=n_pivots)
-    cov = nn.join(r_real, id_col).where(F.col("d") < F.col("r")).count() / max(n, 1)
-    return spark.createDataFrame([("precision", float(prec)), ("recall", float(rec)),
-                                  ("density", float(dens)), ("coverage", float(cov))], "metric string, score double")
+    real, syn = real.select(id_col, vec), syn.select(id_col, vec)
+    ir = dst.PivotIndex(real, id_col, vec, n_pivots=n_pivots)
+    is_ = dst.PivotIndex(syn, id_col, vec, n_pivots=n_pivots)
+    r_real = dst.kth_distance(real, id_col, k, vec, index=ir).withColumnRenamed("radius", "r")
+    r_syn = dst.kth_distance(syn, id_col, k, vec, index=is_).withColumnRenamed("radius", "r")
+    n, m = ir.n_rows, is_.n_rows
+    p_pairs = dst.range_pairs(syn.withColumnRenamed(id_col, "_sid"), r_real, "_sid", id_col, "r", vec, index=ir)
+    pr = p_pairs.agg(F.countDistinct("_sid").alias("a"), F.count("*").alias("b")).first()
+    r_pairs = dst.range_pairs(real.withColumnRenamed(id_col, "_rid2"), r_syn, "_rid2", id_col, "r", vec, index=is_)
+    rec = r_pairs.agg(F.countDistinct("_rid2")).first()[0] / max(n, 1)
+    nn = dst.knn(real, None, 1, id_col, "_sid", vec, index=is_)
+    cov = nn.join(r_real, id_col).agg(F.sum((F.col("d") < F.col("r")).cast("long"))).first()[0] or 0
+    return spark.createDataFrame([("precision", pr["a"] / max(m, 1)), ("recall", float(rec)),
+                                  ("density", pr["b"] / max(k * m, 1)), ("coverage", cov / max(n, 1))],
+                                 "metric string, score double")
 
 
 # ------------------------------------------------------------------ Q9
@@ -202,9 +207,9 @@ def alpha_precision(real: DataFrame, syn: DataFrame, id_col: str, vec: str,
     spark = real.sparkSession
     d = len(real.select(vec).first()[0])
     cen = real.agg(*[F.avg(F.element_at(vec, i + 1)).alias(f"c{i}") for i in range(d)]).first()
-    center = F.array(*[F.lit(float(cen[f"c{i}"])) for i in range(d)])
+    center = const_array([float(cen[f"c{i}"]) for i in range(d)])
     scen = syn.agg(*[F.avg(F.element_at(vec, i + 1)).alias(f"c{i}") for i in range(d)]).first()
-    s_center = F.array(*[F.lit(float(scen[f"c{i}"])) for i in range(d)])
+    s_center = const_array([float(scen[f"c{i}"]) for i in range(d)])
     rd = real.select(dst.dist(F.col(vec), center).alias("r"))
     sd = syn.select(dst.dist(F.col(vec), center).alias("r"))
     radii = rd.agg(F.percentile("r", ALPHAS).alias("q")).first()["q"]
@@ -247,8 +252,8 @@ def mmd_rbf_rff(real: DataFrame, syn: DataFrame, cols: Sequence[str], gamma: flo
     W = rng.normal(0, math.sqrt(2 * gamma), size=(n_features, len(cols)))
     b = rng.uniform(0, 2 * math.pi, size=n_features)
     scale = math.sqrt(2.0 / n_features)
-    wl = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in W])
-    bl = F.array(*[F.lit(float(x)) for x in b])
+    wl = const_array(W.tolist(), "array<double>")
+    bl = const_array(b.tolist())
     x = F.array(*[F.col(c).cast("double") for c in cols])
 
     def mean_phi(df):

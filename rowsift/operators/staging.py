@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rowsift.functions.literals import const_array
 from rowsift.operators import dynamics as dyn
 from rowsift.session import scratch_path
 
@@ -123,8 +124,8 @@ def staged_dynamics(model, df: DataFrame, label: str = "y", include_last: bool =
         raise ValueError("need at least two trees (checkpoints stop at nest - 1)")
     scored = model.transform(df)
     scored = scored.withColumn("_lf", vector_to_array("_leaf"))
-    flat_lit = F.array(*[F.lit(v) for v in flat])
-    off_lit = F.array(*[F.lit(o) for o in offsets])
+    flat_lit = const_array(flat)
+    off_lit = const_array(offsets, "int")
     y = F.col(label).cast("int")
 
     def contrib(t):
@@ -180,8 +181,8 @@ def staged_probabilities(model, df: DataFrame, label: str = "y", include_last: b
     flat, offsets, width = _flat_leaf_values(model, kind, n_classes)
     steps = len(offsets) if include_last else len(offsets) - 1
     scored = model.transform(df).withColumn("_lf", vector_to_array("_leaf"))
-    flat_lit = F.array(*[F.lit(v) for v in flat])
-    off_lit = F.array(*[F.lit(o) for o in offsets])
+    flat_lit = const_array(flat)
+    off_lit = const_array(offsets, "int")
     y = F.col(label).cast("int")
     contribs = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda t: F.element_at(
         flat_lit, F.element_at(off_lit, t + 1) + F.element_at(F.col("_lf"), t + 1).cast("int") * width

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from rowsift.operators import clean as cl
 from rowsift.operators import completions as cp
@@ -13,7 +12,7 @@ from rowsift.sources import fixtures as fx
 
 F1 = fx.F1_SQL
 F3 = fx.F3_SQL
-ORDER_SCHEMA = StructType.fromDDL(fx.ORDER_SCHEMA)
+ORDER_SCHEMA = fx.ORDER_STRUCT
 TARGETS = [f.name for f in ORDER_SCHEMA.fields]
 KEYS = ["source", "iter", "choice", "frag_pos"]
 _PAT = r"(\{[^{}]*\})"

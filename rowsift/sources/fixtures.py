@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from rowsift.functions.hashing import h
 from rowsift.session import table
@@ -86,6 +87,9 @@ FROM (SELECT CASE WHEN substring(md5(concat(rid, '|', 's')), 1, 1) < '8' THEN 's
 # ---------------------------------------------------------------- F3
 # The fragment variants cycle by o_orderkey % 20.
 ORDER_SCHEMA = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderpriority STRING"
+ORDER_STRUCT = StructType([StructField("o_orderkey", LongType()), StructField("o_custkey", LongType()),
+                           StructField("o_orderstatus", StringType()), StructField("o_totalprice", DoubleType()),
+                           StructField("o_orderpriority", StringType())])
 SOURCES_F3 = ["gpt4", "llama", "together"]
 
 
