@@ -37,7 +37,7 @@ def dist(a: Column, b: Column) -> Column:
 
 
 QUERY_BLOCK_ROWS = 1024
-SMALL_PAIRS = 2_000_000  # below this many candidate pairs the JVM join path is used
+SMALL_PAIRS = 50_000  # below this many candidate pairs the JVM join path is used (HOF distance ~50k pairs/s)
 
 
 def _block_kernel(mode: str, k: int, exclude_self: bool):
