@@ -69,34 +69,33 @@ def sample_and_split(df: DataFrame, label: str, n: int, key: str, seed=100):
 
 
 # ------------------------------------------------------------------ exact global rank
-def _prefix_width(n_rows: int, target_bucket: int = 1_000_000) -> int:
-    buckets = max(1, math.ceil(n_rows / target_bucket))
-    return min(8, max(2, math.ceil(math.log(buckets * 16, 16))))
+RANK_PREFIX = 4  # 16**4 = 65,536 hash buckets: ~1.5M rows per bucket at 1e11 rows
 
 
-def hash_rank(df: DataFrame, key: str, seed, col: str = "idx", n_rows: int | None = None) -> DataFrame:
-    """0-based rank of every row by (h(key, seed), key), computed without a global sort.
+def hash_rank_n(df: DataFrame, key: str, seed, col: str = "idx") -> tuple[DataFrame, int]:
+    """(df + 0-based rank by (h(key, seed), key), row count), without a global sort.
 
-    Bucket = first w hex chars of the hash; offsets = prefix sum over bucket
-    counts (at most 16**w rows, collected to the driver - size bound by w);
-    rank = offset + row_number inside the bucket (~1M rows per bucket).
+    Bucket = first 4 hex chars of the hash (uniform whatever the key skew);
+    one aggregate gives the bucket counts (<= 65,536 rows, the only thing
+    collected) and the total; offsets are their prefix sums; the rank is
+    offset + row_number inside the bucket.
     """
-    hashed = with_hash(df, key, seed)
-    if n_rows is None:
-        n_rows = hashed.count()
-    width = _prefix_width(n_rows)
-    hashed = hashed.withColumn("_b", F.substring("_h", 1, width))
-    counts = hashed.groupBy("_b").count().collect()  # <= 16**width rows (bound by width)
+    hashed = with_hash(df, key, seed).withColumn("_b", F.substring("_h", 1, RANK_PREFIX))
+    counts = hashed.groupBy("_b").count().collect()  # <= 16**RANK_PREFIX rows
     acc, rows = 0, []
     for r in sorted(counts, key=lambda r: r["_b"]):
         rows.append((r["_b"], acc))
         acc += r["count"]
-    spark = df.sparkSession
-    offsets = spark.createDataFrame(rows, "_b string, _off long")
+    offsets = df.sparkSession.createDataFrame(rows, "_b string, _off long")
     w = Window.partitionBy("_b").orderBy("_h", key)
-    return (hashed.join(F.broadcast(offsets), "_b")
-                  .withColumn(col, F.col("_off") + F.row_number().over(w) - 1)
-                  .drop("_b", "_off", "_h"))
+    ranked = (hashed.join(F.broadcast(offsets), "_b")
+                    .withColumn(col, F.col("_off") + F.row_number().over(w) - 1)
+                    .drop("_b", "_off", "_h"))
+    return ranked, acc
+
+
+def hash_rank(df: DataFrame, key: str, seed, col: str = "idx", n_rows: int | None = None) -> DataFrame:
+    return hash_rank_n(df, key, seed, col)[0]
 
 
 # ------------------------------------------------------------------ D3
@@ -106,9 +105,8 @@ def random_split(df: DataFrame, key: str, test_size: float = 0.5, seed=42, exact
         hh = F.substring(h(key, seed), 1, 8)
         cut = hex_threshold(1 - test_size)
         return df.where(hh < cut), df.where(hh >= cut)
-    n = df.count()
+    ranked, n = hash_rank_n(df, key, seed, "_idx")
     n_test = math.ceil(test_size * n)
-    ranked = hash_rank(df, key, seed, "_idx", n_rows=n)
     return (ranked.where(F.col("_idx") < n - n_test).drop("_idx"),
             ranked.where(F.col("_idx") >= n - n_test).drop("_idx"))
 
@@ -116,9 +114,8 @@ def random_split(df: DataFrame, key: str, test_size: float = 0.5, seed=42, exact
 def split_role(df: DataFrame, key: str, test_size: float = 0.5, seed=42,
                roles=("oracle", "test")) -> DataFrame:
     """D3 as a column: rank < n_train -> roles[0] else roles[1]."""
-    n = df.count()
+    ranked, n = hash_rank_n(df, key, seed, "_idx")
     n_test = math.ceil(test_size * n)
-    ranked = hash_rank(df, key, seed, "_idx", n_rows=n)
     return ranked.withColumn("role", F.when(F.col("_idx") < n - n_test, roles[0]).otherwise(roles[1])).drop("_idx")
 
 
@@ -159,8 +156,7 @@ def bootstrap(df: DataFrame, key: str, n: int, iterations: int = 1, seed=42,
     """
     spark = df.sparkSession
     if not compounding:
-        total = df.count()
-        ranked = hash_rank(df, key, seed, "_idx", n_rows=total)
+        ranked, total = hash_rank_n(df, key, seed, "_idx")
         draws = (spark.range(iterations * n)
                  .select((F.col("id") / n).cast("int").alias("iter"), (F.col("id") % n).cast("int").alias("draw")))
         pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("boot"), F.col("iter"), F.col("draw"),
@@ -190,9 +186,9 @@ def size_match(a: DataFrame, b: DataFrame, key: str, seed=42):
     """Sample the larger table down to the smaller one's row count (exact hash rank)."""
     na, nb = a.count(), b.count()
     if na > nb:
-        return hash_rank(a, key, seed, "_idx", na).where(F.col("_idx") < nb).drop("_idx"), b
+        return hash_rank(a, key, seed, "_idx").where(F.col("_idx") < nb).drop("_idx"), b
     if nb > na:
-        return a, hash_rank(b, key, seed, "_idx", nb).where(F.col("_idx") < na).drop("_idx")
+        return a, hash_rank(b, key, seed, "_idx").where(F.col("_idx") < na).drop("_idx")
     return a, b
 
 

@@ -46,3 +46,15 @@ def test_some_oracles_at_tiny_scale(spark):
         a = a[cols].astype(str).sort_values(cols).reset_index(drop=True)
         b = b[cols].astype(str).sort_values(cols).reset_index(drop=True)
         assert a.equals(b), name
+
+
+def test_numpy_and_sql_stagers_agree(spark):
+    df = fx.labelled(spark, SF_TINY).dropDuplicates(["rid"])
+    for fit in (staging.fit_gbt, staging.fit_forest):
+        m = fit(df, fx.FEATURES, "y", nest=6, max_depth=3)
+        a = staging.staged_dynamics(m, df, "y", engine="numpy")
+        b = staging.staged_dynamics(m, df, "y", engine="sql").select("rid", *[F.col(c).alias("s_" + c) for c in
+                                                                              ("confidence", "aleatoric", "variability", "entropy")])
+        j = a.join(b, "rid")
+        for c in ("confidence", "aleatoric", "variability", "entropy"):
+            assert j.agg(F.max(F.abs(F.col(c) - F.col("s_" + c)))).first()[0] < 1e-9
