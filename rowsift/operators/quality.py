@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from rowsift.functions.literals import const_array
 from rowsift.operators import distance as dst
+from rowsift.session import cut_lineage
 
 EPS = 1e-10
 
@@ -80,6 +81,7 @@ def ordered_prefix(df: DataFrame, part: Sequence[str], v: str, w: str, buckets:
     prefix offsets (cols x buckets rows) -> running sum inside a bucket.
     """
     part = list(part)
+    df = cut_lineage(df)  # read three times below: materialise the pre-aggregated input once
     rng = df.groupBy(*part).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col(v) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).cast("int")

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from rowsift.functions.literals import const_array
 from rowsift.operators import dynamics as dyn
-from rowsift.session import scratch_path
+from rowsift.session import cut_lineage, scratch_path
 
 MAX_LEAF_ENTRIES = 1 << 20  # bound for the leaf-value literal (nest * leaves * classes)
 
@@ -280,6 +280,9 @@ def curate(train: DataFrame, check: DataFrame, features: Sequence[str], label: s
     if model is None:
         model = fit_gbt(check if retrain else train, features, label, nest=nest,
                         max_depth=max_depth, seed=seed)
-    scored = staged_dynamics(model, check, label)
+    # the per-row scores feed the row output *and* the per-source scalars (mi, adaptive
+    # threshold): cut the lineage once (reliable checkpoint in the shared folder) so the
+    # model pass is not recomputed for each consumer
+    scored = cut_lineage(staged_dynamics(model, check, label))
     scored = dyn.add_mi(scored, by)
     return dyn.assign_groups(scored, metric, ythresh, xthresh, by)
