@@ -36,22 +36,36 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
 
 
 # ------------------------------------------------------------------ K1 / K2
+LARGE_TRAIN_ROWS = 1_000_000
+
+
+def _lineage_opts(train: DataFrame, large: bool | None) -> dict:
+    """Node-id caching + periodic checkpoints (to spark.checkpoint.dir) only pay off for large
+    training tables; on small trusted samples they double the fit time."""
+    if large is None:
+        large = train.count() > LARGE_TRAIN_ROWS
+    if large:
+        from rowsift.session import checkpoint_root
+        checkpoint_root(train.sparkSession)
+        return {"cacheNodeIds": True, "checkpointInterval": 10}
+    return {"cacheNodeIds": False, "checkpointInterval": -1}
+
+
 def fit_gbt(train: DataFrame, features: Sequence[str], label: str = "y", nest: int = 100,
             max_depth: int = 6, step: float = 0.3, seed: int = 0,
-            subsampling: float = 1.0) -> PipelineModel:
+            subsampling: float = 1.0, large: bool | None = None) -> PipelineModel:
     """Boosted trees on the trusted table (binary labels 0/1)."""
     gbt = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=nest, maxDepth=max_depth,
                         stepSize=step, seed=seed, subsamplingRate=subsampling,
-                        leafCol="_leaf", cacheNodeIds=True, checkpointInterval=10,
-                        maxBins=64)
+                        leafCol="_leaf", maxBins=64, **_lineage_opts(train, large))
     return Pipeline(stages=[_assembler(features), gbt]).fit(train)
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], label: str = "y", nest: int = 100,
-               max_depth: int = 6, seed: int = 0) -> PipelineModel:
+               max_depth: int = 6, seed: int = 0, large: bool | None = None) -> PipelineModel:
     """Random forest (multiclass capable) for the averaging stager (K4)."""
     rf = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=nest,
-                                maxDepth=max_depth, seed=seed, leafCol="_leaf", cacheNodeIds=True)
+                                maxDepth=max_depth, seed=seed, leafCol="_leaf", **_lineage_opts(train, large))
     return Pipeline(stages=[_assembler(features), rf]).fit(train)
 
 
