@@ -100,12 +100,25 @@ def ordinal_encode(c: Column, ordering: Sequence[str], on_unseen: str = "raise")
 def nominal_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Codes by sorted distinct value (0-based), NULL -> -1.
 
-    Distinct values are a grouped aggregate (map-side combined); ranking runs
-    over the distinct set only, then joins back on the value.
+    Exact dense rank without a single-partition window: distinct values are
+    range-partitioned by value, numbered inside each (bounded) partition,
+    materialised once (range bounds come from sampling, so both uses must see
+    the same partitioning), then shifted by per-partition offsets (one row per
+    partition collected) and joined back on the value.
     """
+    from rowsift.session import cut_lineage
     out = out or col
     distinct = df.select(q(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    codes = distinct.withColumn("_code", F.dense_rank().over(Window.orderBy("_v")) - 1)
+    ranged = distinct.repartitionByRange("_v").withColumn("_pid", F.spark_partition_id())
+    numbered = cut_lineage(ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy("_v"))),
+                           "nominal-codes")
+    counts = sorted((r["_pid"], r["n"]) for r in numbered.groupBy("_pid").agg(F.count("*").alias("n")).collect())
+    acc, offs = 0, []
+    for pid, n in counts:  # one row per range partition
+        offs.append((pid, acc))
+        acc += n
+    offsets = df.sparkSession.createDataFrame(offs, "_pid int, _off long")
+    codes = numbered.join(F.broadcast(offsets), "_pid").select("_v", (F.col("_off") + F.col("_rn") - 1).alias("_code"))
     joined = df.join(codes, q(col) == F.col("_v"), "left")
     return joined.withColumn(out, F.coalesce(F.col("_code"), F.lit(-1)).cast("int")).drop("_v", "_code")
 
