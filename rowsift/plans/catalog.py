@@ -54,5 +54,5 @@ def _load():
         return
     _LOADED = True
     # import side effect: each module registers its queries
-    from rowsift.plans import (q_curation, q_sampling, q_encode, q_clean, q_completions,  # noqa: F401
+    from rowsift.plans import (q_curation, q_sampling, q_encode, q_completions,  # noqa: F401
                                q_quality, q_evaluate, q_report, q_sources, q_stream)

@@ -190,9 +190,6 @@ def g7_union_by_name(spark, sf):
     return cp.union_sources([a, b])
 
 
-_CLEAN_GPT_SQL = None  # filled below
-
-
 @register("g8_quota_cut", f"""
 WITH rows AS (SELECT source, iter FROM ({_PARSED_SQL}) p),
 c AS (SELECT source, iter, count(*) AS n FROM rows GROUP BY source, iter),

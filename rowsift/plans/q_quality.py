@@ -213,7 +213,6 @@ def o1_smote(spark, sf):
 
 @register("o2_generators")
 def o2_generators(spark, sf):
-    f1 = fx.labelled(spark, sf).select("rid", *COLS, "y")
-    train = f1.where(F.substring(F.md5(F.concat("rid", F.lit("|g"))), 1, 2) < "08")
+    train = fx.labelled(spark, sf).select("rid", *COLS, "y")
     out = ov.run_generators(train, ["bootstrap"], n=500, key="rid")
     return out.groupBy("source").agg(F.count("*").alias("n_rows"))
