@@ -163,8 +163,15 @@ def dynamics_groups(long_df: DataFrame, keys: Sequence[str] = ("source", "rid"),
                     carry: Sequence[str] = ("y",), metric: str = "aleatoric",
                     ythresh: float = 0.2, xthresh: float = 0.2,
                     by: Sequence[str] = ("source",), with_mi: bool = True) -> DataFrame:
-    """Long probability table -> per-row metrics + group (no model needed)."""
+    """Long probability table -> per-row metrics + group (no model needed).
+
+    When a per-group scalar is needed (``mi``, adaptive threshold) the per-row table
+    feeds two consumers, so it is written once to the shared checkpoint folder
+    instead of repeating the (rows x checkpoints) shuffle."""
     dyn = row_dynamics(long_df, keys, carry=carry)
+    if with_mi or xthresh == 0:
+        from rowsift.session import cut_lineage
+        dyn = cut_lineage(dyn, "row-dynamics")
     if with_mi:
         dyn = add_mi(dyn, by)
     return assign_groups(dyn, metric, ythresh, xthresh, by)
