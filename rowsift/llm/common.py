@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], rows: int, chars: int = 4_000
         if not batch.num_rows:
             continue
         k = batch.schema.get_field_index(column)
-        ends = pa.compute.fill_null(pa.compute.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).cumsum()
+        ends = pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).cumsum()
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0

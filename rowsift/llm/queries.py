@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsift.llm import (bpe_tree, language_id, line_mph, packing, parity_join, quality_ledger, secret_ledger,
-                         topk_search, toxicity_pu)
+from rowsift.llm import (bpe_tree, language_id, line_mph, packing, parity_join, quality_ledger, quote_chat,
+                         secret_ledger, topk_search, toxicity_pu)
 from rowsift.llm.common import held, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op5_bpe_tree(spark, sf_dir):
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@query
+def op6_quote_chat(spark, sf_dir):
+    return quote_chat.link(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op7_line_dedup(spark, sf_dir):
     done = line_mph.dedup(table(spark, sf_dir, "documents"))
@@ -120,6 +125,27 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product([x::DOUBLE FOR x
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
+_MARKS = r"^[ \t]*((?:>[ \t]*)+)"
+ORACLES["op6_quote_chat"] = rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+l AS (SELECT r, conv_id, turn, line, p, length(regexp_replace(regexp_extract(line, '{_MARKS}', 1), '[^>]', '', 'g')) AS lv,
+        regexp_replace(trim(lower(regexp_replace(line, '{_MARKS}', '')), {_BLANK}), '[\x20\x09-\x0D]+', ' ', 'g') AS w
+      FROM (SELECT *, unnest(ls) AS line, unnest(range(len(ls))) AS p FROM m)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY p) AS run
+      FROM (SELECT *, CASE WHEN lv = lag(lv, 1, -1) OVER (PARTITION BY r ORDER BY p) THEN 0 ELSE 1 END AS new FROM l)),
+u AS (SELECT r, conv_id, turn, lv, unnest(list_distinct([string_agg(w, ' ' ORDER BY p)] || list(w))) AS u FROM g WHERE w <> '' GROUP BY r, conv_id, turn, lv, run),
+o AS (SELECT conv_id, u, min(turn) AS f FROM u WHERE lv = 0 GROUP BY ALL),
+b AS (SELECT r, u.conv_id, turn, f, row_number() OVER (PARTITION BY r ORDER BY lv, -length(u.u), f) AS k
+      FROM u JOIN o ON o.conv_id = u.conv_id AND o.u = u.u WHERE lv > 0 AND f < turn),
+e AS (SELECT conv_id, turn, min(f) AS up FROM b WHERE k = 1 GROUP BY ALL),
+w AS (SELECT conv_id, turn, up AS thread, 1 AS depth FROM e UNION ALL SELECT w.conv_id, w.turn, e.up, depth + 1 FROM w JOIN e ON e.conv_id = w.conv_id AND e.turn = w.thread),
+x AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM w GROUP BY ALL),
+q AS (SELECT r, (count(*) FILTER (lv > 0))::BIGINT AS n_quoted, coalesce(trim(string_agg(line, chr(10) ORDER BY p) FILTER (lv = 0), {_BLANK}), '') AS own FROM l GROUP BY r)
+SELECT m.conv_id, coalesce(x.thread, m.turn) AS thread, coalesce(x.depth, 0)::BIGINT AS depth, m.turn, m.role, b.f AS reply_to, n_quoted,
+       CASE WHEN n_quoted > 0 THEN own ELSE t END AS text,
+       '<|' || coalesce(m.role, 'user') || '|>' || chr(10) || CASE WHEN n_quoted > 0 THEN own ELSE t END || '<|end|>' || chr(10) AS formatted
+FROM m JOIN q USING (r) LEFT JOIN b ON b.r = m.r AND b.k = 1 LEFT JOIN x ON x.conv_id = m.conv_id AND x.turn = m.turn"""
+
 ORACLES["op7_line_dedup"] = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS p FROM d),
