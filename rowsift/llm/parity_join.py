@@ -7,7 +7,7 @@ with Jaccard similarity t differ in at most n (1 - t) / t tokens (n: either size
 of sizes all sets use the same segments; so of all but that many non-empty segments one at
 least is equal. Each set sends as many segments plus one (its rarest by a bounded count of shingles over
 all documents, then by hash), and equal segments meet in buckets. Candidate pairs pass the
-Hamming bound of dense 1024-bit parity sketches, then the exact Jaccard test on the whole sets.
+Hamming bound of dense parity sketches (two bits per token at least), then the exact Jaccard test on the whole sets.
 
 A set with too few non-empty segments sends all of them, and meets others of its kind by single
 shingles in a band of their own; so no pair is lost.
@@ -51,24 +51,30 @@ HOT_SLOTS = 65_536
 KEYS_PER_BUCKET = 400_000
 LOCAL = 64
 SMALL = 8
-SKETCH_WORDS = 16
+LEAST_BITS = 1024
 BROADCAST_IDS = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Shingle hashes of texts, with a bounded cache of word hashes."""
 
     def __init__(self, words: int = SHINGLE):
-        self.words, self.cache = words, {}
+        self.words, self.cache = words, WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        cache, tokens = self.cache, (text or "").encode().translate(LOWER_BYTES).split()
+        tokens = (text or "").encode().translate(LOWER_BYTES).split()
         if not tokens:
             return np.zeros(0, np.uint64)
-        if len(cache) > 300_000:
-            cache.clear()
-        hashes = np.array([h if (h := cache.get(w)) is not None else cache.setdefault(w, xxhash.xxh64_intdigest(w)) for w in tokens], np.uint64)
+        if len(self.cache) > 300_000:
+            self.cache.clear()
+        hashes = np.fromiter(map(self.cache.__getitem__, tokens), np.uint64, len(tokens))
         k = min(self.words, len(hashes))
         out = np.full(len(hashes) - k + 1, k, np.uint64)
         with np.errstate(over="ignore"):
@@ -83,9 +89,20 @@ def set_id(s: np.ndarray) -> int:
 
 
 def dense_sketch(s: np.ndarray) -> bytes:
-    """Parity of the tokens at each of 1024 places: Hamming distance <= symmetric difference."""
-    place = (s * ODD >> np.uint64(54)).astype(np.int64)
-    return np.packbits(np.bincount(place, minlength=64 * SKETCH_WORDS) & 1).tobytes()
+    """Parity of the tokens at each of a power of two of places, two per token at least: Hamming
+    distance <= symmetric difference. A wider sketch folds to a narrower one by XOR of its halves."""
+    size = max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length())
+    place = ((s * ODD >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=size) & 1).tobytes()
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> int:
+    """Of two sketches (bytes), at the width of the narrower."""
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
 
 
 def differ(n: int, t: tuple[int, int] = SIMILARITY) -> int:
@@ -226,6 +243,15 @@ def _sets(words: int):
     return run
 
 
+def _near(t: tuple[int, int]):
+    def run(batches):
+        for batch in batches:
+            keep = [(t[1] + t[0]) * hamming(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= (t[1] - t[0]) * (n + m)
+                    for x, y, n, m in zip(batch.column("s_a"), batch.column("s_b"), batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
 def _verify(t: tuple[int, int]):
     def run(batches):
         for batch in batches:
@@ -271,26 +297,26 @@ class Join:
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and dense sketches allow a link."""
         side = lambda p: self.classes.select(F.col("sid").alias(p), F.col("n").alias(f"n_{p}"), F.col("sketch").alias(f"s_{p}"))
-        words = lambda c, k: F.conv(F.hex(F.substring(c, 4 * k + 1, 4)), 16, 10).cast("long")
-        apart = sum((F.bit_count(words(F.col("s_a"), k).bitwiseXOR(words(F.col("s_b"), k))) for k in range(2 * SKETCH_WORDS)), F.lit(0))
         num, den = self.t
-        return (pairs.join(side("a"), "a").join(side("b"), "b")
-                .where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-                .where((den + num) * apart <= (den - num) * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+        return (pairs.join(side("a"), "a").join(side("b"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+                .select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(self.t), "a long, b long"))
 
-    def fetch(self, sids: DataFrame) -> DataFrame:
-        """(sid, tokens) of sets, from the texts of their representatives."""
-        wanted = cut_lineage(sids.distinct().join(self.classes.select("sid", "rep"), "sid"), "wanted")
+    def fetch(self, pairs: DataFrame) -> DataFrame:
+        """(sid, tokens) of the sets in ``pairs``, from the texts of their representatives."""
+        sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        wanted = cut_lineage(sids.join(self.classes.select("sid", "rep"), "sid"), "wanted")
         docs = self.docs.select(F.col("doc_id").alias("rep"), "text")
         small = wanted.count() <= BROADCAST_IDS  # else the texts are shuffled by id
         got = docs.join(F.broadcast(wanted) if small else wanted, "rep").select("sid", "text").mapInArrow(_sets(self.words), "sid long, tokens binary")
         return cut_lineage(got, "tokens")
 
-    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """(a, b, linked), exactly."""
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, linked) of written pairs, exactly."""
+        sets = self.fetch(pairs)
         x = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
         y = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(self.t), "a long, b long, linked boolean")
+        tested = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(self.t), "a long, b long, linked boolean")
+        return cut_lineage(tested, "tested")
 
     def links(self) -> DataFrame:
         """(node, comp) of all sets that are linked."""
@@ -301,9 +327,7 @@ class Join:
         hubs = many.join(central, "sid").groupBy("key").agg(F.max(F.struct("c", "sid")).alias("h")).select("key", F.col("h.sid").alias("q"))
         star = many.select("key", F.col("sid").alias("p")).join(hubs, "key").select("p", "q")
         near = cut_lineage(self.near(_ordered(pairs.unionByName(star))), "near")
-        sets = self.fetch(near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid")), )
-                          .unionByName(many.select("sid")))
-        tested = cut_lineage(self.verify(near, sets), "tested")
+        tested = self.verify(near)
         comps = cut_lineage(components(tested.where("linked")), "comps")
         left, width = cut_lineage(many.join(hubs, "key").where("sid <> q").select("key", "sid"), "left"), 2 * SMALL
         while True:
@@ -318,8 +342,7 @@ class Join:
             hubs = cut_lineage(at.join(main, "key").where("comp <> main").withColumn("r", F.row_number().over(some))
                                .where(F.col("r") <= width).select("key", F.col("sid").alias("q"), F.col("comp").alias("c")), "hubs")
             pairs = _ordered(at.join(hubs, "key").where("comp <> c").select(F.col("sid").alias("p"), "q"))
-            near = self.near(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-            new = cut_lineage(self.verify(near, sets), "tested")
+            new = self.verify(cut_lineage(self.near(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")), "near"))
             edges = new.where("linked").select("a", "b")
             if not edges.isEmpty():
                 comps = cut_lineage(components(edges.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "comps")
