@@ -52,6 +52,7 @@ KEYS_PER_BUCKET = 400_000
 LOCAL = 64
 SMALL = 8
 LEAST_BITS = 1024
+CHUNK = 2048
 BROADCAST_IDS = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -252,6 +253,31 @@ def _near(t: tuple[int, int]):
     return run
 
 
+def _across(t: tuple[int, int]):
+    """Pairs of a member and a hub of one key in different components that the sketches allow."""
+    def narrow(sketch: bytes) -> np.ndarray:
+        return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, LEAST_BITS // 64), axis=0)
+
+    def run(left, right):
+        import pandas as pd
+
+        p, q = [], []
+        if len(left) and len(right):
+            folded, sizes, comps, sids = np.stack([narrow(x) for x in left["sketch"]]), left["n"].to_numpy(), left["comp"].to_numpy(), left["sid"].to_numpy()
+            sketches = left["sketch"].tolist()
+            for h in right.itertuples():
+                near = comps != h.h_comp
+                near &= t[1] * np.minimum(sizes, h.h_n) >= t[0] * np.maximum(sizes, h.h_n)
+                near[near] = (t[1] + t[0]) * np.bitwise_count(folded[near] ^ narrow(h.h_sketch)).sum(axis=1, dtype=np.int64) <= (t[1] - t[0]) * (sizes[near] + h.h_n)
+                own = np.frombuffer(h.h_sketch, np.uint8)
+                for k in np.flatnonzero(near):
+                    if (t[1] + t[0]) * hamming(np.frombuffer(sketches[k], np.uint8), own) <= (t[1] - t[0]) * (sizes[k] + h.h_n):
+                        p.append(sids[k])
+                        q.append(h.h_sid)
+        return pd.DataFrame({"p": np.array(p, np.int64), "q": np.array(q, np.int64)})
+    return run
+
+
 def _verify(t: tuple[int, int]):
     def run(batches):
         for batch in batches:
@@ -329,7 +355,7 @@ class Join:
         near = cut_lineage(self.near(_ordered(pairs.unionByName(star))), "near")
         tested = self.verify(near)
         comps = cut_lineage(components(tested.where("linked")), "comps")
-        left, width = cut_lineage(many.join(hubs, "key").where("sid <> q").select("key", "sid"), "left"), 2 * SMALL
+        left, width = cut_lineage(many.join(hubs, "key").where("sid <> q").select("key", "sid"), "left"), 8 * SMALL
         while True:
             at = left.join(comps, left["sid"] == comps["node"], "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp"))
             open_keys = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
@@ -337,18 +363,25 @@ class Join:
             if at.isEmpty():
                 return comps
             sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-            main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+            main = cut_lineage(sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("k"))
+                               .select("key", F.col("m.comp").alias("main"), (1 + F.floor(F.col("k") / CHUNK)).cast("int").alias("salts")), "main")
             some = Window.partitionBy("key").orderBy(F.xxhash64("sid"), "sid")
             hubs = cut_lineage(at.join(main, "key").where("comp <> main").withColumn("r", F.row_number().over(some))
-                               .where(F.col("r") <= width).select("key", F.col("sid").alias("q"), F.col("comp").alias("c")), "hubs")
-            pairs = _ordered(at.join(hubs, "key").where("comp <> c").select(F.col("sid").alias("p"), "q"))
-            new = self.verify(cut_lineage(self.near(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")), "near"))
+                               .where(F.col("r") <= width).select("key", "sid", "comp", "salts"), "hubs")
+            side = self.classes.select("sid", "n", "sketch")
+            left_side = at.join(main, "key").join(side, "sid").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
+            right_side = hubs.join(self.classes.select("sid", F.col("n").alias("h_n"), F.col("sketch").alias("h_sketch")), "sid").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            across = left_side.select("key", "salt", "sid", "comp", "n", "sketch").groupBy("key", "salt") \
+                .cogroup(right_side.select(F.col("key").alias("h_key"), F.col("salt").alias("h_salt"), F.col("sid").alias("h_sid"),
+                                           F.col("comp").alias("h_comp"), "h_n", "h_sketch").groupBy("h_key", "h_salt")) \
+                .applyInPandas(_across(self.t), "p long, q long")
+            new = self.verify(cut_lineage(_ordered(across).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "near"))
             edges = new.where("linked").select("a", "b")
             if not edges.isEmpty():
                 comps = cut_lineage(components(edges.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "comps")
             tested = cut_lineage(tested.unionByName(new), "tested")
-            left = cut_lineage(at.join(hubs.select("key", F.col("q").alias("sid")), ["key", "sid"], "left_anti").select("key", "sid"), "left")
-            width *= 4
+            left = cut_lineage(at.join(hubs.select("key", "sid"), ["key", "sid"], "left_anti").select("key", "sid"), "left")
+            width *= 8
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE,
