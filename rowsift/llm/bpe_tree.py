@@ -30,12 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsift.llm.common import text_slices
+from rowsift.llm.common import LOWER_BYTES, text_slices
 
 LONG_RUN = 2048
 LEAF = 1024
 WINDOW = 32
-CACHE = 150_000
+CACHE = 400_000
+#: Marks that compose with ASCII letters (UTF-8), and the start of a special token: such texts are taken as they are.
+AS_IT_IS = re.compile(rb"\xcc[\x80-\xbf]|\xcd[\x80-\xaf]|<\|")
+#: Closing punctuation after an ASCII letter or digit is a pre-token of its own: as a run of its own it is learned once.
+CLOSING = re.compile(rb"(?<=[a-z0-9])([.,!?;:|]+)(?=[ \t\n\r\x0b\x0c]|$)")
+SIMPLE = re.compile(rb"[a-z]+")
 
 _LOADED: dict[int, "Encoder"] = {}
 
@@ -51,6 +56,7 @@ class Encoder:
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.names = [self.tok.id_to_token(k) for k in range(self.tok.get_vocab_size())]
         self.cache: dict[bytes, tuple[bytes, str]] = {}
 
     def decode(self, ids: list[int]) -> str:
@@ -59,12 +65,22 @@ class Encoder:
     def _learn(self, runs: list[bytes]) -> None:
         if len(self.cache) + len(runs) > CACHE:
             self.cache.clear()
-        for run, e in zip(runs, self.tok.encode_batch([r.decode() for r in runs], add_special_tokens=False), strict=True):
-            self.cache[run] = np.asarray(e.ids, "<u4").tobytes(), self.decode(e.ids)
+        other = []
+        for run in runs:
+            if SIMPLE.fullmatch(run) and len(run) <= LONG_RUN:  # one pre-token that the normaliser leaves alone
+                self._keep(run, [t.id for t in self.tok.model.tokenize(run.decode())])
+            else:
+                other.append(run)
+        for run, e in zip(other, self.tok.encode_batch_fast([r.decode() for r in other], add_special_tokens=False), strict=True):
+            self._keep(run, e.ids)
+
+    def _keep(self, run: bytes, ids: list[int]) -> None:
+        self.cache[run] = np.array(ids, "<u4").tobytes(), " ".join([self.names[k] for k in ids])
 
     def runs(self, text: str) -> tuple[bytes, str]:
         """Ids and decoded text of a text whose runs are short or may be encoded whole."""
-        runs = text.encode().split()
+        raw = text.encode()
+        runs = raw.split() if AS_IT_IS.search(raw) else CLOSING.sub(rb" \1", raw.translate(LOWER_BYTES)).split()
         cache = self.cache
         if missing := [r for r in dict.fromkeys(runs) if r not in cache]:
             if len(missing) > CACHE // 2:  # one very long text: in parts
