@@ -31,8 +31,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that was blank before goes, too."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     done = line_mph.dedup(docs, carry=carry)
-    return done.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")) \
-        .select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    kept = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text"),
+            "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType), **{c: F.col("carry").getField(c) for c in carry}}
+    return done.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[kept[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

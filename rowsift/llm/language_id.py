@@ -188,10 +188,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
 def annotate(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dims: int = DIMS,
              prefix: str = "_lid_") -> DataFrame:
     """``docs`` with all its columns and ``<prefix>lang``, ``<prefix>score``, ``<prefix>cosine``."""
-    names = [c for c in docs.columns if c != text_col]
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
-    at = docs.select(*[docs[c] for c in names], docs[text_col].alias("text"), docs[text_col].alias(prefix + "text"))
-    fields += [f"`{prefix}text` string", "lang_pred string", "score double", "cosine double"]
-    out = at.mapInArrow(_predict(prototypes, dims), ", ".join(fields))
-    return out.select(*[F.col(prefix + "text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
-                      F.col("lang_pred").alias(prefix + "lang"), F.col("score").alias(prefix + "score"), F.col("cosine").alias(prefix + "cosine"))
+    names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    at = docs.select(*[docs[c].alias(n) for c, n in names.items()], docs[text_col].alias("text"))
+    schema = at.select(*names.values(), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cosine")).schema
+    out = at.mapInArrow(_predict(prototypes, dims), schema)
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("lang_pred").alias(prefix + "lang"),
+                      F.col("score").alias(prefix + "score"), F.col("cosine").alias(prefix + "cosine"))

@@ -14,7 +14,7 @@ probes are dealt to the salts by document. Texts move once, when the hits are jo
 
 Keys are told apart by 96 hash bits. Defined results: a null or empty text is one empty line; a
 null id holds no lines for the counts and keeps all its lines; rows with the same id are one
-document; an empty table gives an empty result; of the other columns only ``carry`` is kept.
+document; an empty table gives an empty result; of the other columns those named in ``carry`` are kept.
 """
 
 from __future__ import annotations
@@ -184,7 +184,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def losing_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, hits: the hashes of the lines that the document loses."""
     lines, repeated, seen = repeated_lines(docs, id_col, text_col)
-    n_keys, n_lines = repeated.count(), seen.get["n"]
+    n_keys, n_lines = repeated.count(), 0 if lines.isEmpty() else seen.get["n"]  # nothing is observed in an empty table
     shards = max(1, -(-max(n_keys, n_lines) // GROUP))
     shard = F.pmod(F.shiftright("h1", 7), F.lit(shards)).cast("long").alias("shard")
     arrays = repeated.withColumn("shard", shard).groupBy("shard").applyInPandas(
@@ -200,8 +200,10 @@ def losing_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``carry``, text without the losing lines, n_lines (before), n_dropped."""
-    at = docs.select(docs[id_col].cast("long").alias("doc_id"), *[docs[c] for c in carry], docs[text_col].alias("text"))
-    names = ["doc_id", *carry]
-    schema = ", ".join(f"`{c}` {at.schema[c].dataType.simpleString()}" for c in names) + ", text string, n_lines long, n_dropped long"
+    """doc_id, carry (a struct of the named columns, if any), text without the losing lines, n_lines
+    (before), n_dropped."""
+    at = docs.select(docs[id_col].cast("long").alias("doc_id"), *([F.struct(*[docs[c] for c in carry]).alias("carry")] if carry else []),
+                     docs[text_col].alias("text"))
+    names = [c for c in at.columns if c != "text"]
+    schema = at.select(*names, F.col("text"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
     return at.join(losing_lines(docs, id_col, text_col), "doc_id", "left").mapInArrow(_rebuild(names), schema)

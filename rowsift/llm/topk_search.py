@@ -13,7 +13,7 @@ bounded and nothing is broadcast. Each (query, stripe) sends k rows to the last
 by the hash of the id, so equal vectors, however many, spread evenly.
 
 Scores are exact integers: sums run in float64 only where every partial sum stays below 2**53,
-else in Python integers. Defined results: vectors that are null, empty or hold null or non-finite
+else in Python integers, ending at the limits of 64 bits. Defined results: vectors that are null, empty or hold null or non-finite
 components, and rows with a null id, take no part; only vectors of the same length are compared;
 rows with the query's id are its own; rows with one query id count as one query; an empty table
 gives an empty result; other columns of the input are ignored.
@@ -81,7 +81,7 @@ class Best:
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
-        order = np.lexsort((ids, -scores if scores.dtype != object else [-s for s in scores]))[:self.k]
+        order = np.lexsort((ids, ~scores))[:self.k]  # ~x falls as x rises
         self.scores, self.ids = scores[order], ids[order]
 
 
@@ -93,8 +93,9 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, best: list[Best], m
     if not exact:
         for k, own in enumerate(query_ids):
             other = ids != own
-            scores = np.array([sum(map(int.__mul__, col, q)) for q in [queries[:, k].tolist()] for col in matrix[:, other].T.tolist()], object)
-            best[k].add(scores, ids[other])
+            q = queries[:, k].tolist()
+            scores = [min(max(sum(map(int.__mul__, col, q)), -(2**63)), 2**63 - 1) for col in matrix[:, other].T.tolist()]
+            best[k].add(np.array(scores, np.int64), ids[other])
         return
     x, q = matrix.astype(np.float64), queries.astype(np.float64)
     x_rest, q_rest = rest_norms(matrix), rest_norms(queries)
