@@ -22,14 +22,16 @@ def _hash_int(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
 
-def smote(df: DataFrame, id_col: str, vec: str, label: str, n: int = 1000, k: int = 4, seed: int = 42,
+def smote(df: DataFrame, id_col: str, vec: str, label: str, n: int | None = 1000, k: int = 4, seed: int = 42,
           n_pivots: int | None = None) -> DataFrame:
-    """Originals plus synthetic rows so that each class has ``n`` rows (``is_synthetic`` flag).
+    """Originals plus synthetic rows so that each class has ``n`` rows (``is_synthetic`` flag);
+    with ``n=None`` twice the rows of the largest class.
 
     A class already larger than ``n`` raises, as the reference's sampler does.
     """
     spark = df.sparkSession
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # one row per class
+    n = 2 * max(counts.values(), default=0) if n is None else n
     too_big = {c: m for c, m in counts.items() if m > n}
     if too_big:
         raise ValueError(f"classes already above n={n}: {too_big}")

@@ -207,7 +207,7 @@ def q0_quality_report(spark, sf):
 @register("o1_smote")
 def o1_smote(spark, sf):
     v = fx.vectors(spark, sf)
-    out = ov.smote(v, "vec_id", "embedding", "label", n=80, k=4, seed=42)
+    out = ov.smote(v, "vec_id", "embedding", "label", n=None, k=4, seed=42)
     return out.groupBy("label", "is_synthetic").agg(F.count("*").alias("n_rows"))
 
 
