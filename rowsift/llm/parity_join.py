@@ -314,11 +314,16 @@ class Join:
         self.total = self.classes.agg(F.sum("n")).first()[0] or 0
 
     def members(self) -> DataFrame:
-        """(key, sid, k): sets that sent a key which k >= 2 sets sent."""
+        """(key, sid, k, w): sets that sent a key which k >= 2 sets sent. Of w keys with the same members one stays:
+        the others would only bring the same pairs again (members are told apart by their number and 62 bits of hashes)."""
         buckets = max(1, -(-int(0.4 * self.total) // KEYS_PER_BUCKET))
         packed = self.docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_send(self.words, buckets, self.hot, self.t), "bucket long, past long, keys binary, sids binary")
         met = cut_lineage(packed.groupBy("bucket", "past").applyInPandas(_meet(buckets), "key long, sid long"), "met")
-        return cut_lineage(met.join(met.groupBy("key").agg(F.count(F.lit(1)).alias("k")), "key"), "members")
+        mark = F.xxhash64("sid")
+        keys = met.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum(mark.bitwiseAND(F.lit((1 << 31) - 1))).alias("low"),
+                                      F.sum(F.shiftrightunsigned(mark, 33)).alias("high"))
+        keys = keys.groupBy("k", "low", "high").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("w")).select("key", "k", "w")
+        return cut_lineage(met.join(keys, "key"), "members")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and dense sketches allow a link."""
@@ -349,7 +354,7 @@ class Join:
         members = self.members()
         few, many = members.where(F.col("k") <= SMALL), members.where(F.col("k") > SMALL)
         pairs = few.select("key", F.col("sid").alias("p")).join(few.select("key", F.col("sid").alias("q")), "key").where("p < q").select("p", "q")
-        central = members.groupBy("sid").agg(F.sum("k").alias("c"))
+        central = members.groupBy("sid").agg(F.sum(F.col("k") * F.col("w")).alias("c"))
         hubs = many.join(central, "sid").groupBy("key").agg(F.max(F.struct("c", "sid")).alias("h")).select("key", F.col("h.sid").alias("q"))
         star = many.select("key", F.col("sid").alias("p")).join(hubs, "key").select("p", "q")
         near = cut_lineage(self.near(_ordered(pairs.unionByName(star))), "near")
