@@ -143,23 +143,24 @@ def _profile(words: int):
     """doc_id, n, sid, sketch of every text; then, per task, the slots that hold more shingles than chance gives."""
     def run(batches):
         shingler, slots = Shingler(words), np.zeros(SLOTS, np.int64)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
-        names = ["doc_id", "n", "sid", "sketch", "slot", "slot_n"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+        names = ["doc_id", "n", "sid", "sketch", "narrow", "slot", "slot_n"]
         for batch in text_slices(batches, 4096):
-            n, sid, sketch = [], [], []
+            n, sid, sketch, narrow = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingler(text)
                 n.append(len(s))
                 sid.append(set_id(s) if len(s) else None)
                 sketch.append(dense_sketch(s) if len(s) else None)
+                narrow.append(fold(sketch[-1]).tobytes() if len(s) else None)
                 np.add.at(slots, (s & np.uint64(SLOTS - 1)).astype(np.int64), 1)
             none = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip((n, sid, sketch, none, none), kinds[1:], strict=True)]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip((n, sid, sketch, narrow, none, none), kinds[1:], strict=True)]], names=names)
         mean = slots.mean()
         much = np.flatnonzero(slots > mean + 5 * np.sqrt(mean) + 5)
         if len(much):
             none = [None] * len(much)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((none, none, none, none, much.astype(np.int32), slots[much]), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((none, none, none, none, none, much.astype(np.int32), slots[much]), kinds, strict=True)], names=names)
     return run
 
 
@@ -244,37 +245,38 @@ def _sets(words: int):
     return run
 
 
+def fold(sketch: bytes) -> np.ndarray:
+    """A dense sketch at the least width."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, LEAST_BITS // 64), axis=0)
+
+
 def _near(t: tuple[int, int]):
+    """Pairs that sketches allow; wide: both have dense sketches wider than the least."""
     def run(batches):
         for batch in batches:
-            keep = [(t[1] + t[0]) * hamming(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= (t[1] - t[0]) * (n + m)
-                    for x, y, n, m in zip(batch.column("s_a"), batch.column("s_b"), batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            keep = [(t[1] + t[0]) * hamming(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= (t[1] - t[0]) * k
+                    for x, y, k in zip(batch.column("s_a"), batch.column("s_b"), (n + m).tolist(), strict=True)]
+            found = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(2 * np.minimum(n, m) > LEAST_BITS, pa.bool_())], names=["a", "b", "wide"])
+            yield found.filter(pa.array(keep, pa.bool_()))
     return run
 
 
 def _across(t: tuple[int, int]):
-    """Pairs of a member and a hub of one key in different components that the sketches allow."""
-    def narrow(sketch: bytes) -> np.ndarray:
-        return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, LEAST_BITS // 64), axis=0)
-
+    """Pairs of a member and a hub of one key in different components that the folded sketches allow."""
     def run(left, right):
         import pandas as pd
 
         p, q = [], []
         if len(left) and len(right):
-            folded, sizes, comps, sids = np.stack([narrow(x) for x in left["sketch"]]), left["n"].to_numpy(), left["comp"].to_numpy(), left["sid"].to_numpy()
-            sketches = left["sketch"].tolist()
+            folded, sizes, comps, sids = np.stack([np.frombuffer(x, np.uint64) for x in left["narrow"]]), left["n"].to_numpy(), left["comp"].to_numpy(), left["sid"].to_numpy()
             for h in right.itertuples():
                 near = comps != h.h_comp
                 near &= t[1] * np.minimum(sizes, h.h_n) >= t[0] * np.maximum(sizes, h.h_n)
-                near[near] = (t[1] + t[0]) * np.bitwise_count(folded[near] ^ narrow(h.h_sketch)).sum(axis=1, dtype=np.int64) <= (t[1] - t[0]) * (sizes[near] + h.h_n)
-                own = np.frombuffer(h.h_sketch, np.uint8)
-                for k in np.flatnonzero(near):
-                    if (t[1] + t[0]) * hamming(np.frombuffer(sketches[k], np.uint8), own) <= (t[1] - t[0]) * (sizes[k] + h.h_n):
-                        p.append(sids[k])
-                        q.append(h.h_sid)
-        return pd.DataFrame({"p": np.array(p, np.int64), "q": np.array(q, np.int64)})
+                near[near] = (t[1] + t[0]) * np.bitwise_count(folded[near] ^ np.frombuffer(h.h_narrow, np.uint64)).sum(axis=1, dtype=np.int64) <= (t[1] - t[0]) * (sizes[near] + h.h_n)
+                p.append(sids[near])
+                q.append(np.full(int(near.sum()), h.h_sid, np.int64))
+        return pd.DataFrame({"p": np.concatenate(p or [np.zeros(0, np.int64)]), "q": np.concatenate(q or [np.zeros(0, np.int64)])})
     return run
 
 
@@ -303,14 +305,14 @@ class Join:
 
     def profile(self) -> None:
         """Writes size, set id and sketch of every text; counts hot slots; one row per distinct set."""
-        found = cut_lineage(self.docs.mapInArrow(_profile(self.words), "doc_id long, n long, sid long, sketch binary, slot int, slot_n long"), "sets")
+        found = cut_lineage(self.docs.mapInArrow(_profile(self.words), "doc_id long, n long, sid long, sketch binary, narrow binary, slot int, slot_n long"), "sets")
         self.rows = found.where("n IS NOT NULL").select("doc_id", "n", "sid")
         hot = np.zeros(SLOTS, bool)  # only the order in which segments are sent: any list gives the same result
         slots = found.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("slot_n").alias("n")).orderBy(F.col("n").desc(), "slot").limit(HOT_SLOTS)
         hot[[r["slot"] for r in slots.collect()]] = True
         self.hot = hot
         sketches = found.where("sid IS NOT NULL AND doc_id IS NOT NULL")
-        self.classes = cut_lineage(sketches.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
+        self.classes = cut_lineage(sketches.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("sketch").alias("sketch"), F.min("narrow").alias("narrow")), "classes")
         self.total = self.classes.agg(F.sum("n")).first()[0] or 0
 
     def members(self) -> DataFrame:
@@ -326,11 +328,19 @@ class Join:
         return cut_lineage(met.join(keys, "key"), "members")
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sizes and dense sketches allow a link."""
-        side = lambda p: self.classes.select(F.col("sid").alias(p), F.col("n").alias(f"n_{p}"), F.col("sketch").alias(f"s_{p}"))
+        """The pairs (a, b) whose sizes and sketches allow a link: first the folded sketches of all pairs, then the
+        whole ones of the pairs left whose sketches are both wider."""
         num, den = self.t
-        return (pairs.join(side("a"), "a").join(side("b"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-                .select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(self.t), "a long, b long"))
+
+        def side(p: str, sketch: str) -> DataFrame:
+            return self.classes.select(F.col("sid").alias(p), F.col("n").alias(f"n_{p}"), F.col(sketch).alias(f"s_{p}"))
+
+        def test(some: DataFrame, sketch: str) -> DataFrame:
+            both = some.join(side("a", sketch), "a").join(side("b", sketch), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+            return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(self.t), "a long, b long, wide boolean")
+
+        left = cut_lineage(test(pairs, "narrow"), "near")
+        return left.where("NOT wide").unionByName(test(left.where("wide").select("a", "b"), "sketch")).select("a", "b")
 
     def fetch(self, pairs: DataFrame) -> DataFrame:
         """(sid, tokens) of the sets in ``pairs``, from the texts of their representatives."""
@@ -373,14 +383,14 @@ class Join:
             some = Window.partitionBy("key").orderBy(F.xxhash64("sid"), "sid")
             hubs = cut_lineage(at.join(main, "key").where("comp <> main").withColumn("r", F.row_number().over(some))
                                .where(F.col("r") <= width).select("key", "sid", "comp", "salts"), "hubs")
-            side = self.classes.select("sid", "n", "sketch")
+            side = self.classes.select("sid", "n", "narrow")
             left_side = at.join(main, "key").join(side, "sid").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
-            right_side = hubs.join(self.classes.select("sid", F.col("n").alias("h_n"), F.col("sketch").alias("h_sketch")), "sid").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            across = left_side.select("key", "salt", "sid", "comp", "n", "sketch").groupBy("key", "salt") \
+            right_side = hubs.join(self.classes.select("sid", F.col("n").alias("h_n"), F.col("narrow").alias("h_narrow")), "sid").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            across = left_side.select("key", "salt", "sid", "comp", "n", "narrow").groupBy("key", "salt") \
                 .cogroup(right_side.select(F.col("key").alias("h_key"), F.col("salt").alias("h_salt"), F.col("sid").alias("h_sid"),
-                                           F.col("comp").alias("h_comp"), "h_n", "h_sketch").groupBy("h_key", "h_salt")) \
+                                           F.col("comp").alias("h_comp"), "h_n", "h_narrow").groupBy("h_key", "h_salt")) \
                 .applyInPandas(_across(self.t), "p long, q long")
-            new = self.verify(cut_lineage(_ordered(across).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "near"))
+            new = self.verify(cut_lineage(self.near(_ordered(across).join(tested.select("a", "b"), ["a", "b"], "left_anti")), "near"))
             edges = new.where("linked").select("a", "b")
             if not edges.isEmpty():
                 comps = cut_lineage(components(edges.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "comps")

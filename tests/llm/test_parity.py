@@ -89,3 +89,21 @@ def test_chain_components(spark):
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = defaultdict(lambda: None, {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 102: 100})
     assert all(got[k] == want[k] for k in want)
+
+
+def test_wide_sketches(spark):
+    """Texts whose dense sketches are wider than the folded ones: near copies on both sides of the threshold."""
+    r = random.Random(11)
+    voc = [f"w{k}" for k in range(5000)]
+    rows = []
+    for n in (700, 1500, 2600):
+        base = [r.choice(voc) for _ in range(n)]
+        for share in (0, 0.01, 0.02, 0.025, 0.03, 0.035, 0.05):
+            w = list(base)
+            for k in r.sample(range(n), int(share * n)):
+                w[k] = "x" + w[k]
+            rows.append(" ".join(w))
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in P.near_duplicates(docs).collect()}
+    assert got == brute(rows)
