@@ -53,6 +53,7 @@ LOCAL = 64
 SMALL = 8
 LEAST_BITS = 1024
 CHUNK = 2048
+CALL_ROWS = 1024
 BROADCAST_IDS = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -262,21 +263,35 @@ def _near(t: tuple[int, int]):
     return run
 
 
+def _places(sketches) -> np.ndarray:
+    """Folded sketches side by side: one row per 64 places, one column per set."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1).T)
+
+
 def _across(t: tuple[int, int]):
-    """Pairs of a member and a hub of one key in different components that the folded sketches allow."""
+    """Pairs of a member and a hub of one key in different components that the folded sketches allow;
+    wide as in ``_near``. A call holds the blocks of many keys."""
     def run(left, right):
         import pandas as pd
 
-        p, q = [], []
+        p, q, wide = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         if len(left) and len(right):
-            folded, sizes, comps, sids = np.stack([np.frombuffer(x, np.uint64) for x in left["narrow"]]), left["n"].to_numpy(), left["comp"].to_numpy(), left["sid"].to_numpy()
-            for h in right.itertuples():
-                near = comps != h.h_comp
-                near &= t[1] * np.minimum(sizes, h.h_n) >= t[0] * np.maximum(sizes, h.h_n)
-                near[near] = (t[1] + t[0]) * np.bitwise_count(folded[near] ^ np.frombuffer(h.h_narrow, np.uint64)).sum(axis=1, dtype=np.int64) <= (t[1] - t[0]) * (sizes[near] + h.h_n)
-                p.append(sids[near])
-                q.append(np.full(int(near.sum()), h.h_sid, np.int64))
-        return pd.DataFrame({"p": np.concatenate(p or [np.zeros(0, np.int64)]), "q": np.concatenate(q or [np.zeros(0, np.int64)])})
+            bits, n, comps, sids = _places(left["narrow"]), left["n"].to_numpy(), left["comp"].to_numpy(), left["sid"].to_numpy()
+            h_bits, h_n, h_comps, h_sids = _places(right["h_narrow"]), right["h_n"].to_numpy(), right["h_comp"].to_numpy(), right["h_sid"].to_numpy()
+            hubs = right.groupby(["h_key", "h_salt"]).indices
+            for block, rows in left.groupby(["key", "salt"]).indices.items():
+                heads = hubs.get(block, ())
+                step = max(1, (1 << 16) // len(rows))
+                for some in (heads[i:i + step] for i in range(0, len(heads), step)):
+                    less, more = (f(n[rows], h_n[some, None]) for f in (np.minimum, np.maximum))
+                    apart = np.bitwise_count(bits[:, None, rows] ^ h_bits[:, some, None]).sum(axis=0, dtype=np.uint16)
+                    near = (comps[rows] != h_comps[some, None]) & (t[1] * less >= t[0] * more)
+                    near &= (t[1] + t[0]) * apart.astype(np.int64) <= (t[1] - t[0]) * (less + more)
+                    hub, row = np.nonzero(near)
+                    p.append(sids[rows[row]])
+                    q.append(h_sids[some[hub]])
+                    wide.append(2 * less[hub, row] > LEAST_BITS)
+        return pd.DataFrame({"p": np.concatenate(p), "q": np.concatenate(q), "wide": np.concatenate(wide)})
     return run
 
 
@@ -294,7 +309,8 @@ def _verify(t: tuple[int, int]):
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    rest = [c for c in pairs.columns if c not in ("p", "q")]
+    return pairs.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), *rest).distinct()
 
 
 class Join:
@@ -327,20 +343,21 @@ class Join:
         keys = keys.groupBy("k", "low", "high").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("w")).select("key", "k", "w")
         return cut_lineage(met.join(keys, "key"), "members")
 
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sizes and sketches allow a link: first the folded sketches of all pairs, then the
-        whole ones of the pairs left whose sketches are both wider."""
+    def sketched(self, pairs: DataFrame, sketch: str) -> DataFrame:
+        """(a, b, wide): the pairs whose sizes and sketches allow a link."""
         num, den = self.t
 
-        def side(p: str, sketch: str) -> DataFrame:
+        def side(p: str) -> DataFrame:
             return self.classes.select(F.col("sid").alias(p), F.col("n").alias(f"n_{p}"), F.col(sketch).alias(f"s_{p}"))
 
-        def test(some: DataFrame, sketch: str) -> DataFrame:
-            both = some.join(side("a", sketch), "a").join(side("b", sketch), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-            return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(self.t), "a long, b long, wide boolean")
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+        return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(self.t), "a long, b long, wide boolean")
 
-        left = cut_lineage(test(pairs, "narrow"), "near")
-        return left.where("NOT wide").unionByName(test(left.where("wide").select("a", "b"), "sketch")).select("a", "b")
+    def near(self, folded: DataFrame) -> DataFrame:
+        """Of the pairs (a, b, wide) that folded sketches allow, those that the whole ones allow too."""
+        folded = cut_lineage(folded, "folded")
+        wide = self.sketched(folded.where("wide").select("a", "b"), "sketch")
+        return cut_lineage(folded.where("NOT wide").unionByName(wide).select("a", "b"), "near")
 
     def fetch(self, pairs: DataFrame) -> DataFrame:
         """(sid, tokens) of the sets in ``pairs``, from the texts of their representatives."""
@@ -367,8 +384,7 @@ class Join:
         central = members.groupBy("sid").agg(F.sum(F.col("k") * F.col("w")).alias("c"))
         hubs = many.join(central, "sid").groupBy("key").agg(F.max(F.struct("c", "sid")).alias("h")).select("key", F.col("h.sid").alias("q"))
         star = many.select("key", F.col("sid").alias("p")).join(hubs, "key").select("p", "q")
-        near = cut_lineage(self.near(_ordered(pairs.unionByName(star))), "near")
-        tested = self.verify(near)
+        tested = self.verify(self.near(self.sketched(_ordered(pairs.unionByName(star)), "narrow")))
         comps = cut_lineage(components(tested.where("linked")), "comps")
         left, width = cut_lineage(many.join(hubs, "key").where("sid <> q").select("key", "sid"), "left"), 8 * SMALL
         while True:
@@ -384,13 +400,15 @@ class Join:
             hubs = cut_lineage(at.join(main, "key").where("comp <> main").withColumn("r", F.row_number().over(some))
                                .where(F.col("r") <= width).select("key", "sid", "comp", "salts"), "hubs")
             side = self.classes.select("sid", "n", "narrow")
+            calls = 1 + at.count() // CALL_ROWS
             left_side = at.join(main, "key").join(side, "sid").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
             right_side = hubs.join(self.classes.select("sid", F.col("n").alias("h_n"), F.col("narrow").alias("h_narrow")), "sid").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            across = left_side.select("key", "salt", "sid", "comp", "n", "narrow").groupBy("key", "salt") \
-                .cogroup(right_side.select(F.col("key").alias("h_key"), F.col("salt").alias("h_salt"), F.col("sid").alias("h_sid"),
-                                           F.col("comp").alias("h_comp"), "h_n", "h_narrow").groupBy("h_key", "h_salt")) \
-                .applyInPandas(_across(self.t), "p long, q long")
-            new = self.verify(cut_lineage(self.near(_ordered(across).join(tested.select("a", "b"), ["a", "b"], "left_anti")), "near"))
+            call = F.pmod(F.xxhash64("key", "salt"), F.lit(calls)).alias("call")
+            across = left_side.select(call, "key", "salt", "sid", "comp", "n", "narrow").groupBy("call") \
+                .cogroup(right_side.select(call, F.col("key").alias("h_key"), F.col("salt").alias("h_salt"), F.col("sid").alias("h_sid"),
+                                           F.col("comp").alias("h_comp"), "h_n", "h_narrow").groupBy("call")) \
+                .applyInPandas(_across(self.t), "p long, q long, wide boolean")
+            new = self.verify(self.near(_ordered(across).join(tested.select("a", "b"), ["a", "b"], "left_anti")))
             edges = new.where("linked").select("a", "b")
             if not edges.isEmpty():
                 comps = cut_lineage(components(edges.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "comps")
