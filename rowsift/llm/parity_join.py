@@ -167,7 +167,8 @@ def _profile(words: int):
 
 def _send(words: int, buckets: int, hot: np.ndarray, t: tuple[int, int]):
     def pack(keys, sids):
-        """Rows of one flush: per bucket the pairs (6 bytes of key, 8 of set); hot keys' other sets pass by."""
+        """Rows of one flush: per bucket the pairs (4 bytes of key, 8 of set); hot keys' other sets pass by.
+        Two keys of a bucket that agree in these bytes only make more pairs to test."""
         order = np.lexsort((sids, keys))
         keys, sids = keys[order], sids[order]
         start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -184,7 +185,7 @@ def _send(words: int, buckets: int, hot: np.ndarray, t: tuple[int, int]):
             for a, z in zip(cuts, [*cuts[1:], len(b)]):
                 for c in range(a, z, 1 << 16):
                     e = min(z, c + (1 << 16))
-                    yield (int(b[a]), int(s[c] % 1_000_003) if passing else -1, r[c:e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), s[c:e].tobytes())
+                    yield (int(b[a]), int(s[c] % 1_000_003) if passing else -1, r[c:e].astype("<u4").tobytes(), s[c:e].tobytes())
 
     def run(batches):
         shingler, seen, keys, sids, held = Shingler(words), set(), [], [], 0
@@ -217,7 +218,7 @@ def _meet(buckets: int):
     def run(key, pdf):
         import pandas as pd
 
-        rest = np.concatenate([np.pad(np.frombuffer(k, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).reshape(-1).view("<u8") for k in pdf["keys"]])
+        rest = np.concatenate([np.frombuffer(k, "<u4") for k in pdf["keys"]]).astype(np.uint64)
         sids = np.concatenate([np.frombuffer(s, np.int64) for s in pdf["sids"]])
         if key[1] < 0:
             order = np.lexsort((sids, rest))
