@@ -37,7 +37,6 @@ def dist(a: Column, b: Column) -> Column:
 
 
 QUERY_BLOCK_ROWS = 1024
-SMALL_PAIRS = 50_000  # below this many candidate pairs the JVM join path is used (HOF distance ~50k pairs/s)
 
 
 def _block_kernel(mode: str, k: int, exclude_self: bool):
@@ -53,6 +52,7 @@ def _block_kernel(mode: str, k: int, exclude_self: bool):
         R = np.stack(rpdf["_rv"].to_numpy()).astype(np.float64)
         qid, rid = qpdf["_qid"].to_numpy(), rpdf["_rid"].to_numpy()
         rad = rpdf["_rad"].to_numpy() if mode == "range" else None
+        id_rank = np.unique(rid, return_inverse=True)[1]  # ties in distance go to the smaller id
         oq, orr, od = [], [], []
         step = max(1, 4_000_000 // max(1, R.shape[0] * R.shape[1]))
         for s in range(0, Q.shape[0], step):
@@ -64,10 +64,12 @@ def _block_kernel(mode: str, k: int, exclude_self: bool):
                 qi, ri = np.nonzero(d < rad[None, :])
             else:
                 kk = min(k, d.shape[1])
-                part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else np.tile(np.arange(d.shape[1]), (d.shape[0], 1))
-                qi = np.repeat(np.arange(d.shape[0]), part.shape[1])
-                ri = part.ravel()
-                keep = np.isfinite(d[qi, ri])
+                kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+                qi, ri = np.nonzero((d <= kth[:, None]) & np.isfinite(d))  # with every tie at the k-th place
+                order = np.lexsort((id_rank[ri], d[qi, ri], qi))
+                qi, ri = qi[order], ri[order]
+                first = np.searchsorted(qi, qi, "left")
+                keep = np.arange(len(qi)) - first < k
                 qi, ri = qi[keep], ri[keep]
             oq.append(qid[s + qi])
             orr.append(rid[ri])
@@ -83,18 +85,6 @@ def _block_pairs(cand: DataFrame, refp: DataFrame, mode: str, k: int = 0, exclud
     block) and run the numpy kernel per group. Emits at most k rows per query per group."""
     counts = {(r["_qcell"], r["_qsub"]): r["n"] for r in
               cand.groupBy("_qcell", "_qsub").agg(F.count("*").alias("n")).collect()}  # <= cells * subs rows
-    ref_n = {(r["_cell"], r["_sub"]): r["n"] for r in
-             refp.groupBy("_cell", "_sub").agg(F.count("*").alias("n")).collect()}
-    est_pairs = sum(n * ref_n.get(key, 0) for key, n in counts.items())
-    if est_pairs <= SMALL_PAIRS:
-        # small volume: plain equi-join + JVM distance is cheaper than Python workers
-        pairs = cand.join(refp, (cand._qcell == refp._cell) & (cand._qsub == refp._sub))
-        pairs = pairs.withColumn("d", dist(F.col("_qv"), F.col("_rv")))
-        if exclude_self:
-            pairs = pairs.where(F.col("_qid") != F.col("_rid"))
-        if mode == "range":
-            pairs = pairs.where(F.col("d") < F.col("_rad"))
-        return pairs.select("_qid", "_rid", "d")
     nb = {key: max(1, math.ceil(n / QUERY_BLOCK_ROWS)) for key, n in counts.items()}
     m = max([c for c, _ in nb] + [0]) + 1
     width = max([s for _, s in nb] + [0]) + 1

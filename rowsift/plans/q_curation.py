@@ -158,15 +158,16 @@ def k21_dynamics_groups(spark, sf):
 
 
 # ---------------------------------------------------------------- model-based (rows-only checks)
-def mislabel_report(spark, sf, nest: int = 20, per_class: int = 100, max_depth: int = 4):
+def mislabel_report(spark, sf, nest: int = 100, per_class: int = 100, max_depth: int = 6):
     """Flagship: which rows of lineitem are mislabelled?
 
-    F1 -> D1 trusted sample (per_class per label) -> GBT -> staged dynamics of
-    every row -> easy/ambig/hard -> counts by (grp, flip).
+    F1 -> D1 trusted sample of rows with their own label (per_class per label) -> GBT -> staged
+    dynamics of every other row -> easy/ambig/hard -> counts by (grp, flip).
     """
     f1 = fx.labelled(spark, sf)
-    trusted = sampling.stratified_sample(f1, "y", per_class, "rid", seed=42)
-    scored = staging.curate(trusted, f1, fx.FEATURES, "y", nest=nest, max_depth=max_depth,
+    trusted, rest = sampling.stratified_split(f1.where("flip = 0"), "y", per_class, "rid", seed=42)
+    checked = rest.unionByName(f1.where("flip = 1"))
+    scored = staging.curate(trusted, checked, fx.FEATURES, "y", nest=nest, max_depth=max_depth,
                             ythresh=0.2, xthresh=0.2)
     return scored.groupBy("grp", "flip").agg(F.count("*").alias("n_rows"),
                                              r6(F.avg("confidence"), "avg_confidence"))

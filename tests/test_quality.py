@@ -14,6 +14,20 @@ def _vectors(spark):
     return fx.vectors(spark, SF_TINY)
 
 
+def test_knn_ties_go_to_smaller_ids(spark):
+    pts = [(i, [float(i % 4), float(i // 4 % 3)]) for i in range(60)]
+    v = spark.createDataFrame(pts, "vec_id long, embedding array<double>")
+    got = {}
+    for pivots in (1, 5):
+        nn = dst.knn(v, v.withColumnRenamed("vec_id", "nb"), 3, "vec_id", "nb", "embedding", exclude_self=True, n_pivots=pivots)
+        got[pivots] = sorted((r["vec_id"], r["rank"], r["nb"]) for r in nn.collect())
+    want = []
+    for i, a in pts:
+        near = sorted((sum((x - y) ** 2 for x, y in zip(a, b)), j) for j, b in pts if j != i)[:3]
+        want += [(i, rank, j) for rank, (_, j) in enumerate(near, 1)]
+    assert got[1] == got[5] == want
+
+
 def test_knn_matches_brute_force(spark):
     v = _vectors(spark)
     rows = v.collect()
