@@ -142,11 +142,10 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = frags.groupBy("comp").agg(
         F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "frag"))),
                                       lambda x: x["frag"])).alias("body"))
-    # only 97 documents are used as prose (fixed bound) -> broadcast is size-proven
-    docs = (table(spark, sf_dir, "documents").where(F.col("doc_id") < 97)
-            .select("doc_id", F.col("text").alias("prose")))
-    per = per.withColumn("doc_id", F.col("comp") % 97)
-    joined = per.join(F.broadcast(docs), "doc_id", "left")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prose"))
+    n_docs = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_docs"))  # one row
+    per = per.crossJoin(F.broadcast(n_docs)).withColumn("doc_id", F.col("comp") % F.col("n_docs")).drop("n_docs")
+    joined = per.join(docs, "doc_id", "left")
     src = F.element_at(F.array(*[F.lit(s) for s in SOURCES_F3]), (F.col("comp") % 3 + 1).cast("int"))
     return joined.select(
         src.alias("source"),
@@ -199,7 +198,7 @@ SELECT (['gpt4', 'llama', 'together'])[CAST(comp % 3 + 1 AS INTEGER)] AS source,
 FROM (SELECT comp, string_agg(frag, chr(10) ORDER BY o_orderkey) AS body
       FROM (SELECT CAST(floor(o_orderkey / 3) AS BIGINT) AS comp, o_orderkey, {F3_FRAG_SQL} AS frag FROM orders) fr
       GROUP BY comp) g
-LEFT JOIN (SELECT doc_id, text FROM documents WHERE doc_id < 97) d ON d.doc_id = g.comp % 97
+LEFT JOIN documents d ON d.doc_id = g.comp % (SELECT greatest(count(*), 1) FROM documents)
 """
 
 # ---------------------------------------------------------------- F4
