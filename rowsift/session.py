@@ -46,12 +46,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and model artefacts.
 
     Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir) from the
-    session. Only when neither is set (local tests) a fresh scratch folder is
-    created and registered, so a cluster always uses its shared storage.
+    session. When neither is set, a local session gets a fresh scratch folder;
+    on a cluster that is an error, since executors share no local folder.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="rowsift-ckpt-", dir="/tmp")
         sc.setCheckpointDir(d)
         spark.conf.set("spark.checkpoint.dir", d)
