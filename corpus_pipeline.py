@@ -14,15 +14,15 @@ from rowsift.llm import language_id, line_mph, packing, parity_join, secret_ledg
 from rowsift.llm.common import held, table
 from rowsift.session import cut_lineage
 
-#: A document whose text is at least this far from every language's prototype is rejected (cosine).
-LEAST_COSINE = 0.0
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts whose letters point away from every learned language."""
-    prototypes = language_id.train(docs.where(held(docs, "doc_id", 3) != 1))
+    """Drops texts without a letter, and texts that don't stand out of the noise of unrelated texts though
+    they have as many trigrams as the training texts need for it. Shorter texts stay."""
+    training = docs.where(held(docs, "doc_id", 3) != 1)
+    prototypes = language_id.train(training)
+    least = language_id.decidable(training, prototypes)
     found = language_id.annotate(docs, prototypes)
-    kept = (F.col("_lid_lang") != language_id.UNKNOWN) & (F.col("_lid_cosine") > LEAST_COSINE)
+    kept = (F.col("_lid_lang") != language_id.UNKNOWN) & ((F.col("_lid_cosine") > language_id.noise()) | (F.col("_lid_grams") < least))
     return found.where(kept).select(*docs.columns)
 
 

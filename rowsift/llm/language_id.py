@@ -17,6 +17,10 @@ Defined results: a null text or one without a letter is ``und`` with score 0; so
 if there is no training row. Training rows with a null language, or without a letter, count
 nothing. Null ids and repeated rows stay; an empty table gives an empty result; other columns of
 the input are ignored.
+
+A text that shares no trigram with the training texts has cosines around 0 with a standard deviation
+of 1 / sqrt(dims) (``noise``), whatever its length; a text of a learned language rises out of that with the number
+of its trigrams. ``decidable`` finds in the training texts from which number on it does.
 """
 
 from __future__ import annotations
@@ -34,6 +38,11 @@ DIMS = 1024
 UNKNOWN = "und"
 BLOCK = 4096
 GAP = 32
+#: Cosines of unrelated texts stay below so many standard deviations.
+SIGMAS = 4
+#: A class of training texts by their number of trigrams tells learned from unrelated texts if it has
+#: at least so many texts, and at most this share of them lies within the noise.
+LEAST_TEXTS, SHARE = 20, 0.001
 
 _LETTER: list[np.ndarray] = []
 
@@ -63,8 +72,8 @@ class Bundler:
             self.rolled[code] = np.roll(v, 2), np.roll(v, 1), v
         return self.rolled[code]
 
-    def _add(self, out: np.ndarray, text: str, sizes: list[int]) -> None:
-        """Adds the trigrams of texts (each with a gap on both sides, joined) to their rows."""
+    def _add(self, out: np.ndarray, n: np.ndarray, text: str, sizes: list[int]) -> None:
+        """Adds the trigrams of texts (each with a gap on both sides, joined) to their rows, and their number to ``n``."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         doc = np.repeat(np.arange(len(sizes)), sizes)
         codes = np.where(_letters()[codes], codes, GAP)
@@ -77,6 +86,7 @@ class Bundler:
         x = x.astype(np.int64)
         gram = ((x[:-2] * a + x[1:-1]) * a + x[2:])[whole]
         doc = doc[2:][whole]
+        n += np.bincount(doc, minlength=len(n))
         if a**3 <= 4_000_000:
             seen = np.zeros(a**3, bool)
             seen[gram] = True
@@ -98,12 +108,17 @@ class Bundler:
 
     def bundle(self, texts: list[str | None], part: int = 400_000) -> np.ndarray:
         """One row per text; zero where it has no letter."""
-        out = np.zeros((len(texts), self.dims), np.float32)
+        return self.counted(texts, part)[0]
+
+    def counted(self, texts: list[str | None], part: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+        """``bundle`` and each text's effective number of trigrams: (sum of counts)² / (sum of squared counts),
+        the latter from the vector's length. Repeats of one word add nothing to it."""
+        out, n = np.zeros((len(texts), self.dims), np.float32), np.zeros(len(texts), np.int64)
         at, held, sizes = 0, [], []
 
         def flush(upto: int) -> None:
             if held:
-                self._add(out[at:upto], "".join(held), sizes)
+                self._add(out[at:upto], n[at:upto], "".join(held), sizes)
 
         total = 0
         for k, text in enumerate(texts):
@@ -112,7 +127,7 @@ class Bundler:
                 flush(k)
                 for b in range(0, len(low) - 2, part):
                     piece = low[b:b + part + 2]
-                    self._add(out[k:k + 1], piece, [len(piece)])
+                    self._add(out[k:k + 1], n[k:k + 1], piece, [len(piece)])
                 at, held, sizes, total = k + 1, [], [], 0
                 continue
             held.append(low)
@@ -122,7 +137,8 @@ class Bundler:
                 flush(k + 1)
                 at, held, sizes, total = k + 1, [], [], 0
         flush(len(texts))
-        return out
+        squares = (out.astype(np.float64) ** 2).sum(axis=1) / self.dims
+        return out, np.where(squares > 0, n.astype(np.float64) ** 2 / np.where(squares > 0, squares, 1), 0.0)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -153,6 +169,45 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims:
     return {k: found[k] for k in sorted(found) if np.any(found[k])}
 
 
+def noise(dims: int = DIMS) -> float:
+    """The cosine that unrelated texts stay below."""
+    return SIGMAS / dims ** 0.5
+
+
+def _classes(prototypes: dict[str, np.ndarray], dims: int):
+    """Per class of texts (power of two below their number of trigrams): texts, and texts within the noise. The
+    cosine is the one to the text's own language without the text itself."""
+    def run(batches):
+        bundler, n, low = Bundler(dims), np.zeros(64, np.int64), np.zeros(64, np.int64)
+        for batch in text_slices(batches, 256, 1_000_000):
+            vectors, grams = bundler.counted(batch.column("text").to_pylist())
+            vectors = unit(vectors.astype(np.float64))
+            some = vectors.any(axis=1)
+            own = np.stack([prototypes.get(x, np.zeros(dims)) for x in batch.column("lang").to_pylist()]) - vectors
+            inside = (vectors * unit(own)).sum(axis=1) <= noise(dims)
+            k = np.log2(np.maximum(grams, 1)).astype(int)
+            n += np.bincount(k[some], minlength=64)
+            low += np.bincount(k[some & inside], minlength=64)
+        k = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(n[k], pa.int64()), pa.array(low[k], pa.int64())], names=["k", "n", "low"])
+    return run
+
+
+def decidable(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang",
+              dims: int = DIMS) -> float:
+    """The effective number of trigrams from which on the training texts stand out of the noise in every class;
+    infinity if they don't, or are too few to tell. A class above that is too small to tell follows the ones below it."""
+    rows = docs.select(docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
+    found = rows.mapInArrow(_classes(prototypes, dims), "k int, n long, low long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("low").alias("low"))
+    least = float("inf")
+    for r in sorted(found.collect(), reverse=True):  # at most 64 rows
+        if r["n"] >= LEAST_TEXTS:
+            if r["low"] > SHARE * r["n"]:
+                break
+            least = 2.0 ** r["k"]
+    return least
+
+
 def _predict(prototypes: dict[str, np.ndarray], dims: int):
     names = list(prototypes)
 
@@ -162,7 +217,8 @@ def _predict(prototypes: dict[str, np.ndarray], dims: int):
         common = plain.mean(axis=0) if len(names) > 1 else 0
         own = unit(plain - common) if names else None
         for batch in text_slices(batches, 256, 1_000_000):
-            vectors = unit(bundler.bundle(batch.column("text").to_pylist()).astype(np.float64))
+            vectors, grams = bundler.counted(batch.column("text").to_pylist())
+            vectors = unit(vectors.astype(np.float64))
             some = vectors.any(axis=1)
             if names:
                 by_lang = unit(vectors - common) @ own.T
@@ -173,8 +229,8 @@ def _predict(prototypes: dict[str, np.ndarray], dims: int):
             else:
                 langs, cosine, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(score), pa.array(cosine)],
-                                             names=[*keep, "lang_pred", "score", "cosine"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(score), pa.array(cosine), pa.array(grams)],
+                                             names=[*keep, "lang_pred", "score", "cosine", "grams"])
     return run
 
 
@@ -182,15 +238,17 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
             dims: int = DIMS) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1: the compared cosine, halved and shifted), cosine (plain)."""
     at = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return at.mapInArrow(_predict(prototypes, dims), f"doc_id {at.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, cosine double")
+    return at.mapInArrow(_predict(prototypes, dims), f"doc_id {at.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, cosine double, grams double").drop("grams")
 
 
 def annotate(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dims: int = DIMS,
              prefix: str = "_lid_") -> DataFrame:
-    """``docs`` with all its columns and ``<prefix>lang``, ``<prefix>score``, ``<prefix>cosine``."""
+    """``docs`` with all its columns and ``<prefix>lang``, ``<prefix>score``, ``<prefix>cosine``, ``<prefix>grams``."""
     names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
     at = docs.select(*[docs[c].alias(n) for c, n in names.items()], docs[text_col].alias("text"))
-    schema = at.select(*names.values(), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cosine")).schema
+    schema = at.select(*names.values(), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cosine"),
+                       F.lit(0.0).alias("grams")).schema
     out = at.mapInArrow(_predict(prototypes, dims), schema)
     return out.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("lang_pred").alias(prefix + "lang"),
-                      F.col("score").alias(prefix + "score"), F.col("cosine").alias(prefix + "cosine"))
+                      F.col("score").alias(prefix + "score"), F.col("cosine").alias(prefix + "cosine"),
+                      F.col("grams").alias(prefix + "grams"))
