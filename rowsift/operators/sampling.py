@@ -6,7 +6,9 @@ All order comes from ``h(key, seed)``; ties broken by the key. Scale notes:
   Spark inserts a *partial* ``WindowGroupLimit`` before the shuffle, so a class
   that holds a third of the table only ships n rows per map task.
 * The remainder of D1 is not a second unbounded window: it is the rows whose
-  ``(h, key)`` is above the class threshold (one row per class, joined back).
+  ``(h, key, row)`` is above the class threshold (one row per class, joined back).
+  Rows equal to the threshold row in every column are counted, and the copies that
+  the sample left are written out from the count, in chunks.
 * Exact global ranks (D3, D7, D10) use hash-prefix buckets: bucket counts
   (one tiny aggregate) -> prefix offsets -> rank inside the bucket. md5 is
   uniform, so buckets are even regardless of key skew.
@@ -28,6 +30,9 @@ def with_hash(df: DataFrame, key: str, seed, name: str = "_h") -> DataFrame:
     return df.withColumn(name, h(key, seed))
 
 
+COPIES = 10_000  # copies of one row written out by one chunk
+
+
 # ------------------------------------------------------------------ D1
 def stratified_sample(df: DataFrame, label: str, n: int, key: str, seed=42) -> DataFrame:
     """Exactly ``n`` rows per class (all rows of smaller classes), chosen by h(key, seed)."""
@@ -36,15 +41,25 @@ def stratified_sample(df: DataFrame, label: str, n: int, key: str, seed=42) -> D
 
 
 def stratified_split(df: DataFrame, label: str, n: int, key: str, seed=42):
-    """(sample, remainder): sample = D1; remainder = rows above their class threshold."""
-    hashed = with_hash(df, key, seed)
-    w = Window.partitionBy(label).orderBy("_h", key)
+    """(sample, remainder): sample = D1; remainder = every other row of the class.
+
+    A key may repeat: ties go by the whole row (columns must be orderable), so both parts agree on
+    the rows of a key that lies on the threshold.
+    """
+    order = F.struct(h(key, seed).alias("h"), F.col(key).alias("key"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    hashed = df.select("*", order.alias("_o"))
+    w = Window.partitionBy(label).orderBy("_o")
     sample = hashed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-    thr = sample.groupBy(label).agg(F.max(F.struct("_h", key)).alias("_thr"))
-    rest = (hashed.join(thr, label, "left")
-                  .where(F.col("_thr").isNull() | (F.struct("_h", key) > F.col("_thr")))
-                  .drop("_thr"))
-    return sample.drop("_h"), rest.drop("_h")
+    thr = (sample.groupBy(label, "_o").agg(F.count("*").alias("_m"))
+                 .groupBy(F.col(label).alias("_l")).agg(F.max(F.struct("_o", "_m")).alias("_thr")))
+    at = hashed.join(thr, hashed[label].eqNullSafe(thr["_l"]), "left")
+    rest = at.where(F.col("_thr").isNull() | (F.col("_o") > F.col("_thr._o"))).select(*df.columns)
+    left = (at.where(F.col("_o") == F.col("_thr._o")).groupBy("_o").agg((F.count("*") - F.max("_thr._m")).alias("_n"))
+              .where("_n > 0"))
+    copies = (left.select("_o", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long"))).alias("_from"))
+                  .repartition("_from")
+                  .select("_o.row.*", F.explode(F.sequence(F.col("_from"), F.least("_n", F.col("_from") + COPIES) - 1)).alias("_copy")))
+    return sample.drop("_o"), rest.unionByName(copies.select(*df.columns))
 
 
 def assign_sampled(df: DataFrame, label: str, n: int, key: str, seed=42,

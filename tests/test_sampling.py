@@ -40,3 +40,21 @@ def test_bootstrap_and_cap(spark):
     assert boot.count() == 100
     capped = smp.cap_per_group(f1.withColumn("source", F.lit("x")), 7, "rid")
     assert capped.count() == 7
+
+
+def test_split_of_repeated_keys_loses_no_row(spark):
+    rows = [(f"k{i}", i % 2, i) for i in range(60)] + [("hot", 0, i % 7) for i in range(60)] + [("same", 1, 5)] * 60 + [(None, None, 1)] * 30
+    df = spark.createDataFrame(rows, "rid string, y int, v int")
+    for n in (0, 1, 10, 20, 40, 70, 500):
+        s, r = smp.stratified_split(df, "y", n, "rid", seed=3)
+        s, r = [[(x["rid"], x["y"], x["v"]) for x in part.collect()] for part in (s, r)]
+        assert sorted(s + r, key=str) == sorted(rows, key=str)
+        assert all(sum(x[1] == y for x in s) == min(n, sum(x[1] == y for x in rows)) for y in (0, 1, None))
+    roles = smp.assign_roles(df.where("rid IS NOT NULL"), "y", 10, "rid", seed=3)
+    assert sorted(((x["rid"], x["y"], x["v"]) for x in roles.collect()), key=str) == sorted((x for x in rows if x[0]), key=str)
+
+
+def test_split_writes_out_many_copies(spark):
+    df = spark.range(25_003).select(F.lit("same").alias("rid"), F.lit(1).alias("y"))
+    s, r = smp.stratified_split(df, "y", 3, "rid")
+    assert s.count() == 3 and r.count() == 25_000
