@@ -64,12 +64,17 @@ def jensen_shannon(hist: DataFrame) -> DataFrame:
 
 
 def chi_squared(hist: DataFrame) -> DataFrame:
-    """Statistic of synthetic bin counts against the real proportions (bins with p > 0)."""
+    """Statistic of synthetic bin counts against the real proportions, and how many synthetic rows lie in bins
+    that are empty in the real table. Such a bin is merged with the next lower one that holds real rows."""
     w = Window.partitionBy("col")
-    e = hist.withColumn("n", F.sum("n_syn").over(w)).withColumn("exp", F.col("p") * F.col("n"))
+    held = F.when(F.col("p") > 0, F.col("bin"))
+    e = (hist.withColumn("slot", F.coalesce(F.max(held).over(w.orderBy("bin")), F.min(held).over(w)))
+             .groupBy("col", "slot").agg(F.sum("p").alias("p"), F.sum("n_syn").alias("n_syn"),
+                                         F.sum(F.when(F.col("p") > 0, 0).otherwise(F.col("n_syn"))).alias("outside"))
+             .withColumn("exp", F.col("p") * F.sum("n_syn").over(w)))
     return e.where(F.col("exp") > 0).groupBy("col").agg(
         F.sum((F.col("n_syn") - F.col("exp")) ** 2 / F.col("exp")).alias("statistic"),
-        (F.count("*") - 1).alias("dof"))
+        (F.count("*") - 1).alias("dof"), F.sum("outside").alias("outside"))
 
 
 # ------------------------------------------------------------------ ordered prefix sums (Q5 / Q8 / Q10)

@@ -86,3 +86,12 @@ def test_smote_on_segments_and_counts(spark):
         orig = np.array([r["embedding"] for r in v.where(F.col("label") == lab).collect()])
         syn = np.array([r["embedding"] for r in out.where((F.col("label") == lab) & (F.col("is_synthetic") == 1)).collect()])
         assert (syn >= orig.min(0) - 1e-9).all() and (syn <= orig.max(0) + 1e-9).all()
+
+
+def test_chi_squared_counts_rows_in_empty_real_bins(spark):
+    real = spark.createDataFrame([(float(v),) for v in [0] * 50 + [10] * 50], "x double")
+    syn = spark.createDataFrame([(float(v),) for v in [0] * 30 + [10] * 30 + [5] * 40], "x double")
+    got = qm.chi_squared(qm.histograms(real, syn, ["x"])).collect()
+    assert [(r["statistic"], r["dof"], r["outside"]) for r in got] == [((70 - 50) ** 2 / 50 + (30 - 50) ** 2 / 50, 1, 40)]
+    same = qm.chi_squared(qm.histograms(real, real, ["x"])).first()
+    assert (same["statistic"], same["dof"], same["outside"]) == (0.0, 1, 0)
