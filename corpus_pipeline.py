@@ -62,7 +62,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates),
           ("secret scans", secrets), ("best-fit packing", pack)]
 
-#: Hyperdimensional profiles can't be expressed in SQL; the tests hold ``run`` against a brute-force version.
+#: Hyperdimensional profiles can't be expressed in SQL; the tests run the stages on planted rows, not ``run`` as a whole.
 ORACLE_SQL = None
 
 
