@@ -41,8 +41,9 @@ GAP = 32
 #: Cosines of unrelated texts stay below so many standard deviations.
 SIGMAS = 4
 #: A class of training texts by their number of trigrams tells learned from unrelated texts if it has
-#: at least so many texts, and at most this share of them lies within the noise.
-LEAST_TEXTS, SHARE = 20, 0.001
+#: at least so many texts, and at most this share of them lies within the noise or so many standard deviations
+#: above it (held-out texts lie a little lower than the training texts).
+LEAST_TEXTS, SHARE, MARGIN = 20, 0.001, 2
 
 _LETTER: list[np.ndarray] = []
 
@@ -184,7 +185,7 @@ def _classes(prototypes: dict[str, np.ndarray], dims: int):
             vectors = unit(vectors.astype(np.float64))
             some = vectors.any(axis=1)
             own = np.stack([prototypes.get(x, np.zeros(dims)) for x in batch.column("lang").to_pylist()]) - vectors
-            inside = (vectors * unit(own)).sum(axis=1) <= noise(dims)
+            inside = (vectors * unit(own)).sum(axis=1) <= noise(dims) + MARGIN / dims ** 0.5
             k = np.log2(np.maximum(grams, 1)).astype(int)
             n += np.bincount(k[some], minlength=64)
             low += np.bincount(k[some & inside], minlength=64)

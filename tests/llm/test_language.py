@@ -8,7 +8,7 @@ from rowsift.llm.common import table
 from tests.conftest import SF_SMALL
 
 LETTERS = {"greek": range(0x3B1, 0x3CA), "cyrillic": range(0x430, 0x450), "georgian": range(0x10D0, 0x10F1), "han": range(0x4E00, 0x5200)}
-SHORT = ["Avec.", "A.", "Der", "the", "Los"]
+SHORT = ["Avec.", "A.", "Der", "the", "Los", "È ééaux éenê épaè."]
 
 
 def unlearned(n: int, words: int) -> list[tuple[str, str]]:
