@@ -1,16 +1,20 @@
 """Line dedup through sharded minimal perfect hashes.
 
-1. Every line key of every document is hashed (64 + 32 bits); one aggregate per hash keeps the
-   smallest and largest id and the number of documents. Keys of two or more documents are written.
-2. Each shard of these hashes becomes one minimal perfect hash (levels of bit arrays) with three
-   compact arrays: a 64-bit fingerprint, the number of documents, and the smallest id.
-3. Documents send their line hashes to the shards and probe the arrays there; hits come back
-   per document and the text is rebuilt without the lines that lose.
+1. Every distinct line key of every document is hashed (64 + 32 bits) and written once as a table
+   of (document, hashes); a partial aggregate per hash gives the distinct line hashes with the
+   smallest id and the number of documents.
+2. The distinct hashes of each shard, also those of a single document, become one minimal perfect
+   hash (levels of bit arrays) with three compact arrays: a 64-bit fingerprint, the number of
+   documents, and the smallest id.
+3. Documents send their line hashes to the shards and probe the arrays there; lines whose count is
+   two or more and whose smallest id is another document's come back per document, and the text is
+   rebuilt without them.
 
 Scale: lines are never joined with lines. The number of shards follows the counted lines, so a
 shard and the probes of a group are bounded (``GROUP`` rows); a shard with a hot line (which may
 be in a third of all documents) is copied to as many salts as its counted probes need, and the
-probes are dealt to the salts by document. Texts move once, when the hits are joined back.
+probes are dealt to the salts by document. Texts are hashed once and move once, when the hits are
+joined back.
 
 Keys are told apart by 96 hash bits. Defined results: a null or empty text is one empty line; a
 null id holds no lines for the counts and keeps all its lines; rows with the same id are one
@@ -23,7 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsift.llm.common import BLANKS, LOWER, LOWER_BYTES, UPPER, text_slices
@@ -110,8 +114,8 @@ def _shard_arrays(pdf):
     at = mph.index(keys)
     order = np.argsort(at)
     bits, sizes = mph.dump()
-    n = pdf.n.to_numpy(np.int64)
-    return pd.DataFrame({"shard": [pdf.shard.iloc[0]], "salts": [1 + int(n.sum()) // GROUP], "seed": [seed], "bits": [bits], "sizes": [sizes],
+    n = pdf.docs.to_numpy(np.int64)
+    return pd.DataFrame({"shard": [pdf.shard.iloc[0]], "salts": [1 + int(pdf["n"].sum()) // GROUP], "seed": [seed], "bits": [bits], "sizes": [sizes],
                          "fingerprints": [_fingerprint(h1.view(np.uint64), h2)[order].tobytes()],
                          "counts": [np.minimum(n, 2**32 - 1).astype(np.uint32)[order].tobytes()],
                          "keepers": [pdf["keep"].to_numpy(np.int64)[order].tobytes()]})
@@ -166,34 +170,36 @@ def _rebuild(names: list[str]):
     return run
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, Observation]:
-    """(lines, repeated, seen): distinct line hashes per document, the written table of those found in two or
-    more documents (h1, h2, keep, n), and the observed number of lines (n)."""
+def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The written table of (doc_id, h1, h2): the distinct line hashes of each document."""
     keys = F.filter(F.transform(F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1), line_key),
                     lambda k: F.length(k) >= LEAST)
     pairs = F.array_distinct(F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("h1"), F.crc32(k).alias("h2"))))
     lines = (docs.select(docs[id_col].cast("long").alias("doc_id"), pairs.alias("k")).where(F.col("doc_id").isNotNull())
              .select("doc_id", F.explode("k").alias("k")).select("doc_id", "k.h1", "k.h2"))
-    seen = Observation()
-    found = (lines.observe(seen, F.count(F.lit(1)).alias("n")).groupBy("h1", "h2")
-             .agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
-             .where("keep < last").drop("last"))
-    return lines, cut_lineage(found, "lines"), seen
+    return cut_lineage(lines, "lines")
+
+
+def shard_index(lines: DataFrame) -> tuple[DataFrame, Column]:
+    """(index, shard): the written arrays of every shard over all distinct hashes of ``lines``, and the shard of a hash."""
+    n_lines = lines.count()  # from the footers of the written table
+    shard = F.pmod(F.shiftright("h1", 7), F.lit(max(1, -(-n_lines // GROUP)))).cast("long").alias("shard")
+    # rows with one id are one document, so a hash counts ids: the smallest and largest differ from two documents on
+    distinct = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    distinct = distinct.withColumn("docs", F.when(F.col("keep") < F.col("last"), F.greatest("n", F.lit(2))).otherwise(1))
+    arrays = distinct.select(shard, "h1", "h2", "keep", "n", "docs").groupBy("shard").applyInPandas(
+        _shard_arrays, "shard long, salts int, seed int, bits binary, sizes binary, fingerprints binary, counts binary, keepers binary")
+    return cut_lineage(arrays, "line-shards"), shard
 
 
 def losing_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, hits: the hashes of the lines that the document loses."""
-    lines, repeated, seen = repeated_lines(docs, id_col, text_col)
-    n_keys, n_lines = repeated.count(), 0 if lines.isEmpty() else seen.get["n"]  # nothing is observed in an empty table
-    shards = max(1, -(-max(n_keys, n_lines) // GROUP))
-    shard = F.pmod(F.shiftright("h1", 7), F.lit(shards)).cast("long").alias("shard")
-    arrays = repeated.withColumn("shard", shard).groupBy("shard").applyInPandas(
-        _shard_arrays, "shard long, salts int, seed int, bits binary, sizes binary, fingerprints binary, counts binary, keepers binary")
-    arrays = cut_lineage(arrays, "line-shards")
-    salted = arrays.where("salts > 1").select("shard", "salts")
+    lines = line_hashes(docs, id_col, text_col)
+    index, shard = shard_index(lines)
+    salted = index.where("salts > 1").select("shard", "salts")
     probes = lines.withColumn("shard", shard).join(salted, "shard", "left") \
         .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(0)).cast("int"))
-    copies = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     hits = copies.groupBy("shard", "salt").cogroup(probes.drop("salts").groupBy("shard", "salt")).applyInPandas(
         _probe, "doc_id long, h1 long, h2 long")
     return hits.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hits"))
