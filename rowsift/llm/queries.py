@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsift.llm import (bpe_tree, language_id, line_mph, packing, parity_join, quality_ledger, quote_chat,
-                         secret_ledger, topk_search, toxicity_pu)
+from rowsift.llm import (bpe_tree, decontaminate, filter_audit, language_id, line_mph, packing, parity_join, quality_ledger,
+                         quote_chat, secret_ledger, topk_search, toxicity_pu, whitening)
 from rowsift.llm.common import held, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,24 @@ def op10_secret_ledger(spark, sf_dir):
                         secret_ledger.spans_text(F.col("found")).alias("spans"))
 
 
+@query
+def op11_decontamination(spark, sf_dir):
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.n_hit()
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -187,3 +205,40 @@ FROM d LEFT JOIN z ON z.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
 ORACLES["op10_secret_ledger"] = _secret_sql()
+
+
+ORACLES["op11_decontamination"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOW}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOW}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[p:p+least(len(w), 10)-1] AS g
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS p FROM i WHERE len(w) > 0)),
+x AS (SELECT r, p, n, w[p:p+n-1] AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+h AS (SELECT r, p, x.n, item_id FROM x JOIN g ON g.n = x.n AND g.g = x.g),
+c AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT r, p, n FROM h)) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)"""
+
+ORACLES["op13_filter_audit"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+first AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > least THEN 'E' ELSE '' END AS fails
+      FROM d JOIN first USING (t) LEFT JOIN l ON l.doc_id = d.doc_id),
+n AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY part, fails),
+o AS (SELECT '' AS o UNION ALL SELECT o || c FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE length(o) < 5 AND NOT contains(o, c)),
+s AS (SELECT o AS filter_order, step, o[step] AS c, o[1:step-1] AS before FROM o, (SELECT unnest(range(1, 6))::INTEGER AS step) WHERE length(o) = 5),
+a AS (SELECT part, filter_order, step, c,
+        sum(CASE WHEN translate(fails, before || c, '') = fails THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN contains(fails, c) AND translate(fails, before, '') = fails THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN contains(fails, c) AND translate(fails, before, '') <> fails THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fails = c THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN contains(fails, c) AND translate(fails, before, '') = fails THEN g ELSE 0 END) AS good_lost,
+        sum(CASE WHEN contains(fails, c) AND translate(fails, before, '') = fails THEN x ELSE 0 END) AS toxic_lost
+      FROM n, s GROUP BY part, filter_order, step, c)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM a"""
