@@ -97,7 +97,7 @@ class Words:
         total = np.zeros(len(self.hash), np.uint64)
         with np.errstate(over="ignore"):
             for k in range(max(sizes, default=0)):
-                if k >= len(total):
+                if k >= len(self.hash):
                     return
                 total = total[:len(self.hash) - k] + self.hash[k:] * np.uint64(pow(_BASE, k + 1, 1 << 64))
                 if k + 1 in sizes:
