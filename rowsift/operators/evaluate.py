@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from rowsift.functions.encode import standardise
 from rowsift.operators.quality import ordered_prefix
+from rowsift.operators.staging import without_summary
 
 KEYS = ("source", "clf")
 
@@ -75,7 +76,7 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
                            features, ref=train)
         train, test = both.where(F.col("_part") == "train").drop("_part"), both.where(F.col("_part") == "test").drop("_part")
     asm = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="keep")
-    m = Pipeline(stages=[asm, clf]).fit(train.withColumn("_label", F.col(label).cast("double")))
+    m = without_summary(Pipeline(stages=[asm, clf]).fit(train.withColumn("_label", F.col(label).cast("double"))))
     out = m.transform(test.withColumn("_label", F.col(label).cast("double")))
     return out.select(*keys, F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("y_pred"),
                       vector_to_array("probability")[1].alias("score"))

@@ -3,11 +3,19 @@
 The reference re-scores the table with the first *i* trees for every
 i = 1..nest-1 (O(nest^2) tree evaluations, nest full passes). Here a single
 ``transform`` of the fitted ``pyspark.ml`` model emits every row's leaf index
-per tree (``leafCol``); the leaf values come from the saved model (a table of
-at most ``nest * 2**maxDepth`` rows, checked before it is turned into a
-literal). One higher-order ``aggregate`` per row then walks the trees in
-order, keeps the running margin and folds the dynamics sums on the fly:
-one pass, no shuffle, no Python worker, O(nest) per row.
+per tree (``leafCol``), and the leaf values are a table of their own
+(``leaf_values``: step, tree, leaf, value per class). ``fold_leaves`` brings
+both together and walks the steps once, keeping the running margins:
+
+* a leaf table of at most ``BROADCAST_LEAVES`` numbers (counted) travels as a
+  broadcast variable, and Arrow batches are folded by a vectorised gather and
+  cumulative sum: one pass, no shuffle, O(nest) per row;
+* a larger one is joined on (tree, leaf), and each row's values are gathered
+  again by its row number (at most one entry per tree).
+
+Both give the gold probability after every step for binary boosting
+(``logit``), one boosted model per class (``ovr``) and class means of a forest
+(``mean``). ``engine="sql"`` is the same fold in higher-order functions.
 """
 
 from __future__ import annotations
@@ -28,7 +36,8 @@ from rowsift.functions.literals import const_array
 from rowsift.operators import dynamics as dyn
 from rowsift.session import cut_lineage, scratch_path
 
-MAX_LEAF_ENTRIES = 1 << 20  # bound for the leaf-value literal (nest * leaves * classes)
+BROADCAST_LEAVES = 4_000_000  # numbers of a leaf table that is broadcast (32 MB); beyond it the table is joined
+KINDS = ("logit", "ovr", "mean")
 
 
 def _assembler(features: Sequence[str]) -> VectorAssembler:
@@ -51,6 +60,15 @@ def _lineage_opts(train: DataFrame, large: bool | None) -> dict:
     return {"cacheNodeIds": False, "checkpointInterval": -1}
 
 
+def without_summary(model: PipelineModel) -> PipelineModel:
+    """The model as saved and loaded: a training summary holds the session and would travel with every task."""
+    if not any(getattr(stage, "hasSummary", False) for stage in model.stages):
+        return model
+    path = scratch_path(SparkSession.getActiveSession(), "model")
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
 def fit_gbt(train: DataFrame, features: Sequence[str], label: str = "y", nest: int = 100,
             max_depth: int = 6, step: float = 0.3, seed: int = 0,
             subsampling: float = 1.0, large: bool | None = None) -> PipelineModel:
@@ -66,7 +84,12 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str = "y", nest
     """Random forest (multiclass capable) for the averaging stager (K4)."""
     rf = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=nest,
                                 maxDepth=max_depth, seed=seed, leafCol="_leaf", **_lineage_opts(train, large))
-    return Pipeline(stages=[_assembler(features), rf]).fit(train)
+    return without_summary(Pipeline(stages=[_assembler(features), rf]).fit(train))
+
+
+def fit_gbt_per_class(train: DataFrame, features: Sequence[str], label: str, n_classes: int, **options) -> list[PipelineModel]:
+    """Boosted trees for labels 0..n_classes-1: one binary model per class (class against the rest)."""
+    return [fit_gbt(train.withColumn("_is", (F.col(label) == c).cast("int")), features, "_is", **options) for c in range(n_classes)]
 
 
 def _tree_model(model):
@@ -93,30 +116,49 @@ def leaf_table(model) -> DataFrame:
     return leaves.select("tree", (F.row_number().over(w) - 1).alias("leaf"), "prediction", "stats")
 
 
-def _flat_leaf_values(model, kind: str, n_classes: int = 2):
-    """Flat literal of leaf values plus per-tree offsets (driver-side, size-checked)."""
+def leaf_values(model) -> DataFrame:
+    """``(step, tree, leaf, value ARRAY<DOUBLE>)`` of a fitted ensemble, or of one boosted model per class.
+
+    ``value`` is what a row in the leaf adds to the running sums: the weighted margin (one number) of binary
+    boosting, class shares of a forest, the margin at its class of one model per class. ``step`` is the
+    0-based checkpoint from which the tree counts; with one model per class, round r of every class is step r.
+    """
+    if isinstance(model, (list, tuple)):
+        out, first = None, 0
+        for c, m in enumerate(model):
+            one = leaf_values(m).select("step", (F.col("tree") + first).cast("int").alias("tree"), "leaf", F.array(
+                *[F.get("value", F.lit(0)) if k == c else F.lit(0.0) for k in range(len(model))]).alias("value"))
+            out, first = one if out is None else out.unionByName(one), first + len(_tree_model(m).trees)
+        return out
     tm = _tree_model(model)
-    n_trees = len(tm.trees)
-    max_depth = tm.getOrDefault("maxDepth")
-    bound = n_trees * (2 ** max_depth) * (n_classes if kind == "forest" else 1)
-    if bound > MAX_LEAF_ENTRIES:
-        raise ValueError(f"leaf table bound {bound} exceeds {MAX_LEAF_ENTRIES}; lower nest or maxDepth")
-    rows = leaf_table(model).orderBy("tree", "leaf").collect()  # <= bound rows, proven above
-    weights = list(tm.treeWeights) if kind == "boost" else [1.0] * n_trees
-    flat, offsets, cur_tree, width = [], [], -1, 1 if kind == "boost" else n_classes
-    for r in rows:
-        while cur_tree < r["tree"]:
-            offsets.append(len(flat))
-            cur_tree += 1
-        if kind == "boost":
-            flat.append(float(r["prediction"]) * weights[r["tree"]])
-        else:
-            stats = list(r["stats"])
-            tot = sum(stats) or 1.0
-            flat.extend([s / tot for s in stats] + [0.0] * (n_classes - len(stats)))
-    while len(offsets) < n_trees:
-        offsets.append(len(flat))
-    return flat, offsets, width
+    leaves = leaf_table(model).select(F.col("tree").cast("int").alias("step"), F.col("tree").cast("int").alias("tree"), "leaf", "prediction", "stats")
+    if isinstance(tm, GBTClassificationModel):
+        weight = F.get(const_array(list(tm.treeWeights)), F.col("tree"))
+        return leaves.select("step", "tree", "leaf", F.array(F.col("prediction") * weight).alias("value"))
+    total = F.aggregate("stats", F.lit(0.0), lambda a, v: a + v)
+    share = F.transform("stats", lambda v: v / F.when(total == 0, F.lit(1.0)).otherwise(total))
+    return leaves.select("step", "tree", "leaf", share.alias("value"))
+
+
+def ensemble_kind(model) -> str:
+    if isinstance(model, (list, tuple)):
+        return "ovr"
+    tm = _tree_model(model)
+    if isinstance(tm, GBTClassificationModel):
+        return "logit"
+    if isinstance(tm, RandomForestClassificationModel):
+        return "mean"
+    raise TypeError("staging supports GBT and random-forest classification models")
+
+
+def with_leaves(model, df: DataFrame, col: str = "_lf") -> DataFrame:
+    """``df`` and the leaf index per tree as an array (the trees of several models one after the other)."""
+    models = list(model) if isinstance(model, (list, tuple)) else [model]
+    out = df
+    for c, m in enumerate(models):
+        out = m.transform(out).withColumn(f"{col}{c}", vector_to_array("_leaf")).drop("_features", "_leaf", "rawPrediction", "probability", "prediction")
+    parts = [f"{col}{c}" for c in range(len(models))]
+    return out.withColumn(col, F.transform(F.concat(*parts), lambda v: v.cast("int"))).drop(*parts)
 
 
 # ------------------------------------------------------------------ K3 / K4
@@ -124,138 +166,162 @@ _DYN_SCHEMA = ("confidence double, aleatoric double, variability double, correct
                "entropy double, n_checkpoints long")
 
 
-def _numpy_staged(flat, offsets, width, steps, kind):
-    """Arrow-batched kernel: leaf indices (n, T) -> dynamics of the gold-label history."""
+class _LeafArrays:
+    """A collected leaf table: one row of ``values`` per (tree, leaf), trees in rising step."""
+
+    def __init__(self, rows: list):
+        import numpy as np
+
+        rows = sorted(rows, key=lambda r: (r["step"], r["tree"], r["leaf"]))
+        self.values = np.array([r["value"] for r in rows], dtype=np.float64)
+        tree = np.array([r["tree"] for r in rows], dtype=np.int64)
+        leaf = np.array([r["leaf"] for r in rows], dtype=np.int64)
+        first = np.concatenate([[True], tree[1:] != tree[:-1]])
+        self.trees = tree[first]  # which entry of a row's leaf array
+        self.offsets = np.flatnonzero(first) - leaf[first]  # so that offset + leaf is the place
+        step = np.array([r["step"] for r in rows], dtype=np.int64)[first]
+        self.ends = np.flatnonzero(np.concatenate([step[1:] != step[:-1], [True]]))  # last tree of each step
+
+    def gold(self, leaves, y, kind: str, steps: int):
+        """(rows, steps): the probability of label ``y`` after each of the first steps. ``leaves``: (rows, trees)."""
+        import numpy as np
+
+        ends = self.ends[:steps]
+        last = int(ends[-1]) + 1
+        sums = np.cumsum(self.values[self.offsets[:last] + leaves[:, self.trees[:last]]], axis=1)[:, ends]
+        if kind == "logit":
+            return 1.0 / (1.0 + np.exp(-2.0 * (2 * y[:, None] - 1) * sums[:, :, 0]))
+        mine = np.take_along_axis(sums, y[:, None, None], axis=2)[:, :, 0]
+        if kind == "mean":
+            return mine / (ends + 1)[None, :]
+        return 1.0 / (1.0 + np.exp(-2.0 * mine)) / (1.0 / (1.0 + np.exp(-2.0 * sums))).sum(axis=2)
+
+
+def _gold_by_join(rows: DataFrame, leaf: str, label: str, values: DataFrame, kind: str) -> DataFrame:
+    """``rows`` and ``_g``, the gold probability after each step, by a join on (tree, leaf)."""
+    numbered = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()), "leaf-rows")
+    long = numbered.select("_row", F.posexplode(leaf).alias("_tree", "_leaf_id"))
+    held = values.select(F.col("tree").alias("_tree"), F.col("leaf").alias("_leaf_id"), F.col("step").alias("_step"), F.col("value").alias("_value"))
+    per_step = long.join(held, ["_tree", "_leaf_id"]).groupBy("_row").agg(  # one entry per tree
+        F.sort_array(F.collect_list(F.struct(F.col("_step").alias("s"), F.col("_tree").alias("t"), F.col("_value").alias("v")))).alias("_vs"))
+    out = numbered.join(per_step, "_row")
+    y = F.col(label).cast("int")
+    sigmoid = lambda v: 1 / (1 + F.exp(-2 * v))
+
+    def gold(total, n):
+        if kind == "logit":
+            return sigmoid((2 * y - 1) * F.get(total, F.lit(0)))
+        if kind == "mean":
+            return F.get(total, y) / n
+        return sigmoid(F.get(total, y)) / F.aggregate(total, F.lit(0.0), lambda a, v: a + sigmoid(v))
+
+    def walk(acc, i):
+        one, following = F.get(F.col("_vs"), i), F.get(F.col("_vs"), i + 1)
+        total = F.when(i == 0, one["v"]).otherwise(F.zip_with(acc["total"], one["v"], lambda a, b: a + b))
+        ends = following["s"].isNull() | (following["s"] != one["s"])
+        return F.struct(total.alias("total"), F.when(ends, F.concat(acc["g"], F.array(gold(total, i + 1)))).otherwise(acc["g"]).alias("g"))
+
+    empty = F.array().cast("array<double>")
+    folded = F.aggregate(F.sequence(F.lit(0), F.size("_vs") - 1), F.struct(empty.alias("total"), empty.alias("g")), walk, lambda acc: acc["g"])
+    return out.withColumn("_g", folded).drop("_row", "_vs")
+
+
+def fold_leaves(rows: DataFrame, values: DataFrame, kind: str, leaf: str = "_lf", label: str = "y", include_last: bool = False,
+                history: bool = False, broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
+    """``rows`` (without ``leaf``) and the dynamics of the gold probability over the steps of a leaf table; with ``history`` the
+    probabilities themselves (``p``). The last step is left out unless ``include_last``.
+
+    ``rows`` holds a leaf index per tree (``leaf``) and the label; ``values`` is a table as ``leaf_values`` gives it."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind {kind!r}; use one of {KINDS}")
+    values = cut_lineage(values, "leaf-values")
+    size = values.agg(F.coalesce(F.sum(F.size("value")), F.lit(0)).alias("n"), F.countDistinct("step").alias("steps")).first()
+    steps = size["steps"] - (0 if include_last else 1)
+    if steps < 1:
+        raise ValueError("need at least two trees (checkpoints stop at nest - 1)")
+    keep = [c for c in rows.columns if c != leaf]
+    if size["n"] > broadcast_leaves:
+        out = _gold_by_join(rows, leaf, label, values, kind).withColumn("_g", F.slice("_g", 1, steps))
+        if history:
+            return out.select(*keep, F.col("_g").alias("p"))
+        return dyn.wide_dynamics(out.select(*keep, "_g"), "_g").select(*keep, *dyn.METRIC_COLUMNS, "n_checkpoints")
+    shared = rows.sparkSession.sparkContext.broadcast(_LeafArrays(values.collect()))  # at most ``broadcast_leaves`` numbers
+    import warnings
+
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        udf = pandas_udf(_fold_batches(shared, kind, steps, history), "array<double>" if history else _DYN_SCHEMA, PandasUDFType.SCALAR)
+    out = rows.select(*keep, udf(F.col(leaf), F.col(label)).alias("_d"))
+    return out.select(*keep, F.col("_d").alias("p")) if history else out.select(*keep, "_d.*")
+
+
+def _fold_batches(shared, kind: str, steps: int, history: bool):
     import numpy as np
     import pandas as pd
 
-    flat_a = np.asarray(flat, dtype=np.float64)
-    off_a = np.asarray(offsets, dtype=np.int64)
-
-    def fn(leaf, y):  # (pd.Series of arrays, pd.Series) -> pd.DataFrame
+    def fn(leaf, y):  # (pd.Series of arrays, pd.Series) -> pd.DataFrame or pd.Series of arrays
         n = len(leaf)
         if n == 0:
-            return pd.DataFrame({c.split()[0]: [] for c in _DYN_SCHEMA.split(", ")})
-        L = np.stack(leaf.to_numpy()).astype(np.int64)[:, :steps]
-        yy = y.to_numpy().astype(np.int64)
-        idx = off_a[None, :steps] + L * width
-        if kind == "boost":
-            margin = np.cumsum(flat_a[idx], axis=1)
-            g = 1.0 / (1.0 + np.exp(-2.0 * (2 * yy[:, None] - 1) * margin))
-        else:
-            g = np.cumsum(flat_a[idx + yy[:, None]], axis=1) / np.arange(1, steps + 1)[None, :]
-        conf = g.mean(axis=1)
+            return pd.Series([], dtype=object) if history else pd.DataFrame({c.split()[0]: [] for c in _DYN_SCHEMA.split(", ")})
+        g = shared.value.gold(np.stack(leaf.to_numpy()).astype(np.int64), y.to_numpy().astype(np.int64), kind, steps)
+        if history:
+            return pd.Series(list(g))
         return pd.DataFrame({
-            "confidence": conf, "aleatoric": (g * (1 - g)).mean(axis=1), "variability": g.std(axis=1),
-            "correctness": (g > 0.5).mean(axis=1), "entropy": -(g * np.log(g + 1e-12)).sum(axis=1),
-            "n_checkpoints": np.full(n, steps, dtype=np.int64)})
+            "confidence": g.mean(axis=1), "aleatoric": (g * (1 - g)).mean(axis=1), "variability": g.std(axis=1),
+            "correctness": (g > 0.5).mean(axis=1), "entropy": -(g * np.log(g + dyn.EPS)).sum(axis=1),
+            "n_checkpoints": np.full(n, g.shape[1], dtype=np.int64)})
 
     return fn
 
 
-def staged_dynamics(model, df: DataFrame, label: str = "y", include_last: bool = False,
-                    n_classes: int = 2, keep_leaves: bool = False, engine: str = "numpy") -> DataFrame:
+def staged_dynamics(model, df: DataFrame, label: str = "y", include_last: bool = False, engine: str = "numpy") -> DataFrame:
     """Per-row dynamics over checkpoints i = 1..nest-1 (or nest) in one pass.
 
-    Boosted trees: p_i = sigmoid(2 * sum_{t<i} w_t * leaf_t), gold = p or 1-p.
-    Random forest (K4): p_i = mean_{t<i} leaf class-probability of the label.
+    Boosted trees: p_i = sigmoid(2 * sum_{t<i} w_t * leaf_t), gold = p or 1-p; one model per class (a list): the
+    sigmoid of the label's margin over the sum of all classes' sigmoids. Random forest (K4): p_i = mean_{t<i} leaf
+    class-probability of the label, any number of classes.
 
-    ``engine='numpy'`` (default) folds the history in an Arrow-batched pandas UDF
-    (vectorised gather + cumsum per batch); ``engine='sql'`` is the pure
-    higher-order-function version (no Python worker, interpreted lambdas).
+    ``engine='sql'`` is the higher-order-function version of one model (no Python worker, the leaf table as a literal).
     """
-    tm = _tree_model(model)
-    kind = "boost" if isinstance(tm, GBTClassificationModel) else "forest"
-    if kind == "forest" and not isinstance(tm, RandomForestClassificationModel):
-        raise TypeError("staging supports GBT and random-forest classification models")
-    flat, offsets, width = _flat_leaf_values(model, kind, n_classes)
-    n_trees = len(offsets)
+    if engine == "sql":
+        return _dynamics_in_sql(model, df, label, include_last)
+    return fold_leaves(with_leaves(model, df), leaf_values(model), ensemble_kind(model), "_lf", label, include_last)
+
+
+def _dynamics_in_sql(model, df: DataFrame, label: str, include_last: bool) -> DataFrame:
+    boost = ensemble_kind(model) == "logit"
+    rows = leaf_values(model).orderBy("tree", "leaf").collect()  # the leaves of a model that the driver holds anyway
+    width, n_trees = len(rows[0]["value"]), rows[-1]["tree"] + 1
+    offsets = [0] * n_trees
+    for k in reversed(range(len(rows))):
+        offsets[rows[k]["tree"]] = k * width
     steps = n_trees if include_last else n_trees - 1
-    if steps < 1:
-        raise ValueError("need at least two trees (checkpoints stop at nest - 1)")
-    scored = model.transform(df)
-    scored = scored.withColumn("_lf", vector_to_array("_leaf"))
-    if engine == "numpy":
-        import warnings
-
-        from pyspark.sql.functions import PandasUDFType, pandas_udf
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            udf = pandas_udf(_numpy_staged(flat, offsets, width, steps, kind), _DYN_SCHEMA, PandasUDFType.SCALAR)
-        keep = list(df.columns)
-        out = scored.select(*keep, *(["_lf"] if keep_leaves else []), udf(F.col("_lf"), F.col(label)).alias("_d"))
-        return out.select(*keep, *(["_lf"] if keep_leaves else []), "_d.*")
-    flat_lit = const_array(flat)
-    off_lit = const_array(offsets, "int")
+    flat_lit, off_lit = const_array([v for r in rows for v in r["value"]]), const_array(offsets, "int")
     y = F.col(label).cast("int")
 
     def contrib(t):
-        base = F.element_at(off_lit, t + 1) + F.element_at(F.col("_lf"), t + 1).cast("int") * width
-        return F.element_at(flat_lit, base + (y if kind == "forest" else F.lit(0)) + 1)
-
-    def gold(state, t):
-        if kind == "boost":
-            return 1 / (1 + F.exp(-2 * (2 * y - 1) * state))
-        return state / (t + 1)
-
-    zero = F.lit(0.0)
-    init = F.struct(zero.alias("F"), zero.alias("g"), zero.alias("s1"), zero.alias("s2"),
-                    zero.alias("sq"), zero.alias("sc"), zero.alias("se"))
-
-    def step(acc, t):
-        newf = acc["F"] + contrib(t)
-        g = acc["g"]  # gold probability of the previous checkpoint (0 before the first)
-        return F.struct(newf.alias("F"), gold(newf, t).alias("g"),
-                        (acc["s1"] + g).alias("s1"), (acc["s2"] + g * g).alias("s2"),
-                        (acc["sq"] + g * (1 - g)).alias("sq"),
-                        (acc["sc"] + (g > 0.5).cast("double")).alias("sc"),
-                        (acc["se"] + g * F.log(g + F.lit(dyn.EPS))).alias("se"))
-
-    def finish(acc):
-        g = acc["g"]
-        return F.struct((acc["s1"] + g).alias("s1"), (acc["s2"] + g * g).alias("s2"),
-                        (acc["sq"] + g * (1 - g)).alias("sq"),
-                        (acc["sc"] + (g > 0.5).cast("double")).alias("sc"),
-                        (acc["se"] + g * F.log(g + F.lit(dyn.EPS))).alias("se"))
-
-    agg = F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), init, step, finish)
-    n = float(steps)
-    keep = [c for c in df.columns]
-    out = scored.select(*keep, agg.alias("_s"), *(["_lf"] if keep_leaves else []))
-    conf = F.col("_s.s1") / n
-    out = out.select(
-        *keep, *(["_lf"] if keep_leaves else []),
-        conf.alias("confidence"),
-        (F.col("_s.sq") / n).alias("aleatoric"),
-        F.sqrt(F.greatest(F.col("_s.s2") / n - conf * conf, F.lit(0.0))).alias("variability"),
-        (F.col("_s.sc") / n).alias("correctness"),
-        (-F.col("_s.se")).alias("entropy"),
-        F.lit(steps).cast("long").alias("n_checkpoints"))
-    return out
+        place = F.element_at(off_lit, t + 1) + F.element_at(F.col("_lf"), t + 1) * width
+        return F.element_at(flat_lit, place + (F.lit(0) if boost else y) + 1)
 
+    def walk(acc, t):
+        total = acc["F"] + contrib(t)
+        g = 1 / (1 + F.exp(-2 * (2 * y - 1) * total)) if boost else total / (t + 1)
+        return F.struct(total.alias("F"), (acc["s1"] + g).alias("s1"), (acc["s2"] + g * g).alias("s2"), (acc["sq"] + g * (1 - g)).alias("sq"),
+                        (acc["sc"] + (g > 0.5).cast("double")).alias("sc"), (acc["se"] + g * F.log(g + F.lit(dyn.EPS))).alias("se"))
 
-def staged_probabilities(model, df: DataFrame, label: str = "y", include_last: bool = False,
-                         n_classes: int = 2) -> DataFrame:
-    """K8 accessor: the gold-label history as ``p ARRAY<DOUBLE>`` (O(nest^2) per row: inspection only)."""
-    tm = _tree_model(model)
-    kind = "boost" if isinstance(tm, GBTClassificationModel) else "forest"
-    flat, offsets, width = _flat_leaf_values(model, kind, n_classes)
-    steps = len(offsets) if include_last else len(offsets) - 1
-    scored = model.transform(df).withColumn("_lf", vector_to_array("_leaf"))
-    flat_lit = const_array(flat)
-    off_lit = const_array(offsets, "int")
-    y = F.col(label).cast("int")
-    contribs = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda t: F.element_at(
-        flat_lit, F.element_at(off_lit, t + 1) + F.element_at(F.col("_lf"), t + 1).cast("int") * width
-        + (y if kind == "forest" else F.lit(0)) + 1))
-    scored = scored.withColumn("_c", contribs)
-    if kind == "boost":
-        p = F.transform(F.col("_c"), lambda _x, i: 1 / (1 + F.exp(
-            -2 * (2 * y - 1) * F.aggregate(F.slice(F.col("_c"), 1, i + 1), F.lit(0.0), lambda a, v: a + v))))
-    else:
-        p = F.transform(F.col("_c"), lambda _x, i: F.aggregate(
-            F.slice(F.col("_c"), 1, i + 1), F.lit(0.0), lambda a, v: a + v) / (i + 1))
-    return scored.select(*df.columns, p.alias("p"))
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("F", "s1", "s2", "sq", "sc", "se")])
+    folded = with_leaves(model, df).withColumn("_s", F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), start, walk))
+    n, conf = float(steps), F.col("_s.s1") / float(steps)
+    return folded.select(*df.columns, conf.alias("confidence"), (F.col("_s.sq") / n).alias("aleatoric"),
+                         F.sqrt(F.greatest(F.col("_s.s2") / n - conf * conf, F.lit(0.0))).alias("variability"),
+                         (F.col("_s.sc") / n).alias("correctness"), (-F.col("_s.se")).alias("entropy"),
+                         F.lit(steps).cast("long").alias("n_checkpoints"))
+
+
+def staged_probabilities(model, df: DataFrame, label: str = "y", include_last: bool = False) -> DataFrame:
+    """K8 accessor: the gold-label history as ``p ARRAY<DOUBLE>``."""
+    return fold_leaves(with_leaves(model, df), leaf_values(model), ensemble_kind(model), "_lf", label, include_last, history=True)
 
 
 # ------------------------------------------------------------------ K5
@@ -269,7 +335,7 @@ def epoch_refit_history(train: DataFrame, check: DataFrame, features: Sequence[s
     parts = []
     for i, e in enumerate(epochs, start=1):
         lr = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=int(e))
-        m = Pipeline(stages=[_assembler(features), lr]).fit(train)
+        m = without_summary(Pipeline(stages=[_assembler(features), lr]).fit(train))
         pr = m.transform(check).select(*keys, label, vector_to_array("probability").alias("_pr"))
         parts.append(pr.select(*keys, label, F.lit(i).alias("checkpoint"),
                                dyn.gold_probability(F.col("_pr"), F.col(label)).alias("p")))

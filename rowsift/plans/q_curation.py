@@ -181,26 +181,25 @@ def k18_curate_lineitem(spark, sf):
 @register("k2_curate_retrain")
 def k2_curate_retrain(spark, sf):
     f1 = fx.labelled(spark, sf)
-    scored = staging.curate(None, f1, fx.FEATURES, "y", retrain=True, nest=10, max_depth=4)
+    scored = staging.curate(None, f1, fx.FEATURES, "y", retrain=True)
     return scored.groupBy("grp").agg(F.count("*").alias("n_rows"))
 
 
 @register("k20_curate_sources")
 def k20_curate_sources(spark, sf):
-    """Curate every generated source against one trusted table, adaptive threshold per source."""
+    """Curate every generated source against one trusted table (real rows with their own label), adaptive threshold per source."""
     f4 = fx.real_syn(spark, sf)
-    trusted = sampling.stratified_sample(f4.where(F.col("source") == "real"), "y", 100, "rid")
+    trusted = sampling.stratified_sample(f4.where("source = 'real' AND y = CAST(l_extendedprice * (1 - l_discount) > 30000 AS INT)"), "y", 100, "rid")
     check = f4.where(F.col("source") != "real")
-    scored = staging.curate(trusted, check, fx.FEATURES, "y", nest=10, max_depth=4, xthresh=0,
-                            metric="aleatoric", by=["source"])
+    scored = staging.curate(trusted, check, fx.FEATURES, "y", xthresh=0, metric="aleatoric", by=["source"])
     return scored.groupBy("source", "grp").agg(F.count("*").alias("n_rows"))
 
 
 @register("k4_forest_staging")
 def k4_forest_staging(spark, sf):
     f1 = fx.labelled(spark, sf)
-    trusted = sampling.stratified_sample(f1, "y", 200, "rid")
-    m = staging.fit_forest(trusted, fx.FEATURES, "y", nest=10, max_depth=4)
+    trusted = sampling.stratified_sample(f1.where("flip = 0"), "y", 200, "rid")
+    m = staging.fit_forest(trusted, fx.FEATURES, "y")
     d = staging.staged_dynamics(m, f1, "y")
     return dyn.assign_groups(dyn.add_mi(d, []), by=[]).groupBy("grp").agg(F.count("*").alias("n_rows"))
 
@@ -208,7 +207,89 @@ def k4_forest_staging(spark, sf):
 @register("k5_epoch_refit")
 def k5_epoch_refit(spark, sf):
     f1 = fx.labelled(spark, sf)
-    trusted = sampling.stratified_sample(f1, "y", 200, "rid")
-    long = staging.epoch_refit_history(trusted, f1, fx.FEATURES, "y", epochs=(1, 2, 4))
+    trusted = sampling.stratified_sample(f1.where("flip = 0"), "y", 200, "rid")
+    long = staging.epoch_refit_history(trusted, f1, fx.FEATURES, "y")
     g = dyn.dynamics_groups(long, keys=["rid"], carry=["y"], by=[], with_mi=False)
     return g.groupBy("grp").agg(F.count("*").alias("n_rows"))
+
+
+# ---------------------------------------------------------------- staged folds by value
+# Trees of a fixed shape (two splits each, thresholds spread over the columns' ranges) whose leaf values come from
+# the trusted rows by one aggregate, so that SQL can follow every value.
+_N_TREES = 24
+_RANGES = [("l_quantity", 1.0, 50.0), ("l_extendedprice", 1000.0, 90000.0), ("l_discount", 0.0, 0.1), ("l_tax", 0.0, 0.08)]
+_TRUSTED = "substring(md5(concat(rid, '|', 't')), 1, 1) < '4' AND flip = 0"
+_LABEL3 = "CASE WHEN l_quantity > 38 THEN 2 ELSE y END"
+
+
+def _splits(tree: int) -> list[str]:
+    """The conditions of a tree's two splits; leaf = 2 * first + second."""
+    out = []
+    for k in (tree, tree + 1 + tree // 4):
+        name, low, high = _RANGES[k % 4]
+        out.append(f"{name} > {low + (high - low) * ((5 * k + 3) % 11 + 1) / 13:.6f}")
+    return out
+
+
+_LEAVES = ", ".join(f"2 * CAST({a} AS INTEGER) + CAST({b} AS INTEGER)" for a, b in map(_splits, range(_N_TREES)))
+
+
+def _leaf_sql(label: str) -> str:
+    return f"""
+r AS (SELECT row_number() OVER () AS r, rid, {label} AS y, {_TRUSTED} AS trusted, [{_LEAVES}] AS leaf FROM ({F1}) f1),
+x AS (SELECT r, rid, y, trusted, unnest(leaf) AS leaf, unnest(range({_N_TREES})) AS tree FROM r)"""
+
+
+_STAGED_OUT = """
+SELECT rid, y, round(avg(g), 6) AS confidence, round(avg(g * (1 - g)), 6) AS aleatoric, round(stddev_pop(g), 6) AS variability,
+       round(-sum(g * ln(g + 1e-12)), 6) AS entropy, count(*) AS n_checkpoints FROM p GROUP BY r, rid, y"""
+
+
+def _leaf_rows(spark, sf, label: str):
+    f1 = fx.labelled(spark, sf)
+    return f1.select("rid", F.expr(label).alias("y"), F.expr(_TRUSTED).alias("trusted"), F.expr(f"array({_LEAVES})").alias("leaf"))
+
+
+def _leaf_means(rows, value):
+    """(step, tree, leaf, value) from the trusted rows."""
+    long = rows.where("trusted").select("y", F.posexplode("leaf").alias("tree", "leaf"))
+    return long.groupBy("tree", "leaf").agg(value.alias("value")).select(F.col("tree").alias("step"), "tree", "leaf", "value")
+
+
+def _staged_out(d):
+    return d.select("rid", "y", *[r6(c) for c in ("confidence", "aleatoric", "variability", "entropy")], "n_checkpoints")
+
+
+def _all_leaves(values, width: int):
+    """Leaves that no trusted row reaches add nothing."""
+    every = values.sparkSession.range(_N_TREES * 4).select((F.col("id") / 4).cast("int").alias("tree"), (F.col("id") % 4).cast("int").alias("leaf"))
+    none = F.array(*[F.lit(0.0)] * width)
+    return every.join(values.drop("step"), ["tree", "leaf"], "left").select(F.col("tree").alias("step"), "tree", "leaf", F.coalesce("value", none).alias("value"))
+
+
+@register("k3_staged_margins", f"""
+WITH {_leaf_sql("y")},
+v AS (SELECT tree, leaf, 0.3 * avg(2 * y - 1) AS v FROM x WHERE trusted GROUP BY tree, leaf),
+f AS (SELECT r, rid, y, x.tree, sum(coalesce(v, 0)) OVER (PARTITION BY r ORDER BY x.tree) AS f
+      FROM x LEFT JOIN v ON v.tree = x.tree AND v.leaf = x.leaf),
+p AS (SELECT r, rid, y, 1 / (1 + exp(-2 * (2 * y - 1) * f)) AS g FROM f WHERE tree < {_N_TREES - 1})
+{_STAGED_OUT}""")
+def k3_staged_margins(spark, sf):
+    """Margins of boosted trees after every step, for every row."""
+    rows = _leaf_rows(spark, sf, "y")
+    values = _all_leaves(_leaf_means(rows, F.array(0.3 * F.avg(2 * F.col("y") - 1))), 1)
+    return _staged_out(staging.fold_leaves(rows.drop("trusted"), values, "logit", "leaf"))
+
+
+@register("k4_staged_class_means", f"""
+WITH {_leaf_sql(_LABEL3)},
+v AS (SELECT tree, leaf, c, avg(CAST(x.y = c AS DOUBLE)) AS v FROM x, (SELECT unnest([0, 1, 2]) AS c) WHERE trusted GROUP BY tree, leaf, c),
+f AS (SELECT r, rid, y, x.tree, sum(coalesce(v, 0)) OVER (PARTITION BY r ORDER BY x.tree) / (x.tree + 1) AS g
+      FROM x LEFT JOIN v ON v.tree = x.tree AND v.leaf = x.leaf AND v.c = x.y),
+p AS (SELECT * FROM f WHERE tree < {_N_TREES - 1})
+{_STAGED_OUT}""")
+def k4_staged_class_means(spark, sf):
+    """Class means of a forest over three classes after every tree, for every row."""
+    rows = _leaf_rows(spark, sf, _LABEL3)
+    values = _all_leaves(_leaf_means(rows, F.array(*[F.avg((F.col("y") == c).cast("double")) for c in range(3)])), 3)
+    return _staged_out(staging.fold_leaves(rows.drop("trusted"), values, "mean", "leaf"))

@@ -78,10 +78,7 @@ def e5_downstream_sources(spark, sf):
     f4 = fx.real_syn(spark, sf)
     test = f4.where(F.substring(F.md5(F.concat("rid", F.lit("|t"))), 1, 1) < "4").drop("source")
     train = f4.where(F.substring(F.md5(F.concat("rid", F.lit("|t"))), 1, 1) >= "4")
-    clfs = ev.classifiers()
-    clfs["gbt"].setMaxIter(10)
-    clfs["rf"].setNumTrees(10)
-    m = ev.downstream(train, test, fx.FEATURES, "y", clfs)
+    m = ev.downstream(train, test, fx.FEATURES, "y")
     return ev.mean_over_classifiers(m).select("source", r6("accuracy"), r6("auc"))
 
 
@@ -89,4 +86,4 @@ def e5_downstream_sources(spark, sf):
 def e7_oracle_agreement(spark, sf):
     roles = _split(spark, sf)
     f4 = fx.real_syn(spark, sf)
-    return ev.oracle_agreement(roles.where(F.col("role") == "oracle"), f4, fx.FEATURES, "y", nest=10)
+    return ev.oracle_agreement(roles.where(F.col("role") == "oracle"), f4, fx.FEATURES, "y")
