@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 
 from rowsift.functions.hashing import h
 from rowsift.functions.literals import const_array
+from rowsift.operators.attach import attach
 
 
 def sq_dist(a: Column, b: Column) -> Column:
@@ -41,7 +42,8 @@ QUERY_BLOCK_ROWS = 1024
 
 def _block_kernel(mode: str, k: int, exclude_self: bool):
     """numpy kernel for one (cell, sub, query-block) group: exact distances of the block's
-    queries to the cell's reference rows; emits per-query top-k ('knn') or in-ball pairs ('range')."""
+    queries to the cell's reference rows; emits per-query top-k ('knn') or, per query, the number of
+    balls it lies in ('range': one row per query, `_rid` null, the count as `d`)."""
     import numpy as np
     import pandas as pd
 
@@ -61,7 +63,9 @@ def _block_kernel(mode: str, k: int, exclude_self: bool):
             if exclude_self:
                 d = np.where(qid[s:s + step, None] == rid[None, :], np.inf, d)
             if mode == "range":
-                qi, ri = np.nonzero(d < rad[None, :])
+                oq.append(qid[s:s + step])
+                orr.append(rid[:0])
+                od.append((d < rad[None, :]).sum(axis=1).astype(np.float64))
             else:
                 kk = min(k, d.shape[1])
                 kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
@@ -71,9 +75,11 @@ def _block_kernel(mode: str, k: int, exclude_self: bool):
                 first = np.searchsorted(qi, qi, "left")
                 keep = np.arange(len(qi)) - first < k
                 qi, ri = qi[keep], ri[keep]
-            oq.append(qid[s + qi])
-            orr.append(rid[ri])
-            od.append(d[qi, ri])
+                oq.append(qid[s + qi])
+                orr.append(rid[ri])
+                od.append(d[qi, ri])
+        if mode == "range":
+            return pd.DataFrame({"_qid": np.concatenate(oq), "_rid": pd.Series([None] * sum(map(len, oq)), dtype=object), "d": np.concatenate(od)})
         return pd.DataFrame({"_qid": np.concatenate(oq), "_rid": np.concatenate(orr), "d": np.concatenate(od)})
 
     return fn
@@ -83,23 +89,12 @@ def _block_pairs(cand: DataFrame, refp: DataFrame, mode: str, k: int = 0, exclud
     """Route candidate (query, cell, sub) rows and reference (cell, sub) rows into bounded groups
     (query blocks of <= QUERY_BLOCK_ROWS per cell-sub; the cell's reference rows are repeated per
     block) and run the numpy kernel per group. Emits at most k rows per query per group."""
-    counts = {(r["_qcell"], r["_qsub"]): r["n"] for r in
-              cand.groupBy("_qcell", "_qsub").agg(F.count("*").alias("n")).collect()}  # <= cells * subs rows
-    nb = {key: max(1, math.ceil(n / QUERY_BLOCK_ROWS)) for key, n in counts.items()}
-    m = max([c for c, _ in nb] + [0]) + 1
-    width = max([s for _, s in nb] + [0]) + 1
-    flat = [1] * (m * width)
-    for (c, s_), b in nb.items():
-        flat[c * width + s_] = b
-    blocks = const_array(flat, "int")
-
-    def nblk(cell, sub):
-        return F.element_at(blocks, cell * width + sub + 1)
-
-    q = cand.withColumn("_qb", F.pmod(F.xxhash64("_qid"), nblk(F.col("_qcell"), F.col("_qsub"))).cast("int"))
+    counts = cand.groupBy("_qcell", "_qsub").agg(F.ceil(F.count("*") / QUERY_BLOCK_ROWS).cast("int").alias("_nb"))
+    q = attach(cand, counts, ["_qcell", "_qsub"])
+    q = q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.col("_nb")).cast("int"))
     q = q.select(F.col("_qcell").alias("_c"), F.col("_qsub").alias("_sb"), "_qb", "_qid", "_qv")
-    r = refp.where(F.col("_cell") < m).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.coalesce(nblk(F.col("_cell"), F.col("_sub")), F.lit(1)) - 1)))
+    r = attach(refp, counts.select(F.col("_qcell").alias("_cell"), F.col("_qsub").alias("_sub"), "_nb"), ["_cell", "_sub"])
+    r = r.where("_nb IS NOT NULL").withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     rcols = ["_rid", "_rv"] + (["_rad"] if mode == "range" else [])
     r = r.select(F.col("_cell").alias("_c"), F.col("_sub").alias("_sb"), "_qb", *rcols)
     schema = f"_qid {dict(cand.dtypes)['_qid']}, _rid {dict(refp.dtypes)['_rid']}, d double"
@@ -199,9 +194,11 @@ def kth_distance(df: DataFrame, id_col: str, k: int, vec: str = "embedding",
     return nn.where(F.col("rank") == k).select(id_col, F.col("d").alias("radius"))
 
 
-def range_pairs(query: DataFrame, ref: DataFrame, q_id: str, r_id: str, radius: str, vec: str = "embedding",
-                n_pivots: int | None = None, index: PivotIndex | None = None) -> DataFrame:
-    """All (q, r) with d(q, r) < radius(r): reference rows carry their own ball radius.
+def range_counts(query: DataFrame, ref: DataFrame, q_id: str, r_id: str, radius: str, vec: str = "embedding",
+                 n_pivots: int | None = None, index: PivotIndex | None = None) -> DataFrame:
+    """``(q_id, n)``: for every query row with a candidate cell, the number of reference rows r with
+    d(q, r) < radius(r) (reference rows carry their own ball radius). Counted where the distances are
+    computed: a task gives one row per query, never a pair.
 
     Candidate cells: lower bound d(q, p_c) - R_c < max radius in c (one small aggregate).
     """
@@ -218,5 +215,5 @@ def range_pairs(query: DataFrame, ref: DataFrame, q_id: str, r_id: str, radius:
     cand = cand.withColumn("_qsub", F.explode(F.sequence(F.lit(0), F.element_at(s_lit, F.col("_qcell") + 1) - 1)))
     cand = cand.select("_qid", F.col(idx.vec).alias("_qv"), "_qcell", "_qsub")
     refp = rr.select(F.col(idx.id_col).alias("_rid"), F.col(idx.vec).alias("_rv"), "_rad", "_cell", "_sub")
-    pairs = _block_pairs(cand, refp, "range")
-    return pairs.select(F.col("_qid").alias(q_id), F.col("_rid").alias(r_id), "d")
+    counted = _block_pairs(cand, refp, "range")
+    return counted.groupBy(F.col("_qid").alias(q_id)).agg(F.sum("d").cast("long").alias("n"))

@@ -10,9 +10,9 @@ Scale notes
   key never ships its raw rows to one task).
 * Wide form: pure per-row higher-order functions, no shuffle at all.
 * ``mi`` and the adaptive threshold need one scalar per group (``source``):
-  computed by an aggregate whose output has one row per group and joined
-  back on the group key; AQE turns that join into a broadcast only after it
-  has measured the aggregate at runtime.
+  computed by an aggregate whose output has one row per group and brought
+  back by ``attach`` (measured, then broadcast; salted beyond), so rows never
+  move by group.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowsift.operators.attach import attach
+from rowsift.session import cut_lineage
+
 EPS = 1e-12
 METRIC_COLUMNS = ["confidence", "aleatoric", "variability", "correctness", "entropy"]
 # Names accepted for the uncertainty axis of the grouping.
@@ -109,12 +112,8 @@ def add_mi(dyn: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
     plus ``mi_row`` = entropy - (-c ln c), the per-row textbook variant."""
     c = F.col("confidence")
     term = c * F.log(c + F.lit(EPS))
-    if by:
-        e = dyn.groupBy(*by).agg((-F.sum(term)).alias("_E"))
-        out = dyn.join(e, list(by), "left")
-    else:
-        e = dyn.agg((-F.sum(term)).alias("_E"))
-        out = dyn.crossJoin(F.broadcast(e))  # one row, size proven
+    e = (dyn.groupBy(*by) if by else dyn).agg((-F.sum(term)).alias("_E"))
+    out = attach(dyn, e, list(by))
     return (out.withColumn("mi", F.col("entropy") - F.col("_E"))
                .withColumn("mi_row", F.col("entropy") + term)
                .drop("_E"))
@@ -144,12 +143,8 @@ def assign_groups(dyn: DataFrame, metric: str = "aleatoric", ythresh: float = 0.
     out = dyn.withColumn("uncertainty", F.col(ucol))
     if xthresh == 0:
         u = F.col("uncertainty")
-        if by:
-            thr = out.groupBy(*by).agg((F.lit(0.75) * (F.max(u) - F.min(u))).alias("xthresh"))
-            out = out.join(thr, list(by), "left")
-        else:
-            thr = out.agg((F.lit(0.75) * (F.max(u) - F.min(u))).alias("xthresh"))
-            out = out.crossJoin(F.broadcast(thr))
+        thr = (out.groupBy(*by) if by else out).agg((F.lit(0.75) * (F.max(u) - F.min(u))).alias("xthresh"))
+        out = attach(out, thr, list(by))
     else:
         out = out.withColumn("xthresh", F.lit(float(xthresh)))
     c, u, x = F.col(conf), F.col("uncertainty"), F.col("xthresh")
@@ -170,7 +165,6 @@ def dynamics_groups(long_df: DataFrame, keys: Sequence[str] = ("source", "rid"),
     instead of repeating the (rows x checkpoints) shuffle."""
     dyn = row_dynamics(long_df, keys, carry=carry)
     if with_mi or xthresh == 0:
-        from rowsift.session import cut_lineage
         dyn = cut_lineage(dyn, "row-dynamics")
     if with_mi:
         dyn = add_mi(dyn, by)

@@ -2,7 +2,7 @@
 
 Fits are ``pyspark.ml`` jobs; scoring is table work: one conditional-count
 aggregate for accuracy / precision / recall / F1 and a rank-sum AUC computed
-from per-score counts (pre-aggregated, then the two-level prefix sum), so no
+from per-score counts (pre-aggregated, then range-partitioned running sums), so no
 window ever holds a whole (source, classifier) partition.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsift.functions.encode import standardise
-from rowsift.operators.quality import ordered_prefix
+from rowsift.operators.ordered import running
 from rowsift.operators.staging import without_summary
 
 KEYS = ("source", "clf")
@@ -54,16 +54,19 @@ def classification_metrics(pred: DataFrame, by: Sequence[str] = KEYS, y: str = "
 
 
 # ------------------------------------------------------------------ E3
-def roc_auc(pred: DataFrame, by: Sequence[str] = KEYS, y: str = "y", score: str = "score") -> DataFrame:
-    """Rank-sum AUC with ties (= sum_s pos_s * (neg_below_s + neg_s / 2) / (P * N)); one class -> 0."""
+def roc_auc(pred: DataFrame, by: Sequence[str] = KEYS, y: str = "y", score: str = "score", y_pred: str = "y_pred") -> DataFrame:
+    """Rank-sum AUC with ties (= sum_s pos_s * (neg_below_s + neg_s / 2) / (P * N)) from integer counts; one class -> 0.
+    A row without a score counts with its hard prediction."""
     by = list(by)
-    per = pred.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(
-        F.sum((F.col(y) == 1).cast("double")).alias("pos"), F.sum((F.col(y) != 1).cast("double")).alias("neg"))
-    pre = ordered_prefix(per.select(*by, "_s", "neg"), by, "_s", "neg").join(per.select(*by, "_s", "pos"), by + ["_s"])
-    agg = pre.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("cum") - F.col("neg") / 2)).alias("_u"),
-                               F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    s = F.col(score).cast("double")
+    if y_pred in pred.columns:
+        s = F.coalesce(s, F.col(y_pred).cast("double"))
+    per = pred.where(s.isNotNull()).groupBy(*by, s.alias("_s")).agg(
+        F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
+    agg = running(per, by, "_s", ["neg"]).groupBy(*by).agg(
+        F.sum(F.col("pos") * (2 * F.col("cum_neg") - F.col("neg"))).alias("_u2"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return agg.select(*by, F.when((F.col("P") == 0) | (F.col("N") == 0), F.lit(0.0))
-                      .otherwise(F.col("_u") / (F.col("P") * F.col("N"))).alias("auc"))
+                      .otherwise(F.col("_u2") / 2 / (F.col("P").cast("double") * F.col("N"))).alias("auc"))
 
 
 # ------------------------------------------------------------------ E1 / E5
@@ -78,8 +81,8 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
     asm = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="keep")
     m = without_summary(Pipeline(stages=[asm, clf]).fit(train.withColumn("_label", F.col(label).cast("double"))))
     out = m.transform(test.withColumn("_label", F.col(label).cast("double")))
-    return out.select(*keys, F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("y_pred"),
-                      vector_to_array("probability")[1].alias("score"))
+    score = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
+    return out.select(*keys, F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("y_pred"), score.alias("score"))
 
 
 def evaluate_model(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, clf) -> DataFrame:

@@ -1,9 +1,11 @@
 """Statistical closeness of a synthetic table to a reference table (Q0-Q10).
 
 Column-wise metrics (Q3-Q6, Q8, Q10) are grouped aggregates over the long
-(``unpivot``) form, with one two-level prefix-sum for the ordered ones.
-Vector metrics (Q1, Q2, Q7, Q9) use the exact pivot-pruned neighbour search
-of ``distance.py`` - no cross join, no all-pairs.
+(``unpivot``) form, with range-partitioned running counts for the ordered ones
+(``ordered.py``). Per-column values reach the rows by a measured broadcast
+(``attach.py``), so rows never move by column. Vector metrics (Q1, Q2, Q7, Q9)
+use the exact pivot-pruned neighbour search of ``distance.py`` - no cross
+join, no pair of rows leaves a task.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from pyspark.sql.window import Window
 
 from rowsift.functions.literals import const_array
 from rowsift.operators import distance as dst
+from rowsift.operators import sampling as smp
+from rowsift.operators.attach import attach
+from rowsift.operators.ordered import quantiles, running
 from rowsift.session import cut_lineage
 
 EPS = 1e-10
@@ -40,7 +45,7 @@ def histograms(real: DataFrame, syn: DataFrame, cols: Sequence[str], bins: int =
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.greatest(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(0)),
                 F.lit(bins - 1))).cast("int")
-    counts = (both.join(rng, "col").withColumn("bin", b)
+    counts = (attach(both, rng, ["col"]).where(F.col("lo").isNotNull()).withColumn("bin", b)
                   .groupBy("col", "bin").agg(F.sum((F.col("side") == "real").cast("long")).alias("n_real"),
                                              F.sum((F.col("side") == "syn").cast("long")).alias("n_syn")))
     w = Window.partitionBy("col")  # one row per (col, bin): bounded by cols * bins
@@ -77,87 +82,61 @@ def chi_squared(hist: DataFrame) -> DataFrame:
         (F.count("*") - 1).alias("dof"), F.sum("outside").alias("outside"))
 
 
-# ------------------------------------------------------------------ ordered prefix sums (Q5 / Q8 / Q10)
-def ordered_prefix(df: DataFrame, part: Sequence[str], v: str, w: str, buckets: int = 1024) -> DataFrame:
-    """Running sum of ``w`` over ascending ``v`` per ``part`` plus the next distinct value.
-
-    Input is pre-aggregated to one row per (part, v). Two levels keep every
-    window bounded: equal-width value buckets per part -> bucket totals ->
-    prefix offsets (cols x buckets rows) -> running sum inside a bucket.
-    """
-    part = list(part)
-    df = cut_lineage(df)  # read three times below: materialise the pre-aggregated input once
-    rng = df.groupBy(*part).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col(v) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).cast("int")
-    d = df.join(rng, part).withColumn("_b", b).drop("_lo", "_hi")
-    tot = d.groupBy(*part, "_b").agg(F.sum(w).alias("_bt"), F.min(v).alias("_bmin"))
-    wb = Window.partitionBy(*part).orderBy("_b")
-    tot = (tot.withColumn("_off", F.sum("_bt").over(wb.rowsBetween(Window.unboundedPreceding, -1)))
-              .withColumn("_next_bmin", F.lead("_bmin").over(wb)))
-    d = d.join(tot.select(*part, "_b", "_off", "_next_bmin"), part + ["_b"])
-    wi = Window.partitionBy(*part, "_b").orderBy(v)
-    return (d.withColumn("cum", F.coalesce(F.col("_off"), F.lit(0.0)) + F.sum(w).over(wi.rowsBetween(Window.unboundedPreceding, 0)))
-             .withColumn("next_v", F.coalesce(F.lead(v).over(wi), F.col("_next_bmin")))
-             .drop("_b", "_off", "_next_bmin"))
-
-
+# ------------------------------------------------------------------ ordered counts (Q5 / Q8 / Q10)
 def _cdf_gap(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """col, v, gap (difference of the distribution functions at v), next_v; from integer counts."""
     both = _both(real, syn, cols).where(F.col("v").isNotNull())
-    n = both.groupBy("col").agg(F.sum((F.col("side") == "real").cast("double")).alias("nr"),
-                                F.sum((F.col("side") == "syn").cast("double")).alias("ns"))
-    pre = (both.groupBy("col", "v").agg(F.sum((F.col("side") == "real").cast("double")).alias("cr"),
-                                        F.sum((F.col("side") == "syn").cast("double")).alias("cs"))
-               .join(n, "col").withColumn("wt", F.col("cr") / F.col("nr") - F.col("cs") / F.col("ns")))
-    return ordered_prefix(pre.select("col", "v", "wt"), ["col"], "v", "wt")
+    per = cut_lineage(both.groupBy("col", "v").agg(F.sum((F.col("side") == "real").cast("long")).alias("cr"),
+                                                   F.sum((F.col("side") == "syn").cast("long")).alias("cs")), "value-counts")
+    n = per.groupBy("col").agg(F.sum("cr").alias("nr"), F.sum("cs").alias("ns"))
+    at = attach(running(per, ["col"], "v", ["cr", "cs"]), n, ["col"])
+    share = lambda c, n: F.coalesce(F.try_divide(F.col(c), F.col(n)), F.lit(0.0))
+    return at.select("col", "v", (share("cum_cr", "nr") - share("cum_cs", "ns")).alias("gap"), "next_v")
 
 
 def kolmogorov_smirnov(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column the two-sample KS statistic and 1 - statistic."""
     g = _cdf_gap(real, syn, cols)
-    return g.groupBy("col").agg(F.max(F.abs("cum")).alias("statistic")).withColumn("score", 1 - F.col("statistic"))
+    return g.groupBy("col").agg(F.max(F.abs("gap")).alias("statistic")).withColumn("score", 1 - F.col("statistic"))
 
 
 def wasserstein_1d(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column exact 1-D Wasserstein-1: integral of |F_real - F_syn|."""
     g = _cdf_gap(real, syn, cols)
-    return g.groupBy("col").agg(F.sum(F.abs("cum") * F.coalesce(F.col("next_v") - F.col("v"), F.lit(0.0))).alias("distance"))
+    return g.groupBy("col").agg(F.sum(F.abs("gap") * F.coalesce(F.col("next_v") - F.col("v"), F.lit(0.0))).alias("distance"))
 
 
-def kaplan_meier(df: DataFrame, time: str, event: str, by: Sequence[str] = ("source",)) -> DataFrame:
-    """Survival curve per group: S(t) = prod_{t_i <= t} (1 - d_i / n_i) as exp(sum(log(...)))."""
+def _survival(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, t, survival from rows (by, t, c, d): c leave at t, d of them by the event."""
     by = list(by)
-    ev = df.groupBy(*by, F.col(time).cast("double").alias("t")).agg(
-        F.count("*").cast("double").alias("c"), F.sum(F.col(event).cast("double")).alias("d"))
-    total = ev.groupBy(*by).agg(F.sum("c").alias("_n"))
-    pre = ordered_prefix(ev.select(*by, "t", "c"), by, "t", "c")
-    j = pre.join(ev.select(*by, "t", "d"), by + ["t"]).join(total, by)
-    at_risk = F.col("_n") - F.col("cum") + F.col("c")
-    term = F.when(F.col("d") >= at_risk, F.lit(None)).otherwise(F.log(1 - F.col("d") / at_risk))
-    lg = j.withColumn("lterm", F.coalesce(term, F.lit(-1e300)))
-    s = ordered_prefix(lg.select(*by, "t", "lterm"), by, "t", "lterm")
-    return s.select(*by, "t", F.exp(F.col("cum")).alias("survival"))
+    counts = cut_lineage(counts, "event-counts")
+    total = counts.groupBy(*by).agg(F.sum("c").alias("_n"))
+    at = attach(running(counts, by, "t", ["c"]), total, by)
+    at_risk = F.col("_n") - F.col("cum_c") + F.col("c")
+    ends = (F.col("d") > 0) & (F.col("d") >= at_risk)
+    steps = at.select(*by, "t", F.when(ends | (F.col("d") <= 0), F.lit(0.0)).otherwise(F.log(1 - F.col("d") / at_risk)).alias("log"),
+                      ends.cast("long").alias("ended"))
+    done = running(steps, by, "t", ["log", "ended"])
+    return done.select(*by, "t", F.when(F.col("cum_ended") > 0, F.lit(0.0)).otherwise(F.exp("cum_log")).alias("survival"))
+
+
+def kaplan_meier(df: DataFrame, time: str, event: str, by: Sequence[str] = ("source",)) -> DataFrame:
+    """Survival curve per group: S(t) = prod_{t_i <= t} (1 - d_i / n_i)."""
+    return _survival(df.groupBy(*by, F.col(time).cast("double").alias("t")).agg(
+        F.count("*").alias("c"), F.coalesce(F.sum(F.col(event).cast("long")), F.lit(0)).alias("d")), by)
 
 
 def km_distance(df: DataFrame, time: str, event: str, a: str, b: str, src: str = "source") -> DataFrame:
     """Mean absolute gap between the KM curves of sources ``a`` and ``b`` over the union of
     their times: both curves are evaluated on the union grid (zero counts where a source
     has no row), so each step function is defined at every grid time."""
-    sub = df.where(F.col(src).isin(a, b)).select(F.col(src).alias("_s"), F.col(time).cast("double").alias("t"),
-                                                 F.col(event).cast("double").alias("e"))
-    grid = sub.select("t").distinct().withColumn("_s", F.explode(F.array(F.lit(a), F.lit(b))))
-    cnt = sub.groupBy("_s", "t").agg(F.count("*").cast("double").alias("c"), F.sum("e").alias("d"))
-    full = grid.join(cnt, ["_s", "t"], "left").na.fill(0.0, ["c", "d"])
-    total = full.groupBy("_s").agg(F.sum("c").alias("_n"))
-    pre = ordered_prefix(full.select("_s", "t", "c"), ["_s"], "t", "c").join(full.select("_s", "t", "d"), ["_s", "t"])
-    at_risk = F.col("_n") - F.col("cum") + F.col("c")
-    lterm = F.when(at_risk <= 0, F.lit(0.0)).when(F.col("d") >= at_risk, F.lit(-1e300)).otherwise(
-        F.log(1 - F.col("d") / at_risk))
-    lg = pre.join(total, "_s").withColumn("lterm", lterm)
-    surv = ordered_prefix(lg.select("_s", "t", "lterm"), ["_s"], "t", "lterm").select("_s", "t", F.exp("cum").alias("S"))
-    sa = surv.where(F.col("_s") == a).select("t", F.col("S").alias("sa"))
-    sb = surv.where(F.col("_s") == b).select("t", F.col("S").alias("sb"))
-    return sa.join(sb, "t").agg(F.avg(F.abs(F.col("sa") - F.col("sb"))).alias("distance"))
+    one = lambda s: (F.col(src) == s)
+    per = df.where(F.col(src).isin(a, b)).groupBy(F.col(time).cast("double").alias("t")).agg(*[
+        F.struct(F.sum(one(s).cast("long")).alias("c"), F.coalesce(F.sum(F.when(one(s), F.col(event).cast("long"))), F.lit(0)).alias("d"), F.lit(s).alias("s")).alias(k)
+        for k, s in (("a", a), ("b", b))])
+    grid = per.select("t", F.explode(F.array("a", "b")).alias("x")).select(F.col("x.s").alias("s"), "t", "x.c", "x.d")
+    curves = _survival(grid, ["s"]).groupBy("t").agg(F.sum(F.when(F.col("s") == a, F.col("survival")).otherwise(-F.col("survival"))).alias("gap"))
+    return curves.agg(F.avg(F.abs("gap")).alias("distance"))
 
 
 # ------------------------------------------------------------------ Q1 PRDC
@@ -175,14 +154,14 @@ def prdc(real: DataFrame, syn: DataFrame, id_col: str, vec: str, k: int = 5,
     r_real = dst.kth_distance(real, id_col, k, vec, index=ir).withColumnRenamed("radius", "r")
     r_syn = dst.kth_distance(syn, id_col, k, vec, index=is_).withColumnRenamed("radius", "r")
     n, m = ir.n_rows, is_.n_rows
-    p_pairs = dst.range_pairs(syn.withColumnRenamed(id_col, "_sid"), r_real, "_sid", id_col, "r", vec, index=ir)
-    pr = p_pairs.agg(F.countDistinct("_sid").alias("a"), F.count("*").alias("b")).first()
-    r_pairs = dst.range_pairs(real.withColumnRenamed(id_col, "_rid2"), r_syn, "_rid2", id_col, "r", vec, index=is_)
-    rec = r_pairs.agg(F.countDistinct("_rid2")).first()[0] / max(n, 1)
+    inside = dst.range_counts(syn.withColumnRenamed(id_col, "_sid"), r_real, "_sid", id_col, "r", vec, index=ir)
+    pr = inside.agg(F.sum((F.col("n") > 0).cast("long")).alias("a"), F.sum("n").alias("b")).first()
+    covered = dst.range_counts(real.withColumnRenamed(id_col, "_rid2"), r_syn, "_rid2", id_col, "r", vec, index=is_)
+    rec = (covered.agg(F.sum((F.col("n") > 0).cast("long"))).first()[0] or 0) / max(n, 1)
     nn = dst.knn(real, None, 1, id_col, "_sid", vec, index=is_)
     cov = nn.join(r_real, id_col).agg(F.sum((F.col("d") < F.col("r")).cast("long"))).first()[0] or 0
-    return spark.createDataFrame([("precision", pr["a"] / max(m, 1)), ("recall", float(rec)),
-                                  ("density", pr["b"] / max(k * m, 1)), ("coverage", cov / max(n, 1))],
+    return spark.createDataFrame([("precision", (pr["a"] or 0) / max(m, 1)), ("recall", float(rec)),
+                                  ("density", (pr["b"] or 0) / max(k * m, 1)), ("coverage", cov / max(n, 1))],
                                  "metric string, score double")
 
 
@@ -202,16 +181,17 @@ ALPHAS = [i / 29 for i in range(30)]
 
 
 def alpha_precision(real: DataFrame, syn: DataFrame, id_col: str, vec: str,
-                    n_pivots: int | None = None) -> DataFrame:
+                    n_pivots: int | None = None, seed=42) -> DataFrame:
     """Naive alpha-precision / beta-recall on raw features plus authenticity.
 
-    Centre = mean real vector; alpha-ball radii = alpha-quantiles of the real
-    distances to the centre. delta_precision_alpha = 1 - 2 * mean|P(alpha) - alpha|,
+    The larger table is first cut to the size of the smaller one (D10). Centre = mean real
+    vector; alpha-ball radii = exact alpha-quantiles of the real distances to the centre. delta_precision_alpha = 1 - 2 * mean|P(alpha) - alpha|,
     delta_coverage_beta likewise with real rows inside synthetic balls;
     authenticity = share of synthetic rows farther from their nearest real row
     than that real row is from its own nearest real neighbour.
     """
     spark = real.sparkSession
+    real, syn = (cut_lineage(x.select(id_col, vec), "matched") for x in smp.size_match(real, syn, id_col, seed))
     d = len(real.select(vec).first()[0])
     cen = real.agg(*[F.avg(F.element_at(vec, i + 1)).alias(f"c{i}") for i in range(d)]).first()
     center = const_array([float(cen[f"c{i}"]) for i in range(d)])
@@ -219,11 +199,11 @@ def alpha_precision(real: DataFrame, syn: DataFrame, id_col: str, vec: str,
     s_center = const_array([float(scen[f"c{i}"]) for i in range(d)])
     rd = real.select(dst.dist(F.col(vec), center).alias("r"))
     sd = syn.select(dst.dist(F.col(vec), center).alias("r"))
-    radii = rd.agg(F.percentile("r", ALPHAS).alias("q")).first()["q"]
+    radii = quantiles(rd, "r", ALPHAS)
     prec = sd.agg(*[F.avg((F.col("r") <= F.lit(float(q))).cast("double")).alias(f"a{i}") for i, q in enumerate(radii)]).first()
     curve = [prec[f"a{i}"] for i in range(len(ALPHAS))]
     srd = syn.select(dst.dist(F.col(vec), s_center).alias("r"))
-    sradii = srd.agg(F.percentile("r", ALPHAS).alias("q")).first()["q"]
+    sradii = quantiles(srd, "r", ALPHAS)
     rrd = real.select(dst.dist(F.col(vec), s_center).alias("r"))
     cov = rrd.agg(*[F.avg((F.col("r") <= F.lit(float(q))).cast("double")).alias(f"b{i}") for i, q in enumerate(sradii)]).first()
     bcurve = [cov[f"b{i}"] for i in range(len(ALPHAS))]

@@ -3,14 +3,17 @@ standard errors, text cells, subgroup sizes, top-k, outlier removal, trends."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import PCA, PolynomialExpansion, StandardScaler, VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rowsift.operators.attach import attach
+from rowsift.session import cut_lineage
+
 
 # ------------------------------------------------------------------ R1
 def grid(results: DataFrame, axes: Sequence[str] = ("dataset", "ns", "seed")) -> DataFrame:
@@ -95,14 +98,12 @@ def top_k(df: DataFrame, k: int, order: Column, by: Sequence[str] = ("seed",),
 def drop_outliers(df: DataFrame, key: Sequence[str], value: str, z: float = 1.0) -> DataFrame:
     """Keep |z| < t within each key group (population std); if nothing survives or std = 0, keep all.
 
-    Group statistics are an aggregate joined back on the key (no window holds a group)."""
+    Group statistics are aggregates attached to the rows (no window holds a group, no row moves by group)."""
     st = df.groupBy(*key).agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))
-    j = df.join(st, list(key))
     zval = F.abs(F.col(value) - F.col("_mu")) / F.col("_sd")
-    j = j.withColumn("_keep", F.when(F.col("_sd") == 0, F.lit(True)).otherwise(zval < z))
+    j = cut_lineage(attach(df, st, list(key)).withColumn("_keep", F.when(F.col("_sd") == 0, F.lit(True)).otherwise(zval < z)), "z-scores")
     any_keep = j.groupBy(*key).agg(F.max(F.col("_keep").cast("int")).alias("_any"))
-    j = j.join(any_keep, list(key))
-    return j.where(F.col("_keep") | (F.col("_any") == 0)).drop("_mu", "_sd", "_keep", "_any")
+    return attach(j, any_keep, list(key)).where(F.col("_keep") | (F.col("_any") == 0)).select(*df.columns)
 
 
 # ------------------------------------------------------------------ R11
@@ -110,13 +111,56 @@ def mean_by_size(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.groupBy(x).agg(F.avg(y).alias("mean")).orderBy(x)
 
 
+def _minor(m: list[list[str]], i: int, j: int) -> list[list[str]]:
+    return [[c for k, c in enumerate(row) if k != j] for r, row in enumerate(m) if r != i]
+
+
+def determinant(m: list[list[str]]) -> str:
+    """Determinant of a square matrix of SQL expressions, as an expression (cofactors along the first row)."""
+    if len(m) == 1:
+        return f"({m[0][0]})"
+    terms = [f"{'-' if j % 2 else '+'} ({m[0][j]}) * {determinant(_minor(m, 0, j))}" for j in range(len(m))]
+    return f"({' '.join(terms)})"
+
+
+def trend_sql(degree: int = 3) -> list[str]:
+    """Least-squares coefficients (power 0 upwards) over the moments ``s0..`` (sums of powers of x) and ``t0..`` (sums
+    of powers of x times y), by Cramer's rule. The same text runs in any SQL engine."""
+    n = degree + 1
+    left = [[f"s{i + j}" for j in range(n)] for i in range(n)]
+    whole = determinant(left)
+    return [f"{determinant([[f't{i}' if j == k else left[i][j] for j in range(n)] for i in range(n)])} / {whole}" for k in range(n)]
+
+
+def polynomial_trend(df: DataFrame, x: str, y: str, by: Sequence[str] = (), degree: int = 3) -> DataFrame:
+    """by..., n, c0..c<degree>: the least-squares polynomial of y over z = (x - center) / spread of each group, with
+    ``center`` (mean of x) and ``spread`` (largest distance from it, 1 if 0). One aggregate of power sums per group;
+    coefficients are null where a group has too few distinct x."""
+    by = list(by)
+    at = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    st = (at.groupBy(*by) if by else at).agg(F.avg("_x").alias("center"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    spread = F.greatest(F.col("_hi") - F.col("center"), F.col("center") - F.col("_lo"))
+    st = st.select(*by, "center", F.when(spread > 0, spread).otherwise(1.0).alias("spread"))
+    z = (F.col("_x") - F.col("center")) / F.col("spread")
+    power = lambda k: F.lit(1.0) if k == 0 else power(k - 1) * z
+    keys = [*by, "center", "spread"]
+    sums = attach(at, st, by).groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("_x").alias("_distinct"),
+                                                *[F.sum(power(k)).alias(f"s{k}") for k in range(2 * degree + 1)],
+                                                *[F.sum(power(k) * F.col("_y")).alias(f"t{k}") for k in range(degree + 1)])
+    fits = F.col("_distinct") > degree
+    return sums.select(*keys, "n", *[F.when(fits, F.expr(c)).alias(f"c{k}") for k, c in enumerate(trend_sql(degree))])
+
+
 def cubic_trend(df: DataFrame, x: str, y: str, degree: int = 3) -> list[float]:
-    """Least-squares polynomial coefficients (highest power first, as polyfit)."""
-    asm = VectorAssembler(inputCols=[x], outputCol="_x")
-    pe = PolynomialExpansion(degree=degree, inputCol="_x", outputCol="_px")
-    d = pe.transform(asm.transform(df.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))))
-    m = LinearRegression(featuresCol="_px", labelCol=y, solver="normal", regParam=0.0).fit(d)
-    return list(reversed([float(c) for c in m.coefficients])) + [float(m.intercept)]
+    """Polynomial coefficients over x itself (highest power first, as polyfit); empty with too few distinct x."""
+    r = polynomial_trend(df, x, y, degree=degree).first()
+    if r is None or r["c0"] is None:
+        return []
+    out = [0.0] * (degree + 1)
+    for k in range(degree + 1):  # c_k * ((x - center) / spread)^k, expanded
+        for j in range(k + 1):
+            out[j] += r[f"c{k}"] / r["spread"] ** k * math.comb(k, j) * (-r["center"]) ** (k - j)
+    return out[::-1]
 
 
 # ------------------------------------------------------------------ R13

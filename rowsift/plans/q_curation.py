@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rowsift.operators import dynamics as dyn
 from rowsift.operators import sampling, staging
 from rowsift.plans.catalog import r6, register
+from rowsift.session import cut_lineage
 from rowsift.sources import fixtures as fx
 
 F2 = fx.F2_SQL
@@ -82,10 +83,10 @@ JOIN (SELECT source, -sum(confidence * ln(confidence + 1e-12)) AS big_e FROM ({_
 """
 
 
-@register("k14_mi", f"SELECT source, rid, round(mi, 3) AS mi, round(mi_row, 6) AS mi_row FROM ({_MI_SQL}) m")
+@register("k14_mi", f"SELECT source, rid, round(mi, 6) AS mi, round(mi_row, 6) AS mi_row FROM ({_MI_SQL}) m")
 def k14_mi(spark, sf):
-    m = dyn.add_mi(_dyn(spark, sf), ["source"])
-    return m.select("source", "rid", r6("mi", places=3), r6("mi_row"))
+    m = dyn.add_mi(cut_lineage(_dyn(spark, sf), "row-dynamics"), ["source"])
+    return m.select("source", "rid", r6("mi"), r6("mi_row"))
 
 
 @register("k15_metric_epistemic", f"""
@@ -108,7 +109,7 @@ FROM ({_DYN_SQL}) d JOIN (SELECT source, 0.75 * (max(aleatoric) - min(aleatoric)
                           FROM ({_DYN_SQL}) x GROUP BY source) t ON d.source = t.source
 GROUP BY d.source, t.xthresh""")
 def k16_adaptive_threshold(spark, sf):
-    g = dyn.assign_groups(_dyn(spark, sf), metric="aleatoric", ythresh=0.2, xthresh=0)
+    g = dyn.assign_groups(cut_lineage(_dyn(spark, sf), "row-dynamics"), metric="aleatoric", ythresh=0.2, xthresh=0)
     return g.groupBy("source", "xthresh").agg(
         F.sum((F.col("grp") == "hard").cast("long")).alias("n_hard"),
         F.sum((F.col("grp") == "easy").cast("long")).alias("n_easy"),

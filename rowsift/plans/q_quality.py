@@ -177,9 +177,30 @@ def q9_nearest_synthetic_distance(spark, sf):
                                          n_pivots=16).select(r6("score"))
 
 
-@register("q2_alpha_precision")
+_ALPHA_SQL = f"""
+WITH v AS {_V},
+c AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM v GROUP BY is_real)),
+m AS (SELECT vec_id, embedding, is_real FROM (SELECT *, row_number() OVER (PARTITION BY is_real ORDER BY md5(concat(CAST(vec_id AS VARCHAR), '|42')), vec_id) AS rk FROM v)
+      WHERE rk <= (SELECT n FROM c)),
+e AS (SELECT is_real, i, avg(x) AS x FROM (SELECT is_real, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM m) GROUP BY is_real, i),
+ctr AS (SELECT is_real AS c_real, list(x ORDER BY i) AS center FROM e GROUP BY is_real),
+r AS (SELECT is_real, c_real, list_distance(embedding, center) AS r FROM m, ctr),
+q AS (SELECT c_real, unnest([i / 29.0 FOR i IN range(30)]) AS a, unnest(quantile_cont(r, [i / 29.0 FOR i IN range(30)])) AS radius FROM r WHERE is_real = c_real GROUP BY c_real),
+p AS (SELECT q.c_real, a, avg(CAST(r <= radius AS DOUBLE)) AS inside FROM q JOIN r ON r.c_real = q.c_real AND r.is_real <> r.c_real GROUP BY q.c_real, a),
+d AS (SELECT c_real, 1 - 2 * sum(abs(inside - a)) / 30 AS score FROM p GROUP BY c_real),
+rr AS (SELECT a.vec_id AS i, min(list_distance(a.embedding, b.embedding)) AS r1 FROM m a, m b
+       WHERE a.is_real AND b.is_real AND a.vec_id <> b.vec_id GROUP BY a.vec_id),
+sr AS (SELECT j, i, d FROM (SELECT y.vec_id AS j, x.vec_id AS i, list_distance(y.embedding, x.embedding) AS d,
+              row_number() OVER (PARTITION BY y.vec_id ORDER BY list_distance(y.embedding, x.embedding), x.vec_id) AS rk
+       FROM m y, m x WHERE NOT y.is_real AND x.is_real) z WHERE rk = 1)
+SELECT CASE WHEN c_real THEN 'delta_precision_alpha' ELSE 'delta_coverage_beta' END AS metric, round(score, 6) AS score FROM d
+UNION ALL SELECT 'authenticity', round(avg(CAST(rr.r1 < sr.d AS DOUBLE)), 6) FROM sr JOIN rr ON sr.i = rr.i"""
+
+
+@register("q2_alpha_precision", _ALPHA_SQL)
 def q2_alpha_precision(spark, sf):
-    return qm.alpha_precision(_f5(spark, sf, True), _f5(spark, sf, False), "vec_id", "embedding", n_pivots=16)
+    out = qm.alpha_precision(_f5(spark, sf, True), _f5(spark, sf, False), "vec_id", "embedding", n_pivots=16)
+    return out.select("metric", r6("score"))
 
 
 @register("q2_authenticity", f"""

@@ -133,11 +133,26 @@ def r11_mean_gain_by_size(spark, sf):
     return rp.mean_by_size(fx.subgroup_gains(spark, sf), "n_orig", "gain").select("n_orig", r6("mean"))
 
 
-@register("r11_cubic_trend")
+_MOMENTS = ", ".join([f"sum(power(z, {k})) AS s{k}" for k in range(7)] + [f"sum(power(z, {k}) * gain) AS t{k}" for k in range(4)])
+
+
+def _trend_oracle(by: str) -> str:
+    """Least squares from moments of z = (x - center) / spread; too few distinct sizes: null."""
+    return f"""
+WITH g AS ({F9}),
+c AS (SELECT {by} AS k, avg(n_orig) AS center, greatest(max(n_orig) - avg(n_orig), avg(n_orig) - min(n_orig)) AS spread FROM g GROUP BY {by}),
+x AS (SELECT {by} AS k, center, CASE WHEN spread > 0 THEN spread ELSE 1 END AS spread, gain, n_orig,
+             (n_orig - center) / CASE WHEN spread > 0 THEN spread ELSE 1 END AS z FROM g JOIN c ON c.k = {by}),
+m AS (SELECT k, center, spread, count(*) AS n, count(DISTINCT n_orig) AS d, {_MOMENTS} FROM x GROUP BY k, center, spread)
+SELECT k AS {by}, n, round(center, 6) AS center, round(spread, 6) AS spread,
+       {", ".join(f"CASE WHEN d > 3 THEN round({c}, 6) END AS c{k}" for k, c in enumerate(rp.trend_sql(3)))} FROM m"""
+
+
+@register("r11_cubic_trend", _trend_oracle("seed"))
 def r11_cubic_trend(spark, sf):
-    m = rp.mean_by_size(fx.subgroup_gains(spark, sf), "n_orig", "gain")
-    coefs = rp.cubic_trend(m, "n_orig", "mean")
-    return spark.createDataFrame([(i, float(c)) for i, c in enumerate(coefs)], "power_rank int, coef double")
+    """The cubic trend of gain over group size, per seed."""
+    t = rp.polynomial_trend(fx.subgroup_gains(spark, sf), "n_orig", "gain", ["seed"])
+    return t.select("seed", "n", r6("center"), r6("spread"), *[r6(f"c{k}") for k in range(4)])
 
 
 @register("r12_mean_ci95", f"""
