@@ -85,3 +85,20 @@ def quantiles(df: DataFrame, v: str, shares: Sequence[float]) -> list[float]:
     places = [s * (n - 1) for s in shares]
     at = values_at_ranks(df, v, [int(f(p)) for p in places for f in (math.floor, math.ceil)])
     return [at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)]) for p in places]
+
+
+def quantiles_by(df: DataFrame, part: Sequence[str], v: str, shares: Sequence[float]) -> DataFrame:
+    """part..., q (array): exact quantiles per part, linear between neighbouring ranks, from running counts: one row
+    per part, however many parts there are."""
+    part = list(part)
+    per = df.select(*part, F.col(v).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    per = cut_lineage(per.groupBy(*part, "_v").agg(F.count("*").alias("_c")), "value-counts")
+    at = attach(running(per, part, "_v", ["_c"]), per.groupBy(*part).agg(F.sum("_c").alias("_n")), part)
+    places = F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(float(s)) * (F.col("_n") - 1)).alias("p")) for k, s in enumerate(shares)])
+    mine = F.filter(places, lambda x: (F.floor(x["p"]) >= F.col("cum__c") - F.col("_c")) & (F.floor(x["p"]) < F.col("cum__c")))
+    hit = at.select(*part, "_v", "next_v", "cum__c", F.explode(mine).alias("x"))
+    upper = F.when(F.ceil("x.p") < F.col("cum__c"), F.col("_v")).otherwise(F.col("next_v"))
+    between = F.col("x.p") - F.floor("x.p")
+    value = F.when(between == 0, F.col("_v")).otherwise(F.col("_v") + between * (upper - F.col("_v")))
+    return hit.groupBy(*part).agg(F.sort_array(F.collect_list(F.struct(F.col("x.k").alias("k"), value.alias("v")))).alias("q")) \
+        .select(*part, F.transform("q", lambda x: x["v"]).alias("q"))  # one entry per share

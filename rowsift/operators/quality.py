@@ -21,7 +21,7 @@ from rowsift.functions.literals import const_array
 from rowsift.operators import distance as dst
 from rowsift.operators import sampling as smp
 from rowsift.operators.attach import attach
-from rowsift.operators.ordered import quantiles, running
+from rowsift.operators.ordered import quantiles, quantiles_by, running
 from rowsift.session import cut_lineage
 
 EPS = 1e-10
@@ -53,19 +53,19 @@ def histograms(real: DataFrame, syn: DataFrame, cols: Sequence[str], bins: int =
                   .withColumn("q", F.col("n_syn") / F.sum("n_syn").over(w)))
 
 
-def inverse_kl(hist: DataFrame) -> DataFrame:
+def inverse_kl(hist: DataFrame, by: Sequence[str] = ("col",)) -> DataFrame:
     """Per column 1 / (1 + KL(real || syn)), smoothed; plus the mean over columns."""
-    kl = hist.groupBy("col").agg(F.sum(F.when(F.col("p") > 0, F.col("p") * F.log(
+    kl = hist.groupBy(*by).agg(F.sum(F.when(F.col("p") > 0, F.col("p") * F.log(
         F.col("p") / (F.col("q") + F.lit(EPS))))).alias("kl"))
-    return kl.select("col", (1 / (1 + F.coalesce(F.col("kl"), F.lit(0.0)))).alias("score"))
+    return kl.select(*by, (1 / (1 + F.coalesce(F.col("kl"), F.lit(0.0)))).alias("score"))
 
 
-def jensen_shannon(hist: DataFrame) -> DataFrame:
+def jensen_shannon(hist: DataFrame, by: Sequence[str] = ("col",)) -> DataFrame:
     m = (F.col("p") + F.col("q")) / 2
     term = (F.when(F.col("p") > 0, F.col("p") * F.log(F.col("p") / m)).otherwise(0)
             + F.when(F.col("q") > 0, F.col("q") * F.log(F.col("q") / m)).otherwise(0)) / 2
-    js = hist.groupBy("col").agg(F.sum(term).alias("js"))
-    return js.select("col", F.col("js").alias("divergence"), F.sqrt(F.greatest(F.col("js"), F.lit(0.0))).alias("distance"))
+    js = hist.groupBy(*by).agg(F.sum(term).alias("js"))
+    return js.select(*by, F.col("js").alias("divergence"), F.sqrt(F.greatest(F.col("js"), F.lit(0.0))).alias("distance"))
 
 
 def chi_squared(hist: DataFrame) -> DataFrame:
@@ -86,12 +86,16 @@ def chi_squared(hist: DataFrame) -> DataFrame:
 def _cdf_gap(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> DataFrame:
     """col, v, gap (difference of the distribution functions at v), next_v; from integer counts."""
     both = _both(real, syn, cols).where(F.col("v").isNotNull())
-    per = cut_lineage(both.groupBy("col", "v").agg(F.sum((F.col("side") == "real").cast("long")).alias("cr"),
-                                                   F.sum((F.col("side") == "syn").cast("long")).alias("cs")), "value-counts")
-    n = per.groupBy("col").agg(F.sum("cr").alias("nr"), F.sum("cs").alias("ns"))
-    at = attach(running(per, ["col"], "v", ["cr", "cs"]), n, ["col"])
+    return _gaps(both.groupBy("col", "v").agg(F.sum((F.col("side") == "real").cast("long")).alias("cr"),
+                                              F.sum((F.col("side") == "syn").cast("long")).alias("cs")), ["col"])
+
+
+def _gaps(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    per = cut_lineage(counts, "value-counts")
+    n = per.groupBy(*by).agg(F.sum("cr").alias("nr"), F.sum("cs").alias("ns"))
+    at = attach(running(per, by, "v", ["cr", "cs"]), n, by)
     share = lambda c, n: F.coalesce(F.try_divide(F.col(c), F.col(n)), F.lit(0.0))
-    return at.select("col", "v", (share("cum_cr", "nr") - share("cum_cs", "ns")).alias("gap"), "next_v")
+    return at.select(*by, "v", (share("cum_cr", "nr") - share("cum_cs", "ns")).alias("gap"), "next_v")
 
 
 def kolmogorov_smirnov(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -225,6 +229,59 @@ def mmd_linear(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> DataFram
     return real.sparkSession.createDataFrame([("mmd_linear", val)], "metric string, score double")
 
 
+MMD_BLOCK = 1024
+
+
+def mmd_rbf(real: DataFrame, syn: DataFrame, vec: str, gamma: float = 1.0, block: int = MMD_BLOCK) -> DataFrame:
+    """Exact squared RBF-kernel MMD (mean over all ordered pairs, a row with itself included); null without rows on a side.
+
+    Rows are dealt to blocks of about ``block`` rows; every unordered pair of blocks is one bounded group, which adds
+    its kernel values up and gives a few numbers. No pair of rows leaves a task, but the work grows with
+    the square of the rows: for large tables use ``mmd_rbf_rff``, whose error is about 1 / sqrt(n_features)."""
+    ref, made = (cut_lineage(df.select(F.col(vec).alias("x"), F.lit(0).alias("code")).where("x IS NOT NULL"), "mmd-side") for df in (real, syn))
+    nr, ns = ref.count(), made.count()
+    if not nr or not ns:
+        return real.sparkSession.createDataFrame([("mmd_rbf", None)], "metric string, score double")
+    names = F.array(F.struct(F.lit("syn").alias("source"), F.lit(ns).alias("n"), F.lit(0).alias("code")))
+    return _mmd_by_source(ref, made, names, nr, gamma, block).select(F.lit("mmd_rbf").alias("metric"), "score")
+
+
+def _side_sums(gamma: float):
+    """Kernel sums over ordered pairs of two blocks by sides (-1: the reference), for pairs with the reference or of one side."""
+    import numpy as np
+    import pandas as pd
+
+    def fn(pdf):
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        x, side, block = np.stack(pdf["x"].to_numpy()).astype(np.float64), pdf["side"].to_numpy(), pdf["block"].to_numpy()
+        a, b = block == i, block == j
+        square = (x * x).sum(axis=1)
+        kernel = np.exp(-gamma * np.maximum(square[a][:, None] + square[b][None, :] - 2 * x[a] @ x[b].T, 0.0)) * (1.0 if i == j else 2.0)
+        names = np.unique(side)
+        left, right = (side[a][None] == names[:, None]).astype(float), (side[b][:, None] == names[None]).astype(float)
+        sums = left @ kernel @ right
+        sums = (sums + sums.T) / 2
+        rows = [(int(p), int(q), sums[m, n]) for m, p in enumerate(names) for n, q in enumerate(names) if p == q or p == -1]
+        return pd.DataFrame(rows, columns=["p", "q", "k"])
+
+    return fn
+
+
+def _mmd_by_source(ref: DataFrame, syn: DataFrame, names, n_ref: int, gamma: float, block: int = MMD_BLOCK) -> DataFrame:
+    """(source, score) for every source in ``names`` (array of source, n, code) whose rows are in ``syn`` (x, code)."""
+    both = cut_lineage(ref.select("x", F.lit(-1).alias("side")).unionByName(syn.select("x", F.col("code").alias("side"))), "mmd-rows")
+    blocks = -(-both.count() // block)
+    dealt = both.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    groups = other.select("x", "side", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sums = groups.groupBy("i", "j").applyInPandas(_side_sums(gamma), "p int, q int, k double").groupBy("p", "q").agg(F.sum("k").alias("k"))
+    at = sums.withColumn("s", F.explode(names)).where("(p = -1 AND q IN (-1, s.code)) OR (p = s.code AND q = s.code)")
+    m = float(n_ref)
+    term = (F.when(F.col("q") == -1, F.col("k") / (m * m)).when(F.col("p") == -1, -2 * F.col("k") / (m * F.col("s.n")))
+            .otherwise(F.col("k") / (F.col("s.n") * F.col("s.n"))))
+    return at.groupBy("s.source").agg(F.sum(term).alias("score"))
+
+
 def mmd_rbf_rff(real: DataFrame, syn: DataFrame, cols: Sequence[str], gamma: float = 1.0,
                 n_features: int = 256, seed: int = 0) -> DataFrame:
     """RBF-kernel MMD by random Fourier features: ||mean phi(X) - mean phi(Y)||^2.
@@ -255,31 +312,142 @@ def mmd_rbf_rff(real: DataFrame, syn: DataFrame, cols: Sequence[str], gamma: flo
 
 
 # ------------------------------------------------------------------ Q0
-def quality_report(sources: DataFrame, reference: DataFrame, cols: Sequence[str],
-                   metrics: Sequence[str] = ("inv_kl", "jsd", "ks", "wasserstein", "mmd_linear"),
-                   src: str = "source") -> DataFrame:
-    """Long report ``(metric, source, score, error)``: every metric x source; a failing
-    pair is recorded with its error and the rest continue."""
+REPORT = ("alpha_precision", "inv_kl", "jsd", "mmd", "prdc", "wasserstein", "nearest_distance")
+
+
+def _in_range(bins: int):
+    share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins
+    return F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.greatest(F.floor(share), F.lit(0)), F.lit(bins - 1))).cast("int")
+
+
+def quality_report(sources: DataFrame, reference: DataFrame, vec: str, id_col: str, src: str = "source", metrics: Sequence[str] = REPORT,
+                   k: int = 5, bins: int = 10, gamma: float = 1.0, n_pivots: int | None = None, seed=42) -> DataFrame:
+    """Long report ``(metric, component, source, score, error)``: every metric for every source at once.
+
+    The number of jobs doesn't depend on the number of sources: columns go through the histograms and running
+    counts keyed by (source, column), rows through neighbour searches in which the source is a further
+    coordinate, wider than any distance, so that only rows of one source meet. The reference is repeated per
+    source where a source looks for its own rows. A source that can't be scored (a missing or non-finite
+    cell, a vector of another length, fewer than k + 1 rows) has rows with an error instead of a score, found by
+    validation; an unknown metric has an error for every source. ``mmd`` is exact (square of the rows)."""
     spark = sources.sparkSession
-    names = [r[0] for r in sources.select(src).distinct().orderBy(src).collect()]  # source names only
-    rows = []
-    for name in names:
-        s = sources.where(F.col(src) == name)
-        for metric in metrics:
-            try:
-                if metric == "inv_kl":
-                    v = inverse_kl(histograms(reference, s, cols)).agg(F.avg("score")).first()[0]
-                elif metric == "jsd":
-                    v = jensen_shannon(histograms(reference, s, cols)).agg(F.avg("distance")).first()[0]
-                elif metric == "ks":
-                    v = kolmogorov_smirnov(reference, s, cols).agg(F.avg("score")).first()[0]
-                elif metric == "wasserstein":
-                    v = wasserstein_1d(reference, s, cols).agg(F.avg("distance")).first()[0]
-                elif metric == "mmd_linear":
-                    v = mmd_linear(reference, s, cols).first()["score"]
-                else:
-                    raise ValueError(f"unknown metric {metric}")
-                rows.append((metric, name, float(v), None))
-            except Exception as e:  # noqa: BLE001 - reference skips a failing pair and continues
-                rows.append((metric, name, None, str(e)[:200]))
-    return spark.createDataFrame(rows, "metric string, source string, score double, error string")
+    take = lambda df, *more: df.select(F.col(id_col).cast("string").alias("id"), F.col(vec).cast("array<double>").alias("x"), *more)
+    rows = cut_lineage(take(sources, F.col(src).cast("string").alias("source")), "report-rows")
+    ref = cut_lineage(take(reference), "report-reference")
+    odd = F.col("x").isNull() | F.coalesce(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(False))
+    width = ref.agg(F.max(F.size("x")).alias("d"), F.count("*").alias("n"), F.sum((odd | (F.size("x") < 1)).cast("long")).alias("bad"),
+                    F.min(F.size("x")).alias("least")).first()
+    sized = odd | (F.size("x") != F.lit(width["d"] or 0))
+    checked = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(sized.cast("long")).alias("bad"))
+    ref_error = None
+    if width["n"] <= k or width["bad"] or width["least"] != width["d"]:
+        ref_error = "the reference needs more than k whole rows of one length"
+    error = F.coalesce(F.lit(ref_error).cast("string"), F.when(F.col("bad") > 0, F.concat(F.col("bad").cast("string"), F.lit(" rows with missing or odd cells")))
+                       .when(F.col("n") <= k, F.lit("fewer than k + 1 rows")))
+    by_code = Window.orderBy("source")  # one row per source
+    checked = cut_lineage(checked.select("source", "n", error.alias("error"), (F.row_number().over(by_code) - 1).cast("int").alias("code")), "report-sources")
+    empty = "metric string, component string, source string, score double, error string"
+    known = [m for m in metrics if m in REPORT]
+    out = checked.where("error IS NOT NULL").select(F.explode(F.array(*map(F.lit, metrics))).alias("metric"), F.lit(None).cast("string").alias("component"),
+                                                    "source", F.lit(None).cast("double").alias("score"), "error")
+    for m in metrics:
+        if m not in REPORT:
+            out = out.unionByName(checked.where("error IS NULL").select(F.lit(m).alias("metric"), F.lit(None).cast("string").alias("component"), "source",
+                                                                       F.lit(None).cast("double").alias("score"), F.lit(f"unknown metric {m}").alias("error")))
+    good = checked.where("error IS NULL").select("source", "n", "code")
+    if not known or ref_error or not good.take(1):
+        return out
+    names = F.array(*[F.struct(F.lit(r["source"]).alias("source"), F.lit(r["n"]).alias("n"), F.lit(r["code"]).alias("code")) for r in good.collect()])  # source names
+    syn = cut_lineage(attach(rows, good, ["source"]).where("code IS NOT NULL"), "report-good")
+    scores = []
+    add = lambda metric, df, value="score", component=None: scores.append(df.select(
+        F.lit(metric).alias("metric"), (component if component is not None else F.lit(None)).cast("string").alias("component"), "source", F.col(value).alias("score")))
+    if {"inv_kl", "jsd", "wasserstein"} & set(known):
+        rl = cut_lineage(ref.select(F.posexplode("x").alias("col", "v")).groupBy("col", "v").agg(F.count("*").alias("c")), "report-real-values")
+        sl = cut_lineage(syn.select("source", F.posexplode("x").alias("col", "v")).groupBy("source", "col", "v").agg(F.count("*").alias("c")), "report-syn-values")
+        both = sl.select("source", "col", "v", F.lit(0).cast("long").alias("cr"), F.col("c").alias("cs")).unionByName(
+            rl.select(F.explode(names).alias("s"), "col", "v", F.col("c").alias("cr"), F.lit(0).cast("long").alias("cs"))
+            .select("s.source", "col", "v", "cr", "cs"))
+        if {"inv_kl", "jsd"} & set(known):
+            rng = rl.groupBy("col").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+            binned = attach(both, rng, ["col"]).groupBy("source", "col", _in_range(bins).alias("bin")).agg(
+                F.sum("cr").alias("n_real"), F.sum("cs").alias("n_syn"))
+            w = Window.partitionBy("source", "col")  # bins
+            hist = cut_lineage(binned.select("source", "col", "bin", (F.col("n_real") / F.sum("n_real").over(w)).alias("p"),
+                                             (F.col("n_syn") / F.sum("n_syn").over(w)).alias("q")), "report-bins")
+            if "inv_kl" in known:
+                add("inv_kl", inverse_kl(hist, ["source", "col"]).groupBy("source").agg(F.avg("score").alias("score")))
+            if "jsd" in known:
+                add("jsd", jensen_shannon(hist, ["source", "col"]).groupBy("source").agg(F.avg("distance").alias("score")))
+        if "wasserstein" in known:
+            gaps = _gaps(both.groupBy("source", "col", "v").agg(F.sum("cr").alias("cr"), F.sum("cs").alias("cs")), ["source", "col"])
+            per = gaps.groupBy("source", "col").agg(F.sum(F.abs("gap") * F.coalesce(F.col("next_v") - F.col("v"), F.lit(0.0))).alias("d"))
+            add("wasserstein", per.groupBy("source").agg(F.avg("d").alias("score")))
+    if "mmd" in known:
+        add("mmd", _mmd_by_source(ref, syn, names, width["n"], gamma))
+    if {"prdc", "nearest_distance", "alpha_precision"} & set(known):
+        norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+        top = ref.select(norm.alias("m")).unionByName(syn.select(norm.alias("m"))).agg(F.max("m")).first()[0]
+        wide = 4 * math.sqrt(top) + 1
+        apart = lambda df: df.withColumn("x", F.concat("x", F.array(F.col("code") * F.lit(wide))))
+        own = F.concat(F.col("code").cast("string"), F.lit("|"), F.col("id"))
+        repeated = ref.select("id", "x", F.explode(names).alias("s")).select("s.*", "id", "x")
+        if {"prdc", "nearest_distance"} & set(known):
+            for metric, component, df in _neighbour_scores(ref, apart(repeated).withColumn("id", own), syn, apart(syn).withColumn("id", own), width["n"], k, n_pivots, known):
+                add(metric, df, component=F.lit(component))
+        if "alpha_precision" in known:
+            for component, df in _alpha_scores(ref, repeated, syn, apart, own, width["n"], n_pivots, seed):
+                add("alpha_precision", df, component=F.lit(component))
+    for one in scores:
+        out = out.unionByName(one.withColumn("error", F.lit(None).cast("string")))
+    return spark.createDataFrame([], empty).unionByName(out)
+
+
+def _neighbour_scores(ref, repeated, syn, syn_apart, n_ref: int, k: int, n_pivots, known):
+    """PRDC and the nearest synthetic distance per source: (metric, component, (source, score))."""
+    near = dst.knn(repeated, syn_apart.withColumnRenamed("id", "nb"), 1, "id", "nb", "x", n_pivots=n_pivots)
+    near = cut_lineage(near.join(repeated.select("id", "source"), "id").select("id", "source", "d"), "report-nearest")
+    if "nearest_distance" in known:
+        ends = near.groupBy("source").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+        scaled = F.when(F.col("hi") == F.col("lo"), F.lit(0.0)).otherwise((F.col("d") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+        yield "nearest_distance", None, attach(near, ends, ["source"]).groupBy("source").agg(F.avg(scaled).alias("score"))
+    if "prdc" not in known:
+        return
+    real_index = dst.PivotIndex(ref, "id", "x", n_pivots=n_pivots)
+    syn_index = dst.PivotIndex(syn_apart.select("id", "x"), "id", "x", n_pivots=n_pivots)
+    r_real = cut_lineage(dst.kth_distance(ref, "id", k, "x", index=real_index).withColumnRenamed("radius", "r"), "report-real-balls")
+    r_syn = dst.kth_distance(syn_apart.select("id", "x"), "id", k, "x", index=syn_index).withColumnRenamed("radius", "r")
+    own = syn.select(F.concat(F.col("code").cast("string"), F.lit("|"), F.col("id")).alias("q"), "x", "source", "n")
+    inside = dst.range_counts(own.select("q", "x"), r_real, "q", "id", "r", "x", index=real_index).withColumnRenamed("n", "hits")
+    counted = cut_lineage(own.select("q", "source", "n").join(inside, "q", "left"), "report-inside")
+    yield "prdc", "precision", counted.groupBy("source").agg(F.avg((F.coalesce("hits", F.lit(0)) > 0).cast("double")).alias("score"))
+    yield "prdc", "density", counted.groupBy("source").agg((F.sum(F.coalesce("hits", F.lit(0))) / (k * F.count("*"))).alias("score"))
+    hits = dst.range_counts(repeated.select(F.col("id").alias("q"), "x"), r_syn, "q", "id", "r", "x", index=syn_index).withColumnRenamed("n", "hits")
+    held = repeated.select(F.col("id").alias("q"), "source").join(hits, "q", "left")
+    yield "prdc", "recall", held.groupBy("source").agg(F.avg((F.coalesce("hits", F.lit(0)) > 0).cast("double")).alias("score"))
+    covered = near.withColumn("rid", F.expr("substring(id, length(substring_index(id, '|', 1)) + 2)")).drop("id").join(r_real.withColumnRenamed("id", "rid"), "rid")
+    yield "prdc", "coverage", covered.groupBy("source").agg((F.sum((F.col("d") < F.col("r")).cast("double")) / n_ref).alias("score"))
+
+
+def _alpha_scores(ref, repeated, syn, apart, own, n_ref: int, n_pivots, seed):
+    """Alpha-precision, beta-recall and authenticity per source after matching sizes: (component, (source, score))."""
+    ranked = smp.hash_rank_within(ref.withColumn("g", F.lit(0)), ["g"], "id", F.lit(str(seed)), "rank").select("id", "rank")
+    size = F.least(F.col("n"), F.lit(n_ref))
+    real = cut_lineage(repeated.join(ranked, "id").where(F.col("rank") < size), "report-matched-real")
+    made = cut_lineage(smp.hash_rank_within(syn, ["source"], "id", F.lit(str(seed)), "rank").where(F.col("rank") < size), "report-matched-syn")
+    for component, inner, outer in (("delta_precision_alpha", real, made), ("delta_coverage_beta", made, real)):
+        means = inner.select("source", F.posexplode("x").alias("i", "v")).groupBy("source", "i").agg(F.avg("v").alias("v"))
+        center = means.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("c")).select(
+            "source", F.transform("c", lambda e: e["v"]).alias("center"))  # one entry per dimension
+        center = cut_lineage(center, "report-centers")
+        to_center = lambda df: attach(df, center, ["source"]).select("source", dst.dist(F.col("x"), F.col("center")).alias("r"))  # noqa: E731, B023
+        radii = quantiles_by(to_center(inner), ["source"], "r", ALPHAS)
+        shares = attach(to_center(outer), radii, ["source"]).groupBy("source").agg(
+            *[F.avg((F.col("r") <= F.get("q", F.lit(i))).cast("double")).alias(f"a{i}") for i in range(len(ALPHAS))])
+        gap = sum((F.abs(F.col(f"a{i}") - F.lit(a)) for i, a in enumerate(ALPHAS)), F.lit(0.0))
+        yield component, shares.select("source", (1 - 2 * gap / len(ALPHAS)).alias("score"))
+    real_apart, made_apart = (apart(df).withColumn("id", own) for df in (real, made))
+    r1 = dst.kth_distance(real_apart.select("id", "x"), "id", 1, "x", n_pivots).withColumnRenamed("radius", "r1")
+    near = dst.knn(made_apart.select(F.col("id").alias("q"), "x"), real_apart.select("id", "x"), 1, "q", "id", "x", n_pivots=n_pivots)
+    with_source = near.join(made_apart.select(F.col("id").alias("q"), "source"), "q").join(r1, "id")
+    yield "authenticity", with_source.groupBy("source").agg(F.avg((F.col("r1") < F.col("d")).cast("double")).alias("score"))

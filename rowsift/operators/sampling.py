@@ -5,10 +5,10 @@ All order comes from ``h(key, seed)``; ties broken by the key. Scale notes:
 * Per-class top-n (D1, C9) is ``row_number() <= n`` over (class ORDER BY h):
   Spark inserts a *partial* ``WindowGroupLimit`` before the shuffle, so a class
   that holds a third of the table only ships n rows per map task.
-* The remainder of D1 is not a second unbounded window: it is the rows whose
-  ``(h, key, row)`` is above the class threshold (one row per class, joined back).
-  Rows equal to the threshold row in every column are counted, and the copies that
-  the sample left are written out from the count, in chunks.
+* D1's sample and remainder come from one hashed table, written once: the
+  threshold ``(h, key, row hash)`` per class (one row per class, measured and
+  broadcast by ``attach``) sends each row to its part in place. Rows equal to the
+  threshold row are counted and dealt out from the count, in chunks.
 * Exact global ranks (D3, D7, D10) use hash-prefix buckets: bucket counts
   (one tiny aggregate) -> prefix offsets -> rank inside the bucket. md5 is
   uniform, so buckets are even regardless of key skew.
@@ -24,10 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rowsift.functions.hashing import h, hex_threshold
+from rowsift.operators.attach import attach
+from rowsift.session import cut_lineage
+
+NO_KEY = "0" * 32  # the hash of a null key
 
 
 def with_hash(df: DataFrame, key: str, seed, name: str = "_h") -> DataFrame:
-    return df.withColumn(name, h(key, seed))
+    return df.withColumn(name, F.coalesce(h(key, seed), F.lit(NO_KEY)))
 
 
 COPIES = 10_000  # copies of one row written out by one chunk
@@ -43,31 +47,29 @@ def stratified_sample(df: DataFrame, label: str, n: int, key: str, seed=42) -> D
 def stratified_split(df: DataFrame, label: str, n: int, key: str, seed=42):
     """(sample, remainder): sample = D1; remainder = every other row of the class.
 
-    A key may repeat: ties go by the whole row (columns must be orderable), so both parts agree on
-    the rows of a key that lies on the threshold.
+    A key may repeat: ties go by a hash of the whole row, and of equal rows as many go to the sample as
+    it still takes, so each row is in exactly one part.
     """
-    order = F.struct(h(key, seed).alias("h"), F.col(key).alias("key"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
-    hashed = df.select("*", order.alias("_o"))
+    cols = df.columns
+    at = cut_lineage(with_hash(df, key, seed).withColumn("_r", F.xxhash64(*cols)), "hashed")
+    order = F.struct(F.col("_h").alias("h"), F.col(key).alias("key"), F.col("_r").alias("r"))
+    slim = at.select(label, order.alias("_o"))
     w = Window.partitionBy(label).orderBy("_o")
-    sample = hashed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-    thr = (sample.groupBy(label, "_o").agg(F.count("*").alias("_m"))
-                 .groupBy(F.col(label).alias("_l")).agg(F.max(F.struct("_o", "_m")).alias("_thr")))
-    at = hashed.join(thr, hashed[label].eqNullSafe(thr["_l"]), "left")
-    rest = at.where(F.col("_thr").isNull() | (F.col("_o") > F.col("_thr._o"))).select(*df.columns)
-    left = (at.where(F.col("_o") == F.col("_thr._o")).groupBy("_o").agg((F.count("*") - F.max("_thr._m")).alias("_n"))
-              .where("_n > 0"))
-    copies = (left.select("_o", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long"))).alias("_from"))
-                  .repartition("_from")
-                  .select("_o.row.*", F.explode(F.sequence(F.col("_from"), F.least("_n", F.col("_from") + COPIES) - 1)).alias("_copy")))
-    return sample.drop("_o"), rest.unionByName(copies.select(*df.columns))
-
-
-def assign_sampled(df: DataFrame, label: str, n: int, key: str, seed=42,
-                   col: str = "sampled") -> DataFrame:
-    """One pass marking D1 membership (1) vs remainder (0) as a column."""
-    sample, _ = stratified_split(df, label, n, key, seed)
-    marks = sample.select(key, F.lit(1).alias(col))
-    return df.join(marks, key, "left").withColumn(col, F.coalesce(F.col(col), F.lit(0)))
+    top = slim.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)  # n rows per class leave a map task
+    last = (top.groupBy(label, "_o").agg(F.count("*").alias("_m")).groupBy(label).agg(F.max(F.struct("_o", "_m")).alias("_last")))
+    marked = attach(at.withColumn("_o", order), last, [label])
+    below, above = F.col("_o") < F.col("_last._o"), F.col("_last").isNull() | (F.col("_o") > F.col("_last._o"))
+    equal = marked.where(F.col("_o") == F.col("_last._o")).groupBy(*cols, F.col("_last._m").alias("_m")).agg(F.count("*").alias("_n"))
+    equal = cut_lineage(equal, "threshold-rows")
+
+    def copies(count):
+        at_chunk = equal.withColumn("_k", count).where("_k > 0")
+        starts = F.sequence(F.lit(0).cast("long"), F.col("_k") - 1, F.lit(COPIES).cast("long"))
+        chunks = at_chunk.withColumn("_from", F.explode(starts)).repartition("_from")
+        return chunks.withColumn("_copy", F.explode(F.sequence(F.col("_from"), F.least("_k", F.col("_from") + COPIES) - 1))).select(*cols)
+
+    return (marked.where(below).select(*cols).unionByName(copies(F.col("_m"))),
+            marked.where(above).select(*cols).unionByName(copies(F.col("_n") - F.col("_m"))))
 
 
 # ------------------------------------------------------------------ D2
@@ -109,10 +111,22 @@ def hash_rank_n(df: DataFrame, key: str, seed, col: str = "idx") -> tuple[DataFr
     return ranked, acc
 
 
-def hash_rank(df: DataFrame, key: str, seed, col: str = "idx", n_rows: int | None = None) -> DataFrame:
+def hash_rank(df: DataFrame, key: str, seed, col: str = "idx") -> DataFrame:
     return hash_rank_n(df, key, seed, col)[0]
 
 
+def hash_rank_within(df: DataFrame, by: Sequence[str], key: str, seed: Column, col: str = "idx", prefix: int = 2) -> DataFrame:
+    """0-based rank by (h(key, seed), key) inside each group; ``seed`` may depend on the group. Groups are split
+    into 16**prefix hash buckets, so that a group of any size is spread; offsets come from the bucket counts."""
+    hashed = df.withColumn("_h", F.coalesce(F.md5(F.concat(F.col(key).cast("string"), F.lit("|"), seed)), F.lit(NO_KEY)))
+    hashed = cut_lineage(hashed.withColumn("_b", F.substring("_h", 1, prefix)), "ranked")
+    counts = hashed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # 16**prefix rows a group
+    offsets = counts.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    w = Window.partitionBy(*by, "_b").orderBy("_h", key)
+    return attach(hashed, offsets, [*by, "_b"]).withColumn(col, F.col("_off") + F.row_number().over(w) - 1).drop("_b", "_off", "_h")
+
+
 # ------------------------------------------------------------------ D3
 def random_split(df: DataFrame, key: str, test_size: float = 0.5, seed=42, exact: bool = True):
     """(train, test); test gets ceil(test_size * n) rows (exact) or ~test_size (hash threshold)."""
@@ -154,10 +168,8 @@ def balanced_sample(df: DataFrame, label: str, prop: float, per_class_full: int,
                     seed=42) -> DataFrame:
     """n = int(prop * per_class_full) rows per class, shuffled (hash order), new 0-based ids."""
     n = int(prop * per_class_full)
-    s = stratified_sample(df, label, n, key, seed)
-    # bounded: n * classes rows
-    w = Window.orderBy(h(key, f"{seed}|shuffle"), F.col(key))
-    return s.withColumn("row_id", (F.row_number().over(w) - 1).cast("long"))
+    s = cut_lineage(stratified_sample(df, label, n, key, seed), "balanced")
+    return hash_rank(s, key, f"{seed}|shuffle", "row_id")
 
 
 # ------------------------------------------------------------------ D7 / D8
@@ -212,7 +224,3 @@ def cap_per_group(df: DataFrame, cap: int, key: str, by: Sequence[str] = ("sourc
     """Keep at most ``cap`` rows per group by hash order (whole group when smaller)."""
     w = Window.partitionBy(*by).orderBy(h(key, seed), F.col(key))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
-
-
-def rank_column(key: str, seed) -> Column:
-    return h(key, seed)

@@ -97,13 +97,21 @@ def q7_mmd_linear(spark, sf):
     return qm.mmd_linear(_f4(spark, sf, "real"), _f4(spark, sf, "syn_b"), COLS).select("metric", r6("score"))
 
 
+@register("q7_mmd_rbf", f"""
+WITH v AS (SELECT embedding, {_REAL5} AS is_real FROM ({F5}) f5),
+k AS (SELECT a.is_real AS p, b.is_real AS q, avg(exp(-power(list_distance(a.embedding, b.embedding), 2))) AS k FROM v a, v b GROUP BY ALL)
+SELECT 'mmd_rbf' AS metric, round(max(CASE WHEN p AND q THEN k END) + max(CASE WHEN NOT p AND NOT q THEN k END)
+       - 2 * max(CASE WHEN p AND NOT q THEN k END), 6) AS score FROM k""")
+def q7_mmd_rbf(spark, sf):
+    return qm.mmd_rbf(_f5(spark, sf, True), _f5(spark, sf, False), "embedding").select("metric", r6("score"))
+
+
 @register("q7_mmd_rbf_rff")
 def q7_mmd_rbf_rff(spark, sf):
     real, syn = _f4(spark, sf, "real"), _f4(spark, sf, "syn_b")
     from rowsift.functions.encode import minmax_scale
     both = minmax_scale(real.unionByName(syn), COLS)
-    return qm.mmd_rbf_rff(both.where(F.col("source") == "real"), both.where(F.col("source") == "syn_b"), COLS,
-                          n_features=64)
+    return qm.mmd_rbf_rff(both.where(F.col("source") == "real"), both.where(F.col("source") == "syn_b"), COLS)
 
 
 # ---------------------------------------------------------------- Q10 Kaplan-Meier on events
@@ -218,18 +226,87 @@ def q2_authenticity(spark, sf):
     return nn.join(r1, "vec_id").agg(r6(F.avg((F.col("r1") < F.col("d")).cast("double")), "authenticity"))
 
 
-@register("q0_quality_report")
+_Q0_SQL = f"""
+WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS id, embedding AS x, CASE WHEN {_REAL5} THEN NULL ELSE 'gen' || (label % 3) END AS s FROM ({F5}) f5),
+r AS (SELECT id, x FROM v WHERE s IS NULL), y AS (SELECT * FROM v WHERE s IS NOT NULL), n AS (SELECT s, count(*) AS n FROM y GROUP BY s), nr AS (SELECT count(*) AS m FROM r),
+rl AS (SELECT unnest(range(len(x))) AS col, unnest(x) AS v FROM r), yl AS (SELECT s, unnest(range(len(x))) AS col, unnest(x) AS v FROM y),
+l AS (SELECT s, col, v, 0 AS cr, 1 AS cs FROM yl UNION ALL SELECT s, col, v, 1, 0 FROM rl, n),
+rng AS (SELECT col, min(v) AS lo, max(v) AS hi FROM rl GROUP BY col),
+hb AS (SELECT s, l.col, CASE WHEN hi = lo THEN 0 ELSE least(greatest(floor((v - lo) / (hi - lo) * 10), 0), 9) END AS bin, sum(cr) AS a, sum(cs) AS b
+       FROM l JOIN rng ON rng.col = l.col GROUP BY ALL),
+h AS (SELECT s, col, a / sum(a) OVER (PARTITION BY s, col) AS p, b / sum(b) OVER (PARTITION BY s, col) AS q FROM hb),
+hs AS (SELECT s, col, 1 / (1 + sum(CASE WHEN p > 0 THEN p * ln(p / (q + 1e-10)) ELSE 0 END)) AS ikl,
+         sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2))) AS js
+       FROM h GROUP BY s, col),
+gv AS (SELECT s, col, v, sum(cr) AS cr, sum(cs) AS cs FROM l GROUP BY ALL),
+gc AS (SELECT s, col, v, sum(cr) OVER w / (SELECT m FROM nr) - sum(cs) OVER w / (SELECT n FROM n WHERE n.s = gv.s) AS gap,
+         lead(v) OVER (PARTITION BY s, col ORDER BY v) AS nx FROM gv WINDOW w AS (PARTITION BY s, col ORDER BY v)),
+ws AS (SELECT s, col, sum(abs(gap) * coalesce(nx - v, 0)) AS d FROM gc GROUP BY s, col),
+xy AS (SELECT y.s, r.id AS i, y.id AS j, list_distance(r.x, y.x) AS d FROM r, y),
+rr AS (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS d FROM r a, r b),
+yy AS (SELECT a.s, a.id AS i, b.id AS j, list_distance(a.x, b.x) AS d FROM y a JOIN y b ON a.s = b.s),
+mm AS (SELECT n.s, (SELECT avg(exp(-d * d)) FROM rr) + (SELECT avg(exp(-d * d)) FROM yy WHERE yy.s = n.s) - 2 * (SELECT avg(exp(-d * d)) FROM xy WHERE xy.s = n.s) AS k FROM n),
+br AS (SELECT i, d AS r FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM rr WHERE i <> j) WHERE k = 5),
+bs AS (SELECT i, d AS r FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM yy WHERE i <> j) WHERE k = 5),
+fj AS (SELECT s, j, count(*) FILTER (d < br.r) AS hits FROM xy JOIN br ON br.i = xy.i GROUP BY s, j),
+fi AS (SELECT s, xy.i, bool_or(d < bs.r) AS hit FROM xy JOIN bs ON bs.i = xy.j GROUP BY s, xy.i),
+nn AS (SELECT s, i, min(d) AS d FROM xy GROUP BY s, i),
+ne AS (SELECT s, min(d) AS lo, max(d) AS hi FROM nn GROUP BY s),
+rk AS (SELECT id, x, row_number() OVER (ORDER BY md5(id || '|42'), id) AS k FROM r), yk AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5(id || '|42'), id) AS k FROM y),
+mr AS (SELECT n.s, 0 AS side, id, x FROM rk, n WHERE k <= least(n.n, (SELECT m FROM nr))), ms AS (SELECT n.s, 1 AS side, id, x FROM yk JOIN n ON n.s = yk.s WHERE k <= least(n.n, (SELECT m FROM nr))),
+mx AS (SELECT * FROM mr UNION ALL SELECT * FROM ms),
+ce AS (SELECT s, side, list(v ORDER BY i) AS c FROM (SELECT s, side, i, avg(v) AS v FROM (SELECT s, side, unnest(range(len(x))) AS i, unnest(x) AS v FROM mx) GROUP BY ALL) GROUP BY s, side),
+dc AS (SELECT mx.s, ce.side AS inner_side, mx.side, list_distance(mx.x, ce.c) AS r FROM mx JOIN ce ON ce.s = mx.s),
+qa AS (SELECT s, inner_side, unnest([i / 29.0 FOR i IN range(30)]) AS a, unnest(quantile_cont(r, [i / 29.0 FOR i IN range(30)])) AS q FROM dc WHERE side = inner_side GROUP BY s, inner_side),
+pa AS (SELECT dc.s, dc.inner_side, a, avg(CAST(r <= q AS DOUBLE)) AS p FROM dc JOIN qa ON qa.s = dc.s AND qa.inner_side = dc.inner_side WHERE side <> dc.inner_side GROUP BY ALL),
+da AS (SELECT s, inner_side, 1 - 2 * sum(abs(p - a)) / 30 AS score FROM pa GROUP BY ALL),
+r1 AS (SELECT a.s, a.id AS i, min(list_distance(a.x, b.x)) AS r FROM mr a JOIN mr b ON a.s = b.s AND a.id <> b.id GROUP BY a.s, a.id),
+nj AS (SELECT s, i, d FROM (SELECT ms.s, mr.id AS i, list_distance(mr.x, ms.x) AS d, row_number() OVER (PARTITION BY ms.s, ms.id ORDER BY list_distance(mr.x, ms.x), mr.id) AS k
+       FROM ms JOIN mr ON mr.s = ms.s) WHERE k = 1),
+o AS (SELECT 'inv_kl' AS metric, NULL AS component, s, avg(ikl) AS score FROM hs GROUP BY s UNION ALL SELECT 'jsd', NULL, s, avg(js) FROM hs GROUP BY s
+  UNION ALL SELECT 'wasserstein', NULL, s, avg(d) FROM ws GROUP BY s UNION ALL SELECT 'mmd', NULL, s, k FROM mm
+  UNION ALL SELECT 'prdc', 'precision', s, avg(CAST(hits > 0 AS DOUBLE)) FROM fj GROUP BY s UNION ALL SELECT 'prdc', 'density', s, sum(hits) / (5.0 * count(*)) FROM fj GROUP BY s
+  UNION ALL SELECT 'prdc', 'recall', s, avg(CAST(hit AS DOUBLE)) FROM fi GROUP BY s
+  UNION ALL SELECT 'prdc', 'coverage', s, avg(CAST(d < r AS DOUBLE)) FROM nn JOIN br ON br.i = nn.i GROUP BY s
+  UNION ALL SELECT 'nearest_distance', NULL, nn.s, avg(CASE WHEN hi = lo THEN 0 ELSE (d - lo) / (hi - lo) END) FROM nn JOIN ne ON ne.s = nn.s GROUP BY nn.s
+  UNION ALL SELECT 'alpha_precision', CASE inner_side WHEN 0 THEN 'delta_precision_alpha' ELSE 'delta_coverage_beta' END, s, score FROM da
+  UNION ALL SELECT 'alpha_precision', 'authenticity', nj.s, avg(CAST(r < d AS DOUBLE)) FROM nj JOIN r1 ON r1.s = nj.s AND r1.i = nj.i GROUP BY nj.s)
+SELECT metric, component, s AS source, round(score, 6) AS score, CAST(NULL AS VARCHAR) AS error FROM o"""
+
+
+@register("q0_quality_report", _Q0_SQL)
 def q0_quality_report(spark, sf):
-    f4 = fx.real_syn(spark, sf)
-    return qm.quality_report(f4.where(F.col("source") != "real"), f4.where(F.col("source") == "real"), COLS)
+    """The seven metrics for three sources of vectors against the real ones, in one plan."""
+    made = _f5(spark, sf, False).withColumn("source", F.concat(F.lit("gen"), (F.col("label") % 3).cast("string")))
+    out = qm.quality_report(made, _f5(spark, sf, True), "embedding", "vec_id", n_pivots=16)
+    return out.select("metric", "component", "source", r6("score"), "error")
 
 
 # ---------------------------------------------------------------- O1 / O2
-@register("o1_smote")
+def _int_of(*parts: str) -> str:
+    return f"CAST('0x' || substring(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+
+_SMOTE_SQL = f"""
+WITH v AS ({F5}),
+n AS (SELECT label, count(*) AS cnt, least(4, count(*) - 1) AS kk FROM v GROUP BY label),
+g AS (SELECT label, cnt, kk, unnest(range((SELECT 2 * max(cnt) FROM n) - cnt)) AS s FROM n),
+d AS (SELECT label, s, kk, {_int_of("'smote'", "label", "s", "42")} % cnt AS idx, {_int_of("'nb'", "label", "s", "42")} % greatest(kk, 1) + 1 AS rank,
+             CAST('0x' || substring(md5(concat_ws('|', 'u', label, s, 42)), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM g),
+b AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY md5(concat(CAST(vec_id AS VARCHAR), '|42|', label)), vec_id) - 1 AS idx FROM v),
+p AS (SELECT x.vec_id AS base_id, y.vec_id AS nb_id, y.embedding AS nx,
+             row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(x.embedding, y.embedding), y.vec_id) AS rank
+      FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id)
+SELECT concat('smote|', d.label, '|', s) AS vec_id, d.label, b.vec_id AS base_id, nb_id, round(u, 6) AS u,
+       round(list_sum(embedding) + u * (list_sum(nx) - list_sum(embedding)), 4) AS total
+FROM d JOIN b ON b.label = d.label AND b.idx = d.idx LEFT JOIN p ON p.base_id = b.vec_id AND p.rank = d.rank"""
+
+@register("o1_smote", _SMOTE_SQL)
 def o1_smote(spark, sf):
-    v = fx.vectors(spark, sf)
-    out = ov.smote(v, "vec_id", "embedding", "label", n=None, k=4, seed=42)
-    return out.groupBy("label", "is_synthetic").agg(F.count("*").alias("n_rows"))
+    """Every synthetic row: its class, base row, neighbour, share and the sum of its vector."""
+    out = ov.smote(fx.vectors(spark, sf), "vec_id", "embedding", "label", n=None, k=4, seed=42).where("is_synthetic = 1")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v)
+    return out.select("vec_id", "label", "base_id", "nb_id", r6("u"), F.round(total, 4).alias("total"))
 
 
 @register("o2_generators")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rowsift.operators import dynamics as dyn
+from rowsift.operators import staging
 from rowsift.plans.catalog import r6, register
 from rowsift.plans.q_completions import ORDER_SCHEMA, _conform_sql, _final, _NO_PH, _NOTNULL_SQL, _PARSED_SQL
 from rowsift.session import scratch_path
@@ -30,9 +32,42 @@ def st1_stream_curation(spark, sf):
                       r6("o_totalprice"), "o_orderpriority")
 
 
+# Trees of a fixed shape over the order columns; the leaf values are the label means of the orders table.
+_STUMPS = [f"o_totalprice > {20000 + 23000 * t} AND o_custkey % {t + 2} = 0" for t in range(12)]
+_IS_DONE = "CAST(o_orderstatus = 'F' AS INTEGER)"
+_STUMP_LIST = ", ".join(f"CAST({c} AS INTEGER)" for c in _STUMPS)
+
+
+@register("st1_stream_scored", f"""
+WITH t AS (SELECT {_IS_DONE} AS y, [{_STUMP_LIST}] AS leaf FROM orders),
+v AS (SELECT tree, leaf, 0.4 * avg(2 * y - 1) AS v FROM (SELECT y, unnest(leaf) AS leaf, unnest(range({len(_STUMPS)})) AS tree FROM t) GROUP BY tree, leaf),
+g AS (SELECT row_number() OVER () AS r, source, iter, choice, frag_pos, o_orderkey, {_IS_DONE} AS y, [{_STUMP_LIST}] AS leaf FROM ({_GPT_SQL}) g),
+x AS (SELECT r, y, unnest(leaf) AS leaf, unnest(range({len(_STUMPS)})) AS tree FROM g),
+f AS (SELECT r, x.tree, 1 / (1 + exp(-2 * (2 * y - 1) * sum(coalesce(v, 0)) OVER (PARTITION BY r ORDER BY x.tree))) AS p
+      FROM x LEFT JOIN v ON v.tree = x.tree AND v.leaf = x.leaf),
+d AS (SELECT r, avg(p) AS c, avg(p * (1 - p)) AS u FROM f WHERE tree < {len(_STUMPS) - 1} GROUP BY r)
+SELECT source, iter, choice, frag_pos, o_orderkey, round(c, 6) AS confidence, round(u, 6) AS aleatoric,
+       CASE WHEN c <= 0.45 AND u <= 0.25 THEN 'hard' WHEN c >= 0.55 AND u <= 0.25 THEN 'easy' ELSE 'ambig' END AS grp FROM g JOIN d USING (r)""")
+def st1_stream_scored(spark, sf):
+    """Parse, clean, score (K3) and group (K17) a completions stream, one file per trigger."""
+    given = spark.read.parquet(f"{sf}/orders.parquet").select(F.expr(_IS_DONE).alias("y"), F.posexplode(F.expr(f"array({_STUMP_LIST})")).alias("tree", "leaf"))
+    means = given.groupBy("tree", "leaf").agg(F.array(0.4 * F.avg(2 * F.col("y") - 1)).alias("value"))
+    every = spark.range(2 * len(_STUMPS)).select((F.col("id") / 2).cast("int").alias("tree"), (F.col("id") % 2).cast("int").alias("leaf"))
+    values = every.join(means, ["tree", "leaf"], "left").select(F.col("tree").alias("step"), "tree", "leaf", F.coalesce("value", F.array(F.lit(0.0))).alias("value"))
+
+    def score(rows):
+        with_leaves = rows.withColumn("y", F.expr(_IS_DONE)).withColumn("leaf", F.expr(f"array({_STUMP_LIST})"))
+        return dyn.assign_groups(staging.fold_leaves(with_leaves, values, "logit", "leaf"), "aleatoric", 0.45, 0.25)
+
+    src, sink = _landing(spark, sf), scratch_path(spark, "scored-sink")
+    cs.run_curation_stream(spark, src, sink, scratch_path(spark, "st1s-ckpt"), ORDER_SCHEMA, "gpt", score, max_files_per_trigger=1)
+    out = spark.read.parquet(sink)
+    return out.select("source", "iter", "choice", "frag_pos", "o_orderkey", r6("confidence"), r6("aleatoric"), "grp")
+
+
 @register("st2_stream_quota", f"""
-SELECT source, count(*) AS n_accepted, count(*) >= 2000 AS quota_reached FROM ({_GPT_SQL}) g GROUP BY source""")
+SELECT source, least(count(*), 2000) AS n_accepted, count(*) >= 2000 AS quota_reached FROM ({_GPT_SQL}) g GROUP BY source""")
 def st2_stream_quota(spark, sf):
     src = _landing(spark, sf)
-    out = cs.run_quota_counter(spark, src, scratch_path(spark, "st2-ckpt"), ORDER_SCHEMA, 2000, "quota")
+    out = cs.run_quota_counter(spark, src, scratch_path(spark, "st2-ckpt"), ORDER_SCHEMA, 2000, "quota", max_files_per_trigger=1)
     return out.select("source", "n_accepted", F.col("quota_reached"))

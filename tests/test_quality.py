@@ -95,3 +95,17 @@ def test_chi_squared_counts_rows_in_empty_real_bins(spark):
     assert [(r["statistic"], r["dof"], r["outside"]) for r in got] == [((70 - 50) ** 2 / 50 + (30 - 50) ** 2 / 50, 1, 40)]
     same = qm.chi_squared(qm.histograms(real, real, ["x"])).first()
     assert (same["statistic"], same["dof"], same["outside"]) == (0.0, 1, 0)
+
+
+def test_report_errors_are_rows(spark):
+    ref = spark.createDataFrame([(i, [float(i), float(i % 3)]) for i in range(20)], "id long, x array<double>")
+    rows = [(i, [float(i) / 2, 1.0], "ok") for i in range(8)] + [(i, [1.0, float("nan")], "odd") for i in range(8)] + [(1, [1.0, 2.0], "few")]
+    rows += [(i, [1.0], "short") for i in range(8)] + [(i, None, "none") for i in range(8)]
+    src = spark.createDataFrame(rows, "id long, x array<double>, source string")
+    got = qm.quality_report(src, ref, "x", "id", metrics=("jsd", "nearest_distance", "other"), n_pivots=2).collect()
+    scored = {(r["metric"], r["source"]): r["score"] for r in got if r["error"] is None}
+    assert set(scored) == {("jsd", "ok"), ("nearest_distance", "ok")} and all(v is not None for v in scored.values())
+    errors = {(r["metric"], r["source"]) for r in got if r["error"]}
+    assert errors == {(m, s) for m in ("jsd", "nearest_distance", "other") for s in ("odd", "few", "short", "none")} | {("other", "ok")}
+    broken = qm.quality_report(src, ref.limit(3), "x", "id", n_pivots=2)
+    assert broken.where("error IS NULL").count() == 0 and broken.count() == 35
