@@ -10,12 +10,12 @@ tightest compatible one. A bin never holds two documents of one cluster, nor mor
 A document longer than a bin is cut: full pieces have bins of their own, the rest is packed like
 a document. So every token has exactly one place.
 
-Scale: documents are dealt to shards by the hash of their id; the number of shards follows the
-counted documents, so each holds about ``SHARD`` documents whatever the skew, and a hot source or
-cluster spreads over all of them. Only ids, lengths and two codes are shuffled, no texts. Bins
+Scale: documents are dealt to shards by the hash of their id, text and number among equal rows; the
+number of shards follows the counted documents, so each holds about ``SHARD`` documents whatever the
+skew, and a hot source, cluster or repeated row spreads over all of them. Only ids, lengths and two codes are shuffled, no texts. Bins
 are closed at the shard's end; what that leaves empty is bounded by the shard's open bins.
 
-Defined results: a null or empty text has length 0 and takes a place of length 0; a null source
+Defined results: a null or empty text has length 0 and lies in no bin (``bin_id`` null, size 0); a null source
 is a source of its own; documents without a cluster (null) conflict with none; repeated rows are
 documents of their own; a null id is dealt like 0; an empty table gives an empty result; other
 columns of the input are ignored.
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsift.llm.common import BLANK_RUN, BLANKS
+from rowsift.session import cut_lineage
 
 CAPACITY = 2048
 SOURCE_SLOTS = 4
@@ -111,7 +112,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
                      (n_words(text) if size is None else size).cast("long").alias("size"),
                      (cluster_of(text) if cluster is None else cluster).alias("cluster"),
                      F.xxhash64(F.coalesce(docs[id_col].cast("long"), F.lit(0)), F.coalesce(text, F.lit(""))).alias("key"))
-    shards = max(1, -(-docs.select(id_col).count() // SHARD))
-    at = at.withColumn("shard", F.pmod("key", F.lit(shards)).cast("long"))
-    got = at.groupBy("shard").applyInPandas(_pack(capacity, slots), "doc_id long, piece long, shard long, bin long, bin_offset long, size long")
-    return got.select("doc_id", "piece", F.concat_ws("-", "shard", "bin").alias("bin_id"), "bin_offset", "size")
+    rows = cut_lineage(at.groupBy(*at.columns).agg(F.count(F.lit(1)).alias("n")), "packing-rows")  # equal rows once, with their number
+    shards = max(1, -(-(rows.where("size > 0").agg(F.sum("n")).first()[0] or 0) // SHARD))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SHARD).cast("long"))
+    chunks = rows.where("n > 1").withColumn("from", F.explode(starts)).repartition("key", "from")
+    repeated = chunks.withColumn("copy", F.explode(F.sequence(F.col("from"), F.least("n", F.col("from") + SHARD) - 1))).drop("from", "n")
+    every = rows.where("n = 1").drop("n").withColumn("copy", F.lit(0).cast("long")).unionByName(repeated)
+    dealt = every.where("size > 0").withColumn("shard", F.pmod(F.xxhash64("key", "copy"), F.lit(shards)).cast("long")).drop("copy")
+    got = dealt.groupBy("shard").applyInPandas(_pack(capacity, slots), "doc_id long, piece long, shard long, bin long, bin_offset long, size long")
+    got = got.select("doc_id", "piece", F.concat_ws("-", "shard", "bin").alias("bin_id"), "bin_offset", "size")
+    zero = F.lit(0).cast("long")
+    none = every.where("size <= 0").select("doc_id", zero.alias("piece"), F.lit(None).cast("string").alias("bin_id"), zero.alias("bin_offset"), zero.alias("size"))
+    return got.unionByName(none)
