@@ -187,11 +187,14 @@ FROM d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY
 
 def _secret_sql() -> str:
     """Matches and the gaps between them, per rule, as positions."""
+    base = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+            ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]  # as the contract has them
+    more = [(r.kind, r.pattern, r.part, r.least) for r in secret_ledger.MORE_RULES]
     parts = []
-    for k, r in enumerate(secret_ledger.RULES):
-        pattern = r.pattern.replace("'", "''")
-        parts.append(f"""SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, '{pattern}') AS gaps,
-            regexp_extract_all(t, '{pattern}', 0) AS ms, regexp_extract_all(t, '{pattern}', {r.part}) AS ps FROM d""")
+    for k, (kind, pattern, part, least) in enumerate(base + more):
+        pattern = pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, {least} AS least, string_split_regex(t, '{pattern}') AS gaps,
+            regexp_extract_all(t, '{pattern}', 0) AS ms, regexp_extract_all(t, '{pattern}', {part}) AS ps FROM d""")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({" UNION ALL ".join(parts)}),

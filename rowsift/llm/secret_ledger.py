@@ -1,11 +1,13 @@
 """Secret scans by an incremental blob ledger (DataFrame functions only).
 
-Every version of every text is content-addressed (``blob`` = SHA-256 of its UTF-8 bytes). Only
-pairs of blob and rule version that the ledger doesn't hold yet are scanned; the findings are
-kept by blob and joined back to all paths (documents, file versions) that hold the blob.
+Every version of every text is content-addressed (``blob`` = SHA-256 of its UTF-8 bytes). The ledger
+has one row per scan of a blob: the ids of the rules run (kind and version) and the spans that they
+found, also none. ``update`` scans only the pairs of blob and rule version that the ledger doesn't
+hold; ``findings`` updates a ledger, or an empty one, and joins all its findings back to every path
+(documents, file versions) that holds the blob.
 
 Scale: a blob is scanned once, however many copies there are (copies collapse in the map-side
-part of ``dropDuplicates``). One shuffle carries each distinct text, the others only addresses
+part of ``dropDuplicates``). One shuffle carries each distinct unseen text, the others only addresses
 and spans. The ledger is a table in the shared folder, so the last join has a plain exchange on
 both sides and a blob with very many paths can be split by the adaptive skew join.
 
@@ -53,7 +55,7 @@ MORE_RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, ("eyj",)),
     Rule("chat", r"xox[abeoprs]-[A-Za-z0-9-]{20,}", 0, 1, ("xox",)),
-    Rule("login", r"[a-z][a-z0-9+.-]{1,12}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", 0, 1, ("://",)),
+    Rule("login", r"[a-z][a-z0-9+.-]{1,12}://[^\s/:@]+:[^\s/:@]{3,}@", 0, 1, ("://",)),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -74,7 +76,7 @@ def unseen(blobs: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | None)
     new = blobs.select("blob", "text").dropDuplicates(["blob"])
     if ledger is None:
         return new.withColumn("todo", F.array(*map(F.lit, ids)))
-    done = (ledger.where(F.col("rule").isin(*ids)).groupBy("blob").agg(F.collect_set("rule").alias("done")))
+    done = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))  # one row per scan of a blob
     return (new.join(done, "blob", "left")
             .withColumn("todo", F.array_except(F.array(*map(F.lit, ids)), F.coalesce("done", F.array().cast("array<string>"))))
             .where(F.size("todo") > 0).drop("done"))
@@ -100,44 +102,51 @@ def _pieces(rule: Rule, k: int) -> Column:
     return F.when(wanted & F.col("text").rlike(rule.pattern), rows).otherwise(none)
 
 
+_SPANS = "array<struct<rule:string,start:bigint,end:bigint>>"
+
+
 def scan(todo: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger entries: blob, rule, spans (array of start, end), one row per scanned pair
-    that has findings, and one row with rule null and no spans is not written: a pair without
-    findings is an entry with an empty array."""
+    """New ledger entries: blob, rules (ids of those run), spans (array of rule, start, end), one row per row of
+    ``todo`` (blob, text, todo), also where nothing is found."""
     found = F.flatten(F.array(*[_pieces(r, k) for k, r in enumerate(rules)]))
-    rows = (todo.withColumn("small", F.lower("text"))
-            .select("blob", found.alias("found"))
-            .where(F.size("found") > 0).select("blob", F.explode("found").alias("f")).select("blob", "f.*"))
+    scanned = cut_lineage(todo.withColumn("small", F.lower("text")).select("blob", "todo", found.alias("found")), "secret-scan")
+    hits = scanned.where(F.size("found") > 0)
+    rows = hits.select("blob", F.explode("found").alias("f")).select("blob", "f.*")
     upto = Window.partitionBy("blob", "k").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     spans = (rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto))
              .where("good").withColumn("start", F.col("end") - F.col("size")))
     names = F.array(*map(F.lit, rule_id(rules)))
-    return (spans.groupBy("blob", "k").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-            .select("blob", F.get(names, F.col("k")).alias("rule"), "spans"))
+    by_blob = spans.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct(F.col("start"), F.col("k"), F.col("end")))).alias("s"))
+    none = F.array().cast(_SPANS)
+    marked = F.transform("s", lambda s: F.struct(F.get(names, s["k"]).alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
+    with_hits = hits.select("blob", F.col("todo").alias("rules")).join(by_blob, "blob", "left").select("blob", "rules", F.coalesce(marked, none).alias("spans"))
+    return with_hits.unionByName(scanned.where(F.size("found") == 0).select("blob", F.col("todo").alias("rules"), none.alias("spans")))
 
 
 def update(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None,
            path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ledger (blob, rule, spans) after scanning what it lacks; every scanned pair has an entry
-    (with no spans where nothing was found), so the next call skips it."""
-    todo = unseen(paths(versions, path_col, text_col), rules, ledger)
-    todo = cut_lineage(todo, "secret-todo")
-    pairs = todo.select("blob", F.explode("todo").alias("rule"))
-    new = pairs.join(scan(todo, rules), ["blob", "rule"], "left") \
-        .withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    return new if ledger is None else ledger.select("blob", "rule", "spans").unionByName(new)
-
-
-def findings(versions: DataFrame, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """path, blob, found (array of start, k, end sorted by start, then rule) of every version, from
-    an empty ledger: distinct blobs are scanned, the entries written, then joined to all paths."""
-    at = paths(versions, path_col, text_col)
-    entries = scan(unseen(at, rules, None), rules)
+    """The written ledger (blob, rules, spans) after scanning what it lacks; every scanned pair has an entry,
+    so the next call skips it."""
+    new = scan(unseen(paths(versions, path_col, text_col), rules, ledger), rules)
+    return cut_lineage(new if ledger is None else ledger.select("blob", "rules", "spans").unionByName(new), "secret-ledger")
+
+
+def findings(versions: DataFrame, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text",
+             ledger: DataFrame | None = None) -> DataFrame:
+    """path, blob, found (array of start, k, end sorted by start, then rule) of every version: the ledger is brought up
+    to date for ``rules``, then all its findings of these rules are joined to all paths."""
+    return lookup(versions, update(versions, rules, ledger, path_col, text_col), rules, path_col, text_col)
+
+
+def lookup(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``findings`` of a ledger as it is."""
     kinds = F.array(*map(F.lit, rule_id(rules)))
-    by_blob = (entries.select("blob", (F.array_position(kinds, F.col("rule")) - 1).cast("int").alias("k"), "spans")
-               .groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(
-                   s["start"].alias("start"), F.col("k").alias("k"), s["end"].alias("end")))))).alias("found")))
-    by_blob = cut_lineage(by_blob, "secret-ledger")
+    place = lambda s: (F.array_position(kinds, s["rule"]) - 1).cast("int")
+    mine = F.filter("spans", lambda s: F.array_contains(kinds, s["rule"]))
+    held = ledger.select("blob", F.transform(mine, lambda s: F.struct(s["start"].alias("start"), place(s).alias("k"), s["end"].alias("end"))).alias("f"))
+    by_blob = held.where(F.size("f") > 0).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("f"))).alias("found"))  # the scans of one blob
+    by_blob = cut_lineage(by_blob, "secret-findings")
+    at = paths(versions, path_col, text_col)
     return at.select("path", "blob").join(by_blob, "blob", "left").select(
         "path", "blob", F.coalesce("found", F.array().cast("array<struct<start:bigint,k:int,end:bigint>>")).alias("found"))
 
