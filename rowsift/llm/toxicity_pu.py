@@ -8,12 +8,16 @@ logistic loss; where the bracket is negative, its gradient is turned round so th
 classifier stops gaining from unlabelled examples it has memorised. The prior p is the share of
 toxic rows among the labelled rows given to ``train``.
 
-The fit runs in one task on a sample of at most ``positives`` + ``unlabelled`` texts, taken by the hash
-of the id (both bounds are parameters; the words of a text count, not its length). Everything
-else is over all texts: scoring is one narrow map, with a model of bounded size shipped along.
+Positives are a sample of at most ``positives`` confirmed texts, taken by the hash of the id (the
+bound on labelled rows). Unlabelled are all texts of the usable ids: a first pass over them counts
+the words that positives hold, a second one reduces each text to the chosen features it holds.
+Texts with the same features have the same loss and gradient, so the risk over all texts is a
+sum over distinct feature sets with weights, and only those are fitted. If there are more than
+``PATTERNS`` of them, the sums of each step are taken by Spark over the table of sets instead; the
+result is the same. Scoring is one narrow map, with the chosen features shipped along.
 
 Defined results: a null text is scored as the empty text; without a confirmed toxic row every
-score is 0; null ids are never in the sample but are scored; repeated rows stay; an empty table
+score is 0; null ids are never trained on but are scored; repeated rows stay; an empty table
 gives an empty result; other columns of the input are ignored.
 """
 
@@ -26,9 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsift.llm.common import text_slices
+from rowsift.session import cut_lineage
 
 POSITIVES = 4000
-UNLABELLED = 8000
+PATTERNS = 500_000
 MIN_TEXTS = 4
 LEAST_Z = 4.0
 START = 5
@@ -48,37 +53,42 @@ def features(word: bytes) -> tuple[int, int]:
     return _hash(word), _hash(word.decode()[:START].encode() + b" ")
 
 
-def fit(rows: list[tuple[bool, np.ndarray]], prior: float, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(word hashes, weights, bias) from (is positive, word hashes) rows."""
-    pos = np.array([r[0] for r in rows], bool)
-    sizes = np.array([len(r[1]) for r in rows])
-    flat = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
-    vocab, place = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    n_p, n_u = max(1, pos.sum()), max(1, (~pos).sum())
-    in_p, in_u = (np.bincount(place, weights=x[owner], minlength=len(vocab)) for x in (pos.astype(float), (~pos).astype(float)))
+def chosen(in_p: np.ndarray, n_p: float, in_u: np.ndarray, n_u: float) -> np.ndarray:
+    """Whether each feature is held significantly more often by positives (two-proportion z)."""
     both = (in_p + in_u) / (n_p + n_u)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
-    keep = (in_p >= MIN_TEXTS) & (z >= LEAST_Z)
-    new = np.cumsum(keep) - 1
-    owner, place, vocab = owner[keep[place]], new[place[keep[place]]], vocab[keep]
-    w, b = np.zeros(len(vocab)), np.log(prior / (1 - prior))
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    return (in_p >= MIN_TEXTS) & (z >= LEAST_Z)
+
+
+class Sets:
+    """Distinct feature sets (``sets``: arrays of feature numbers) with the share of positives and of unlabelled texts that have each."""
+
+    def __init__(self, sets: list, of_p: np.ndarray, of_u: np.ndarray, width: int):
+        sizes = np.array([len(x) for x in sets], np.int64)
+        self.owner = np.repeat(np.arange(len(sets)), sizes)
+        self.place = np.concatenate([np.asarray(x, np.int64) for x in sets]) if len(sets) else np.zeros(0, np.int64)
+        self.of_p, self.of_u, self.width = of_p, of_u, width
+
+    def sums(self, w: np.ndarray, b: float, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """(bracket, gradient of the positives' risk, gradient of the bracket); gradients: one entry per weight, then the bias."""
+        f = np.bincount(self.owner, weights=w[self.place], minlength=len(self.of_p)) + b
+        sig, soft = 1 / (1 + np.exp(-np.clip(f, -30, 30))), np.logaddexp(0, f)  # soft: the loss of calling it negative
+        up, down = -(1 - sig) * prior * self.of_p, sig * (self.of_u - prior * self.of_p)
+        grad = lambda g: np.append(np.bincount(self.place, weights=g[self.owner], minlength=self.width), g.sum())
+        return float(soft @ (self.of_u - prior * self.of_p)), grad(up), grad(down)
+
+
+def fit(sums, width: int, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """(weights, bias) by Adam on the non-negative risk; ``sums(w, b, prior)`` is as ``Sets.sums``."""
+    w = np.append(np.zeros(width), np.log(prior / (1 - prior)))
+    decay = np.append(np.full(width, DECAY), 0.0)
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        f = np.bincount(owner, weights=w[place], minlength=len(rows)) + b
-        sig = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-        soft = np.logaddexp(0, f)  # the loss of calling it negative
-        rest = soft[~pos].sum() / n_u - prior * soft[pos].sum() / n_p
-        up = np.where(pos, -(1 - sig) * prior / n_p, 0.0)  # of the positives' risk as positives
-        down = np.where(pos, -prior * sig / n_p, sig / n_u)  # of the bracket
-        g = up + down if rest >= 0 else up * 0 - down
-        gw, gb = np.bincount(place, weights=g[owner], minlength=len(w)) + DECAY * w, g.sum()
-        m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        w -= RATE * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        b -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return vocab, w, float(b)
+        rest, up, down = sums(w[:-1], float(w[-1]), prior)
+        g = (up + down if rest >= 0 else -down) + decay * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w[:-1], float(w[-1])
 
 
 def _hash(word: bytes) -> int:
@@ -86,57 +96,115 @@ def _hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _features(batches):
+def _held(known: set[int]):
+    """text -> sorted hashes of its features among ``known``; each word is hashed once per task."""
+    cache: dict[bytes, tuple[int, ...]] = {}
+
+    def run(text: str | None) -> list[int]:
+        found: set[int] = set()
+        for w in words(text):
+            if (hits := cache.get(w)) is None:
+                if len(cache) > 200_000:
+                    cache.clear()
+                hits = cache[w] = tuple(h for h in features(w) if h in known)
+            if hits:
+                found.update(hits)
+        return sorted(found)
+    return run
+
+
+def _count_all(batches):
+    """(feature, number of texts) of the positives' texts."""
+    total: dict[int, int] = {}
     for batch in text_slices(batches, 2048):
-        hashes = [sorted({h for w in words(t) for h in features(w)}) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(hashes, pa.list_(pa.int64()))], names=["positive", "words"])
+        for t in batch.column("text").to_pylist():
+            for h in {h for w in words(t) for h in features(w)}:
+                total[h] = total.get(h, 0) + 1
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["feature", "n"])
 
 
-def _fit(prior: float):
-    def run(pdf):
-        import pandas as pd
+def _count_known(shared):
+    def run(batches):
+        names = shared.value
+        held, total = _held(set(names.tolist())), np.zeros(len(names), np.int64)
+        for batch in text_slices(batches, 2048):
+            for t in batch.column("text").to_pylist():
+                if hits := held(t):
+                    total[np.searchsorted(names, hits)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], names=["feature", "n"])
+    return run
+
 
-        pdf = pdf.assign(key=[hash(tuple(x)) for x in pdf["words"]]).sort_values(["positive", "key"])
-        vocab, w, b = fit([(bool(p), np.asarray(x, np.int64)) for p, x in zip(pdf["positive"], pdf["words"], strict=True)], prior)
-        return pd.DataFrame({"vocab": [vocab.astype("<i8").tobytes()], "weights": [w.astype("<f8").tobytes()], "bias": [b]})
+def _sets(names: np.ndarray):
+    def run(batches):
+        held = _held(set(names.tolist()))
+        for batch in text_slices(batches, 2048):
+            sets = [np.searchsorted(names, held(t)).tolist() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(sets, pa.list_(pa.int32()))], names=["positive", "features"])
     return run
 
 
+def _spark_sums(table: DataFrame, n_p: float, n_u: float, width: int):
+    """``Sets.sums`` over a table of sets, added up by Spark."""
+    def sums(w, b, prior):
+        def run(batches):
+            rest, up, down = 0.0, np.zeros(width + 1), np.zeros(width + 1)
+            for batch in batches:
+                of_p, of_u = (batch.column(c).to_numpy() / n for c, n in (("p", n_p), ("u", n_u)))
+                one = Sets(batch.column("features").to_pylist(), of_p, of_u, width).sums(w, b, prior)
+                rest, up, down = rest + one[0], up + one[1], down + one[2]
+            yield pa.RecordBatch.from_arrays([pa.array([rest]), pa.array([up.tolist()]), pa.array([down.tolist()])], names=["rest", "up", "down"])
+
+        parts = table.mapInArrow(run, "rest double, up array<double>, down array<double>").collect()  # one row per task
+        return sum(r["rest"] for r in parts), np.sum([r["up"] for r in parts], axis=0), np.sum([r["down"] for r in parts], axis=0)
+    return sums
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text",
-          label_id: str = "doc_id", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED):
+          label_id: str = "doc_id", label_col: str = "toxic", positives: int = POSITIVES, patterns: int = PATTERNS):
     """(word hashes, weights, bias), or None without a positive. ``usable``: over the id, named ``id``."""
     known = labels.select(labels[label_id].alias("id"), labels[label_col].cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").where(usable)
     share = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p")).first()
     if not share["p"]:
         return None
     prior = min(0.9, max(1e-3, share["p"] / share["n"]))
-    first = lambda ids, n: ids.distinct().orderBy(F.xxhash64("id"), "id").limit(n)
-    sample = first(known.where("y = 1").select("id"), positives).withColumn("positive", F.lit(True)).unionAll(
-        first(docs.select(docs[id_col].alias("id")).where("id IS NOT NULL").where(usable), unlabelled).withColumn("positive", F.lit(False)))
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")) \
-        .join(F.broadcast(sample), "id")  # at most positives + unlabelled ids
-    model = rows.select("positive", "text").mapInArrow(_features, "positive boolean, words array<bigint>") \
-        .withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_fit(prior), "vocab binary, weights binary, bias double").first()
-    return None if model is None else (np.frombuffer(model["vocab"], "<i8"), np.frombuffer(model["weights"], "<f8"), model["bias"])
+    sample = known.where("y = 1").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(positives)
+    at = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("id IS NOT NULL").where(usable)
+    confirmed = cut_lineage(at.join(F.broadcast(sample), "id").select("text"), "toxic-positives")  # at most ``positives`` ids
+    n_p = confirmed.count()
+    if not n_p:
+        return None
+    held = (confirmed.mapInArrow(_count_all, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= MIN_TEXTS).orderBy("feature").collect())  # features of at least MIN_TEXTS of the sampled positives
+    names, in_p = np.array([r["feature"] for r in held], np.int64), np.array([r["n"] for r in held], float)
+    unlabelled = at.select("text")
+    shared = docs.sparkSession.sparkContext.broadcast(names)
+    counted = unlabelled.mapInArrow(_count_known(shared), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    by_name = {r["feature"]: r["n"] for r in counted}
+    n_u = max(1, at.count())
+    keep = chosen(in_p, n_p, np.array([by_name.get(h, 0) for h in names.tolist()], float), n_u) if len(names) else np.zeros(0, bool)
+    names = names[keep]
+    both = confirmed.select(F.lit(True).alias("positive"), "text").unionByName(unlabelled.select(F.lit(False).alias("positive"), "text"))
+    table = both.mapInArrow(_sets(names), "positive boolean, features array<int>").groupBy("features").agg(
+        F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("u"))
+    table = cut_lineage(table, "toxic-sets")
+    if table.count() > patterns:
+        sums = _spark_sums(table, n_p, n_u, len(names))
+    else:
+        rows = table.orderBy("features").collect()  # at most ``patterns`` sets of chosen features
+        sums = Sets([r["features"] for r in rows], np.array([r["p"] for r in rows], float) / n_p, np.array([r["u"] for r in rows], float) / n_u, len(names)).sums
+    w, b = fit(sums, len(names), prior)
+    return names, w, b
 
 
 def _score(model):
     def run(batches):
         weight = dict(zip(model[0].tolist(), model[1].tolist(), strict=True)) if model else {}
-        cache: dict[bytes, tuple[int, ...]] = {}
+        held = _held(set(weight))
         for batch in text_slices(batches, 2048):
             out = np.zeros(batch.num_rows)
             for k, text in enumerate(batch.column("text").to_pylist()):
-                found: set[int] = set()
-                for w in words(text) if weight else ():
-                    if (hits := cache.get(w)) is None:
-                        if len(cache) > 200_000:
-                            cache.clear()
-                        hits = cache[w] = tuple(h for h in features(w) if h in weight)
-                    if hits:
-                        found.update(hits)
-                total = sum(weight[h] for h in sorted(found))
-                out[k] = total
+                out[k] = sum(weight[h] for h in held(text)) if weight else 0.0
             score = 1 / (1 + np.exp(-np.clip(out + model[2], -30, 30))) if model else out
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
     return run
