@@ -109,6 +109,12 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return m.withColumn("fail_bits", bits)
 
 
+def stored(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger written to ``path`` and read back: policies and ablations of later versions start from here."""
+    ledger(docs, id_col, text_col).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def apply_policy(entries: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """The ledger with ``base_failed``, ``kept`` and ``policy_version``."""
     return (entries
@@ -119,8 +125,9 @@ def apply_policy(entries: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 def ablations(entries: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """Per rule of the policy: n_failed, n_failed_alone (kept if only this rule were left out)
-    and n_kept_without. From the counts per bit pattern, not from the documents again."""
-    patterns = (entries.groupBy(F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long")).alias("bits"))
+    and n_kept_without. The base rules reject under every policy, as in ``apply_policy``, unless the rule left
+    out is one of them. From the counts per bit pattern, not from the documents again."""
+    patterns = (entries.groupBy(F.col("fail_bits").bitwiseAND(F.lit(policy.mask | BASE.mask).cast("long")).alias("bits"))
                 .agg(F.count(F.lit(1)).alias("n")))
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(BIT[r]).cast("long").alias("bit")) for r in policy.rules])
     one = patterns.select("bits", "n", F.explode(rules).alias("r"))

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from rowsift.session import scratch_path
+from tests.conftest import SF_SMALL
 from rowsift.llm import (language_id, line_mph, packing, quality_ledger, quote_chat, secret_ledger, topk_search, toxicity_pu)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, score double, n_lines string, blob int"
@@ -32,7 +34,7 @@ def test_language(docs):
 
 
 def test_quality(docs):
-    entries = quality_ledger.apply_policy(quality_ledger.ledger(docs))
+    entries = quality_ledger.apply_policy(quality_ledger.stored(docs, scratch_path(docs.sparkSession, "quality-ledger")))
     got = {r["doc_id"]: r for r in entries.collect()}
     if got:
         assert got[2]["n_words"] == 0 and got[2]["base_failed"] and got[9]["n_repeat_words"] == 30_000 and not got[9]["kept"] and got[1]["kept"]
@@ -42,6 +44,16 @@ def test_quality(docs):
             b = quality_ledger.BIT[name]
             assert (r["n_failed"], r["n_failed_alone"], r["n_kept_without"]) == (
                 sum(bool(x & b) for x in bits), sum(x == b for x in bits), sum(not x & ~b for x in bits))
+        narrow = quality_ledger.Policy("symbols-2", ("symbols",))  # a later version, from the same ledger
+        kept = quality_ledger.apply_policy(entries.drop("kept", "base_failed", "policy_version"), narrow)
+        assert kept.where("kept").count() == sum(not x & (narrow.mask | quality_ledger.BASE.mask) for x in bits)
+
+
+def test_ablation_counts_the_base_rules(spark):
+    two = spark.createDataFrame([(1, "few words"), (2, "# # # # # # # # # # # #" + " word" * 12)], "doc_id long, text string")
+    entries = quality_ledger.ledger(two)
+    row = quality_ledger.ablations(entries, quality_ledger.Policy("p", ("symbols",))).first()
+    assert row["n_failed"] == 1 and row["n_kept_without"] == entries.where(F.col("fail_bits").bitwiseAND(F.lit(quality_ledger.BASE.mask)) == 0).count()
 
 
 def test_topk(spark):
@@ -65,6 +77,8 @@ def test_packing(docs):
     bins = {}
     for r in rows:
         bins.setdefault(r["bin_id"], []).append((r["bin_offset"], r["size"], r["doc_id"]))
+    empty = bins.pop(None, [])
+    assert all(size == 0 for _, size, _ in empty) and all(size for content in bins.values() for _, size, _ in content)
     for content in bins.values():
         content.sort()
         assert all(a[0] + a[1] <= b[0] for a, b in zip(content, content[1:])) and content[-1][0] + content[-1][1] <= 64
@@ -85,12 +99,63 @@ def test_mph_is_minimal_and_perfect():
     assert sorted(mph.index(keys).tolist()) == list(range(len(keys)))
 
 
+def test_packing_deals_repeated_rows(spark, monkeypatch):
+    """A third of all rows equal, many blank ones: shards stay small, blank texts open no bin, the tightest bin is taken."""
+    monkeypatch.setattr(packing, "SHARD", 64)
+    rows = [(None, "same text here", "a")] * 400 + [(None, None, "a")] * 300 + [(k, "w " * (k % 50 + 1), f"s{k % 7}") for k in range(500)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=64)
+    rows = got.collect()
+    assert len(rows) == 1200 and sum(r["bin_id"] is None for r in rows) == 300
+    shards = {}
+    for r in rows:
+        if r["bin_id"]:
+            shards[r["bin_id"].split("-")[0]] = shards.get(r["bin_id"].split("-")[0], 0) + 1
+    assert max(shards.values()) < 3 * 64
+
+
+def test_packing_takes_the_tightest_bin():
+    import random
+    rng = random.Random(2)
+    packer, bins = packing.Packer(100, 2), []
+    for _ in range(600):
+        size, source, cluster = rng.randint(1, 70), rng.randrange(3), rng.choice([-1, -1, 0, 1, 2])
+        fit = [(b["rest"], k) for k, b in enumerate(bins) if b["rest"] >= size and b["sources"].count(source) < 2 and (cluster < 0 or cluster not in b["clusters"])]
+        want = min(fit)[1] if fit else len(bins)
+        if not fit:
+            bins.append({"rest": 100, "sources": [], "clusters": set()})
+        assert packer.put(size, source, cluster) == (want, 100 - bins[want]["rest"])
+        bins[want]["rest"] -= size
+        bins[want]["sources"].append(source)
+        if cluster >= 0:
+            bins[want]["clusters"].add(cluster)
+
+
 def test_toxicity(spark, docs):
     labels = spark.createDataFrame([(6, 1), (1, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     for model in (toxicity_pu.train(docs, labels, F.lit(True)), toxicity_pu.train(docs, labels.where("toxic = 0"), F.lit(True))):
         assert all(0 <= r["score"] <= 1 for r in toxicity_pu.score(docs, model).collect())
 
 
+def test_toxicity_held_out(spark):
+    """Labels of the given tables that were never seen; the sums by Spark and on the driver give one classifier."""
+    from rowsift.llm import queries
+    larger = SF_SMALL.replace("0.01", "0.1")
+    scored = queries.QUERIES["op9_toxicity_pu"](spark, larger).where("held_out").join(queries.table(spark, larger, "labels"), "doc_id").select("score", "toxic").collect()
+    pos, neg = ([r["score"] for r in scored if r["toxic"] == y] for y in (1, 0))
+    assert pos and sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) > 0.95
+    docs, labels = (queries.table(spark, SF_SMALL, t) for t in ("documents", "labels"))
+    usable = F.crc32(F.col("id").cast("string")) % 5 != 0
+    here = toxicity_pu.train(docs, labels, usable)
+    few = lambda sums, width, prior: fit(sums, width, prior, 3)
+    fit = toxicity_pu.fit
+    toxicity_pu.fit = few
+    try:
+        a, b = (toxicity_pu.train(docs, labels, usable, patterns=n) for n in (toxicity_pu.PATTERNS, 0))
+    finally:
+        toxicity_pu.fit = fit
+    assert len(here[0]) and (a[0] == b[0]).all() and abs(a[1] - b[1]).max() < 1e-9 and abs(a[2] - b[2]) < 1e-9
+
+
 def test_secrets(docs):
     found = secret_ledger.findings(docs)
     got = {r["path"]: r["found"] for r in found.collect()}
@@ -100,6 +165,35 @@ def test_secrets(docs):
         assert secret_ledger.unseen(secret_ledger.paths(docs), secret_ledger.RULES, ledger).count() == 0
 
 
+def test_secret_ledger_is_incremental(spark):
+    """A second run scans new blobs and raised rule versions only, and old findings reach new paths."""
+    from dataclasses import replace
+    schema = "doc_id string, text string"
+    key, hexa = "AKIA" + "A1" * 10, "ab12" * 8
+    first = spark.createDataFrame([("a", "x " + key), ("b", "plain"), ("c", None)], schema)
+    rules = secret_ledger.BASE_RULES
+    ledger = secret_ledger.update(first, rules)
+    assert ledger.count() == 3
+    told = ledger.select("blob", "rules", F.when(F.size("spans") > 0, F.array(F.struct(F.lit("access@1").alias("rule"), F.lit(7).cast("long").alias("start"),
+                                                                                      F.lit(9).cast("long").alias("end")))).otherwise(F.col("spans")).alias("spans"))
+    second = spark.createDataFrame([("d", "x " + key), ("e", "new " + hexa), ("b", "plain")], schema)
+    todo = secret_ledger.unseen(secret_ledger.paths(second), rules, told).collect()
+    assert [r["text"] for r in todo] == ["new " + hexa]
+    both = secret_ledger.findings(second, rules, ledger=told)
+    got = {r["path"]: [(s["k"], s["start"], s["end"]) for s in r["found"]] for r in both.collect()}
+    assert got == {"d": [(1, 7, 9)], "e": [(2, 4, 36)], "b": []}  # the old entry was taken from the ledger, not scanned again
+    raised = (rules[0], replace(rules[1], version=2), rules[2])
+    todo = {r["text"]: r["todo"] for r in secret_ledger.unseen(secret_ledger.paths(second), raised, told).collect()}
+    assert todo == {"x " + key: ["access@2"], "plain": ["access@2"], "new " + hexa: ["assign@1", "access@2", "hex@1"]}
+    got = {r["path"]: [(s["k"], s["start"], s["end"]) for s in r["found"]] for r in secret_ledger.findings(second, raised, ledger=told).collect()}
+    assert got["d"] == [(1, 2, 26)]
+
+
+def test_long_logins_are_found(spark):
+    row = spark.createDataFrame([(1, "see https://" + "u" * 200 + ":" + "p" * 500 + "@host/")], "doc_id long, text string")
+    assert [(s["start"], s["end"]) for s in secret_ledger.findings(row).first()["found"]] == [(4, 4 + 8 + 200 + 1 + 500 + 1)]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "Hello there\nhow are you"), (1, 1, "assistant", "> hello  THERE\nFine"), (1, 2, "user", ">> Hello there\n> Fine\nGood"),
             (1, 3, None, "> nothing like it\nok"), (None, 0, "user", "> Fine"), (2, None, "user", "> x"), (1, 1, "assistant", "> hello  THERE\nFine"), (3, 0, "user", None)]
