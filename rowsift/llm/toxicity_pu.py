@@ -12,9 +12,9 @@ Positives are a sample of at most ``positives`` confirmed texts, taken by the ha
 bound on labelled rows). Unlabelled are all texts of the usable ids: a first pass over them counts
 the words that positives hold, a second one reduces each text to the chosen features it holds.
 Texts with the same features have the same loss and gradient, so the risk over all texts is a
-sum over distinct feature sets with weights, and only those are fitted. If there are more than
-``PATTERNS`` of them, the sums of each step are taken by Spark over the table of sets instead; the
-result is the same. Scoring is one narrow map, with the chosen features shipped along.
+sum over distinct feature sets with weights, and only those are fitted. If the sets hold more than
+``ENTRIES`` features (32 MB), the sums of each step are taken by Spark over the table of sets instead;
+the result is the same. Scoring is one narrow map, with the chosen features shipped along.
 
 Defined results: a null text is scored as the empty text; without a confirmed toxic row every
 score is 0; null ids are never trained on but are scored; repeated rows stay; an empty table
@@ -33,7 +33,7 @@ from rowsift.llm.common import text_slices
 from rowsift.session import cut_lineage
 
 POSITIVES = 4000
-PATTERNS = 500_000
+ENTRIES = 8_000_000
 MIN_TEXTS = 4
 LEAST_Z = 4.0
 START = 5
@@ -61,12 +61,12 @@ def chosen(in_p: np.ndarray, n_p: float, in_u: np.ndarray, n_u: float) -> np.nda
 
 
 class Sets:
-    """Distinct feature sets (``sets``: arrays of feature numbers) with the share of positives and of unlabelled texts that have each."""
+    """Distinct feature sets (``sets``: an Arrow list array of feature numbers) with the share of positives and of unlabelled texts that have each."""
 
-    def __init__(self, sets: list, of_p: np.ndarray, of_u: np.ndarray, width: int):
-        sizes = np.array([len(x) for x in sets], np.int64)
-        self.owner = np.repeat(np.arange(len(sets)), sizes)
-        self.place = np.concatenate([np.asarray(x, np.int64) for x in sets]) if len(sets) else np.zeros(0, np.int64)
+    def __init__(self, sets: pa.Array, of_p: np.ndarray, of_u: np.ndarray, width: int):
+        offsets = sets.offsets.to_numpy()
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), np.diff(offsets))
+        self.place = sets.values.to_numpy()[offsets[0]:offsets[-1]]
         self.of_p, self.of_u, self.width = of_p, of_u, width
 
     def sums(self, w: np.ndarray, b: float, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
@@ -151,7 +151,7 @@ def _spark_sums(table: DataFrame, n_p: float, n_u: float, width: int):
             rest, up, down = 0.0, np.zeros(width + 1), np.zeros(width + 1)
             for batch in batches:
                 of_p, of_u = (batch.column(c).to_numpy() / n for c, n in (("p", n_p), ("u", n_u)))
-                one = Sets(batch.column("features").to_pylist(), of_p, of_u, width).sums(w, b, prior)
+                one = Sets(batch.column("features"), of_p, of_u, width).sums(w, b, prior)
                 rest, up, down = rest + one[0], up + one[1], down + one[2]
             yield pa.RecordBatch.from_arrays([pa.array([rest]), pa.array([up.tolist()]), pa.array([down.tolist()])], names=["rest", "up", "down"])
 
@@ -161,7 +161,7 @@ def _spark_sums(table: DataFrame, n_p: float, n_u: float, width: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text",
-          label_id: str = "doc_id", label_col: str = "toxic", positives: int = POSITIVES, patterns: int = PATTERNS):
+          label_id: str = "doc_id", label_col: str = "toxic", positives: int = POSITIVES, entries: int = ENTRIES):
     """(word hashes, weights, bias), or None without a positive. ``usable``: over the id, named ``id``."""
     known = labels.select(labels[label_id].alias("id"), labels[label_col].cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").where(usable)
     share = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p")).first()
@@ -188,11 +188,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     table = both.mapInArrow(_sets(names), "positive boolean, features array<int>").groupBy("features").agg(
         F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("u"))
     table = cut_lineage(table, "toxic-sets")
-    if table.count() > patterns:
+    if table.agg(F.sum(F.size("features")).alias("n")).first()["n"] > entries:
         sums = _spark_sums(table, n_p, n_u, len(names))
     else:
-        rows = table.orderBy("features").collect()  # at most ``patterns`` sets of chosen features
-        sums = Sets([r["features"] for r in rows], np.array([r["p"] for r in rows], float) / n_p, np.array([r["u"] for r in rows], float) / n_u, len(names)).sums
+        rows = table.orderBy("features").toArrow().combine_chunks()  # at most ``entries`` feature numbers
+        of_p, of_u = (rows.column(c).to_numpy() / n for c, n in (("p", n_p), ("u", n_u)))
+        sums = Sets(rows.column("features").combine_chunks(), of_p, of_u, len(names)).sums
     w, b = fit(sums, len(names), prior)
     return names, w, b
 

@@ -150,7 +150,7 @@ def test_toxicity_held_out(spark):
     fit = toxicity_pu.fit
     toxicity_pu.fit = few
     try:
-        a, b = (toxicity_pu.train(docs, labels, usable, patterns=n) for n in (toxicity_pu.PATTERNS, 0))
+        a, b = (toxicity_pu.train(docs, labels, usable, entries=n) for n in (toxicity_pu.ENTRIES, 0))
     finally:
         toxicity_pu.fit = fit
     assert len(here[0]) and (a[0] == b[0]).all() and abs(a[1] - b[1]).max() < 1e-9 and abs(a[2] - b[2]) < 1e-9
