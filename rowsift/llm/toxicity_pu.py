@@ -65,27 +65,45 @@ class Sets:
 
     def __init__(self, sets: pa.Array, of_p: np.ndarray, of_u: np.ndarray, width: int):
         offsets = sets.offsets.to_numpy()
-        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), np.diff(offsets))
+        sizes = np.diff(offsets)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
         self.place = sets.values.to_numpy()[offsets[0]:offsets[-1]]
+        order = np.argsort(self.place, kind="stable")
+        self.owner_by_place = owner[order]  # for the gradient: the sets of each feature, one after the other
+        counts = np.bincount(self.place, minlength=width)
+        self.some, self.begins = np.flatnonzero(sizes), (offsets[:-1] - offsets[0])[sizes > 0]
+        self.used, self.starts = np.flatnonzero(counts), (np.cumsum(counts) - counts)[counts > 0]
         self.of_p, self.of_u, self.width = of_p, of_u, width
 
-    def sums(self, w: np.ndarray, b: float, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
-        """(bracket, gradient of the positives' risk, gradient of the bracket); gradients: one entry per weight, then the bias."""
-        f = np.bincount(self.owner, weights=w[self.place], minlength=len(self.of_p)) + b
+    def losses(self, w: np.ndarray, b: float, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """(bracket, and per set the derivatives by its score of the positives' risk and of the bracket)."""
+        f = np.full(len(self.of_p), b)
+        if len(self.some):
+            f[self.some] += np.add.reduceat(w[self.place], self.begins)
         sig, soft = 1 / (1 + np.exp(-np.clip(f, -30, 30))), np.logaddexp(0, f)  # soft: the loss of calling it negative
-        up, down = -(1 - sig) * prior * self.of_p, sig * (self.of_u - prior * self.of_p)
-        grad = lambda g: np.append(np.bincount(self.place, weights=g[self.owner], minlength=self.width), g.sum())
-        return float(soft @ (self.of_u - prior * self.of_p)), grad(up), grad(down)
+        return float(soft @ (self.of_u - prior * self.of_p)), -(1 - sig) * prior * self.of_p, sig * (self.of_u - prior * self.of_p)
 
+    def spread(self, g: np.ndarray) -> np.ndarray:
+        """The gradient by the weights, then by the bias, from derivatives by the scores."""
+        out = np.zeros(self.width + 1)
+        if len(self.used):
+            out[self.used] = np.add.reduceat(g[self.owner_by_place], self.starts)
+        out[-1] = g.sum()
+        return out
 
-def fit(sums, width: int, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """(weights, bias) by Adam on the non-negative risk; ``sums(w, b, prior)`` is as ``Sets.sums``."""
+    def gradient(self, w: np.ndarray, b: float, prior: float) -> np.ndarray:
+        """Of the non-negative risk: both parts, or away from the bracket where it is negative."""
+        rest, up, down = self.losses(w, b, prior)
+        return self.spread(up + down if rest >= 0 else -down)
+
+
+def fit(gradient, width: int, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """(weights, bias) by Adam on the non-negative risk; ``gradient(w, b, prior)`` is as ``Sets.gradient``."""
     w = np.append(np.zeros(width), np.log(prior / (1 - prior)))
     decay = np.append(np.full(width, DECAY), 0.0)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        rest, up, down = sums(w[:-1], float(w[-1]), prior)
-        g = (up + down if rest >= 0 else -down) + decay * w
+        g = gradient(w[:-1], float(w[-1]), prior) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -144,20 +162,22 @@ def _sets(names: np.ndarray):
     return run
 
 
-def _spark_sums(table: DataFrame, n_p: float, n_u: float, width: int):
-    """``Sets.sums`` over a table of sets, added up by Spark."""
-    def sums(w, b, prior):
+def _spark_gradient(table: DataFrame, n_p: float, n_u: float, width: int):
+    """``Sets.gradient`` over a table of sets, added up by Spark."""
+    def gradient(w, b, prior):
         def run(batches):
             rest, up, down = 0.0, np.zeros(width + 1), np.zeros(width + 1)
             for batch in batches:
                 of_p, of_u = (batch.column(c).to_numpy() / n for c, n in (("p", n_p), ("u", n_u)))
-                one = Sets(batch.column("features"), of_p, of_u, width).sums(w, b, prior)
-                rest, up, down = rest + one[0], up + one[1], down + one[2]
+                sets = Sets(batch.column("features"), of_p, of_u, width)
+                one, by_p, by_u = sets.losses(w, b, prior)
+                rest, up, down = rest + one, up + sets.spread(by_p), down + sets.spread(by_u)
             yield pa.RecordBatch.from_arrays([pa.array([rest]), pa.array([up.tolist()]), pa.array([down.tolist()])], names=["rest", "up", "down"])
 
         parts = table.mapInArrow(run, "rest double, up array<double>, down array<double>").collect()  # one row per task
-        return sum(r["rest"] for r in parts), np.sum([r["up"] for r in parts], axis=0), np.sum([r["down"] for r in parts], axis=0)
-    return sums
+        up, down = (np.sum([r[c] for r in parts], axis=0) for c in ("up", "down"))
+        return up + down if sum(r["rest"] for r in parts) >= 0 else -down
+    return gradient
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -189,12 +209,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
         F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("u"))
     table = cut_lineage(table, "toxic-sets")
     if table.agg(F.sum(F.size("features")).alias("n")).first()["n"] > entries:
-        sums = _spark_sums(table, n_p, n_u, len(names))
+        gradient = _spark_gradient(table, n_p, n_u, len(names))
     else:
         rows = table.orderBy("features").toArrow().combine_chunks()  # at most ``entries`` feature numbers
         of_p, of_u = (rows.column(c).to_numpy() / n for c, n in (("p", n_p), ("u", n_u)))
-        sums = Sets(rows.column("features").combine_chunks(), of_p, of_u, len(names)).sums
-    w, b = fit(sums, len(names), prior)
+        gradient = Sets(rows.column("features").combine_chunks(), of_p, of_u, len(names)).gradient
+    w, b = fit(gradient, len(names), prior)
     return names, w, b
 
 
