@@ -2,7 +2,8 @@
 
 Confirmed toxic texts are the positives; all other texts, labelled or not, are only unlabelled
 examples. A linear classifier over the words and word beginnings that a text holds (those that
-positives hold significantly more often than unlabelled texts) is fitted in numpy by the
+positives hold significantly more often than unlabelled texts, and at least LEAST_LIFT times as
+often: significance alone admits ever more common words as the table grows) is fitted in numpy by the
 class-prior-corrected risk  p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives))  with the
 logistic loss; where the bracket is negative, its gradient is turned round so that the
 classifier stops gaining from unlabelled examples it has memorised. The prior p is the share of
@@ -36,6 +37,7 @@ POSITIVES = 4000
 ENTRIES = 8_000_000
 MIN_TEXTS = 4
 LEAST_Z = 4.0
+LEAST_LIFT = 2.0
 START = 5
 STEPS = 300
 RATE = 0.05
@@ -54,10 +56,10 @@ def features(word: bytes) -> tuple[int, int]:
 
 
 def chosen(in_p: np.ndarray, n_p: float, in_u: np.ndarray, n_u: float) -> np.ndarray:
-    """Whether each feature is held significantly more often by positives (two-proportion z)."""
+    """Whether each feature is held significantly more often by positives (two-proportion z), and at least LEAST_LIFT times as often."""
     both = (in_p + in_u) / (n_p + n_u)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
-    return (in_p >= MIN_TEXTS) & (z >= LEAST_Z)
+    return (in_p >= MIN_TEXTS) & (z >= LEAST_Z) & (in_p * n_u >= LEAST_LIFT * in_u * n_p)
 
 
 class Sets:

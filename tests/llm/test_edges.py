@@ -1,6 +1,7 @@
 """Null, empty, repeated and extra-column inputs, and empty tables, for every operator and stage."""
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,12 @@ def test_toxicity(spark, docs):
         assert all(0 <= r["score"] <= 1 for r in toxicity_pu.score(docs, model).collect())
 
 
+def test_toxicity_features():
+    """In a large table a common word is held significantly more often by positives, but not much more often."""
+    in_p, in_u = np.array([2200.0, 400, 3, 400]), np.array([100_000.0, 2000, 0, 20_000])
+    assert toxicity_pu.chosen(in_p, 4000.0, in_u, 200_000.0).tolist() == [False, True, False, False]
+
+
 def test_toxicity_held_out(spark):
     """Labels of the given tables that were never seen; the sums by Spark and on the driver give one classifier."""
     from rowsift.llm import queries
