@@ -9,7 +9,7 @@ pruning and missing cells are simply absent.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +45,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_first(spark: SparkSession, paths: Sequence[str], **kw) -> DataFrame:
-    """Read the first existing path of a list (the reference tries ``data/`` then ``../data/``)."""
+    """Read the first existing path of a list (for data sets: ``data/``, then ``../data/``)."""
     for p in paths:
         if path_exists(spark, p):
             return read_table(spark, p, **kw)
@@ -55,15 +55,20 @@ def read_first(spark: SparkSession, paths: Sequence[str], **kw) -> DataFrame:
 # ------------------------------------------------------------------ S3
 @dataclass
 class DatasetSpec:
+    """Where a data set lies and how it becomes features and a label. A relative ``path`` is looked up in the
+    folders given to ``load_dataset``. ``label`` is a name or a position; ``positions`` pick the features by
+    place in the raw table, before ``prepare``. ``per_class``: so many rows of each class make the whole data set."""
     name: str
     path: str
-    label: str
+    label: str | int
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df
     drop: Sequence[str] = ()
     features: Sequence[str] | None = None
     fmt: str | None = None
     schema: StructType | str | None = None
     options: Mapping[str, str] = field(default_factory=dict)
+    positions: Sequence[int] | None = None
+    per_class: int | None = None
 
 
 @dataclass(frozen=True)
@@ -81,16 +86,26 @@ class Codes:
 
 @dataclass(frozen=True)
 class Encoding:
-    """How a raw table becomes a coded one. Rows with a missing cell (NULL or the column's mark in
-    ``missing``) go if any mark is named; ``indicators`` become 1 above zero; ``onehots`` name the
-    flag columns that one ordinal column replaces."""
+    """How a raw table becomes a coded one. Only rows that hold the values in ``only`` stay. Rows with a
+    missing cell (NULL or the column's mark in ``missing``) go if any mark is named; ``indicators`` become 1
+    above zero; ``onehots`` name the flag columns that one ordinal column replaces; ``integers`` are cast;
+    ``orderings`` give a value its place in a list (others raise), ``nominal`` its place among the sorted
+    distinct values (NULL: -1); ``outside`` makes a column that is 1 where a coded one is none of some values."""
+    only: Mapping[str, str] = field(default_factory=dict)
     codes: Mapping[str, Codes] = field(default_factory=dict)
     missing: Mapping[str, str] = field(default_factory=dict)
     indicators: Sequence[str] = ()
     onehots: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    integers: Sequence[str] = ()
+    orderings: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    nominal: Sequence[str] = ()
+    outside: Mapping[str, tuple[str, Sequence[int]]] = field(default_factory=dict)
     drop: Sequence[str] = ()
+    renames: Mapping[str, str] = field(default_factory=dict)
 
     def __call__(self, df: DataFrame) -> DataFrame:
+        for n, value in self.only.items():
+            df = df.where(enc.q(n) == value)
         strict = {n: c.column(n) for n, c in self.codes.items() if c.strict}
         marks = {n: F.nullif(enc.q(n), F.lit(mark)) for n, mark in self.missing.items()}
         if strict or marks:
@@ -100,7 +115,14 @@ class Encoding:
         made = {n: c.column(n) for n, c in self.codes.items() if not c.strict}
         made |= {n: enc.sign_indicator(enc.q(n)) for n in self.indicators}
         made |= {n: enc.onehot_to_ordinal(list(flags)) for n, flags in self.onehots.items()}
-        return (df.withColumns(made) if made else df).drop(*self.drop)
+        made |= {n: enc.q(n).cast("int") for n in self.integers}
+        made |= {n: enc.ordinal_encode(enc.q(n), order).cast("int") for n, order in self.orderings.items()}
+        df = df.withColumns(made) if made else df
+        for n in self.nominal:
+            df = enc.nominal_codes(df, n)
+        if self.outside:
+            df = df.withColumns({n: enc.binary_not_in(enc.q(c), values) for n, (c, values) in self.outside.items()})
+        return enc.rename(df.drop(*self.drop), self.renames)
 
 
 # Category vocabularies and their codes (leading spaces are part of the data).
@@ -121,9 +143,33 @@ ADULT = Encoding(
     indicators=("capital-gain", "capital-loss"),
     drop=("workclass", "education", "occupation"))
 SEER = Encoding(onehots={"grade": [f"grade_{i}.0" for i in range(1, 6)], "stage": [f"stage_{i}" for i in range(1, 6)]})
+CANCER = replace(SEER, integers=("mort", "mortCancer"))
+USE = [f"CL{i}" for i in range(7)]
+DRUG = Encoding(
+    only={"Semer": "CL0"},
+    codes={"Gender": Codes({"M": 1}, other=0)},
+    orderings={
+        "Age": ["18-24", "25-34", "35-44", "45-54", "55-64", "65+"],
+        "Education": ["Left school before 16 years", "Left school at 16 years", "Left school at 17 years",
+                      "Left school at 18 years", "Some college or university, no certificate or degree",
+                      "Professional certificate/ diploma", "University degree", "Masters degree", "Doctorate degree"],
+        **dict.fromkeys(["Alcohol", "Amyl", "Amphet", "Benzos", "Cannabis", "Coke", "Crack", "Ecstasy", "Heroin", "Ketamine",
+                         "Legalh", "LSD", "Meth", "Mushrooms", "Nicotine", "VSA"], USE)},
+    nominal=("Country", "Ethnicity"),
+    outside={"y": ("Nicotine", (0, 1))},
+    drop=("Semer", "Caff", "Choc", "ID", "Nicotine"))
+HIGGS = Encoding(
+    codes={"Label": Codes({"s": 0, "b": 1}, strict=True)},
+    drop=("EventId", "DER_deltaeta_jet_jet", "DER_mass_jet_jet", "DER_prodeta_jet_jet", "DER_lep_eta_centrality",
+          "PRI_jet_subleading_pt", "PRI_jet_subleading_eta", "PRI_jet_subleading_phi", "Weight"),
+    renames={"Label": "y"})
+SUPPORT = Encoding(drop=("Unnamed: 0", "_c0", "d.time"))  # a nameless first column has either name
+MAGGIC = Encoding(drop=("days_to_fu",))
 
 #: Encodings by data set name, for ``DatasetSpec.prepare``.
-ENCODINGS = {"adult": ADULT, "seer": SEER}
+ENCODINGS = {"adult": ADULT, "seer": CANCER, "cutract": CANCER, "drug": DRUG, "higgs": HIGGS, "support": SUPPORT, "maggic": MAGGIC}
+CANCER_FEATURES = ("age", "psa", "comorbidities", "treatment_CM", "treatment_Primary hormone therapy", "treatment_Radical Therapy-RDx",
+                   "treatment_Radical therapy-Sx", "grade", "stage_1", "stage_2", "stage_3", "stage_4")
 
 
 _REGISTRY: dict[str, DatasetSpec] = {}
@@ -137,19 +183,59 @@ def known_datasets() -> list[str]:
     return sorted(_REGISTRY)
 
 
+# File names, labels, feature places and class sizes of the known data sets.
+for _spec in (
+        DatasetSpec("adult", "adult.csv", "salary", ADULT),
+        DatasetSpec("seer", "seer.csv", "mortCancer", CANCER, features=CANCER_FEATURES, per_class=10_000),
+        DatasetSpec("cutract", "cutract.csv", "mortCancer", CANCER, features=CANCER_FEATURES, per_class=1_000),
+        DatasetSpec("covid", "covid.csv", 0, positions=(2, 3, *range(5, 34)), drop=("Race", "SG_UF_NOT")),
+        DatasetSpec("support", "support_data.csv", "death", SUPPORT),
+        DatasetSpec("maggic", "Maggic.csv", "death_all", MAGGIC),
+        DatasetSpec("drug", "Drug_Consumption.csv", "y", DRUG),
+        DatasetSpec("higgs", "training.csv", "y", HIGGS),
+        DatasetSpec("compas", "compas.csv", "y")):
+    register_dataset(_spec)
+
+
+def _candidates(path: str, folders: Sequence[str]) -> list[str]:
+    """A Parquet copy of a CSV file goes before it, and an earlier folder before a later one."""
+    if path.startswith("/") or ":" in path:
+        return [path]
+    names = [path[:-4] + ".parquet", path] if path.endswith(".csv") else [path]
+    return [f"{d.rstrip('/')}/{n}" for d in folders for n in names]
+
+
+def _balanced(df: DataFrame, label: str, n: int, key: str | None, seed: int) -> DataFrame:
+    """``n`` rows of each class by hash order of the key, or of the whole row if there is none (rows that tie are equal then)."""
+    from rowsift.operators.sampling import class_counts, stratified_sample
+    small = [r[label] for r in class_counts(df, label).where(F.col("n") < n).limit(10).collect()]
+    if small:
+        raise ValueError(f"fewer than {n} rows in classes {small}")
+    if key is not None:
+        return stratified_sample(df, label, n, key, seed)
+    made = df.withColumn("_row", F.to_json(F.struct(*[enc.q(c) for c in df.columns]), {"ignoreNullFields": "false"}))
+    return stratified_sample(made, label, n, "_row", seed).drop("_row")
+
+
 def load_dataset(spark: SparkSession, name: str, seed: int = 42, prop: float = 1.0,
-                 key: str | None = None) -> DataFrame:
-    """Registry lookup -> scan -> prepare -> drop -> optional replayable fraction sample."""
+                 key: str | None = None, folders: Sequence[str] = ("data", "../data")) -> DataFrame:
+    """Registry lookup -> scan -> prepare -> drop -> sample: ``per_class * prop`` rows a class where the data set
+    is balanced, else a replayable fraction of the rows (which needs a key)."""
     if name not in _REGISTRY:
         raise ValueError(f"unknown dataset {name!r}; registered: {known_datasets()}")
     spec = _REGISTRY[name]
-    df = read_table(spark, spec.path, spec.fmt, **({"schema": spec.schema} if spec.schema else {}))
+    df = read_first(spark, _candidates(spec.path, folders), fmt=spec.fmt, **({"schema": spec.schema} if spec.schema else {}))
+    label = df.columns[spec.label] if isinstance(spec.label, int) else spec.label
+    if spec.positions is not None:
+        df = enc.select_positions(df, [*spec.positions, df.columns.index(label)])
     df = spec.prepare(df)
     if spec.drop:
         df = df.drop(*spec.drop)
+    if spec.per_class is not None:
+        df = _balanced(df, label, int(prop * spec.per_class), key, seed)
     if spec.features is not None:
-        df = df.select(*[enc.q(c) for c in spec.features], enc.q(spec.label))
-    if prop < 1.0:
+        df = df.select(*[enc.q(c) for c in spec.features], enc.q(label))
+    if prop < 1.0 and spec.per_class is None:
         from rowsift.operators.sampling import fraction_sample
         if key is None:
             raise ValueError("a key column is needed for a replayable fraction sample")
