@@ -156,8 +156,9 @@ def fill_from(target: Column, other: Column) -> Column:
 
 # ------------------------------------------------------------------ P18
 def repair_label(raw: Column) -> Column:
-    """1 < v < 50000 -> 0, v >= 50000 -> 1, else v; non-numeric -> NULL (drop after)."""
+    """1 < v < 50000 -> 0, v >= 50000 -> 1, else v; non-numeric and NaN -> NULL (drop after)."""
     v = raw.cast("string").try_cast("double")
+    v = F.when(~F.isnan(v), v)  # NaN counts as larger than any number here
     return F.when((v > 1) & (v < 50000), F.lit(0.0)).when(v >= 50000, F.lit(1.0)).otherwise(v)
 
 

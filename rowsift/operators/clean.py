@@ -8,13 +8,15 @@ unchanged on a streaming DataFrame.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import Literal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DoubleType, FloatType, IntegerType, LongType,
                                StringType, StructType)
 
+from rowsift.functions.encode import map_values, repair_label, restore_names
 from rowsift.operators.completions import cell_double, cell_kind, cell_text
 
 # Placeholder words (type names an LLM echoes instead of values).
@@ -128,17 +130,38 @@ def convert_cell(v: Column, name: str, dtype, int_strings: str = "strict",
     raise TypeError(f"unsupported target type {dtype}")
 
 
+#: How a cell is repaired: a dictionary from its text, or "label" for the income label.
+Repair = Mapping[str, int] | Literal["label"]
+
+
+def repaired_cell(v: Column, name: str, dtype, repair: Repair) -> tuple[Column, Column]:
+    """(repaired value, ok flag): a text outside the dictionary, or a label without a number, rejects the row."""
+    kind, text = cell_kind(v, name), cell_text(v, name)
+    if repair == "label":
+        flag = F.when(text == "true", F.lit(1.0)).otherwise(F.lit(0.0))
+        val = repair_label(F.when(kind == "number", cell_double(v, name)).when(kind == "string", F.trim(text).try_cast("double"))
+                           .when(kind == "bool", flag))
+    else:
+        val = map_values(F.when(kind == "string", text), repair)
+    return val.cast(dtype), val.isNotNull()
+
+
 def conform(df: DataFrame, schema: StructType, int_strings: str = "strict", v: str = "_v",
-            keep: Sequence[str] = (), fallbacks: dict | None = None) -> tuple[DataFrame, DataFrame]:
+            keep: Sequence[str] = (), fallbacks: dict | None = None, repairs: Mapping[str, Repair] | None = None,
+            any_list: bool = True) -> tuple[DataFrame, DataFrame]:
     """(conformed rows typed as ``schema``, rejected rows with the first failing column).
 
-    Rows with a list cell are removed first (C7); each remaining row is kept
-    iff every target cell converts.
+    Rows with a list cell are removed first (C7; without ``any_list`` only target cells count, and a list
+    there is rejected); each remaining row is kept iff every target cell converts.
     """
-    df = drop_list_rows(df, v)
+    if any_list:
+        df = drop_list_rows(df, v)
     vals, oks = [], []
     for f in schema.fields:
-        val, ok = convert_cell(F.col(v), f.name, f.dataType, int_strings, (fallbacks or {}).get(f.name))
+        if f.name in (repairs or {}):
+            val, ok = repaired_cell(F.col(v), f.name, f.dataType, repairs[f.name])
+        else:
+            val, ok = convert_cell(F.col(v), f.name, f.dataType, int_strings, (fallbacks or {}).get(f.name))
         vals.append(val.alias(f.name))
         oks.append((f.name, ok))
     bad = F.coalesce(*[F.when(~ok, F.lit(n)) for n, ok in oks])
@@ -152,9 +175,9 @@ def conform(df: DataFrame, schema: StructType, int_strings: str = "strict", v: s
 PRESETS = {
     # order of steps per generator family (see README)
     "gpt": ["placeholders", "select_like", "dropna", "conform", "restore_names"],
-    "llama": ["placeholders", "repairs", "conform"],
-    "together": ["fill_target", "select_like", "placeholders", "conform"],
-    "swahili": ["dropna_raw", "placeholders", "select_like", "conform"],
+    "llama": ["placeholders", "repairs", "conform", "restore_names"],
+    "together": ["fill_target", "select_like", "placeholders", "conform", "restore_names"],
+    "swahili": ["dropna_raw", "placeholders", "select_like", "conform", "restore_names"],
 }
 
 
@@ -166,33 +189,53 @@ def _drop_null_cells(df: DataFrame, names: Sequence[str], v: str) -> DataFrame:
     return df if cond is None else df.where(~cond)
 
 
+def _target_placeholders(v: Column, names: Sequence[str], words: Sequence[str], fallbacks: Mapping[str, str]) -> Column:
+    """C1 over the target cells alone, each after its fallback."""
+    found = F.lit(False)
+    for n in names:
+        kind, text = cell_kind(v, n), cell_text(v, n)
+        if n in fallbacks:
+            empty = kind.isin("null", "missing")
+            kind, text = (F.when(empty, f(v, fallbacks[n])).otherwise(x) for f, x in ((cell_kind, kind), (cell_text, text)))
+        found = found | F.coalesce((kind == "string") & text.isin(list(words)), F.lit(False))
+    return found
+
+
 def clean_generated(parsed: DataFrame, schema: StructType, preset: str = "gpt",
                     keep: Sequence[str] = ("source", "iter", "choice", "frag_pos"),
-                    v: str = "_v") -> DataFrame:
+                    v: str = "_v", fill: Mapping[str, str] | None = None, repairs: Mapping[str, Repair] | None = None,
+                    original: Sequence[str] | None = None) -> DataFrame:
     """One cleaning entry point; ``preset`` names the step order of a generator family.
 
     * placeholders: C1 with the 10-word vocabulary;
-    * select_like (P16): extra keys are ignored by the conform projection;
+    * select_like (P16): from here on only target cells count, for placeholders and lists, too;
     * dropna / dropna_raw (C2): NULL or missing target cells remove the row;
-    * fill_target (P17): ``target`` missing -> take ``y``;
-    * repairs (C7/P18): list rows removed (the label repair is ``encode.repair_label``);
-    * conform (C5/C6): ``gpt`` coerces int strings, the others are strict.
+    * fill_target (P17): a NULL or missing cell takes another one (``fill``: by default ``target`` takes ``y``);
+    * repairs (C7/P18): list rows removed, the columns in ``repairs`` by a dictionary or by the label rule;
+    * conform (C5/C6): ``gpt`` coerces int strings, the others are strict;
+    * restore_names (P15): the target columns get their ``original`` names back, if given.
     """
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}; use one of {sorted(PRESETS)}")
+    if repairs and "repairs" not in PRESETS[preset]:
+        raise ValueError(f"preset {preset!r} repairs no column")
+    if original is not None and len(original) != len(schema.fields):
+        raise ValueError(f"{len(original)} original names for {len(schema.fields)} columns")
     keep = [k for k in keep if k in parsed.columns]
     names = [f.name for f in schema.fields]
     df = parsed
-    fallbacks = {}
+    fallbacks, selected = {}, False
     for step in PRESETS[preset]:
         if step == "placeholders":
-            df = drop_placeholders(df, PLACEHOLDERS_CLEAN, v)
+            df = df.where(~_target_placeholders(F.col(v), names, PLACEHOLDERS_CLEAN, fallbacks)) if selected else drop_placeholders(df, PLACEHOLDERS_CLEAN, v)
+        elif step == "select_like":
+            selected = True
         elif step in ("dropna", "dropna_raw"):
             df = _drop_null_cells(df, names, v)
-        elif step == "fill_target" and "target" in names:
-            fallbacks["target"] = "y"
+        elif step == "fill_target":
+            fallbacks = dict(fill) if fill is not None else {"target": "y"} if "target" in names else {}
         elif step == "repairs":
             df = drop_list_rows(df, v)
     good, _ = conform(df, schema, int_strings="coerce" if preset == "gpt" else "strict", v=v, keep=keep,
-                      fallbacks=fallbacks)
-    return good
+                      fallbacks=fallbacks, repairs=repairs, any_list=not selected)
+    return good if original is None else restore_names(good, [*keep, *original])

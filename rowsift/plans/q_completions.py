@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rowsift.operators import clean as cl
 from rowsift.operators import completions as cp
@@ -312,3 +313,41 @@ def c8_clean_llama(spark, sf):
 @register("c8_clean_swahili", _final(_conform_sql(f"SELECT * FROM ({_PARSED_SQL}) p WHERE {_NOTNULL_SQL} AND {_NO_PH}")))
 def c8_clean_swahili(spark, sf):
     return _typed(cl.clean_generated(_parsed(spark, sf), ORDER_SCHEMA, "swahili"))
+
+
+_FILL = {"o_totalprice": "o_custkey", "o_orderpriority": "o_orderstatus"}
+
+
+def _filled_sql(c):
+    """(conversion, its test, whether the cell is a placeholder) of a target cell after the fill."""
+    empty = f"coalesce({_kind(c)}, 'NULL') = 'NULL'"
+    own, other = ((*_conv_sql(x, _TYPES[c]), f"coalesce({_kind(x)} = 'VARCHAR' AND {_text(x)} IN ({_words(cl.PLACEHOLDERS_CLEAN)}), false)")
+                  for x in (c, _FILL.get(c, c)))
+    return [f"CASE WHEN {empty} THEN {b} ELSE {a} END" for a, b in zip(own, other, strict=True)]
+
+
+@register("c8_clean_together", _final(f"""
+SELECT source, iter, choice, frag_pos, {', '.join(f"{_filled_sql(c)[0]} AS {c}" for c in TARGETS)} FROM ({_PARSED_SQL}) p
+WHERE {' AND '.join(f"({_filled_sql(c)[1]}) AND NOT ({_filled_sql(c)[2]})" for c in TARGETS)}"""))
+def c8_clean_together(spark, sf):
+    """Missing cells are filled from others, then only the target cells are cleaned."""
+    return _typed(cl.clean_generated(_parsed(spark, sf), ORDER_SCHEMA, "together", fill=_FILL))
+
+
+_STATUS = {"F": 1, "O": 0}
+_REPAIRED = StructType([StructField(f.name, LongType() if f.name in ("o_orderstatus", "o_totalprice") else f.dataType) for f in ORDER_SCHEMA.fields])
+_PRICE_SQL = _conv_sql("o_totalprice", "double")[0]
+
+
+@register("c8_clean_llama_repairs", f"""
+SELECT * FROM (
+  SELECT source, iter, choice, frag_pos, {_conv_sql('o_orderkey', 'bigint')[0]} AS o_orderkey, {_conv_sql('o_custkey', 'bigint')[0]} AS o_custkey,
+         CAST(CASE WHEN {_kind('o_orderstatus')} = 'VARCHAR' THEN CASE {_text('o_orderstatus')} WHEN 'F' THEN 1 WHEN 'O' THEN 0 END END AS BIGINT) AS o_orderstatus,
+         CAST(CASE WHEN price > 1 AND price < 50000 THEN 0 WHEN price >= 50000 THEN 1 ELSE trunc(price) END AS BIGINT) AS o_totalprice,
+         {_conv_sql('o_orderpriority', 'string')[0]} AS o_orderpriority
+  FROM (SELECT *, {_PRICE_SQL} AS price FROM ({_PARSED_SQL}) p WHERE {_NO_PH} AND NOT {_LIST_SQL}) q
+  WHERE {_conv_sql('o_orderpriority', 'string')[1]}) z
+WHERE o_orderkey IS NOT NULL AND o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL AND o_totalprice IS NOT NULL""")
+def c8_clean_llama_repairs(spark, sf):
+    """List rows go, a status is mapped by a dictionary, a price becomes the label on which side of 50,000 it is."""
+    return cl.clean_generated(_parsed(spark, sf), _REPAIRED, "llama", keep=KEYS, repairs={"o_orderstatus": _STATUS, "o_totalprice": "label"})

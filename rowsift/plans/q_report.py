@@ -14,6 +14,7 @@ F9 = fx.F9_SQL
 # Model columns of the wide comparison tables.
 MODELS = ["Original", "gpt4", "gpt4_curated", "tvae"]
 ABLATION = ["gpt4", "gpt4_curated"]
+CELLS = ["dataset", "seed", "metric", "ns"]
 
 
 @register("r1_grid", f"""
@@ -53,12 +54,11 @@ def r3_wide_to_long(spark, sf):
 
 
 @register("r4_long_to_wide", f"""
-SELECT ns, {', '.join(f"round(coalesce(max(CASE WHEN source = '{m}' THEN score END), 0), 6) AS {m}" for m in MODELS)}
-FROM ({F8}) r WHERE dataset = 'click' AND seed = 0 AND metric = 'auc' GROUP BY ns""")
+SELECT dataset, seed, metric, ns, {', '.join(f"round(coalesce(max(CASE WHEN source = '{m}' THEN score END), 0), 6) AS {m}" for m in MODELS)}
+FROM ({F8}) r GROUP BY dataset, seed, metric, ns""")
 def r4_long_to_wide(spark, sf):
-    r = fx.results(spark, sf).where((F.col("dataset") == "click") & (F.col("seed") == 0) & (F.col("metric") == "auc"))
-    w = rp.long_to_wide(r, ["ns"], "source", MODELS, "score")
-    return w.select("ns", *[r6(m) for m in MODELS])
+    w = rp.long_to_wide(fx.results(spark, sf), CELLS, "source", MODELS, "score")
+    return w.select(*CELLS, *[r6(m) for m in MODELS])
 
 
 @register("r5_mean_sem", f"""
@@ -182,8 +182,8 @@ def r14_pca_map(spark, sf):
 
 
 @register("r15_ablation_compare", f"""
-SELECT ns, {', '.join(f"round(coalesce(max(CASE WHEN source = '{m}' THEN score END), 0), 6) AS {m}" for m in ABLATION)}
-FROM ({F8}) r WHERE dataset = 'view' AND seed = 1 AND metric = 'accuracy' GROUP BY ns""")
+SELECT dataset, seed, metric, ns, {', '.join(f"round(coalesce(max(CASE WHEN source = '{m}' THEN score END), 0), 6) AS {m}" for m in ABLATION)}
+FROM ({F8}) r GROUP BY dataset, seed, metric, ns""")
 def r15_ablation_compare(spark, sf):
-    r = fx.results(spark, sf).where((F.col("dataset") == "view") & (F.col("seed") == 1) & (F.col("metric") == "accuracy"))
-    return rp.long_to_wide(r, ["ns"], "source", ABLATION, "score").select("ns", *[r6(m) for m in ABLATION])
+    w = rp.long_to_wide(fx.results(spark, sf), CELLS, "source", ABLATION, "score")
+    return w.select(*CELLS, *[r6(m) for m in ABLATION])

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from rowsift.operators import clean as cl
@@ -48,3 +49,21 @@ def test_quota_cut_and_reaccumulate(spark):
     assert sorted({r["iter"] for r in kept.collect()}) == [0, 1, 2]
     counts = {r["round"]: r["n_rows"] for r in cp.reaccumulated_counts(rows).collect()}
     assert counts == {0: 3, 1: 6, 2: 9, 3: 12, 4: 15}
+
+
+def test_together_and_llama_presets(spark):
+    schema = StructType([StructField("feat_0", LongType()), StructField("target", LongType())])
+    texts = ['{"feat_0": 1, "target": null, "y": 7}', '{"feat_0": 2, "y": "8", "note": "Yes"}',  # a placeholder and a list outside the target
+             '{"feat_0": 3, "target": 5, "y": "Yes", "more": [1]}', '{"feat_0": 4, "y": "No"}',       # filled by a placeholder: gone
+             '{"feat_0": 5}', '{"feat_0": [6], "target": 1}']
+    got = cl.clean_generated(_parsed(spark, ["\n".join(texts)]), schema, "together", original=["age", "salary"])
+    assert got.columns[-2:] == ["age", "salary"] and sorted((r["age"], r["salary"]) for r in got.collect()) == [(1, 7), (2, 8), (3, 5)]
+    schema = StructType([StructField("sex", LongType()), StructField("target", LongType())])
+    texts = ['{"sex": "Male", "target": 30000}', '{"sex": "Female", "target": "50000"}', '{"sex": "Male", "target": 1}',
+             '{"sex": ["Male"], "target": 1}', '{"sex": "other", "target": 1}', '{"sex": "Male", "target": "rich"}', '{"sex": "Male", "target": "NaN"}']
+    repairs = {"sex": {"Male": 1, "Female": 0}, "target": "label"}
+    got = cl.clean_generated(_parsed(spark, ["\n".join(texts)]), schema, "llama", repairs=repairs)
+    assert sorted((r["sex"], r["target"]) for r in got.collect()) == [(0, 1), (1, 0), (1, 1)]
+    for bad in ({"repairs": repairs}, {"original": ["one"]}):
+        with pytest.raises(ValueError):
+            cl.clean_generated(_parsed(spark, texts), schema, "together", **bad)
