@@ -171,6 +171,17 @@ def compare_on_top(a: DataFrame, b: DataFrame, k: int, order: Column, key: str =
     return b.join(keys, list(by) + [key], "left_semi")
 
 
+def deep_dive(gains: DataFrame, k: int = 5, z: float = 2.0, key: str = "subgroup", value: str = "gain",
+              sizes: Sequence[str] = ("n_orig", "n_gen")) -> DataFrame:
+    """R7 + R10 + R6 for one generator: gains over the seeds without outliers as a ``mean+-sem`` cell in percent, and the
+    range of the sizes over all seeds, for the k subgroups with the greatest cells (as text, ties by the key)."""
+    cells = mean_sem(drop_outliers(gains, [key], value, z), [key], value)
+    ranges = gains.groupBy(key).agg(*[f(c).alias(f"{n}_{c}") for c in sizes for n, f in (("min", F.min), ("max", F.max))])
+    percent = lambda c: F.round(F.col(c) * 100, 2).cast("string")
+    cell = F.concat(percent("mean"), F.lit("+-"), F.coalesce(percent("sem"), F.lit("nan"))).alias("cell")
+    return cells.select(key, cell).join(ranges, key).orderBy(F.col("cell").desc(), key).limit(k)
+
+
 # ------------------------------------------------------------------ R14
 def pca_map(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ("source", "rid")) -> DataFrame:
     """2-D map of rows from all sources in one space (scaled features -> PCA(2))."""

@@ -102,7 +102,7 @@ def _typed(df):
     return df.select(*KEYS, "o_orderkey", "o_custkey", "o_orderstatus", r6("o_totalprice"), "o_orderpriority")
 
 
-# ---------------------------------------------------------------- G1 / G3 / G4
+# ---------------------------------------------------------------- G1 / G3
 _BOOT_SQL = f"""
 WITH r AS (SELECT rid, y, row_number() OVER (ORDER BY md5(concat(rid, '|', '42')), rid) - 1 AS idx,
                   count(*) OVER () AS n FROM ({F1}) f1),
@@ -138,15 +138,6 @@ def g3_prompts(spark, sf):
     return p.select("iter", F.md5("user").alias("user_md5"))
 
 
-@register("g4_generate_stub")
-def g4_generate_stub(spark, sf):
-    """Prompts -> user callable (mapInPandas) -> parse: generated rows per iteration."""
-    p = cp.build_prompts(_batches(spark, sf), instructions=_INSTR).withColumn("source", F.lit("echo"))
-    gen = cp.generate(p, cp.echo_generator, n=2)
-    rows = cp.to_columns(cp.parse_completions(gen), ["draw", "rid", "y"])
-    return rows.groupBy("source", "iter").agg(F.count("*").alias("n_rows"))
-
-
 # ---------------------------------------------------------------- G5-G10
 @register("g5_fragments", f"SELECT source, iter, choice, frag_pos, frag FROM ({_FRAGS_SQL}) f")
 def g5_fragments(spark, sf):

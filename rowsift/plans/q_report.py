@@ -164,15 +164,29 @@ def r12_mean_ci95(spark, sf):
 
 
 @register("r13_compare_on_top", f"""
-WITH g AS ({F9}),
+WITH a AS ({fx.f9_sql(0)}), b AS ({fx.f9_sql(1)}),
 top AS (SELECT seed, subgroup FROM (SELECT seed, subgroup, row_number() OVER (PARTITION BY seed ORDER BY gain DESC, subgroup) AS rk
-        FROM g WHERE seed % 2 = 0) x WHERE rk <= 5)
-SELECT b.seed, b.subgroup, b.n_orig, b.n_gen FROM g b WHERE (b.seed, b.subgroup) IN (SELECT seed, subgroup FROM top)""")
+        FROM a) x WHERE rk <= 5)
+SELECT b.seed, b.subgroup, b.n_orig, b.n_gen FROM b WHERE (b.seed, b.subgroup) IN (SELECT seed, subgroup FROM top)""")
 def r13_compare_on_top(spark, sf):
-    g = fx.subgroup_gains(spark, sf)
-    a = g.where(F.col("seed") % 2 == 0)  # generator A = even seeds of the fixture
-    out = rp.compare_on_top(a, g, 5, F.col("gain").desc())
-    return out.select("seed", "subgroup", "n_orig", "n_gen")
+    """The second generator on the five subgroups of each seed where the first one gains most."""
+    a, b = (fx.subgroup_gains(spark, sf, g) for g in (0, 1))
+    return rp.compare_on_top(a, b, 5, F.col("gain").desc()).select("seed", "subgroup", "n_orig", "n_gen")
+
+
+@register("r13_deep_dive", f"""
+WITH g AS ({F9}),
+s AS (SELECT subgroup, avg(gain) AS mu, stddev_pop(gain) AS sd FROM g GROUP BY subgroup),
+j AS (SELECT g.*, CASE WHEN sd = 0 THEN true ELSE abs(gain - mu) / sd < 2 END AS keep FROM g JOIN s USING (subgroup)),
+a AS (SELECT subgroup, max(CAST(keep AS INTEGER)) AS any_keep FROM j GROUP BY subgroup),
+m AS (SELECT subgroup, avg(gain) AS mean, stddev_samp(gain) / sqrt(count(gain)) AS sem FROM j JOIN a USING (subgroup)
+      WHERE keep OR any_keep = 0 GROUP BY subgroup),
+r AS (SELECT subgroup, min(n_orig) AS min_n_orig, max(n_orig) AS max_n_orig, min(n_gen) AS min_n_gen, max(n_gen) AS max_n_gen FROM g GROUP BY subgroup)
+SELECT subgroup, concat(CAST(round(mean * 100, 2) AS VARCHAR), '+-', coalesce(CAST(round(sem * 100, 2) AS VARCHAR), 'nan')) AS cell,
+       min_n_orig, max_n_orig, min_n_gen, max_n_gen
+FROM m JOIN r USING (subgroup) ORDER BY cell DESC, subgroup LIMIT 5""")
+def r13_deep_dive(spark, sf):
+    return rp.deep_dive(fx.subgroup_gains(spark, sf), 5)
 
 
 @register("r14_pca_map")

@@ -298,9 +298,11 @@ GROUP BY dataset, ns, seed, source, metric
 """
 
 
-def subgroup_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seed, subgroup, n_orig, n_gen, gain)."""
+def subgroup_gains(spark: SparkSession, sf_dir: str, generator: int | None = None) -> DataFrame:
+    """(seed, subgroup, n_orig, n_gen, gain), of all events or of one of two generators (0, 1)."""
     ev = table(spark, sf_dir, "events")
+    if generator is not None:
+        ev = ev.where(F.floor(F.col("event_id") / 5) % 2 == generator)
     return (ev.select((F.col("event_id") % 5).cast("int").alias("seed"),
                       F.concat(F.col("event_type"), F.lit("_"), (F.col("user_id") % 10).cast("string")).alias("subgroup"),
                       "value")
@@ -318,6 +320,11 @@ FROM (SELECT CAST(event_id % 5 AS INTEGER) AS seed,
 GROUP BY seed, subgroup
 """
 
+
+def f9_sql(generator: int) -> str:
+    return F9_SQL.replace("FROM events)", f"FROM events WHERE (event_id // 5) % 2 = {generator})")
+
+
 # ---------------------------------------------------------------- F10
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")

@@ -1,8 +1,11 @@
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from rowsift.operators import clean as cl
 from rowsift.operators import completions as cp
+from rowsift.operators.report import deep_dive
 
 SCHEMA = StructType([StructField("a", LongType()), StructField("b", DoubleType()), StructField("c", StringType())])
 
@@ -67,3 +70,24 @@ def test_together_and_llama_presets(spark):
     for bad in ({"repairs": repairs}, {"original": ["one"]}):
         with pytest.raises(ValueError):
             cl.clean_generated(_parsed(spark, texts), schema, "together", **bad)
+
+
+def test_generation_hook(spark):
+    """The user's callable gets each prompt once per choice, in batches, and its texts are parsed like any other."""
+    def echo(pdf):
+        texts = ["Sure:\n" + d.replace("},{", "}\n{").strip("[]") for d in pdf["data"]]
+        return pd.DataFrame({"source": pdf["source"].astype(str), "iter": pdf["iter"].astype("int32"), "choice": pdf["choice"].astype("int32"), "text": texts})
+
+    rows = spark.createDataFrame([(i, i * 10 + d) for i in range(3) for d in range(4)], "iter int, a long")
+    prompts = cp.build_prompts(cp.serialise_records(rows, ["iter"], ["a"]), instructions="Make more rows.").withColumn("source", F.lit("echo"))
+    got = cp.to_columns(cp.parse_completions(cp.generate(prompts, echo, n=2)), ["a"])
+    assert sorted((r["iter"], r["choice"], int(r["a"])) for r in got.collect()) == [(i, c, i * 10 + d) for i in range(3) for c in range(2) for d in range(4)]
+
+
+def test_deep_dive(spark):
+    """Seeds beyond two deviations leave the mean, not the ranges; cells are ordered as text; one seed has no error."""
+    rows = [(i, "a", 10 + i, 1, 0.5) for i in range(9)] + [(9, "a", 99, 1, 50.0), (0, "b", 1, 2, 0.06), (1, "b", 3, 4, 0.06), (0, "c", 5, 5, 0.9)]
+    got = deep_dive(spark.createDataFrame(rows, "seed int, subgroup string, n_orig int, n_gen int, gain double"), k=2).collect()
+    assert [tuple(r) for r in got] == [("c", "90.0+-nan", 5, 5, 5, 5), ("b", "6.0+-0.0", 1, 3, 2, 4)]
+    got = deep_dive(spark.createDataFrame(rows, "seed int, subgroup string, n_orig int, n_gen int, gain double"), k=9).collect()
+    assert tuple(got[2]) == ("a", "50.0+-0.0", 10, 99, 1, 1)
