@@ -216,6 +216,7 @@ def test_pipeline_stages(spark, docs):
         at = stage(spark, at, "")
         assert at.columns == docs.columns, name
     rows = {r["doc_id"]: r["text"] for r in at.collect()}
+    assert len(rows) == at.count()
     if docs.count():
         assert set(rows) == {1, None, 6, 7, 8, 9} and "hunter2" not in rows[6] and "AKIA" not in rows[6]
     assert corpus_pipeline.STAGES[-1][1](spark, at, "").count() >= len(rows)

@@ -73,3 +73,16 @@ def test_run(spark):
     for content in bins.values():
         content.sort()
         assert all(a[0] + a[1] <= b[0] for a, b in zip(content, content[1:])) and content[-1][0] + content[-1][1] <= 2048
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(rng.choice(STEMS["en"]) + str(rng.randint(0, 99)) for _ in range(60)) for _ in range(4))
+    near = a.split()
+    near[30] = "changed"
+    rows = [(5, a), (5, b), (5, b), (7, " ".join(near)), (None, b), (None, c), (None, c), (8, d), (8, d), (3, d), (9, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _row string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(3, d), (5, a), (5, b), (9, None), (None, c)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
