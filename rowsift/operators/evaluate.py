@@ -113,6 +113,16 @@ def mean_over_classifiers(metrics: DataFrame, exclude: Sequence[str] = ("dt",),
     return metrics.where(~F.col("clf").isin(list(exclude))).groupBy("source").agg(*[F.avg(c).alias(c) for c in cols])
 
 
+def per_classifier(metrics: DataFrame, clfs: Sequence[str], exclude: Sequence[str] = ("dt",),
+                   cols: Sequence[str] = ("accuracy", "precision", "recall", "f1", "auc")) -> DataFrame:
+    """One row per source and metric: a column per classifier (null where it was not run), and ``mean``, over those
+    of them that are not excluded."""
+    long = metrics.select("source", "clf", *cols).unpivot(["source", "clf"], list(cols), "metric", "value")
+    return long.groupBy("source", "metric").agg(
+        *[F.max(F.when(F.col("clf") == c, F.col("value"))).alias(c) for c in clfs],
+        F.avg(F.when(F.col("clf").isin([c for c in clfs if c not in exclude]), F.col("value"))).alias("mean"))
+
+
 # ------------------------------------------------------------------ E7
 def oracle_agreement(oracle: DataFrame, sources: DataFrame, features: Sequence[str], label: str,
                      split: str | None = None, nest: int = 100, seed: int = 0) -> DataFrame:

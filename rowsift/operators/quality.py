@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -68,18 +68,41 @@ def jensen_shannon(hist: DataFrame, by: Sequence[str] = ("col",)) -> DataFrame:
     return js.select(*by, F.col("js").alias("divergence"), F.sqrt(F.greatest(F.col("js"), F.lit(0.0))).alias("distance"))
 
 
+def _erfc(z: Column) -> Column:
+    """Complementary error function for z >= 0: trapezoidal sum over the whole line and the term for its pole."""
+    step = 0.5
+    terms = sum((F.lit(math.exp(-(k * step) ** 2)) / (z * z + F.lit((k * step) ** 2)) for k in range(1, 14)), 0.5 / (z * z))
+    far = 2 * step / math.pi * z * F.exp(-z * z) * terms + 2 / (1 - F.exp(2 * math.pi / step * z))
+    return F.when(z < 1e-4, 1 - 2 / math.sqrt(math.pi) * z).when(z > 30, 0.0).otherwise(far)
+
+
+def chi_squared_tail(statistic: Column, dof: Column) -> Column:
+    """P(X >= statistic) for a chi-squared X: the closed form for whole degrees of freedom, its terms summed as
+    logarithms. Null without a degree of freedom."""
+    h, odd = statistic.cast("double") / 2, dof % 2 == 1
+    shift = F.when(odd, 0.5).otherwise(0.0)  # terms h ** (k + shift) * exp(-h) / gamma(k + shift + 1), k = 0, 1, ...
+    zero = F.struct(F.lit(0.0).alias("total"), (F.when(odd, F.log(h) / 2 - math.log(math.sqrt(math.pi) / 2)).otherwise(0.0) - h).alias("log"))
+    n = F.floor(dof / 2).cast("int")
+    terms = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(terms, zero, lambda a, k: F.struct((a["total"] + F.exp(a["log"])).alias("total"),
+                                                           (a["log"] + F.log(h) - F.log(k + shift)).alias("log")), lambda a: a["total"])
+    tail = total + F.when(odd, _erfc(F.sqrt(h))).otherwise(0.0)
+    return F.when(dof > 0, F.when(h <= 0, 1.0).otherwise(F.least(tail, F.lit(1.0))))
+
+
 def chi_squared(hist: DataFrame) -> DataFrame:
-    """Statistic of synthetic bin counts against the real proportions, and how many synthetic rows lie in bins
-    that are empty in the real table. Such a bin is merged with the next lower one that holds real rows."""
+    """Statistic of synthetic bin counts against the real proportions, its p-value, and how many synthetic rows lie in
+    bins that are empty in the real table. Such a bin is merged with the next lower one that holds real rows."""
     w = Window.partitionBy("col")
     held = F.when(F.col("p") > 0, F.col("bin"))
     e = (hist.withColumn("slot", F.coalesce(F.max(held).over(w.orderBy("bin")), F.min(held).over(w)))
              .groupBy("col", "slot").agg(F.sum("p").alias("p"), F.sum("n_syn").alias("n_syn"),
                                          F.sum(F.when(F.col("p") > 0, 0).otherwise(F.col("n_syn"))).alias("outside"))
              .withColumn("exp", F.col("p") * F.sum("n_syn").over(w)))
-    return e.where(F.col("exp") > 0).groupBy("col").agg(
+    s = e.where(F.col("exp") > 0).groupBy("col").agg(
         F.sum((F.col("n_syn") - F.col("exp")) ** 2 / F.col("exp")).alias("statistic"),
         (F.count("*") - 1).alias("dof"), F.sum("outside").alias("outside"))
+    return s.withColumn("p_value", chi_squared_tail(F.col("statistic"), F.col("dof")))
 
 
 # ------------------------------------------------------------------ ordered counts (Q5 / Q8 / Q10)

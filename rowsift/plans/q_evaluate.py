@@ -57,6 +57,26 @@ def e6_mean_over_classifiers(spark, sf):
     return ev.mean_over_classifiers(m).select("source", r6("accuracy"), r6("auc"))
 
 
+CLFS = ("gbt", "rf", "lr", "dt")
+_METRICS_SQL = f"""
+SELECT m.source, m.clf, (tp + tn) / n AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision,
+       coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, auc
+FROM (SELECT source, clf, CAST(count(*) AS DOUBLE) AS n,
+             CAST(count(*) FILTER (y = 1 AND y_pred = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (y <> 1 AND y_pred = 1) AS DOUBLE) AS fp,
+             CAST(count(*) FILTER (y = 1 AND y_pred <> 1) AS DOUBLE) AS fn, CAST(count(*) FILTER (y <> 1 AND y_pred <> 1) AS DOUBLE) AS tn
+      FROM ({F7}) f7 GROUP BY source, clf) m JOIN ({_AUC_SQL}) a ON a.source = m.source AND a.clf = m.clf"""
+
+
+@register("e6_per_classifier", f"""
+SELECT source, metric, {', '.join(f"round(max(v) FILTER (clf = '{c}'), 6) AS {c}" for c in CLFS)},
+       round(avg(v) FILTER (clf <> 'dt'), 6) AS mean
+FROM (UNPIVOT ({_METRICS_SQL}) ON accuracy, precision, recall, f1, auc INTO NAME metric VALUE v) u GROUP BY source, metric""")
+def e6_per_classifier(spark, sf):
+    p = fx.predictions(spark, sf)
+    m = ev.classification_metrics(p).join(ev.roc_auc(p), ["source", "clf"])
+    return ev.per_classifier(m, CLFS).select("source", "metric", *[r6(c) for c in (*CLFS, "mean")])
+
+
 def _split(spark, sf):
     f1 = fx.labelled(spark, sf)
     roles = smp.assign_roles(f1, "y", 100, "rid", seed=42)

@@ -60,12 +60,23 @@ def q4_jensen_shannon(spark, sf):
     return qm.jensen_shannon(_hist(spark, sf)).select("col", r6("divergence"), r6("distance"))
 
 
-@register("q6_chi_squared", f"""
-SELECT col, round(sum((n_syn - e) * (n_syn - e) / e), 6) AS statistic, count(*) - 1 AS dof FROM (
-  SELECT col, n_syn, p * sum(n_syn) OVER (PARTITION BY col) AS e FROM ({_HIST}) h) x
-WHERE e > 0 GROUP BY col""")
+def chi_sql(hist: str) -> str:
+    """Empty real bins go to the next lower held one; the p-value is the power series of the incomplete gamma function."""
+    return f"""
+WITH s AS (SELECT *, coalesce(max(CASE WHEN p > 0 THEN bin END) OVER (PARTITION BY col ORDER BY bin),
+                              min(CASE WHEN p > 0 THEN bin END) OVER (PARTITION BY col)) AS slot FROM ({hist}) h),
+m AS (SELECT col, slot, sum(p) AS p, sum(n_syn) AS n_syn, sum(CASE WHEN p > 0 THEN 0 ELSE n_syn END) AS beyond FROM s GROUP BY col, slot),
+e AS (SELECT *, p * sum(n_syn) OVER (PARTITION BY col) AS e FROM m),
+c AS (SELECT col, sum((n_syn - e) * (n_syn - e) / e) AS x, count(*) - 1 AS dof, CAST(sum(beyond) AS BIGINT) AS outside FROM e WHERE e > 0 GROUP BY col),
+g AS (SELECT col, sum(exp((dof / 2.0 + k) * ln(x / 2) - x / 2 - lgamma(dof / 2.0 + k + 1))) AS lower
+      FROM (SELECT *, unnest(range(0, CAST(x / 2 + 12 * sqrt(x / 2) AS BIGINT) + 60)) AS k FROM c WHERE x > 0) t GROUP BY col)
+SELECT c.col, round(x, 6) AS statistic, dof, outside,
+       CASE WHEN dof > 0 THEN round(greatest(1 - coalesce(lower, 0), 0), 6) END AS p_value FROM c LEFT JOIN g ON g.col = c.col"""
+
+
+@register("q6_chi_squared", chi_sql(_HIST))
 def q6_chi_squared(spark, sf):
-    return qm.chi_squared(_hist(spark, sf)).select("col", r6("statistic"), "dof")
+    return qm.chi_squared(_hist(spark, sf)).select("col", r6("statistic"), "dof", "outside", r6("p_value"))
 
 
 _GAP = f"""
@@ -309,8 +320,12 @@ def o1_smote(spark, sf):
     return out.select("vec_id", "label", "base_id", "nb_id", r6("u"), F.round(total, 4).alias("total"))
 
 
-@register("o2_generators")
+@register("o2_generators", f"""
+WITH t AS (SELECT rid, y, row_number() OVER (ORDER BY md5(concat(rid, '|42')), rid) - 1 AS idx, count(*) OVER () AS n FROM ({fx.F1_SQL}) f1)
+SELECT 'Original' AS source, rid, y FROM t
+UNION ALL SELECT 'bootstrap', rid, y FROM t JOIN (
+  SELECT CAST(CAST(('0x' || substring(md5(concat_ws('|', 'boot', 0, id, '42')), 1, 15)) AS UBIGINT) % (SELECT max(n) FROM t) AS BIGINT) AS idx
+  FROM range(0, 500) r(id)) d USING (idx)""")
 def o2_generators(spark, sf):
     train = fx.labelled(spark, sf).select("rid", *COLS, "y")
-    out = ov.run_generators(train, ["bootstrap"], n=500, key="rid")
-    return out.groupBy("source").agg(F.count("*").alias("n_rows"))
+    return ov.run_generators(train, ["bootstrap"], n=500, key="rid").select("source", "rid", "y")

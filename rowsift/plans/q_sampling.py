@@ -94,10 +94,21 @@ def d7_bootstrap(spark, sf):
     return smp.bootstrap(fx.labelled(spark, sf), "rid", 500, iterations=3, seed=42).select("iter", "draw", "rid")
 
 
-@register("d8_compounding_bootstrap")
+def _compounding_sql(n: int, iterations: int) -> str:
+    """Every iteration draws from the draws of the one before, by its own ranks."""
+    ctes, pool = [], f"SELECT rid FROM ({F1}) f1"
+    for it in range(iterations):
+        ctes.append(f"""r{it} AS (SELECT rid, row_number() OVER (ORDER BY {_h(f"42|{it}")}, rid) - 1 AS idx, count(*) OVER () AS n FROM ({pool}) p),
+b{it} AS (SELECT draw, rid FROM (SELECT CAST(id AS INTEGER) AS draw,
+            CAST(CAST(('0x' || substring(md5(concat_ws('|', 'boot', 0, id, '42|{it}')), 1, 15)) AS UBIGINT) % (SELECT max(n) FROM r{it}) AS BIGINT) AS idx
+          FROM range(0, {n}) t(id)) d JOIN r{it} USING (idx))""")
+        pool = f"SELECT rid FROM b{it}"
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT {it} AS iter, draw, rid FROM b{it}" for it in range(iterations))
+
+
+@register("d8_compounding_bootstrap", _compounding_sql(300, 3))
 def d8_compounding_bootstrap(spark, sf):
-    b = smp.bootstrap(fx.labelled(spark, sf), "rid", 300, iterations=3, seed=42, compounding=True)
-    return b.groupBy("iter").agg(F.count("*").alias("n_draws"), F.countDistinct("rid").alias("n_distinct"))
+    return smp.bootstrap(fx.labelled(spark, sf), "rid", 300, iterations=3, seed=42, compounding=True).select("iter", "draw", "rid")
 
 
 @register("d9_shuffle", f"SELECT rid, {_RANK} AS pos FROM ({F1}) f1")
