@@ -158,11 +158,15 @@ b AS (SELECT r, u.conv_id, turn, f, row_number() OVER (PARTITION BY r ORDER BY l
 e AS (SELECT conv_id, turn, min(f) AS up FROM b WHERE k = 1 GROUP BY ALL),
 w AS (SELECT conv_id, turn, up AS thread, 1 AS depth FROM e UNION ALL SELECT w.conv_id, w.turn, e.up, depth + 1 FROM w JOIN e ON e.conv_id = w.conv_id AND e.turn = w.thread),
 x AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM w GROUP BY ALL),
+y AS (SELECT DISTINCT conv_id, up AS turn, [up] AS way FROM e WHERE NOT EXISTS (SELECT 1 FROM e e2 WHERE e2.conv_id = e.conv_id AND e2.turn = e.up)
+      UNION ALL SELECT e.conv_id, e.turn, list_append(way, e.turn) FROM y JOIN e ON e.conv_id = y.conv_id AND e.up = y.turn),
+z AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, way[1] ORDER BY way) - 1 AS place FROM y),
 q AS (SELECT r, (count(*) FILTER (lv > 0))::BIGINT AS n_quoted, coalesce(trim(string_agg(line, chr(10) ORDER BY p) FILTER (lv = 0), {_BLANK}), '') AS own FROM l GROUP BY r)
-SELECT m.conv_id, coalesce(x.thread, m.turn) AS thread, coalesce(x.depth, 0)::BIGINT AS depth, m.turn, m.role, b.f AS reply_to, n_quoted,
+SELECT m.conv_id, coalesce(x.thread, m.turn) AS thread, coalesce(z.place, 0)::BIGINT AS place, coalesce(x.depth, 0)::BIGINT AS depth, m.turn, m.role, b.f AS reply_to, n_quoted,
        CASE WHEN n_quoted > 0 THEN own ELSE t END AS text,
        '<|' || coalesce(m.role, 'user') || '|>' || chr(10) || CASE WHEN n_quoted > 0 THEN own ELSE t END || '<|end|>' || chr(10) AS formatted
-FROM m JOIN q USING (r) LEFT JOIN b ON b.r = m.r AND b.k = 1 LEFT JOIN x ON x.conv_id = m.conv_id AND x.turn = m.turn"""
+FROM m JOIN q USING (r) LEFT JOIN b ON b.r = m.r AND b.k = 1 LEFT JOIN x ON x.conv_id = m.conv_id AND x.turn = m.turn
+LEFT JOIN z ON z.conv_id = m.conv_id AND z.turn = m.turn"""
 
 ORACLES["op7_line_dedup"] = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),

@@ -5,17 +5,19 @@ level are passages; each passage and each of its lines is normalised (lower case
 and hashed. A quoted passage is joined to the first message of its conversation that holds the
 same words unquoted. A message replies to the message of its outermost matching quotation (the
 longest one, if several have that level). Threads follow from pointer doubling over the replies.
-Conversations come as rows in reply order (conv_id, thread, turn): a reply always has a later
-turn than what it answers, so this order never puts an answer first; quoted lines are gone.
+``place`` numbers the messages of a thread along a depth-first walk of its replies, by pointer
+doubling over the walk; ``conversations`` puts the texts together in that order, quoted lines gone.
 
 Scale: only conversations with a quotation are taken apart; originals are aggregated to one row per
 conversation and hash before the join and written, so that a conversation holding many rows can
-be split by the adaptive skew join. Messages stay rows, so no group grows with a conversation.
+be split by the adaptive skew join. Siblings are put in order by sampled ranges, the walk's steps meet
+by message, and a thread's text is cut into parts of a bounded number of messages, so no group grows
+with a conversation.
 
 Defined results: a null text is an empty message; a null conversation or turn is linked with
 nothing and is a thread of its own; equal rows get equal results; rows with the same conversation
-and turn are one message for threads; an empty table gives an empty result; other columns of the
-input are ignored.
+and turn are one message for threads (``conversations`` has their different texts one after the other,
+equal ones once); an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rowsift.llm.common import BLANK_RUN, BLANKS
+from rowsift.operators.attach import attach
+from rowsift.operators.ordered import running
 from rowsift.session import cut_lineage
 
+#: Messages in one part of a thread's text.
+PART = 1000
+
 #: A quoted line, and its marks.
 MARKS = r"^[ \t]*((?:>[ \t]*)+)"
 
@@ -89,13 +96,64 @@ def threads(links: DataFrame) -> DataFrame:
             return up
 
 
+def walk(links: DataFrame) -> DataFrame:
+    """conv_id, turn, left of every message with a reply_to or an answer: left counts the messages from this one to
+    the end of its thread's depth-first walk, where the answers to one message come by turn.
+
+    A message is entered and left; each of these steps knows its next one: the first answer, the next
+    sibling, or leaving what it answers. Doubling adds up the entered messages; finished steps wait aside."""
+    up = links.groupBy("conv_id", "turn").agg(F.min("reply_to").alias("parent")).withColumn("one", F.lit(1).cast("long"))
+    order = cut_lineage(running(up, ["conv_id", "parent"], "turn", ["one"]), "siblings")
+    step = lambda turn, out: F.struct(F.col(turn).alias("turn"), F.lit(out).alias("out"))
+    none = F.lit(None).cast("long")
+    nodes = order.select("conv_id", "turn", "parent", "next_v").unionByName(
+        order.select("conv_id", F.col("parent").alias("turn")).distinct().join(order.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+        .withColumn("parent", none).withColumn("next_v", none))
+    first = order.where("cum_one = 1").select("conv_id", F.col("parent").alias("turn"), F.col("turn").alias("child"))
+    nodes = cut_lineage(nodes.join(first, ["conv_id", "turn"], "left"), "nodes")
+    enter = nodes.select("conv_id", step("turn", 0).alias("at"), F.coalesce(F.when(F.col("child").isNotNull(), step("child", 0)), step("turn", 1)).alias("to"),
+                         F.lit(1).cast("long").alias("left"))
+    leave = nodes.select("conv_id", step("turn", 1).alias("at"), F.when(F.col("next_v").isNotNull(), step("next_v", 0))
+                         .when(F.col("parent").isNotNull(), step("parent", 1)).alias("to"), F.lit(0).cast("long").alias("left"))
+    now = cut_lineage(enter.unionByName(leave), "walk")
+    while not (going := now.where("to IS NOT NULL")).isEmpty():
+        over = now.select("conv_id", F.col("at").alias("to"), F.col("to").alias("to2"), F.col("left").alias("left2"))
+        moved = going.join(over, ["conv_id", "to"]).select("conv_id", "at", F.col("to2").alias("to"), (F.col("left") + F.col("left2")).alias("left"))
+        now = cut_lineage(moved.unionByName(now.where("to IS NULL")), "walk")
+    return now.where("at.out = 0").select("conv_id", F.col("at.turn").alias("turn"), "left")
+
+
+def ways(links: DataFrame) -> DataFrame:
+    """conv_id, turn, thread, depth, place (from 0) of every message with a reply_to."""
+    up, left = threads(links), cut_lineage(walk(links), "walked")
+    sizes = up.select("conv_id", F.col("thread").alias("turn")).distinct().join(left, ["conv_id", "turn"]) \
+        .select("conv_id", F.col("turn").alias("thread"), F.col("left").alias("size"))
+    at = attach(up.join(left, ["conv_id", "turn"]), sizes, ["conv_id", "thread"])
+    return at.select("conv_id", "turn", "thread", "depth", (F.col("size") - F.col("left")).alias("place"))
+
+
 def link(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, thread, depth, turn, role, reply_to, n_quoted, text (without quotations), formatted."""
+    """conv_id, thread, place, depth, turn, role, reply_to, n_quoted, text (without quotations), formatted."""
     at = messages(rows, conv_col, turn_col, role_col, text_col)
     links = replies(at)
-    ways = threads(links).withColumnsRenamed({"conv_id": "_c", "turn": "_t"})
+    placed = ways(links).withColumnsRenamed({"conv_id": "_c", "turn": "_t"})
     at = at.join(links.select("mid", "reply_to"), "mid", "left")
-    at = at.join(ways, (at["conv_id"] == ways["_c"]) & (at["turn"] == ways["_t"]), "left")
+    at = at.join(placed, (at["conv_id"] == placed["_c"]) & (at["turn"] == placed["_t"]), "left")
+    zero = F.lit(0).cast("long")
     head = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"))
-    return at.select("conv_id", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"), "turn", "role",
-                     "reply_to", "n_quoted", F.col("clean").alias("text"), F.concat(head, F.col("clean"), F.lit("<|end|>\n")).alias("formatted"))
+    return at.select("conv_id", F.coalesce("thread", "turn").alias("thread"), F.coalesce("place", zero).alias("place"), F.coalesce("depth", zero).alias("depth"),
+                     "turn", "role", "reply_to", "n_quoted", F.col("clean").alias("text"), F.concat(head, F.col("clean"), F.lit("<|end|>\n")).alias("formatted"))
+
+
+def conversations(linked: DataFrame, part: int = PART) -> DataFrame:
+    """conv_id, thread, part (from 0), n_messages, text: each thread's formatted messages in the order of their places,
+    in parts of ``part`` messages; joined, the parts are the whole thread. A message without conversation or turn
+    is a part of its own."""
+    whole = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    key = F.struct("place", F.xxhash64("role", "formatted").alias("hash"))
+    once = linked.where(whole).groupBy("conv_id", "thread", "place", "role", "formatted").agg(F.lit(1).cast("long").alias("one"))
+    at = running(once.withColumn("key", key), ["conv_id", "thread"], "key", ["one"]).withColumn("part", F.floor((F.col("cum_one") - 1) / part).cast("long"))
+    parts = at.groupBy("conv_id", "thread", "part").agg(F.sort_array(F.collect_list(F.struct("cum_one", "formatted"))).alias("m"))  # ``part`` messages at most
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    return parts.select("conv_id", "thread", "part", F.size("m").cast("long").alias("n_messages"), F.array_join(F.transform("m", lambda x: x["formatted"]), "").alias("text")) \
+        .unionByName(linked.where(~whole).select("conv_id", "thread", zero.alias("part"), one.alias("n_messages"), F.col("formatted").alias("text")))

@@ -207,7 +207,8 @@ def test_chat(spark):
     got = {(r["conv_id"], r["turn"]): (r["thread"], r["depth"], r["reply_to"], r["text"]) for r in
            quote_chat.link(spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, thread string")).collect()}
     assert got[1, 1] == (0, 1, 0, "Fine") and got[1, 2] == (0, 2, 1, "Good") and got[1, 3] == (3, 0, None, "ok") and got[3, 0] == (0, 0, None, "")
-    assert quote_chat.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    none = quote_chat.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert none.count() == 0 and quote_chat.conversations(none).count() == 0
 
 
 def test_pipeline_stages(spark, docs):
