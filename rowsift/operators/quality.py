@@ -252,7 +252,9 @@ def mmd_linear(real: DataFrame, syn: DataFrame, cols: Sequence[str]) -> DataFram
     return real.sparkSession.createDataFrame([("mmd_linear", val)], "metric string, score double")
 
 
-MMD_BLOCK = 1024
+MMD_BLOCK = 1024  # rows of a block, and of a piece of a kernel matrix
+MMD_BLOCKS = 24  # blocks grow beyond this number of them, up to MMD_LARGEST rows: each row is sent once per block
+MMD_LARGEST = 8192
 
 
 def mmd_rbf(real: DataFrame, syn: DataFrame, vec: str, gamma: float = 1.0, block: int = MMD_BLOCK) -> DataFrame:
@@ -278,11 +280,20 @@ def _side_sums(gamma: float):
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         x, side, block = np.stack(pdf["x"].to_numpy()).astype(np.float64), pdf["side"].to_numpy(), pdf["block"].to_numpy()
         a, b = block == i, block == j
-        square = (x * x).sum(axis=1)
-        kernel = np.exp(-gamma * np.maximum(square[a][:, None] + square[b][None, :] - 2 * x[a] @ x[b].T, 0.0)) * (1.0 if i == j else 2.0)
-        names = np.unique(side)
-        left, right = (side[a][None] == names[:, None]).astype(float), (side[b][:, None] == names[None]).astype(float)
-        sums = left @ kernel @ right
+        square, names = (x * x).sum(axis=1), np.unique(side)
+        right, far = (side[b][:, None] == names[None]).astype(float), x[b].T
+        rows_a, sums = np.flatnonzero(a), np.zeros((len(names), len(names)))
+        for s in range(0, len(rows_a), MMD_BLOCK):  # a bounded piece of the kernel matrix
+            at = rows_a[s:s + MMD_BLOCK]
+            kernel = x[at] @ far
+            kernel *= -2
+            kernel += square[at][:, None]
+            kernel += square[b][None, :]
+            np.maximum(kernel, 0.0, out=kernel)
+            kernel *= -gamma
+            np.exp(kernel, out=kernel)
+            sums += (side[at][None] == names[:, None]).astype(float) @ (kernel @ right)
+        sums *= 1.0 if i == j else 2.0
         sums = (sums + sums.T) / 2
         rows = [(int(p), int(q), sums[m, n]) for m, p in enumerate(names) for n, q in enumerate(names) if p == q or p == -1]
         return pd.DataFrame(rows, columns=["p", "q", "k"])
@@ -293,15 +304,16 @@ def _side_sums(gamma: float):
 def _mmd_by_source(ref: DataFrame, syn: DataFrame, names, n_ref: int, gamma: float, block: int = MMD_BLOCK) -> DataFrame:
     """(source, score) for every source in ``names`` (array of source, n, code) whose rows are in ``syn`` (x, code)."""
     both = cut_lineage(ref.select("x", F.lit(-1).alias("side")).unionByName(syn.select("x", F.col("code").alias("side"))), "mmd-rows")
-    blocks = -(-both.count() // block)
+    n = both.count()
+    blocks = -(-n // max(block, min(MMD_LARGEST, n // MMD_BLOCKS)))
     dealt = both.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     groups = other.select("x", "side", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     sums = groups.groupBy("i", "j").applyInPandas(_side_sums(gamma), "p int, q int, k double").groupBy("p", "q").agg(F.sum("k").alias("k"))
     at = sums.withColumn("s", F.explode(names)).where("(p = -1 AND q IN (-1, s.code)) OR (p = s.code AND q = s.code)")
-    m = float(n_ref)
-    term = (F.when(F.col("q") == -1, F.col("k") / (m * m)).when(F.col("p") == -1, -2 * F.col("k") / (m * F.col("s.n")))
-            .otherwise(F.col("k") / (F.col("s.n") * F.col("s.n"))))
+    m, n_syn = float(n_ref), F.col("s.n").cast("double")  # the square of a count doesn't fit an integer
+    term = (F.when(F.col("q") == -1, F.col("k") / (m * m)).when(F.col("p") == -1, -2 * F.col("k") / (m * n_syn))
+            .otherwise(F.col("k") / (n_syn * n_syn)))
     return at.groupBy("s.source").agg(F.sum(term).alias("score"))
 
 
@@ -313,21 +325,27 @@ def mmd_rbf_rff(real: DataFrame, syn: DataFrame, cols: Sequence[str], gamma: flo
     so the work is one aggregate per table instead of all pairs.
     """
     import numpy as np
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
     rng = np.random.default_rng(seed)
     W = rng.normal(0, math.sqrt(2 * gamma), size=(n_features, len(cols)))
     b = rng.uniform(0, 2 * math.pi, size=n_features)
     scale = math.sqrt(2.0 / n_features)
-    wl = const_array(W.tolist(), "array<double>")
-    bl = const_array(b.tolist())
-    x = F.array(*[F.col(c).cast("double") for c in cols])
+    names = list(cols)
+
+    def sums(batches):
+        import pyarrow as pa
+        n, total = 0, np.zeros(n_features)
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in names])
+            for s in range(0, len(x), 4096):
+                total += np.cos(x[s:s + 4096] @ W.T + b).sum(axis=0)
+            n += len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["n", "s"])
 
     def mean_phi(df):
-        phi = F.transform(wl, lambda w, j: F.cos(F.aggregate(F.zip_with(w, x, lambda a, c: a * c), F.lit(0.0),
-                                                             lambda s, v: s + v) + F.element_at(bl, j + 1)))
-        v = df.select(array_to_vector(phi).alias("phi"))
-        return v.select(Summarizer.mean(F.col("phi")).alias("m")).first()["m"].toArray()  # n_features values
+        part = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(sums, "n long, s array<double>")  # one row per task
+        whole = part.agg(F.sum("n").alias("n"), *[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(n_features)]).first()
+        return np.array([whole[f"s{i}"] for i in range(n_features)]) / whole["n"]  # n_features values
 
     fa, fb = mean_phi(real), mean_phi(syn)
     val = float(np.sum((scale * (fa - fb)) ** 2))
