@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 from rowsift.functions.hashing import h
 from rowsift.functions.literals import const_array
 from rowsift.operators.attach import attach
+from rowsift.session import cut_lineage
 
 
 def sq_dist(a: Column, b: Column) -> Column:
@@ -37,13 +38,29 @@ def dist(a: Column, b: Column) -> Column:
     return F.sqrt(sq_dist(a, b))
 
 
-QUERY_BLOCK_ROWS = 1024
+QUERY_BLOCK_ROWS = 8192
+TILE = 4_000_000  # pairs of a tile
+RUN = 64  # columns of a tile whose minimum is taken at once
+
+
+def _exact(Q, R, qi, ri):
+    """Distances of the pairs (qi, ri) from the differences, in bounded pieces."""
+    import numpy as np
+
+    out, piece = np.empty(len(qi)), max(1, TILE // max(1, Q.shape[1]))
+    for s in range(0, len(qi), piece):
+        diff = Q[qi[s:s + piece]] - R[ri[s:s + piece]]
+        out[s:s + piece] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    return out
 
 
 def _block_kernel(mode: str, k: int, exclude_self: bool):
     """numpy kernel for one (cell, sub, query-block) group: exact distances of the block's
     queries to the cell's reference rows; emits per-query top-k ('knn') or, per query, the number of
-    balls it lies in ('range': one row per query, `_rid` null, the count as `d`)."""
+    balls it lies in ('range': one row per query, `_rid` null, the count as `d`).
+
+    Tiles of squared distances come from a matrix product; its rounding error is bounded by `slack`, and every pair
+    that this error could decide is computed again from the differences."""
     import numpy as np
     import pandas as pd
 
@@ -53,31 +70,49 @@ def _block_kernel(mode: str, k: int, exclude_self: bool):
         Q = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
         R = np.stack(rpdf["_rv"].to_numpy()).astype(np.float64)
         qid, rid = qpdf["_qid"].to_numpy(), rpdf["_rid"].to_numpy()
-        rad = rpdf["_rad"].to_numpy() if mode == "range" else None
+        rad = rpdf["_rad"].to_numpy().astype(np.float64) if mode == "range" else None
         id_rank = np.unique(rid, return_inverse=True)[1]  # ties in distance go to the smaller id
+        qcode, rcode = qid, rid
+        if qid.dtype == object or rid.dtype == object:
+            codes = pd.factorize(np.concatenate([qid.astype(object), rid.astype(object)]))[0]
+            qcode, rcode = codes[:len(qid)], codes[len(qid):]
+        qn, rn = np.einsum("ij,ij->i", Q, Q), np.einsum("ij,ij->i", R, R)
+        slack = 1e-14 * (Q.shape[1] + 4) * (qn + np.nanmax(rn))
         oq, orr, od = [], [], []
-        step = max(1, 4_000_000 // max(1, R.shape[0] * R.shape[1]))
+        step = max(1, TILE // R.shape[0])
         for s in range(0, Q.shape[0], step):
-            diff = Q[s:s + step, None, :] - R[None, :, :]
-            d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+            part = Q[s:s + step]
+            sq = part @ R.T
+            sq *= -2
+            sq += qn[s:s + step, None]
+            sq += rn[None, :]
+            near = slack[s:s + step, None]
             if exclude_self:
-                d = np.where(qid[s:s + step, None] == rid[None, :], np.inf, d)
+                sq[qcode[s:s + step, None] == rcode[None, :]] = np.inf
             if mode == "range":
+                gap = sq - rad * rad
+                qi, ri = np.nonzero(np.abs(gap) <= near + 1e-14 * rad * rad)
+                gap[qi, ri] = np.where(_exact(part, R, qi, ri) < rad[ri], -1.0, 1.0)
+                hits = (gap < 0).sum(axis=1)
                 oq.append(qid[s:s + step])
                 orr.append(rid[:0])
-                od.append((d < rad[None, :]).sum(axis=1).astype(np.float64))
+                od.append(hits.astype(np.float64))
             else:
-                kk = min(k, d.shape[1])
-                kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-                qi, ri = np.nonzero((d <= kth[:, None]) & np.isfinite(d))  # with every tie at the k-th place
-                order = np.lexsort((id_rank[ri], d[qi, ri], qi))
-                qi, ri = qi[order], ri[order]
+                kk = min(k, sq.shape[1])
+                low = sq
+                if sq.shape[1] >= 4 * RUN * kk:  # the k-th smallest of the runs' minima is no smaller than the k-th distance
+                    low = np.minimum.reduceat(sq, np.arange(0, sq.shape[1], RUN), axis=1)
+                kth = np.partition(low, kk - 1, axis=1)[:, kk - 1]
+                qi, ri = np.nonzero((sq <= kth[:, None] + 2 * near) & np.isfinite(sq))  # with every tie at the k-th place
+                d = _exact(part, R, qi, ri)
+                order = np.lexsort((id_rank[ri], d, qi))
+                qi, ri, d = qi[order], ri[order], d[order]
                 first = np.searchsorted(qi, qi, "left")
                 keep = np.arange(len(qi)) - first < k
                 qi, ri = qi[keep], ri[keep]
                 oq.append(qid[s + qi])
                 orr.append(rid[ri])
-                od.append(d[qi, ri])
+                od.append(d[keep])
         if mode == "range":
             return pd.DataFrame({"_qid": np.concatenate(oq), "_rid": pd.Series([None] * sum(map(len, oq)), dtype=object), "d": np.concatenate(od)})
         return pd.DataFrame({"_qid": np.concatenate(oq), "_rid": np.concatenate(orr), "d": np.concatenate(od)})
@@ -85,6 +120,26 @@ def _block_kernel(mode: str, k: int, exclude_self: bool):
     return fn
 
 
+def _pivot_distances(pivots: list):
+    """Distances to every pivot per vector; null for a vector that is null, of another length or holds no number."""
+    import numpy as np
+    import pandas as pd
+
+    P = np.array(pivots, dtype=np.float64)
+
+    def fn(v):
+        out = []
+        for s in range(0, len(v), 256):
+            rows = [x if x is not None and len(x) == P.shape[1] else None for x in v.iloc[s:s + 256]]
+            whole = np.stack([np.full(P.shape[1], np.nan) if x is None else np.asarray(x, dtype=np.float64) for x in rows])
+            diff = whole[:, None, :] - P[None, :, :]
+            found = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+            out.extend(None if np.isnan(r).any() else r for r in found)
+        return pd.Series(out, dtype=object)
+
+    return fn
+
+
 def _block_pairs(cand: DataFrame, refp: DataFrame, mode: str, k: int = 0, exclude_self: bool = False) -> DataFrame:
     """Route candidate (query, cell, sub) rows and reference (cell, sub) rows into bounded groups
     (query blocks of <= QUERY_BLOCK_ROWS per cell-sub; the cell's reference rows are repeated per
@@ -107,7 +162,7 @@ class PivotIndex:
     """Cells over a reference table; pivot vectors and per-cell stats are small literals."""
 
     def __init__(self, ref: DataFrame, id_col: str, vec: str, n_pivots: int | None = None,
-                 seed: int = 7, bucket_rows: int = 2048, extra_max: str | None = None):
+                 seed: int = 7, bucket_rows: int = 8192, extra_max: str | None = None):
         self.id_col, self.vec = id_col, vec
         n = self.n_rows = ref.count()
         m = n_pivots or max(1, min(256, int(math.sqrt(max(n, 1)) // 2) or 1))
@@ -116,7 +171,7 @@ class PivotIndex:
         self.pivots = [list(map(float, r["_pv"])) for r in piv]
         self.m = len(self.pivots)
         self._plit = const_array(self.pivots, "array<double>")
-        cells = self.assign(ref)
+        cells = cut_lineage(self.assign(ref).drop("_pd"), "pivot-cells")
         aggs = [F.count("*").alias("n"), F.max("_pdist").alias("R")]
         if extra_max:
             aggs.append(F.max(extra_max).alias("X"))
@@ -127,13 +182,21 @@ class PivotIndex:
         self.subs = [max(1, math.ceil(nc / bucket_rows)) for nc in self.n_c]
         self.ref = (cells.withColumn("_sub", F.pmod(F.xxhash64(F.col(id_col)),
                                                     F.element_at(const_array(self.subs, "int"),
-                                                                 F.col("_cell") + 1)).cast("int"))
-                    .drop("_pd"))
+                                                                 F.col("_cell") + 1)).cast("int")))
 
     # distances to every pivot, nearest cell, distance to it
     def assign(self, df: DataFrame) -> DataFrame:
         v = F.col(self.vec)
-        out = df.withColumn("_pd", F.transform(self._plit, lambda p: dist(p, v)))
+        if self.pivots:
+            import warnings
+
+            from pyspark.sql.functions import PandasUDFType, pandas_udf
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                distances = pandas_udf(_pivot_distances(self.pivots), "array<double>", PandasUDFType.SCALAR)
+            out = df.withColumn("_pd", distances(v.cast("array<double>")))
+        else:
+            out = df.withColumn("_pd", F.transform(self._plit, lambda p: dist(p, v)))
         best = F.array_min(F.col("_pd"))
         return (out.withColumn("_pdist", best)
                    .withColumn("_cell", (F.array_position(F.col("_pd"), best) - 1).cast("int")))
@@ -149,7 +212,7 @@ class PivotIndex:
         cells = F.filter(F.sequence(F.lit(0), F.lit(self.m - 1)),
                          lambda c: (F.element_at(n_lit, c + 1) > 0)
                          & (F.element_at(F.col("_pd"), c + 1) - F.element_at(r_lit, c + 1) <= bound))
-        out = q.withColumn("_qcell", F.explode(cells))
+        out = cut_lineage(q.withColumn("_cells", cells).drop("_pd"), "query-cells").withColumn("_qcell", F.explode("_cells"))
         out = out.withColumn("_qsub", F.explode(F.sequence(F.lit(0), F.element_at(s_lit, F.col("_qcell") + 1) - 1)))
         return out
 
@@ -211,7 +274,7 @@ def range_counts(query: DataFrame, ref: DataFrame, q_id: str, r_id: str, radius:
     cells = F.filter(F.sequence(F.lit(0), F.lit(idx.m - 1)),
                      lambda c: (F.element_at(n_lit, c + 1) > 0)
                      & (F.element_at(F.col("_pd"), c + 1) - F.element_at(r_lit, c + 1) < F.element_at(x_lit, c + 1)))
-    cand = qa.withColumn("_qcell", F.explode(cells))
+    cand = cut_lineage(qa.withColumn("_cells", cells).drop("_pd"), "query-cells").withColumn("_qcell", F.explode("_cells"))
     cand = cand.withColumn("_qsub", F.explode(F.sequence(F.lit(0), F.element_at(s_lit, F.col("_qcell") + 1) - 1)))
     cand = cand.select("_qid", F.col(idx.vec).alias("_qv"), "_qcell", "_qsub")
     refp = rr.select(F.col(idx.id_col).alias("_rid"), F.col(idx.vec).alias("_rv"), "_rad", "_cell", "_sub")
