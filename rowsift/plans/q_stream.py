@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from rowsift.operators import dynamics as dyn
@@ -15,16 +17,25 @@ from rowsift.streaming import completions_stream as cs
 _GPT_SQL = _final(_conform_sql(f"SELECT * FROM ({_PARSED_SQL}) p WHERE {_NO_PH} AND {_NOTNULL_SQL}", "coerce"))
 
 
-def _landing(spark, sf) -> str:
-    """Completions land as several parquet files in a fresh folder (the 'arrivals')."""
+ARRIVALS = 8
+FILE_BYTES = 64 << 20  # text of a landed file
+ORDER_BYTES = 130  # text of an order in it
+
+
+def _landing(spark, sf) -> tuple[str, int]:
+    """Completions land as parquet files in a fresh folder: (folder, files of one of the eight arrivals). An arrival has as
+    many files as it takes to keep each of them bounded, whatever the size of the tables."""
     folder = scratch_path(spark, "completions-landing")
-    fx.completions(spark, sf).repartition(8, "source", "iter").write.parquet(folder)
-    return folder
+    texts = spark.read.parquet(f"{sf}/documents.parquet").agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    orders = spark.read.parquet(f"{sf}/orders.parquet").agg(F.count_distinct(F.floor(F.col("o_orderkey") / 3)), F.count("*")).first()
+    files = max(1, math.ceil((orders[0] * texts + orders[1] * ORDER_BYTES) / (ARRIVALS * FILE_BYTES)))
+    fx.completions(spark, sf).repartition(ARRIVALS * files, "source", "iter", "choice").write.parquet(folder)
+    return folder, files
 
 
 @register("st1_stream_curation", _GPT_SQL)
 def st1_stream_curation(spark, sf):
-    src = _landing(spark, sf)
+    src, _ = _landing(spark, sf)
     sink = scratch_path(spark, "curated-sink")
     cs.run_curation_stream(spark, src, sink, scratch_path(spark, "st1-ckpt"), ORDER_SCHEMA, "gpt")
     out = spark.read.schema(cs.curated_rows(cs.read_completions(spark, src), ORDER_SCHEMA).schema).parquet(sink)
@@ -49,7 +60,7 @@ d AS (SELECT r, avg(p) AS c, avg(p * (1 - p)) AS u FROM f WHERE tree < {len(_STU
 SELECT source, iter, choice, frag_pos, o_orderkey, round(c, 6) AS confidence, round(u, 6) AS aleatoric,
        CASE WHEN c <= 0.45 AND u <= 0.25 THEN 'hard' WHEN c >= 0.55 AND u <= 0.25 THEN 'easy' ELSE 'ambig' END AS grp FROM g JOIN d USING (r)""")
 def st1_stream_scored(spark, sf):
-    """Parse, clean, score (K3) and group (K17) a completions stream, one file per trigger."""
+    """Parse, clean, score (K3) and group (K17) a completions stream, one arrival per trigger."""
     given = spark.read.parquet(f"{sf}/orders.parquet").select(F.expr(_IS_DONE).alias("y"), F.posexplode(F.expr(f"array({_STUMP_LIST})")).alias("tree", "leaf"))
     means = given.groupBy("tree", "leaf").agg(F.array(0.4 * F.avg(2 * F.col("y") - 1)).alias("value"))
     every = spark.range(2 * len(_STUMPS)).select((F.col("id") / 2).cast("int").alias("tree"), (F.col("id") % 2).cast("int").alias("leaf"))
@@ -59,8 +70,8 @@ def st1_stream_scored(spark, sf):
         with_leaves = rows.withColumn("y", F.expr(_IS_DONE)).withColumn("leaf", F.expr(f"array({_STUMP_LIST})"))
         return dyn.assign_groups(staging.fold_leaves(with_leaves, values, "logit", "leaf"), "aleatoric", 0.45, 0.25)
 
-    src, sink = _landing(spark, sf), scratch_path(spark, "scored-sink")
-    cs.run_curation_stream(spark, src, sink, scratch_path(spark, "st1s-ckpt"), ORDER_SCHEMA, "gpt", score, max_files_per_trigger=1)
+    (src, files), sink = _landing(spark, sf), scratch_path(spark, "scored-sink")
+    cs.run_curation_stream(spark, src, sink, scratch_path(spark, "st1s-ckpt"), ORDER_SCHEMA, "gpt", score, max_files_per_trigger=files)
     out = spark.read.parquet(sink)
     return out.select("source", "iter", "choice", "frag_pos", "o_orderkey", r6("confidence"), r6("aleatoric"), "grp")
 
@@ -68,6 +79,6 @@ def st1_stream_scored(spark, sf):
 @register("st2_stream_quota", f"""
 SELECT source, least(count(*), 2000) AS n_accepted, count(*) >= 2000 AS quota_reached FROM ({_GPT_SQL}) g GROUP BY source""")
 def st2_stream_quota(spark, sf):
-    src = _landing(spark, sf)
-    out = cs.run_quota_counter(spark, src, scratch_path(spark, "st2-ckpt"), ORDER_SCHEMA, 2000, "quota", max_files_per_trigger=1)
+    src, files = _landing(spark, sf)
+    out = cs.run_quota_counter(spark, src, scratch_path(spark, "st2-ckpt"), ORDER_SCHEMA, 2000, "quota", max_files_per_trigger=files)
     return out.select("source", "n_accepted", F.col("quota_reached"))
