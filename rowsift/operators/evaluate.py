@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsift.functions.encode import standardise
+from rowsift.operators.boosting import fit_boosted
 from rowsift.operators.ordered import running
 from rowsift.operators.staging import without_summary
+from rowsift.session import cut_lineage
 
 KEYS = ("source", "clf")
 
@@ -78,8 +80,12 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
         both = standardise(train.withColumn("_part", F.lit("train")).unionByName(test.withColumn("_part", F.lit("test"))),
                            features, ref=train)
         train, test = both.where(F.col("_part") == "train").drop("_part"), both.where(F.col("_part") == "test").drop("_part")
-    asm = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="keep")
-    m = without_summary(Pipeline(stages=[asm, clf]).fit(train.withColumn("_label", F.col(label).cast("double"))))
+    labelled = train.withColumn("_label", F.col(label).cast("double"))
+    if isinstance(clf, GBTClassifier):
+        m = fit_boosted(labelled, features, "_label", clf, "_f")
+    else:
+        asm = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="keep")
+        m = without_summary(Pipeline(stages=[asm, clf]).fit(labelled))
     out = m.transform(test.withColumn("_label", F.col(label).cast("double")))
     score = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
     return out.select(*keys, F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("y_pred"), score.alias("score"))
@@ -104,6 +110,7 @@ def downstream(sources: DataFrame, test: DataFrame, features: Sequence[str], lab
         for cname, clf in clfs.items():
             p = fit_predict(tr, test, features, label, clf.copy(), keys).withColumn("source", F.lit(name)).withColumn("clf", F.lit(cname))
             preds = p if preds is None else preds.unionByName(p)
+    preds = cut_lineage(preds, "predictions")  # read twice; every model scores the test once
     return classification_metrics(preds).join(roc_auc(preds), list(KEYS))
 
 
@@ -128,8 +135,7 @@ def oracle_agreement(oracle: DataFrame, sources: DataFrame, features: Sequence[s
                      split: str | None = None, nest: int = 100, seed: int = 0) -> DataFrame:
     """Fit boosted trees on the oracle split; accuracy of its predictions against each source's labels."""
     gbt = GBTClassifier(featuresCol="_f", labelCol="_label", maxIter=nest, seed=seed)
-    asm = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="keep")
-    m = Pipeline(stages=[asm, gbt]).fit(oracle.withColumn("_label", F.col(label).cast("double")))
+    m = fit_boosted(oracle.withColumn("_label", F.col(label).cast("double")), features, "_label", gbt, "_f")
     pred = m.transform(sources)
     by = ["source"] + ([split] if split else [])
     return pred.groupBy(*by).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy"),

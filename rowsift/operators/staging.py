@@ -34,6 +34,7 @@ from pyspark.sql.window import Window
 
 from rowsift.functions.literals import const_array
 from rowsift.operators import dynamics as dyn
+from rowsift.operators.boosting import drop_bins, fit_boosted
 from rowsift.session import cut_lineage, scratch_path
 
 BROADCAST_LEAVES = 4_000_000  # numbers of a leaf table that is broadcast (32 MB); beyond it the table is joined
@@ -76,7 +77,7 @@ def fit_gbt(train: DataFrame, features: Sequence[str], label: str = "y", nest: i
     gbt = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=nest, maxDepth=max_depth,
                         stepSize=step, seed=seed, subsamplingRate=subsampling,
                         leafCol="_leaf", maxBins=64, **_lineage_opts(train, large))
-    return Pipeline(stages=[_assembler(features), gbt]).fit(train)
+    return fit_boosted(train, features, label, gbt, "_features")
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], label: str = "y", nest: int = 100,
@@ -156,7 +157,8 @@ def with_leaves(model, df: DataFrame, col: str = "_lf") -> DataFrame:
     models = list(model) if isinstance(model, (list, tuple)) else [model]
     out = df
     for c, m in enumerate(models):
-        out = m.transform(out).withColumn(f"{col}{c}", vector_to_array("_leaf")).drop("_features", "_leaf", "rawPrediction", "probability", "prediction")
+        scored = m.transform(out).withColumn(f"{col}{c}", vector_to_array("_leaf"))
+        out = drop_bins(scored).drop("_features", "_leaf", "rawPrediction", "probability", "prediction")
     parts = [f"{col}{c}" for c in range(len(models))]
     return out.withColumn(col, F.transform(F.concat(*parts), lambda v: v.cast("int"))).drop(*parts)
 
