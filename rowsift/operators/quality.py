@@ -178,8 +178,9 @@ def prdc(real: DataFrame, syn: DataFrame, id_col: str, vec: str, k: int = 5,
     real, syn = real.select(id_col, vec), syn.select(id_col, vec)
     ir = dst.PivotIndex(real, id_col, vec, n_pivots=n_pivots)
     is_ = dst.PivotIndex(syn, id_col, vec, n_pivots=n_pivots)
-    r_real = dst.kth_distance(real, id_col, k, vec, index=ir).withColumnRenamed("radius", "r")
-    r_syn = dst.kth_distance(syn, id_col, k, vec, index=is_).withColumnRenamed("radius", "r")
+    # read two and three times, searched for once
+    r_real = cut_lineage(dst.kth_distance(real, id_col, k, vec, index=ir).withColumnRenamed("radius", "r"), "real-balls")
+    r_syn = cut_lineage(dst.kth_distance(syn, id_col, k, vec, index=is_).withColumnRenamed("radius", "r"), "syn-balls")
     n, m = ir.n_rows, is_.n_rows
     inside = dst.range_counts(syn.withColumnRenamed(id_col, "_sid"), r_real, "_sid", id_col, "r", vec, index=ir)
     pr = inside.agg(F.sum((F.col("n") > 0).cast("long")).alias("a"), F.sum("n").alias("b")).first()
@@ -457,7 +458,7 @@ def _neighbour_scores(ref, repeated, syn, syn_apart, n_ref: int, k: int, n_pivot
     real_index = dst.PivotIndex(ref, "id", "x", n_pivots=n_pivots)
     syn_index = dst.PivotIndex(syn_apart.select("id", "x"), "id", "x", n_pivots=n_pivots)
     r_real = cut_lineage(dst.kth_distance(ref, "id", k, "x", index=real_index).withColumnRenamed("radius", "r"), "report-real-balls")
-    r_syn = dst.kth_distance(syn_apart.select("id", "x"), "id", k, "x", index=syn_index).withColumnRenamed("radius", "r")
+    r_syn = cut_lineage(dst.kth_distance(syn_apart.select("id", "x"), "id", k, "x", index=syn_index).withColumnRenamed("radius", "r"), "report-syn-balls")
     own = syn.select(F.concat(F.col("code").cast("string"), F.lit("|"), F.col("id")).alias("q"), "x", "source", "n")
     inside = dst.range_counts(own.select("q", "x"), r_real, "q", "id", "r", "x", index=real_index).withColumnRenamed("n", "hits")
     counted = cut_lineage(own.select("q", "source", "n").join(inside, "q", "left"), "report-inside")
