@@ -16,6 +16,11 @@ both together and walks the steps once, keeping the running margins:
 Both give the gold probability after every step for binary boosting
 (``logit``), one boosted model per class (``ovr``) and class means of a forest
 (``mean``). ``engine="sql"`` is the same fold in higher-order functions.
+
+Trees with continuous splits and at most 64 leaves need no ``transform`` for the
+fold: ``leaf_boxes`` writes their splits as bits per feature interval, and the
+batch that folds the leaves finds them, too, so that no leaf array crosses to Python.
+A training table is written out before a fit, which reads it several times.
 """
 
 from __future__ import annotations
@@ -61,6 +66,11 @@ def _lineage_opts(train: DataFrame, large: bool | None) -> dict:
     return {"cacheNodeIds": False, "checkpointInterval": -1}
 
 
+def written_train(train: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """What a fit reads, computed once: each of its passes would run the plan of ``train`` (a sample of a large table) again."""
+    return cut_lineage(train.select(*features, label), "train")
+
+
 def without_summary(model: PipelineModel) -> PipelineModel:
     """The model as saved and loaded: a training summary holds the session and would travel with every task."""
     if not any(getattr(stage, "hasSummary", False) for stage in model.stages):
@@ -83,6 +93,7 @@ def fit_gbt(train: DataFrame, features: Sequence[str], label: str = "y", nest: i
 def fit_forest(train: DataFrame, features: Sequence[str], label: str = "y", nest: int = 100,
                max_depth: int = 6, seed: int = 0, large: bool | None = None) -> PipelineModel:
     """Random forest (multiclass capable) for the averaging stager (K4)."""
+    train = written_train(train, features, label)
     rf = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=nest,
                                 maxDepth=max_depth, seed=seed, leafCol="_leaf", **_lineage_opts(train, large))
     return without_summary(Pipeline(stages=[_assembler(features), rf]).fit(train))
@@ -163,6 +174,84 @@ def with_leaves(model, df: DataFrame, col: str = "_lf") -> DataFrame:
     return out.withColumn(col, F.transform(F.concat(*parts), lambda v: v.cast("int"))).drop(*parts)
 
 
+LEAF_BITS = 64  # leaves of a tree that fit one word
+BOX_WORDS = 4_000_000  # words of the bit tables that travel to the tasks (32 MB)
+
+
+class _LeafBoxes:
+    """The leaf of each tree from a row's features. A feature's thresholds cut it into intervals; a word per (interval, tree)
+    has a bit for every leaf that the interval leaves open, and the words of all features have one bit in common."""
+
+    def __init__(self, columns: list[str], edges: dict, masks: dict, n_trees: int):
+        self.columns, self.edges, self.masks, self.n_trees = columns, edges, masks, n_trees
+
+    def leaves(self, x: list):
+        """(rows, trees); ``x`` has an array per column. A missing value goes right, as in a tree."""
+        import numpy as np
+
+        left = None
+        for f, e in self.edges.items():
+            found = self.masks[f][np.searchsorted(e, x[f], side="left")]
+            left = found if left is None else np.bitwise_and(left, found, out=left)
+        if left is None:
+            return np.zeros((len(x[0]), self.n_trees), dtype=np.int64)
+        return np.bitwise_count((left & (~left + np.uint64(1))) - np.uint64(1)).astype(np.int64)  # the place of the bit
+
+
+def _split_nodes(model) -> list:
+    """Nodes per tree of a fitted ensemble (the driver holds them anyway): id, children, feature, threshold, kind of split."""
+    tm = _tree_model(model)
+    spark = SparkSession.getActiveSession()
+    path = scratch_path(spark, "tree-model")
+    tm.write().overwrite().save(path)
+    node, split = "nodeData.", "nodeData.split."
+    rows = spark.read.parquet(f"{path}/data").select(
+        "treeID", f"{node}id", f"{node}leftChild", f"{node}rightChild", f"{split}featureIndex",
+        F.get(f"{split}leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), f"{split}numCategories").collect()
+    trees: list[dict] = [{} for _ in tm.trees]
+    for r in rows:
+        trees[r["treeID"]][r["id"]] = r
+    return trees
+
+
+def leaf_boxes(model) -> tuple[list, _LeafBoxes] | None:
+    """(stages before the assembler, leaf finder) of a fitted ensemble or a list of them; None if it isn't an assembler of
+    plain columns before trees of continuous splits and at most ``LEAF_BITS`` leaves."""
+    import numpy as np
+
+    models = list(model) if isinstance(model, (list, tuple)) else [model]
+    if not all(isinstance(m, PipelineModel) and len(m.stages) > 1 and isinstance(m.stages[-2], VectorAssembler) for m in models):
+        return None
+    columns = models[0].stages[-2].getInputCols()
+    before = models[0].stages[:-2]
+    if len(models) > 1 and (before or any(m.stages[:-2] or m.stages[-2].getInputCols() != columns for m in models)):
+        return None
+    trees = [t for m in models for t in _split_nodes(m)]
+    inner = [n for t in trees for n in t.values() if n["leftChild"] >= 0]
+    if any(n["numCategories"] != -1 for n in inner) or any(sum(n["leftChild"] < 0 for n in t.values()) > LEAF_BITS for t in trees):
+        return None
+    edges = {f: np.array(sorted({n["threshold"] for n in inner if n["featureIndex"] == f})) for f in sorted({n["featureIndex"] for n in inner})}
+    if any(f >= len(columns) for f in edges) or sum(len(e) + 1 for e in edges.values()) * len(trees) > BOX_WORDS:
+        return None
+    masks = {f: np.zeros((len(e) + 1, len(trees)), dtype=np.uint64) for f, e in edges.items()}
+    for k, tree in enumerate(trees):
+        number = 0
+        todo = [(0, {f: (0, len(e)) for f, e in edges.items()})]  # node, open intervals; leaves come from left to right
+        while todo:
+            at, box = todo.pop()
+            n = tree[at]
+            if n["leftChild"] < 0:
+                for f, (low, high) in box.items():
+                    masks[f][low:high + 1, k] |= np.uint64(1 << number)
+                number += 1
+                continue
+            f = n["featureIndex"]
+            place, (low, high) = int(np.searchsorted(edges[f], n["threshold"])), box[f]
+            todo.append((n["rightChild"], {**box, f: (max(low, place + 1), high)}))
+            todo.append((n["leftChild"], {**box, f: (low, min(high, place))}))
+    return before, _LeafBoxes(columns, edges, masks, len(trees))
+
+
 # ------------------------------------------------------------------ K3 / K4
 _DYN_SCHEMA = ("confidence double, aleatoric double, variability double, correctness double, "
                "entropy double, n_checkpoints long")
@@ -190,12 +279,13 @@ class _LeafArrays:
 
         ends = self.ends[:steps]
         last = int(ends[-1]) + 1
-        sums = np.cumsum(self.values[self.offsets[:last] + leaves[:, self.trees[:last]]], axis=1)[:, ends]
+        place = self.offsets[:last] + leaves[:, self.trees[:last]]
+        if kind == "mean":  # no other class counts
+            return np.cumsum(self.values[place, y[:, None]], axis=1)[:, ends] / (ends + 1)[None, :]
+        sums = np.cumsum(self.values[place], axis=1)[:, ends]
         if kind == "logit":
             return 1.0 / (1.0 + np.exp(-2.0 * (2 * y[:, None] - 1) * sums[:, :, 0]))
         mine = np.take_along_axis(sums, y[:, None, None], axis=2)[:, :, 0]
-        if kind == "mean":
-            return mine / (ends + 1)[None, :]
         return 1.0 / (1.0 + np.exp(-2.0 * mine)) / (1.0 / (1.0 + np.exp(-2.0 * sums))).sum(axis=2)
 
 
@@ -228,12 +318,13 @@ def _gold_by_join(rows: DataFrame, leaf: str, label: str, values: DataFrame, kin
     return out.withColumn("_g", folded).drop("_row", "_vs")
 
 
-def fold_leaves(rows: DataFrame, values: DataFrame, kind: str, leaf: str = "_lf", label: str = "y", include_last: bool = False,
+def fold_leaves(rows: DataFrame, values: DataFrame, kind: str, leaf: str | _LeafBoxes = "_lf", label: str = "y", include_last: bool = False,
                 history: bool = False, broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
     """``rows`` (without ``leaf``) and the dynamics of the gold probability over the steps of a leaf table; with ``history`` the
     probabilities themselves (``p``). The last step is left out unless ``include_last``.
 
-    ``rows`` holds a leaf index per tree (``leaf``) and the label; ``values`` is a table as ``leaf_values`` gives it."""
+    ``rows`` holds a leaf index per tree (``leaf``), or the columns from which ``leaf`` finds it, and the label; ``values`` is a
+    table as ``leaf_values`` gives it."""
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}; use one of {KINDS}")
     values = cut_lineage(values, "leaf-values")
@@ -241,42 +332,85 @@ def fold_leaves(rows: DataFrame, values: DataFrame, kind: str, leaf: str = "_lf"
     steps = size["steps"] - (0 if include_last else 1)
     if steps < 1:
         raise ValueError("need at least two trees (checkpoints stop at nest - 1)")
-    keep = [c for c in rows.columns if c != leaf]
+    context, boxes = rows.sparkSession.sparkContext, None
+    if isinstance(leaf, _LeafBoxes):
+        boxes, given = context.broadcast(leaf), [F.col(c).cast("double") for c in leaf.columns]
+        keep = rows.columns
+        if size["n"] > broadcast_leaves:
+            rows, leaf = rows.withColumn("_lf", _batch_udf(_box_batches(boxes), "array<int>")(*given)), "_lf"
+    else:
+        given, keep = [F.col(leaf)], [c for c in rows.columns if c != leaf]
     if size["n"] > broadcast_leaves:
         out = _gold_by_join(rows, leaf, label, values, kind).withColumn("_g", F.slice("_g", 1, steps))
         if history:
             return out.select(*keep, F.col("_g").alias("p"))
         return dyn.wide_dynamics(out.select(*keep, "_g"), "_g").select(*keep, *dyn.METRIC_COLUMNS, "n_checkpoints")
-    shared = rows.sparkSession.sparkContext.broadcast(_LeafArrays(values.collect()))  # at most ``broadcast_leaves`` numbers
+    shared = context.broadcast(_LeafArrays(values.collect()))  # at most ``broadcast_leaves`` numbers
+    udf = _batch_udf(_fold_batches(shared, kind, steps, history, boxes), "array<double>" if history else _DYN_SCHEMA)
+    out = rows.select(*keep, udf(*given, F.col(label)).alias("_d"))
+    return out.select(*keep, F.col("_d").alias("p")) if history else out.select(*keep, "_d.*")
+
+
+def _batch_udf(fn, schema: str):
     import warnings
 
     from pyspark.sql.functions import PandasUDFType, pandas_udf
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        udf = pandas_udf(_fold_batches(shared, kind, steps, history), "array<double>" if history else _DYN_SCHEMA, PandasUDFType.SCALAR)
-    out = rows.select(*keep, udf(F.col(leaf), F.col(label)).alias("_d"))
-    return out.select(*keep, F.col("_d").alias("p")) if history else out.select(*keep, "_d.*")
+        return pandas_udf(fn, schema, PandasUDFType.SCALAR)
+
+
+def _box_batches(boxes):
+    import numpy as np
+    import pandas as pd
+
+    def fn(*columns):
+        return pd.Series(list(boxes.value.leaves([c.to_numpy(dtype=np.float64) for c in columns]).astype(np.int32)), dtype=object)
+
+    return fn
+
 
+FOLD_ROWS = 1024  # rows folded at once, so that their numbers stay in a core's cache
 
-def _fold_batches(shared, kind: str, steps: int, history: bool):
+
+def _fold_batches(shared, kind: str, steps: int, history: bool, boxes=None):
     import numpy as np
     import pandas as pd
 
-    def fn(leaf, y):  # (pd.Series of arrays, pd.Series) -> pd.DataFrame or pd.Series of arrays
-        n = len(leaf)
+    names = [c.split()[0] for c in _DYN_SCHEMA.split(", ")]
+
+    def fn(*columns):  # (leaves or features..., labels) -> pd.DataFrame or pd.Series of arrays
+        n = len(columns[-1])
         if n == 0:
-            return pd.Series([], dtype=object) if history else pd.DataFrame({c.split()[0]: [] for c in _DYN_SCHEMA.split(", ")})
-        g = shared.value.gold(np.stack(leaf.to_numpy()).astype(np.int64), y.to_numpy().astype(np.int64), kind, steps)
+            return pd.Series([], dtype=object) if history else pd.DataFrame({c: [] for c in names})
+        y = columns[-1].to_numpy().astype(np.int64)
+        if boxes is None:
+            leaf = np.stack(columns[0].to_numpy()).astype(np.int64)
+        else:
+            x = [c.to_numpy(dtype=np.float64) for c in columns[:-1]]
+        parts = []
+        for s in range(0, n, FOLD_ROWS):
+            at = slice(s, min(n, s + FOLD_ROWS))
+            g = shared.value.gold(leaf[at] if boxes is None else boxes.value.leaves([v[at] for v in x]), y[at], kind, steps)
+            parts.append(list(g) if history else (g.mean(axis=1), (g * (1 - g)).mean(axis=1), g.std(axis=1), (g > 0.5).mean(axis=1),
+                                                  -(g * np.log(g + dyn.EPS)).sum(axis=1), np.full(len(g), g.shape[1], dtype=np.int64)))
         if history:
-            return pd.Series(list(g))
-        return pd.DataFrame({
-            "confidence": g.mean(axis=1), "aleatoric": (g * (1 - g)).mean(axis=1), "variability": g.std(axis=1),
-            "correctness": (g > 0.5).mean(axis=1), "entropy": -(g * np.log(g + dyn.EPS)).sum(axis=1),
-            "n_checkpoints": np.full(n, g.shape[1], dtype=np.int64)})
+            return pd.Series([row for part in parts for row in part])
+        return pd.DataFrame({c: np.concatenate(found) for c, found in zip(names, zip(*parts, strict=True), strict=True)})
 
     return fn
 
 
+def _fold_model(model, df: DataFrame, label: str, include_last: bool, history: bool = False) -> DataFrame:
+    found = leaf_boxes(model)
+    if found is None:
+        return fold_leaves(with_leaves(model, df), leaf_values(model), ensemble_kind(model), "_lf", label, include_last, history)
+    before, boxes = found
+    rows = PipelineModel(before).transform(df) if before else df
+    out = fold_leaves(rows, leaf_values(model), ensemble_kind(model), boxes, label, include_last, history)
+    return drop_bins(out) if before else out
+
+
 def staged_dynamics(model, df: DataFrame, label: str = "y", include_last: bool = False, engine: str = "numpy") -> DataFrame:
     """Per-row dynamics over checkpoints i = 1..nest-1 (or nest) in one pass.
 
@@ -288,7 +422,7 @@ def staged_dynamics(model, df: DataFrame, label: str = "y", include_last: bool =
     """
     if engine == "sql":
         return _dynamics_in_sql(model, df, label, include_last)
-    return fold_leaves(with_leaves(model, df), leaf_values(model), ensemble_kind(model), "_lf", label, include_last)
+    return _fold_model(model, df, label, include_last)
 
 
 def _dynamics_in_sql(model, df: DataFrame, label: str, include_last: bool) -> DataFrame:
@@ -323,7 +457,7 @@ def _dynamics_in_sql(model, df: DataFrame, label: str, include_last: bool) -> Da
 
 def staged_probabilities(model, df: DataFrame, label: str = "y", include_last: bool = False) -> DataFrame:
     """K8 accessor: the gold-label history as ``p ARRAY<DOUBLE>``."""
-    return fold_leaves(with_leaves(model, df), leaf_values(model), ensemble_kind(model), "_lf", label, include_last, history=True)
+    return _fold_model(model, df, label, include_last, history=True)
 
 
 # ------------------------------------------------------------------ K5

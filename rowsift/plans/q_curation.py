@@ -201,7 +201,7 @@ def k4_forest_staging(spark, sf):
     f1 = fx.labelled(spark, sf)
     trusted = sampling.stratified_sample(f1.where("flip = 0"), "y", 200, "rid")
     m = staging.fit_forest(trusted, fx.FEATURES, "y")
-    d = staging.staged_dynamics(m, f1, "y")
+    d = cut_lineage(staging.staged_dynamics(m, f1, "y").select("y", *dyn.METRIC_COLUMNS), "forest-dynamics")  # read twice
     return dyn.assign_groups(dyn.add_mi(d, []), by=[]).groupBy("grp").agg(F.count("*").alias("n_rows"))
 
 

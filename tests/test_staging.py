@@ -71,3 +71,27 @@ def test_errors(spark):
     with pytest.raises(ValueError):
         staging.fold_leaves(rows, values, "other")
     assert staging.fold_leaves(rows, values, "logit", include_last=True, history=True).first()["p"] == [pytest.approx(1 / (1 + 2.718281828459045**-1))]
+
+
+def test_leaf_boxes_find_the_leaves_of_the_trees(spark):
+    """On rows with missing cells and cells on a threshold; the fold of a model uses no leaf array."""
+    f1 = fx.labelled(spark, SF_TINY).dropDuplicates(["rid"])
+    model = staging.fit_forest(f1.where("flip = 0").limit(400), fx.FEATURES, "y", nest=9, max_depth=6)
+    before, boxes = staging.leaf_boxes(model)
+    cells = [F.when(F.rand(5 + k) < 0.2, F.lit(None)).when(F.rand(9 + k) < 0.3, F.lit(float(boxes.edges[k][0]))).otherwise(F.col(c)).alias(c) for k, c in enumerate(fx.FEATURES)]
+    rows = f1.select("rid", "y", *cells).localCheckpoint()
+    given = staging.with_leaves(model, rows).select(*fx.FEATURES, "_lf").toPandas()
+    found = boxes.leaves([given[c].to_numpy(dtype=float) for c in fx.FEATURES])
+    assert before == [] and (found == [list(v) for v in given["_lf"]]).all() and len(set(map(tuple, found))) > 5
+    folded = staging.staged_dynamics(model, rows)
+    assert "UDF(_features" not in folded._jdf.queryExecution().toString()
+    want = staging.fold_leaves(staging.with_leaves(model, rows), staging.leaf_values(model), "mean")
+    assert folded.exceptAll(want).count() == 0 and folded.count() == want.count()
+
+
+def test_deep_trees_keep_the_leaf_arrays(spark, monkeypatch):
+    monkeypatch.setattr(staging, "LEAF_BITS", 4)
+    rows = spark.createDataFrame([(float(i), int(i * 7919 % 13 > 5)) for i in range(600)], "x double, y int")
+    model = staging.fit_forest(rows, ["x"], "y", nest=3, max_depth=9)
+    assert staging.leaf_boxes(model) is None
+    assert staging.staged_dynamics(model, rows).count() == 600
