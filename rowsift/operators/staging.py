@@ -468,17 +468,15 @@ def epoch_refit_history(train: DataFrame, check: DataFrame, features: Sequence[s
 
     Returns the long table ``(keys..., label, checkpoint, p)`` for ``dynamics_groups``.
     """
-    parts = []
+    train = written_train(train, features, label)
+    scored = _assembler(features).transform(check.select(*dict.fromkeys([*keys, label, *features])))
     for i, e in enumerate(epochs, start=1):
-        lr = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=int(e))
-        m = without_summary(Pipeline(stages=[_assembler(features), lr]).fit(train))
-        pr = m.transform(check).select(*keys, label, vector_to_array("probability").alias("_pr"))
-        parts.append(pr.select(*keys, label, F.lit(i).alias("checkpoint"),
-                               dyn.gold_probability(F.col("_pr"), F.col(label)).alias("p")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        lr = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=int(e), probabilityCol=f"_pr{i}",
+                                rawPredictionCol=f"_raw{i}", predictionCol=f"_label{i}")
+        fitted = without_summary(Pipeline(stages=[_assembler(features), lr]).fit(train))
+        scored = fitted.stages[-1].transform(scored)
+    gold = F.array(*[dyn.gold_probability(vector_to_array(f"_pr{i}"), F.col(label)) for i in range(1, len(epochs) + 1)])
+    return dyn.explode_history(scored.select(*keys, label, gold.alias("p")))  # one pass over the rows for all epochs
 
 
 # ------------------------------------------------------------------ K18 / K20

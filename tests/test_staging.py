@@ -95,3 +95,20 @@ def test_deep_trees_keep_the_leaf_arrays(spark, monkeypatch):
     model = staging.fit_forest(rows, ["x"], "y", nest=3, max_depth=9)
     assert staging.leaf_boxes(model) is None
     assert staging.staged_dynamics(model, rows).count() == 600
+
+
+def test_epochs_read_the_rows_once(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+    (fx.labelled(spark, SF_TINY).dropDuplicates(["rid"]).write.parquet(f"{tmp_path}/rows"))
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    train = rows.where("flip = 0 AND crc32(rid) % 5 = 0")
+    long = staging.epoch_refit_history(train, rows, fx.FEATURES, "y", epochs=(1, 3))
+    assert long._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert long.columns == ["rid", "y", "checkpoint", "p"] and long.count() == 2 * rows.count()
+    for i, e in ((1, 1), (2, 3)):
+        lr = LogisticRegression(featuresCol="_features", labelCol="y", maxIter=e)
+        one = Pipeline(stages=[staging._assembler(fx.FEATURES), lr]).fit(train).transform(rows)
+        want = one.select("rid", F.get(vector_to_array("probability"), F.col("y")).alias("q")).join(long.where(F.col("checkpoint") == i), "rid")
+        assert want.count() == rows.count() and want.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-9
