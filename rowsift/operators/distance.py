@@ -38,9 +38,10 @@ def dist(a: Column, b: Column) -> Column:
     return F.sqrt(sq_dist(a, b))
 
 
-QUERY_BLOCK_ROWS = 8192
-TILE = 4_000_000  # pairs of a tile
-RUN = 64  # columns of a tile whose minimum is taken at once
+QUERY_BLOCK_ROWS = 16384
+BUCKET_ROWS = 16384
+TILE = 1_000_000  # pairs of a tile
+RUN = 32  # columns of a tile whose minimum is taken at once
 
 
 def _exact(Q, R, qi, ri):
@@ -54,6 +55,48 @@ def _exact(Q, R, qi, ri):
     return out
 
 
+def _near_pairs(Q, R, kk: int):
+    """Per tile of queries (first row, query places in the tile, reference places): a superset of each query's kk nearest
+    references with every tie at the kk-th place.
+
+    Squared distances (less the query's own norm) come from a product of single-precision matrices, centred at the
+    references. Its rounding error is bounded by `slack`; the kk-th smallest of the minima of disjoint runs of
+    references is no smaller than the kk-th distance, so only runs whose minimum reaches it are looked into."""
+    import numpy as np
+
+    center = R.mean(axis=0)
+    q, r = Q - center, R - center
+    qn, rn = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", r, r)
+    largest = rn.max()
+    single = max(largest, qn.max()) < 1e30
+    kind, eps = (np.float32, 2.0 ** -24) if single else (np.float64, 2.0 ** -53)
+    slack = 4 * (Q.shape[1] + 8) * eps * (qn + largest)
+    if single:
+        slack += 1e-30  # products below the smallest normal number
+    runs = -(-len(R) // RUN)
+    right = np.zeros((Q.shape[1] + 1, runs * RUN), dtype=kind)
+    right[:-1, :len(R)] = r.T
+    right[-1, :len(R)], right[-1, len(R):] = rn, np.inf
+    left = np.ones((len(Q), Q.shape[1] + 1), dtype=kind)
+    left[:, :-1] = q
+    left[:, :-1] *= -2
+    step, inside = max(1, TILE // right.shape[1]), np.arange(RUN) * runs
+    for s in range(0, len(Q), step):
+        sq = left[s:s + step] @ right
+        least = sq.reshape(len(sq), RUN, runs).min(axis=1)  # a run: columns run, run + runs, ...
+        reach = np.full(len(sq), np.inf)
+        if kk <= runs:
+            reach = np.partition(least, kk - 1, axis=1)[:, kk - 1].astype(np.float64) + 2 * slack[s:s + step]
+        qi, run = np.nonzero(least <= reach[:, None])
+        piece = max(1, TILE // RUN)
+        found = []
+        for t in range(0, len(qi), piece):
+            rows, cols = qi[t:t + piece, None], run[t:t + piece, None] + inside
+            at, j = np.nonzero((sq[rows, cols] <= reach[rows]) & (cols < len(R)))
+            found.append((rows[at, 0], cols[at, j]))
+        yield s, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def _block_kernel(mode: str, k: int, exclude_self: bool):
     """numpy kernel for one (cell, sub, query-block) group: exact distances of the block's
     queries to the cell's reference rows; emits per-query top-k ('knn') or, per query, the number of
@@ -64,21 +107,44 @@ def _block_kernel(mode: str, k: int, exclude_self: bool):
     import numpy as np
     import pandas as pd
 
+    def nearest(Q, R, qid, rid, id_rank, qcode, rcode):
+        finite_q, finite_r = (np.flatnonzero(np.isfinite(np.einsum("ij,ij->i", x, x))) for x in (Q, R))  # others are near nothing
+        kk = k
+        if exclude_self and len(finite_r):
+            kk += int(np.unique(rcode[finite_r], return_counts=True)[1].max())  # rows of the query's own id are dropped below
+        oq, orr, od = [qid[:0]], [rid[:0]], [np.zeros(0)]
+        if len(finite_q) and len(finite_r):
+            for s, qi, ri in _near_pairs(Q[finite_q], R[finite_r], kk):
+                qi, ri = finite_q[s + qi], finite_r[ri]
+                if exclude_self:
+                    other = qcode[qi] != rcode[ri]
+                    qi, ri = qi[other], ri[other]
+                d = _exact(Q, R, qi, ri)
+                order = np.lexsort((id_rank[ri], d, qi))
+                qi, ri, d = qi[order], ri[order], d[order]
+                keep = np.arange(len(qi)) - np.searchsorted(qi, qi, "left") < k
+                oq.append(qid[qi[keep]])
+                orr.append(rid[ri[keep]])
+                od.append(d[keep])
+        return pd.DataFrame({"_qid": np.concatenate(oq), "_rid": np.concatenate(orr), "d": np.concatenate(od)})
+
     def fn(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(rpdf) == 0:
             return pd.DataFrame({"_qid": qpdf["_qid"].iloc[:0], "_rid": rpdf["_rid"].iloc[:0], "d": np.zeros(0)})
         Q = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
         R = np.stack(rpdf["_rv"].to_numpy()).astype(np.float64)
         qid, rid = qpdf["_qid"].to_numpy(), rpdf["_rid"].to_numpy()
-        rad = rpdf["_rad"].to_numpy().astype(np.float64) if mode == "range" else None
         id_rank = np.unique(rid, return_inverse=True)[1]  # ties in distance go to the smaller id
         qcode, rcode = qid, rid
         if qid.dtype == object or rid.dtype == object:
             codes = pd.factorize(np.concatenate([qid.astype(object), rid.astype(object)]))[0]
             qcode, rcode = codes[:len(qid)], codes[len(qid):]
+        if mode != "range":
+            return nearest(Q, R, qid, rid, id_rank, qcode, rcode)
+        rad = rpdf["_rad"].to_numpy().astype(np.float64)
         qn, rn = np.einsum("ij,ij->i", Q, Q), np.einsum("ij,ij->i", R, R)
         slack = 1e-14 * (Q.shape[1] + 4) * (qn + np.nanmax(rn))
-        oq, orr, od = [], [], []
+        oq, od = [], []
         step = max(1, TILE // R.shape[0])
         for s in range(0, Q.shape[0], step):
             part = Q[s:s + step]
@@ -86,60 +152,104 @@ def _block_kernel(mode: str, k: int, exclude_self: bool):
             sq *= -2
             sq += qn[s:s + step, None]
             sq += rn[None, :]
-            near = slack[s:s + step, None]
             if exclude_self:
                 sq[qcode[s:s + step, None] == rcode[None, :]] = np.inf
-            if mode == "range":
-                gap = sq - rad * rad
-                qi, ri = np.nonzero(np.abs(gap) <= near + 1e-14 * rad * rad)
-                gap[qi, ri] = np.where(_exact(part, R, qi, ri) < rad[ri], -1.0, 1.0)
-                hits = (gap < 0).sum(axis=1)
-                oq.append(qid[s:s + step])
-                orr.append(rid[:0])
-                od.append(hits.astype(np.float64))
-            else:
-                kk = min(k, sq.shape[1])
-                low = sq
-                if sq.shape[1] >= 4 * RUN * kk:  # the k-th smallest of the runs' minima is no smaller than the k-th distance
-                    low = np.minimum.reduceat(sq, np.arange(0, sq.shape[1], RUN), axis=1)
-                kth = np.partition(low, kk - 1, axis=1)[:, kk - 1]
-                qi, ri = np.nonzero((sq <= kth[:, None] + 2 * near) & np.isfinite(sq))  # with every tie at the k-th place
-                d = _exact(part, R, qi, ri)
-                order = np.lexsort((id_rank[ri], d, qi))
-                qi, ri, d = qi[order], ri[order], d[order]
-                first = np.searchsorted(qi, qi, "left")
-                keep = np.arange(len(qi)) - first < k
-                qi, ri = qi[keep], ri[keep]
-                oq.append(qid[s + qi])
-                orr.append(rid[ri])
-                od.append(d[keep])
-        if mode == "range":
-            return pd.DataFrame({"_qid": np.concatenate(oq), "_rid": pd.Series([None] * sum(map(len, oq)), dtype=object), "d": np.concatenate(od)})
-        return pd.DataFrame({"_qid": np.concatenate(oq), "_rid": np.concatenate(orr), "d": np.concatenate(od)})
+            gap = sq - rad * rad
+            qi, ri = np.nonzero(np.abs(gap) <= slack[s:s + step, None] + 1e-14 * rad * rad)
+            gap[qi, ri] = np.where(_exact(part, R, qi, ri) < rad[ri], -1.0, 1.0)
+            oq.append(qid[s:s + step])
+            od.append((gap < 0).sum(axis=1).astype(np.float64))
+        return pd.DataFrame({"_qid": np.concatenate(oq), "_rid": pd.Series([None] * sum(map(len, oq)), dtype=object), "d": np.concatenate(od)})
 
     return fn
 
 
-def _pivot_distances(pivots: list):
-    """Distances to every pivot per vector; null for a vector that is null, of another length or holds no number."""
+PIVOT_NUMBERS = 65_536  # differences held at once, so that they stay in a core's cache
+
+
+def _to_pivots(pivots):
+    """Batches of vectors -> (place of the first, distances to every pivot; NaN for a vector that is null, of another length or holds no number)."""
     import numpy as np
-    import pandas as pd
 
     P = np.array(pivots, dtype=np.float64)
+    step = max(1, PIVOT_NUMBERS // max(1, P.size))
 
     def fn(v):
-        out = []
-        for s in range(0, len(v), 256):
-            rows = [x if x is not None and len(x) == P.shape[1] else None for x in v.iloc[s:s + 256]]
+        for s in range(0, len(v), step):
+            rows = [x if x is not None and len(x) == P.shape[1] else None for x in v.iloc[s:s + step]]
             whole = np.stack([np.full(P.shape[1], np.nan) if x is None else np.asarray(x, dtype=np.float64) for x in rows])
             diff = whole[:, None, :] - P[None, :, :]
             found = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-            out.extend(None if np.isnan(r).any() else r for r in found)
+            found[np.isnan(found).any(axis=1)] = np.nan
+            yield s, found
+
+    return fn
+
+
+def _pivot_distances(pivots: list):
+    """Distances to every pivot per vector; null for a vector without them."""
+    import numpy as np
+    import pandas as pd
+
+    distances = _to_pivots(pivots)
+
+    def fn(v):
+        return pd.Series([None if np.isnan(r[0]) else r for _, found in distances(v) for r in found], dtype=object)
+
+    return fn
+
+
+def _nearest_pivot(pivots: list):
+    """(distance to the nearest pivot, its place) per vector; null for a vector without distances."""
+    import numpy as np
+    import pandas as pd
+
+    distances = _to_pivots(pivots)
+
+    def fn(v):
+        far, cell = np.full(len(v), np.nan), np.full(len(v), -1)
+        for s, found in distances(v):
+            whole = ~np.isnan(found[:, 0])
+            cell[s:s + len(found)][whole] = found[whole].argmin(axis=1)
+            far[s:s + len(found)] = found.min(axis=1)
+        cell = pd.arrays.IntegerArray(cell.astype(np.int32), cell < 0)
+        return pd.DataFrame({"_pdist": far, "_cell": pd.Series(cell)})  # NaN becomes null
+
+    return fn
+
+
+def _cells_in_reach(pivots: list, counts: list, radii: list, need: int):
+    """The cells that can hold one of the ``need`` nearest rows of a vector; none for a vector without distances."""
+    import numpy as np
+    import pandas as pd
+
+    distances, n, R = _to_pivots(pivots), np.array(counts), np.array(radii)
+    held = n > 0
+
+    def fn(v):
+        out = []
+        for _, found in distances(v):
+            far = np.where(held, found + R, np.inf)
+            order = np.argsort(far, axis=1, kind="stable")
+            enough = np.cumsum(n[order], axis=1) >= need
+            at = np.take_along_axis(far, np.take_along_axis(order, enough.argmax(axis=1)[:, None], axis=1), axis=1)[:, 0]
+            bound = np.where(enough.any(axis=1), at, np.inf)
+            open_cells = held & (found - R <= bound[:, None])  # NaN: none
+            out.extend(np.flatnonzero(row).astype(np.int32) for row in open_cells)
         return pd.Series(out, dtype=object)
 
     return fn
 
 
+def _vector_udf(fn, schema: str):
+    import warnings
+
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return pandas_udf(fn, schema, PandasUDFType.SCALAR)
+
+
 def _block_pairs(cand: DataFrame, refp: DataFrame, mode: str, k: int = 0, exclude_self: bool = False) -> DataFrame:
     """Route candidate (query, cell, sub) rows and reference (cell, sub) rows into bounded groups
     (query blocks of <= QUERY_BLOCK_ROWS per cell-sub; the cell's reference rows are repeated per
@@ -162,7 +272,7 @@ class PivotIndex:
     """Cells over a reference table; pivot vectors and per-cell stats are small literals."""
 
     def __init__(self, ref: DataFrame, id_col: str, vec: str, n_pivots: int | None = None,
-                 seed: int = 7, bucket_rows: int = 8192, extra_max: str | None = None):
+                 seed: int = 7, bucket_rows: int = BUCKET_ROWS, extra_max: str | None = None):
         self.id_col, self.vec = id_col, vec
         n = self.n_rows = ref.count()
         m = n_pivots or max(1, min(256, int(math.sqrt(max(n, 1)) // 2) or 1))
@@ -171,7 +281,12 @@ class PivotIndex:
         self.pivots = [list(map(float, r["_pv"])) for r in piv]
         self.m = len(self.pivots)
         self._plit = const_array(self.pivots, "array<double>")
-        cells = cut_lineage(self.assign(ref).drop("_pd"), "pivot-cells")
+        if self.pivots:
+            near = _vector_udf(_nearest_pivot(self.pivots), "_pdist double, _cell int")
+            assigned = ref.withColumn("_near", near(F.col(vec).cast("array<double>"))).select(*ref.columns, "_near._pdist", "_near._cell")
+        else:
+            assigned = self.assign(ref).drop("_pd")
+        cells = cut_lineage(assigned, "pivot-cells")
         aggs = [F.count("*").alias("n"), F.max("_pdist").alias("R")]
         if extra_max:
             aggs.append(F.max(extra_max).alias("X"))
@@ -188,12 +303,7 @@ class PivotIndex:
     def assign(self, df: DataFrame) -> DataFrame:
         v = F.col(self.vec)
         if self.pivots:
-            import warnings
-
-            from pyspark.sql.functions import PandasUDFType, pandas_udf
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                distances = pandas_udf(_pivot_distances(self.pivots), "array<double>", PandasUDFType.SCALAR)
+            distances = _vector_udf(_pivot_distances(self.pivots), "array<double>")
             out = df.withColumn("_pd", distances(v.cast("array<double>")))
         else:
             out = df.withColumn("_pd", F.transform(self._plit, lambda p: dist(p, v)))
@@ -205,30 +315,19 @@ class PivotIndex:
         return (const_array(self.n_c, "bigint"), const_array(self.R_c), const_array(self.X_c),
                 const_array(self.subs, "int"))
 
-    def explode_candidates(self, q: DataFrame, bound: Column) -> DataFrame:
-        """Explode query rows (which carry ``_pd``) over cells whose lower bound <= ``bound``
+    def explode_candidates(self, q: DataFrame, need: int) -> DataFrame:
+        """Explode query rows over the cells that can hold one of their ``need`` nearest rows
         and over each candidate cell's sub-buckets."""
-        n_lit, r_lit, _, s_lit = self._lits()
-        cells = F.filter(F.sequence(F.lit(0), F.lit(self.m - 1)),
-                         lambda c: (F.element_at(n_lit, c + 1) > 0)
-                         & (F.element_at(F.col("_pd"), c + 1) - F.element_at(r_lit, c + 1) <= bound))
-        out = cut_lineage(q.withColumn("_cells", cells).drop("_pd"), "query-cells").withColumn("_qcell", F.explode("_cells"))
+        s_lit = self._lits()[3]
+        v = F.col(self.vec).cast("array<double>")
+        if self.pivots:
+            cells = _vector_udf(_cells_in_reach(self.pivots, self.n_c, self.R_c, need), "array<int>")(v)
+        else:
+            cells = F.array().cast("array<int>")
+        out = cut_lineage(q.withColumn("_cells", cells), "query-cells").withColumn("_qcell", F.explode("_cells"))
         out = out.withColumn("_qsub", F.explode(F.sequence(F.lit(0), F.element_at(s_lit, F.col("_qcell") + 1) - 1)))
         return out
 
-    def knn_bound(self, k: int) -> Column:
-        """Upper bound on the k-th neighbour distance of a query row (needs ``_pd``)."""
-        n_lit, r_lit, _, _ = self._lits()
-        ub = F.transform(F.sequence(F.lit(0), F.lit(self.m - 1)),
-                         lambda c: F.struct((F.element_at(F.col("_pd"), c + 1) + F.element_at(r_lit, c + 1)).alias("u"),
-                                            F.element_at(n_lit, c + 1).alias("n")))
-        srt = F.array_sort(F.filter(ub, lambda s: s["n"] > 0))
-        acc = F.aggregate(srt, F.struct(F.lit(0).cast("long").alias("cnt"), F.lit(None).cast("double").alias("b")),
-                          lambda a, s: F.struct((a["cnt"] + s["n"]).alias("cnt"),
-                                                F.when(a["b"].isNull() & (a["cnt"] + s["n"] >= k), s["u"])
-                                                 .otherwise(a["b"]).alias("b")))
-        return F.coalesce(acc["b"], F.lit(float("inf")))
-
 
 def knn(query: DataFrame, ref: DataFrame | None, k: int, q_id: str, r_id: str, vec: str = "embedding",
         exclude_self: bool = False, index: PivotIndex | None = None, n_pivots: int | None = None) -> DataFrame:
@@ -239,9 +338,8 @@ def knn(query: DataFrame, ref: DataFrame | None, k: int, q_id: str, r_id: str, v
     """
     idx = index or PivotIndex(ref, r_id, vec, n_pivots=n_pivots)
     need = k + 1 if exclude_self else k
-    qa = idx.assign(query.select(F.col(q_id).alias("_qid"), F.col(vec).alias(idx.vec)))
-    qa = qa.withColumn("_ub", idx.knn_bound(need))
-    cand = idx.explode_candidates(qa, F.col("_ub")).select("_qid", F.col(idx.vec).alias("_qv"), "_qcell", "_qsub")
+    qa = query.select(F.col(q_id).alias("_qid"), F.col(vec).alias(idx.vec))
+    cand = idx.explode_candidates(qa, need).select("_qid", F.col(idx.vec).alias("_qv"), "_qcell", "_qsub")
     refp = idx.ref.select(F.col(idx.id_col).alias("_rid"), F.col(idx.vec).alias("_rv"), "_cell", "_sub")
     pairs = _block_pairs(cand, refp, "knn", k=k, exclude_self=exclude_self)
     w = Window.partitionBy("_qid").orderBy("d", "_rid")

@@ -96,3 +96,32 @@ def test_landed_files_are_bounded(spark, tmp_path, monkeypatch):
     folder, files = q_stream._landing(spark, str(tmp_path))
     assert files == 4  # 20 completions of 1,390 bytes in eight arrivals
     assert spark.read.parquet(folder).count() == 20
+
+
+def test_near_pairs_hold_every_tie():
+    """Far from the origin, with copies, unlike sizes and a reference that is no number; runs of any length."""
+    import pandas as pd
+    rng = np.random.default_rng(7)
+    r = rng.normal(size=(2000, 6))
+    r[500:560] = r[0]  # copies
+    r = r + np.array([0, 0, 0, 0, 0, 3e3])
+    q = np.concatenate([r[:50], rng.normal(size=(30, 6)) * 1e-3 + r[7]])
+    bad = r.copy()
+    bad[1] = np.nan
+    for refs, k in ((r, 5), (bad, 5), (r[:3], 5)):
+        got = dst._block_kernel("knn", k, True)(pd.DataFrame({"_qid": np.arange(len(q)), "_qv": list(q)}),
+                                                pd.DataFrame({"_rid": np.arange(len(refs)), "_rv": list(refs)}))
+        d = np.sqrt(((q[:, None] - refs[None]) ** 2).sum(-1))
+        for i in range(len(q)):
+            want = sorted((x, n) for n, x in enumerate(d[i]) if n != i and np.isfinite(x))[:k]
+            mine = got[got._qid == i]
+            assert [(n, pytest.approx(x)) for x, n in want] == list(zip(mine["_rid"], mine["d"]))
+
+
+def test_odd_vectors_take_no_part(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)] + [(100, None), (101, [1.0]), (102, [float("nan"), 0.0])], "id long, x array<double>")
+    idx = dst.PivotIndex(rows.where("id < 40"), "id", "x", n_pivots=3)
+    got = {r["id"]: (r["nb"], r["d"]) for r in dst.knn(rows, None, 1, "id", "nb", "x", exclude_self=True, index=idx).collect()}
+    assert got == {i: (i - 1 if i else 1, 1.0) for i in range(40)}
+    near = dst._nearest_pivot([[0.0, 0.0], [3.0, 4.0]])(rows.select("x").toPandas()["x"])
+    assert near["_cell"].isna().sum() == 3 and near["_pdist"].isna().sum() == 3 and near["_cell"][0] == 0 and near["_cell"][5] == 1
