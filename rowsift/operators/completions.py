@@ -127,10 +127,10 @@ def parse_completions(df: DataFrame, text: str = "text", policy: str = "completi
         raise ValueError("policy must be 'completion' or 'per_fragment'")
     keep = [c for c in df.columns if c != text]
     parsed = F.transform(fragments(F.col(text)), lambda f: F.struct(f.alias("frag"), F.try_parse_json(f).alias("v")))
-    d = df.select(*keep, parsed.alias("_p"))
     if policy == "completion":
-        d = d.where(F.forall("_p", lambda s: s["v"].isNotNull()))
-    ex = d.select(*keep, F.posexplode("_p").alias("frag_pos", "_s"))
+        parsed = bound(parsed, lambda p: F.when(F.forall(p, lambda s: s["v"].isNotNull()), p))
+    # outer: for a plain explode Spark would compute the array again in filters on its size; the rows of empty arrays go below
+    ex = df.select(*keep, F.posexplode_outer(parsed).alias("frag_pos", "_s"))
     ex = ex.select(*keep, "frag_pos", F.col("_s.frag").alias("frag"), F.col("_s.v").alias("_v"))
     return ex.where(F.col("_v").isNotNull())
 
@@ -140,27 +140,48 @@ def _path(name: str) -> str:
     return "$['" + name.replace("'", "\\'") + "']"
 
 
-def cell_kind(v: Column, name: str) -> Column:
-    """string / number / bool / array / object / null / missing."""
-    k = F.upper(F.schema_of_variant(F.variant_get(v, _path(name), "variant")))
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` computed once: Spark would repeat its expression at every place of ``f`` that names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _kind_of(k: Column) -> Column:
     return (F.when(k.isNull(), "missing").when(k == "VOID", "null").when(k == "STRING", "string")
              .when(k == "BOOLEAN", "bool").when(k.startswith("ARRAY"), "array")
              .when(k.startswith("OBJECT"), "object").otherwise("number"))
 
 
+def _text_of(c: Column, k: Column) -> Column:
+    is_float = k.startswith("DECIMAL") | k.isin("DOUBLE", "FLOAT")
+    return F.when(is_float, F.try_variant_get(c, "$", "double").cast("string")).otherwise(F.variant_get(c, "$", "string"))
+
+
+def _with_type(v: Column, name: str, f: Callable[[Column, Column], Column]) -> Column:
+    """``f(cell, upper-case type of the cell)``, both computed once."""
+    return bound(F.variant_get(v, _path(name), "variant"), lambda c: bound(F.upper(F.schema_of_variant(c)), lambda k: f(c, k)))
+
+
+def cell_kind(v: Column, name: str) -> Column:
+    """string / number / bool / array / object / null / missing."""
+    return _with_type(v, name, lambda _, k: _kind_of(k))
+
+
 def cell_text(v: Column, name: str) -> Column:
     """Text of a cell as Python would print the parsed value: integers as written,
     any number with a fraction / exponent as a float (``261347.00`` -> ``261347.0``)."""
-    k = F.upper(F.schema_of_variant(F.variant_get(v, _path(name), "variant")))
-    is_float = k.startswith("DECIMAL") | k.isin("DOUBLE", "FLOAT")
-    return F.when(is_float, F.try_variant_get(v, _path(name), "double").cast("string")).otherwise(
-        F.variant_get(v, _path(name), "string"))
+    return _with_type(v, name, _text_of)
 
 
 def cell_double(v: Column, name: str) -> Column:
     return F.try_variant_get(v, _path(name), "double")
 
 
+def cell(v: Column, name: str) -> Column:
+    """``kind``, ``text`` and ``num`` of a cell as a struct, from one look into the variant."""
+    return _with_type(v, name, lambda c, k: F.struct(_kind_of(k).alias("kind"), _text_of(c, k).alias("text"),
+                                                     F.try_variant_get(c, "$", "double").alias("num")))
+
+
 # ------------------------------------------------------------------ G7
 def to_columns(parsed: DataFrame, columns: Sequence[str], keep: Sequence[str] = COMPLETION_KEYS + ("frag_pos",),
                v: str = "_v") -> DataFrame:

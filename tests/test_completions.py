@@ -91,3 +91,14 @@ def test_deep_dive(spark):
     assert [tuple(r) for r in got] == [("c", "90.0+-nan", 5, 5, 5, 5), ("b", "6.0+-0.0", 1, 3, 2, 4)]
     got = deep_dive(spark.createDataFrame(rows, "seed int, subgroup string, n_orig int, n_gen int, gain double"), k=9).collect()
     assert tuple(got[2]) == ("a", "50.0+-0.0", 10, 99, 1, 1)
+
+
+def test_cells_and_fragments_are_computed_once(spark):
+    """The plan names each parse and each cell's type once, whatever is asked of them, and rejects only what doesn't convert."""
+    texts = ['{"a": 1, "b": "2.5", "c": "x"} {"a": "7", "b": null}', '{"a": true, "b": [1]}', "none", '{"a": "no", "b": 1}', '{"a": {"k": 1}, "b": false, "c": 1.50}']
+    good, bad = cl.conform(_parsed(spark, texts), SCHEMA, int_strings="coerce", keep=["choice", "frag_pos"])
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("parseJson") == 1
+    assert plan.count("schemaOfVariant(") <= 1 + len(SCHEMA.fields)  # the list test and one per cell
+    assert sorted(map(tuple, good.collect())) == [(0, 0, 1, 2.5, "x"), (0, 1, 7, None, None)]
+    assert sorted(map(tuple, bad.collect())) == [(3, 0, "a"), (4, 0, "a")]
