@@ -134,18 +134,32 @@ def random_split(df: DataFrame, key: str, test_size: float = 0.5, seed=42, exact
         hh = F.substring(h(key, seed), 1, 8)
         cut = hex_threshold(1 - test_size)
         return df.where(hh < cut), df.where(hh >= cut)
-    ranked, n = hash_rank_n(df, key, seed, "_idx")
-    n_test = math.ceil(test_size * n)
-    return (ranked.where(F.col("_idx") < n - n_test).drop("_idx"),
-            ranked.where(F.col("_idx") >= n - n_test).drop("_idx"))
+    split = _with_part(df, key, test_size, seed)
+    return split.where("_first").drop("_first"), split.where("NOT _first").drop("_first")
+
+
+def _with_part(df: DataFrame, key: str, test_size: float, seed) -> DataFrame:
+    """``_first``: whether the rank by (h(key, seed), key) is below n - ceil(test_size * n). The hash bucket says it for
+    all buckets but the one that holds this rank; only that one is ranked, and no other row is moved."""
+    hashed = with_hash(df, key, seed).withColumn("_b", F.substring("_h", 1, RANK_PREFIX))
+    counts = {r["_b"]: r["count"] for r in hashed.groupBy("_b").count().collect()}  # <= 16**RANK_PREFIX rows
+    n = sum(counts.values())
+    left, at = n - math.ceil(test_size * n), ""
+    for at in sorted(counts):
+        if counts[at] > left:
+            break
+        left -= counts[at]
+    else:
+        return df.withColumn("_first", F.lit(True))
+    inside = hashed.where(F.col("_b") == at).withColumn("_first", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) <= left)
+    clear = hashed.where(F.col("_b") != at).withColumn("_first", F.col("_b") < at)
+    return clear.unionByName(inside).drop("_b", "_h")
 
 
 def split_role(df: DataFrame, key: str, test_size: float = 0.5, seed=42,
                roles=("oracle", "test")) -> DataFrame:
     """D3 as a column: rank < n_train -> roles[0] else roles[1]."""
-    ranked, n = hash_rank_n(df, key, seed, "_idx")
-    n_test = math.ceil(test_size * n)
-    return ranked.withColumn("role", F.when(F.col("_idx") < n - n_test, roles[0]).otherwise(roles[1])).drop("_idx")
+    return _with_part(df, key, test_size, seed).withColumn("role", F.when(F.col("_first"), roles[0]).otherwise(roles[1])).drop("_first")
 
 
 # ------------------------------------------------------------------ D4

@@ -1,3 +1,6 @@
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from rowsift.operators import sampling as smp
@@ -58,3 +61,17 @@ def test_split_writes_out_many_copies(spark):
     df = spark.range(25_003).select(F.lit("same").alias("rid"), F.lit(1).alias("y"))
     s, r = smp.stratified_split(df, "y", 3, "rid")
     assert s.count() == 3 and r.count() == 25_000
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 1.0])
+def test_split_ranks_one_bucket_only(spark, share, monkeypatch):
+    monkeypatch.setattr(smp, "RANK_PREFIX", 1)  # 16 buckets, so that the bucket of the cut holds several rows
+    df = spark.range(203).select(F.when(F.col("id") % 50 > 0, F.col("id").cast("string")).alias("k"))
+    ranked, n = smp.hash_rank_n(df, "k", 5)
+    want = sorted(ranked.where(F.col("idx") < n - math.ceil(share * n)).select("k").toPandas()["k"].fillna(""))
+    first, second = smp.random_split(df, "k", share, 5)
+    assert sorted(first.toPandas()["k"].fillna("")) == want and second.count() == n - len(want)
+    roles = smp.split_role(df, "k", share, 5)
+    assert sorted(roles.where("role = 'oracle'").toPandas()["k"].fillna("")) == want and roles.count() == n
+    plan = smp._with_part(df, "k", share, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 1

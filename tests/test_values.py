@@ -72,6 +72,19 @@ def test_evaluate_model_counts_its_own_predictions(spark):
     assert got["auc"] == pytest.approx(((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2))
 
 
+def test_evaluate_model_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(v):
+        seen.add(1)
+        return v
+
+    df = spark.range(200).select(F.col("id").alias("rid"), F.udf(noted, "double")(F.sin("id")).alias("a"), (F.sin("id") + F.sin(F.col("id") * 7) > 0.5).cast("int").alias("y"))
+    lr = LogisticRegression(featuresCol="_f", labelCol="_label", maxIter=5)
+    assert ev.evaluate_model(df.where("rid < 100"), df.where("rid >= 100"), ["a"], "y", lr).first()["n"] == 100
+    assert seen.value == 200  # neither the passes of the fit nor the two metrics run the plan again
+
+
 def test_pca_map_is_the_projection_on_two_components(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4)) * [1, 10, 100, 1]
