@@ -10,7 +10,7 @@ from rowsift.operators import dynamics as dyn
 from rowsift.operators import staging
 from rowsift.plans.catalog import r6, register
 from rowsift.plans.q_completions import ORDER_SCHEMA, _conform_sql, _final, _NO_PH, _NOTNULL_SQL, _PARSED_SQL
-from rowsift.session import scratch_path
+from rowsift.session import remove_path, scratch_path, shuffles_dropped
 from rowsift.sources import fixtures as fx
 from rowsift.streaming import completions_stream as cs
 
@@ -22,23 +22,55 @@ FILE_BYTES = 64 << 20  # text of a landed file
 ORDER_BYTES = 130  # text of an order in it
 
 
+def _text_bytes(spark, sf) -> tuple[float, float]:
+    """(text of the completions, text of the documents), in bytes."""
+    texts = spark.read.parquet(f"{sf}/documents.parquet").agg(F.avg(F.octet_length("text")), F.sum(F.octet_length("text"))).first()
+    orders = spark.read.parquet(f"{sf}/orders.parquet").agg(F.count_distinct(F.floor(F.col("o_orderkey") / 3)), F.count("*")).first()
+    return orders[0] * (texts[0] or 0) + orders[1] * ORDER_BYTES, texts[1] or 0
+
+
+def _files(text: float) -> int:
+    return max(1, math.ceil(text / (ARRIVALS * FILE_BYTES)))
+
+
+def _land(rows, folder: str, files: int) -> None:
+    with shuffles_dropped(rows.sparkSession):
+        rows.repartition(files, "source", "iter", "choice").write.parquet(folder)
+
+
 def _landing(spark, sf) -> tuple[str, int]:
     """Completions land as parquet files in a fresh folder: (folder, files of one of the eight arrivals). An arrival has as
     many files as it takes to keep each of them bounded, whatever the size of the tables."""
     folder = scratch_path(spark, "completions-landing")
-    texts = spark.read.parquet(f"{sf}/documents.parquet").agg(F.avg(F.octet_length("text"))).first()[0] or 0
-    orders = spark.read.parquet(f"{sf}/orders.parquet").agg(F.count_distinct(F.floor(F.col("o_orderkey") / 3)), F.count("*")).first()
-    files = max(1, math.ceil((orders[0] * texts + orders[1] * ORDER_BYTES) / (ARRIVALS * FILE_BYTES)))
-    fx.completions(spark, sf).repartition(ARRIVALS * files, "source", "iter", "choice").write.parquet(folder)
+    files = _files(_text_bytes(spark, sf)[0])
+    _land(fx.completions(spark, sf), folder, ARRIVALS * files)
     return folder, files
 
 
+def _streamed(spark, sf, run):
+    """``run(folder, files of an arrival)`` over all completions, a call for each round of landed files; gives the last call's result.
+
+    A document's text lies in every completion that quotes it, so all of them together may take many times the disk of the
+    tables. A round holds at most half as much text as the documents (or eight files of bounded size, if that is more) and goes
+    when its run has ended; the stream's checkpoint keeps that it was read."""
+    text, documents = _text_bytes(spark, sf)
+    files, rounds = _files(text), math.ceil(text / max(ARRIVALS * FILE_BYTES, documents / 2)) or 1
+    folder, out = scratch_path(spark, "completions-landing"), None
+    for k in range(rounds):
+        rows = fx.completions(spark, sf)
+        if rounds > 1:
+            rows = rows.where(F.pmod(F.xxhash64("source", "iter", "choice"), F.lit(rounds)) == k)
+        _land(rows, folder, math.ceil(ARRIVALS * files / rounds))
+        out = run(folder, files)
+        remove_path(spark, folder)
+    return out
+
+
 @register("st1_stream_curation", _GPT_SQL)
 def st1_stream_curation(spark, sf):
-    src, _ = _landing(spark, sf)
-    sink = scratch_path(spark, "curated-sink")
-    cs.run_curation_stream(spark, src, sink, scratch_path(spark, "st1-ckpt"), ORDER_SCHEMA, "gpt")
-    out = spark.read.schema(cs.curated_rows(cs.read_completions(spark, src), ORDER_SCHEMA).schema).parquet(sink)
+    sink, ckpt = scratch_path(spark, "curated-sink"), scratch_path(spark, "st1-ckpt")
+    _streamed(spark, sf, lambda src, _: cs.run_curation_stream(spark, src, sink, ckpt, ORDER_SCHEMA, "gpt"))
+    out = spark.read.schema(cs.curated_rows(fx.completions(spark, sf), ORDER_SCHEMA).schema).parquet(sink)
     return out.select("source", "iter", "choice", "frag_pos", "o_orderkey", "o_custkey", "o_orderstatus",
                       r6("o_totalprice"), "o_orderpriority")
 

@@ -125,3 +125,33 @@ def test_odd_vectors_take_no_part(spark):
     assert got == {i: (i - 1 if i else 1, 1.0) for i in range(40)}
     near = dst._nearest_pivot([[0.0, 0.0], [3.0, 4.0]])(rows.select("x").toPandas()["x"])
     assert near["_cell"].isna().sum() == 3 and near["_pdist"].isna().sum() == 3 and near["_cell"][0] == 0 and near["_cell"][5] == 1
+
+
+def _planted_orders(spark, folder, n):
+    (spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7).alias("o_custkey"), F.lit("F").alias("o_orderstatus"),
+                           F.lit(10.5).alias("o_totalprice"), F.lit("1-URGENT").alias("o_orderpriority"))
+     .write.parquet(f"{folder}/orders.parquet"))
+    spark.range(5).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1000).alias("text")).write.parquet(f"{folder}/documents.parquet")
+
+
+def _most_landed(monkeypatch):
+    """Rows that lay landed at once, a number for each landing."""
+    seen, land = [], q_stream._land
+
+    def counted(rows, folder, files):
+        land(rows, folder, files)
+        seen.append(rows.sparkSession.read.parquet(folder).count())
+
+    monkeypatch.setattr(q_stream, "_land", counted)
+    monkeypatch.setattr(q_stream, "FILE_BYTES", 1000)
+    return seen
+
+
+def test_curation_lands_in_rounds(spark, tmp_path, monkeypatch):
+    _planted_orders(spark, tmp_path, 120)
+    keys = ["source", "iter", "choice", "frag_pos", "o_orderkey"]
+    whole = q_stream.st1_stream_curation(spark, str(tmp_path)).select(keys).collect()
+    seen = _most_landed(monkeypatch)
+    got = q_stream.st1_stream_curation(spark, str(tmp_path)).select(keys).collect()
+    assert sorted(got) == sorted(whole) and len(got) > 20
+    assert len(seen) > 5 and sum(seen) == 40 and max(seen) <= 20  # 40 completions; before, all of them lay landed
