@@ -102,8 +102,8 @@ def st1_stream_scored(spark, sf):
         with_leaves = rows.withColumn("y", F.expr(_IS_DONE)).withColumn("leaf", F.expr(f"array({_STUMP_LIST})"))
         return dyn.assign_groups(staging.fold_leaves(with_leaves, values, "logit", "leaf"), "aleatoric", 0.45, 0.25)
 
-    (src, files), sink = _landing(spark, sf), scratch_path(spark, "scored-sink")
-    cs.run_curation_stream(spark, src, sink, scratch_path(spark, "st1s-ckpt"), ORDER_SCHEMA, "gpt", score, max_files_per_trigger=files)
+    sink, ckpt = scratch_path(spark, "scored-sink"), scratch_path(spark, "st1s-ckpt")
+    _streamed(spark, sf, lambda src, files: cs.run_curation_stream(spark, src, sink, ckpt, ORDER_SCHEMA, "gpt", score, max_files_per_trigger=files))
     out = spark.read.parquet(sink)
     return out.select("source", "iter", "choice", "frag_pos", "o_orderkey", r6("confidence"), r6("aleatoric"), "grp")
 

@@ -155,3 +155,12 @@ def test_curation_lands_in_rounds(spark, tmp_path, monkeypatch):
     got = q_stream.st1_stream_curation(spark, str(tmp_path)).select(keys).collect()
     assert sorted(got) == sorted(whole) and len(got) > 20
     assert len(seen) > 5 and sum(seen) == 40 and max(seen) <= 20  # 40 completions; before, all of them lay landed
+
+
+def test_scoring_lands_in_rounds(spark, tmp_path, monkeypatch):
+    _planted_orders(spark, tmp_path, 120)
+    whole = q_stream.st1_stream_scored(spark, str(tmp_path)).collect()
+    seen = _most_landed(monkeypatch)
+    got = q_stream.st1_stream_scored(spark, str(tmp_path)).collect()
+    assert sorted(got) == sorted(whole) and len(got) > 20
+    assert len(seen) > 5 and sum(seen) == 40 and max(seen) <= 20
