@@ -111,6 +111,6 @@ def st1_stream_scored(spark, sf):
 @register("st2_stream_quota", f"""
 SELECT source, least(count(*), 2000) AS n_accepted, count(*) >= 2000 AS quota_reached FROM ({_GPT_SQL}) g GROUP BY source""")
 def st2_stream_quota(spark, sf):
-    src, files = _landing(spark, sf)
-    out = cs.run_quota_counter(spark, src, scratch_path(spark, "st2-ckpt"), ORDER_SCHEMA, 2000, "quota", max_files_per_trigger=files)
+    ckpt = scratch_path(spark, "st2-ckpt")
+    out = _streamed(spark, sf, lambda src, files: cs.run_quota_counter(spark, src, ckpt, ORDER_SCHEMA, 2000, "quota", max_files_per_trigger=files))
     return out.select("source", "n_accepted", F.col("quota_reached"))

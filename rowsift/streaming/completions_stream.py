@@ -29,7 +29,7 @@ from rowsift.operators import completions as cp
 from rowsift.operators import dynamics as dyn
 from rowsift.operators import staging
 from rowsift.operators.attach import attach
-from rowsift.session import cut_lineage
+from rowsift.session import remove_path, scratch_path
 
 COMPLETION_SCHEMA = "source string, iter int, choice int, text string"
 
@@ -88,7 +88,9 @@ class QuotaSink:
         return told.groupBy("source").agg(F.max("n_accepted").alias("n_accepted"))  # one row per source and epoch
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        batch = cut_lineage(batch, "quota-batch")
+        written = scratch_path(batch.sparkSession, "quota-batch")
+        batch.write.parquet(written)  # its plan runs once
+        batch = batch.sparkSession.read.parquet(written)
         left = attach(batch, self.state(batch.sparkSession, epoch), ["source"]).withColumn("_left", self.quota - F.coalesce("n_accepted", F.lit(0)))
         ranked = left.where("_left > 0").withColumn("_rank", F.row_number().over(Window.partitionBy("source").orderBy(*self.order)))
         taken = ranked.where((F.col("_rank") <= self.quota) & (F.col("_rank") <= F.col("_left"))).drop("_left", "_rank", "n_accepted")
@@ -98,6 +100,7 @@ class QuotaSink:
         done = attach(attach(every, new, ["source"]), self.state(batch.sparkSession, epoch), ["source"])
         done.select("source", (F.coalesce("n_accepted", F.lit(0)) + F.coalesce("new", F.lit(0))).alias("n_accepted")) \
             .write.mode("overwrite").parquet(f"{self.folder}/state/epoch={epoch}")
+        remove_path(batch.sparkSession, written)
 
     def accepted(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/rows").drop("epoch")

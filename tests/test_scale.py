@@ -1,3 +1,5 @@
+import glob
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
@@ -9,6 +11,7 @@ from rowsift.operators import distance as dst
 from rowsift.operators import quality as qm
 from rowsift.operators.boosting import fit_boosted
 from rowsift.plans import q_stream
+from rowsift.session import checkpoint_root
 
 
 def test_mmd_square_of_a_large_count(spark):
@@ -164,3 +167,14 @@ def test_scoring_lands_in_rounds(spark, tmp_path, monkeypatch):
     got = q_stream.st1_stream_scored(spark, str(tmp_path)).collect()
     assert sorted(got) == sorted(whole) and len(got) > 20
     assert len(seen) > 5 and sum(seen) == 40 and max(seen) <= 20
+
+
+def test_quota_lands_in_rounds(spark, tmp_path, monkeypatch):
+    _planted_orders(spark, tmp_path, 120)
+    whole = q_stream.st2_stream_quota(spark, str(tmp_path)).collect()
+    seen = _most_landed(monkeypatch)
+    before = set(glob.glob(f"{checkpoint_root(spark)}/quota-batch-*"))
+    got = q_stream.st2_stream_quota(spark, str(tmp_path)).collect()
+    assert sorted(got) == sorted(whole) and sum(r["n_accepted"] for r in got) > 20
+    assert len(seen) > 5 and sum(seen) == 40 and max(seen) <= 20
+    assert set(glob.glob(f"{checkpoint_root(spark)}/quota-batch-*")) == before  # an epoch's rows go when its state is written
