@@ -163,14 +163,18 @@ def repair_label(raw: Column) -> Column:
 
 
 # ------------------------------------------------------------------ P19 / P20
-def standardise(df: DataFrame, cols: Sequence[str], ref: DataFrame | None = None) -> DataFrame:
-    """(x - mean) / std_pop, std 0 -> divide by 1. Stats from ``ref`` (default: df).
+def moments(ref: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row: mean and population standard deviation of each column, for ``standardise``."""
+    return ref.agg(*[F.avg(q(c)).alias(f"_mu_{i}") for i, c in enumerate(cols)],
+                   *[F.stddev_pop(q(c)).alias(f"_sd_{i}") for i, c in enumerate(cols)])
+
+
+def standardise(df: DataFrame, cols: Sequence[str], ref: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """(x - mean) / std_pop, std 0 -> divide by 1. Stats from ``ref`` (default: df), or ``moments`` given as ``stats``.
 
     One aggregate (one row: size proven) crossed in by broadcast.
     """
-    ref = ref if ref is not None else df
-    stats = ref.agg(*[F.avg(q(c)).alias(f"_mu_{i}") for i, c in enumerate(cols)],
-                    *[F.stddev_pop(q(c)).alias(f"_sd_{i}") for i, c in enumerate(cols)])
+    stats = moments(ref if ref is not None else df, cols) if stats is None else stats
     out = df.crossJoin(F.broadcast(stats))
     for i, c in enumerate(cols):
         sd = F.col(f"_sd_{i}")

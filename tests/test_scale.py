@@ -3,11 +3,13 @@ import glob
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from rowsift.operators import boosting
 from rowsift.operators import distance as dst
+from rowsift.operators import evaluate as ev
 from rowsift.operators import quality as qm
 from rowsift.operators.boosting import fit_boosted
 from rowsift.plans import q_stream
@@ -178,3 +180,51 @@ def test_quota_lands_in_rounds(spark, tmp_path, monkeypatch):
     assert sorted(got) == sorted(whole) and sum(r["n_accepted"] for r in got) > 20
     assert len(seen) > 5 and sum(seen) == 40 and max(seen) <= 20
     assert set(glob.glob(f"{checkpoint_root(spark)}/quota-batch-*")) == before  # an epoch's rows go when its state is written
+
+
+def _two_sources(spark, n=3000):
+    rows = [("s" if i % 2 else "r", float(i % 7), float(i * i % 5), int((i % 7 > 3) ^ (i % 11 == 0))) for i in range(n)]
+    return spark.createDataFrame(rows, "source string, a double, b double, y int").repartition(2)
+
+
+def _small_clfs():
+    return {"rf": RandomForestClassifier(featuresCol="_f", labelCol="_label", numTrees=12, seed=3),
+            "dt": DecisionTreeClassifier(featuresCol="_f", labelCol="_label", seed=3),
+            "lr": LogisticRegression(featuresCol="_f", labelCol="_label", maxIter=20)}
+
+
+def test_large_sources_score_as_small_ones(spark):
+    df = _two_sources(spark)
+    test = df.where("b < 3").drop("source")
+    got, want = ({(r["source"], r["clf"]): r for r in ev.downstream(df, test, ["a", "b"], "y", _small_clfs(), plain_rows=k).collect()} for k in (10, 10_000))
+    assert got.keys() == want.keys() and len(got) == 6
+    for key, w in want.items():
+        near = 0.02 if key[1] == "rf" else 1e-9  # a forest's draws differ
+        assert got[key]["n"] == w["n"] == test.count()
+        assert [got[key][c] for c in ("accuracy", "f1", "auc")] == [pytest.approx(w[c], abs=near) for c in ("accuracy", "f1", "auc")]
+
+
+def test_trees_read_and_score_combinations(spark, monkeypatch):
+    df = _two_sources(spark)
+    found = ev.fit_predict_large(df, df, ["a", "b"], "y", _small_clfs())
+    for c in ("rf", "dt"):
+        rows = found[c].collect()
+        assert len(rows) <= 7 * 5 * 2 and sum(r["n"] for r in rows) == 3000
+    assert found["lr"].count() == 3000
+    monkeypatch.setattr(ev, "DRAWN_ROWS", 10)
+    assert ev.fit_predict_large(df, df, ["a", "b"], "y", _small_clfs())["rf"].count() == 3000  # hardly fewer combinations: every row
+
+
+def test_a_forest_draws_every_row(spark):
+    counted = spark.createDataFrame([(0.0, 0.0, 900.0), (1.0, 1.0, 4.0), (2.0, 1.0, 1.0)], "_bin_0 double, _label double, _weight double")
+    rf = RandomForestClassifier(featuresCol="_f", labelCol="_label", numTrees=200, seed=5)
+    drawn = boosting._drawn(counted, ["_bin_0"], rf)
+    times = {r["_bin_0"]: np.array([r[f"_drawn_{k}"] for k in range(200)]) for r in drawn.collect()}
+    for place, n in ((0.0, 900), (1.0, 4), (2.0, 1)):  # Poisson: mean and variance are the number of rows
+        assert times[place].mean() == pytest.approx(n, abs=5 * np.sqrt(n / 200)) and times[place].var() == pytest.approx(n, rel=0.5)
+    again = {r["_bin_0"]: r["_drawn_7"] for r in boosting._drawn(counted.repartition(3), ["_bin_0"], rf).collect()}
+    assert again == {k: v[7] for k, v in times.items()}
+    m = boosting.fit_counted(counted, rf, "_f")
+    assert len(m.stages[-1].trees) == 200 and m.stages[-1].numClasses == 2
+    got = {r["_bin_0"]: r["prediction"] for r in m.transform(counted).collect()}
+    assert got[0.0] == 0.0 and got[1.0] == 1.0
